@@ -46,6 +46,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm._common import cut
+    from lodestone.llm.quality_rules import features, judge
+
+    featured = features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return judge(cut(featured))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.language_id import fit, predict
 
@@ -55,5 +69,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_license_scan, op4_substring_dedup, op5_piece_sampling, op6_packing, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_license_scan, op4_substring_dedup, op5_piece_sampling, op6_packing, op8_quality_rules, op9_fingerprints, op10_language_id)}
 SQL: dict[str, str] = {}
