@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE, CHUNK = U(0x9E3779B97F4A7C15 | 1), 2 << 20
+BASE, CHUNK = U(0x9E3779B97F4A7C15 | 1), 1 << 19
 WORD_BASE = U(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

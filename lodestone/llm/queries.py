@@ -16,6 +16,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.token_counts import token_counts
 
@@ -46,6 +52,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("tag")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm._common import cut
     from lodestone.llm.quality_rules import features, judge
@@ -69,5 +81,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_license_scan, op4_substring_dedup, op5_piece_sampling, op6_packing, op8_quality_rules, op9_fingerprints, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_license_scan, op4_substring_dedup, op5_piece_sampling, op6_packing, op7_jaccard_join, op8_quality_rules, op9_fingerprints, op10_language_id)}
 SQL: dict[str, str] = {}
