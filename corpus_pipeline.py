@@ -35,9 +35,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a shingle have no group and all stay, unless they repeat a row's key and text."""
     groups = near_duplicates(docs)
-    tags = groups.select("doc_id", "tag", "component_id", (F.col("n_shingles") == 0).alias("alone")).distinct()
-    first = tags.groupBy("component_id", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("one"))
-    keep = tags.join(first, tags["component_id"].eqNullSafe(first["component_id"]) & (tags["alone"] == first["alone"])).filter(tags["alone"] | (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("tag") == F.col("one.tag")))).select(F.col("doc_id").alias("__key"), F.col("tag").alias("__tag")).distinct()
+    tags = groups.select(F.col("doc_id").alias("__key"), F.col("tag").alias("__tag"), "component_id", (F.col("n_shingles") == 0).alias("alone")).distinct()
+    first = tags.filter("not alone").groupBy(F.col("component_id").alias("group")).agg(F.min(F.struct(F.col("__key").isNull().alias("none"), "__key", "__tag")).alias("one"))
+    named = tags.filter("not alone").join(first, F.col("component_id").eqNullSafe(F.col("group")))
+    chosen = named.filter(F.col("__key").eqNullSafe(F.col("one.__key")) & (F.col("__tag") == F.col("one.__tag")))
+    keep = chosen.select("__key", "__tag").unionByName(tags.filter("alone").select("__key", "__tag"))
     tagged = docs.withColumn("__tag_of", F.hash("text"))
     kept = tagged.join(keep, tagged["doc_id"].eqNullSafe(keep["__key"]) & (tagged["__tag_of"] == keep["__tag"]), "left_semi")
     repeats = Window.partitionBy("doc_id", "__tag_of").orderBy("source", "lang")
@@ -46,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand elsewhere too; those of which nothing is left go."""
-    cut = substring_dedup(docs.withColumn("__text", F.col("text")), text="__text").drop("__text")
+    cut = substring_dedup(docs)
     left = cut.filter("kept_text <> ''")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return left.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
