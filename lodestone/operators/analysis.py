@@ -93,7 +93,7 @@ def mode_diffs(samples: DataFrame, index: str, mode: str, text: str) -> DataFram
 
 def parse_table(lines: DataFrame) -> DataFrame:
     """(metric, position, mean, std) of the grid lines ``| metric | mean (std=...) | N/A |``."""
-    cells = F.filter(F.transform(F.split("value", r"\|"), F.trim), lambda x: x != "")
+    cells = F.filter(F.transform(F.split("value", r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     rows = lines.filter(F.startswith("value", F.lit("|"))).select(cells.alias("c"))
     split = rows.select(F.get("c", F.lit(0)).alias("metric"), F.posexplode(F.slice("c", 2, 1000)).alias("position", "cell"))
     number = lambda g: F.expr(f"try_cast(nullif(regexp_extract(cell, '([\\\\d.]+)\\\\s*\\\\(std=([\\\\d.]+)\\\\)', {g}), '') as double)")

@@ -13,9 +13,9 @@ def flatten_vertices(methods: DataFrame, order: str) -> DataFrame:
     """(idx, vertex_id, ...): methods and their siblings, one row per id, first in input order, numbered by id.
 
     A method comes before its siblings; ``order`` numbers the methods."""
-    own = methods.select(F.struct(F.col(order), F.lit(-1)).alias("ord"), vertex_id("classFqn", "methodName", "parameterTypes", "returnType").alias("vertex_id"), "classFqn", "methodName", "invocations")
+    own = methods.select(F.struct(F.col(order).alias("m"), F.lit(-1).alias("p")).alias("ord"), vertex_id("classFqn", "methodName", "parameterTypes", "returnType").alias("vertex_id"), "classFqn", "methodName", "invocations")
     siblings = methods.select(F.col(order), "classFqn", F.posexplode("siblingMethods").alias("pos", "s"))
-    siblings = siblings.select(F.struct(F.col(order), F.col("pos")).alias("ord"), vertex_id("classFqn", "s.methodName", "s.parameterTypes", "s.returnType").alias("vertex_id"), "classFqn", F.col("s.methodName").alias("methodName"), F.col("s.invocations").alias("invocations"))
+    siblings = siblings.select(F.struct(F.col(order).alias("m"), F.col("pos").alias("p")).alias("ord"), vertex_id("classFqn", "s.methodName", "s.parameterTypes", "s.returnType").alias("vertex_id"), "classFqn", F.col("s.methodName").alias("methodName"), F.col("s.invocations").alias("invocations"))
     both = own.unionByName(siblings)
     first = both.groupBy("vertex_id").agg(F.min_by(F.struct("classFqn", "methodName", "invocations"), "ord").alias("r")).select("vertex_id", "r.*")
     return row_numbers(first, ["vertex_id"], "idx")

@@ -7,7 +7,7 @@ METHOD = (
     f"statementCount int, category string, invocations array<{INVOCATION}>, imports array<string>, classFields array<struct<name: string, typeFqn: string>>, supertypes array<string>, "
     f"siblingMethods array<{SIBLING}>, returnType string, parameterTypes array<string>, thrownExceptions array<string>, usedTypes array<string>"
 )
-METHOD_FIELDS = f"struct<{METHOD.replace(' string', ': string').replace(' int,', ': int,').replace(' array<', ': array<')}>"
+METHOD_FIELDS = f"struct<{METHOD}>"
 METRICS = "struct<em: boolean, es: double, iou: double, lcs_length: int, lcs_ratio: double, compilable: boolean, compile_errors: array<string>, compile_exit_code: int>"
 TEST_EVAL = "struct<success: boolean, tests_run: int, tests_passed: int, tests_failed: int, failed_test_names: array<string>, build_success: boolean, error_messages: array<string>, duration_ms: double>"
 SAMPLE = (
