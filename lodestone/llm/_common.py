@@ -65,6 +65,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_column(text) -> F.Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array, natively; null has none."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")

@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._common import fresh
 from lodestone.llm._words import documents
 
 LETTER = regex.compile(r"\p{L}").search
@@ -137,12 +138,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text where
     nothing was learned. Rows are independent; columns of these names are replaced."""
+    docs = docs.drop(pred, score)
+    own = fresh(docs, "__text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # places x languages: bounded by the model's parameters
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(own)
             column = batch.column(at)
             labels, scores = [], []
             for lo in range(0, batch.num_rows, 256):
@@ -158,6 +161,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in kept), pred, score])
 
-    docs = docs.drop(pred, score)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.withColumn("__text", F.col(text)).mapInArrow(run, f"{fields}`{pred}` string, `{score}` double")
+    return docs.withColumn(own, F.col(text)).mapInArrow(run, f"{fields}`{pred}` string, `{score}` double")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._common import fresh
+
 #: Phrases whose places are counted, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -133,15 +135,16 @@ def license_scan(docs: DataFrame, text: str = "text", index: Index | None = None
     an empty table stays empty; columns that bear the names of the results are replaced."""
     index = index or Index()
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
+    docs = docs.drop(*names)
+    own = fresh(docs, "__text")
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(own)
             found = [index.scan(t or "") for t in batch.column(at).to_pylist()]
             made = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), _TYPES, strict=True)] if found else [pa.array([], k) for k in _TYPES]
             kept = [i for i in range(len(batch.schema.names)) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], names=[*(batch.schema.names[i] for i in kept), *names])
 
-    docs = docs.drop(*names)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.withColumn("__text", F.col(text)).mapInArrow(run, fields + SCHEMA)
+    return docs.withColumn(own, F.col(text)).mapInArrow(run, fields + SCHEMA)

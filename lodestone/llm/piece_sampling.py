@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._common import fresh
 from lodestone.llm._words import mix
 
 MARK = "▁"
@@ -268,13 +269,15 @@ def sample_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     null key draws from a seed of its own. Columns with these names are replaced; an empty
     table stays empty. ``model`` is the path of a SentencePiece file on every executor."""
     names = ["n_pieces", "ids_crc32", "lossless", *(["ids"] if with_ids else [])]
+    docs = docs.drop(*names)
+    own, draw = fresh(docs, "__text"), fresh(docs, "__seed")
 
     def run(batches):
         with_model = lattice(model, power)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                at, seed_at = part.schema.get_field_index("__text"), part.schema.get_field_index("__seed")
+                at, seed_at = part.schema.get_field_index(own), part.schema.get_field_index(draw)
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 ids = with_model.encode(texts, part.column(seed_at).to_numpy().view(U))
                 made = [pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array([with_model.decode(i) == t for i, t in zip(ids, texts, strict=True)])]
@@ -283,7 +286,6 @@ def sample_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str =
                 kept = [i for i in range(part.num_columns) if i not in (at, seed_at)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *made], names=[*(part.schema.names[i] for i in kept), *names])
 
-    docs = docs.drop(*names)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    seeded = docs.withColumn("__text", F.col(text)).withColumn("__seed", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
+    seeded = docs.withColumn(own, F.col(text)).withColumn(draw, F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
     return seeded.mapInArrow(run, fields + "n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<bigint>" * with_ids)

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._common import fresh
+
 #: Fixed value: the published pattern of byte-level pre-tokenisation.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE = 1 << 20
@@ -135,17 +137,19 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
     alike, an empty table stays empty. Columns with the names of the results are replaced.
     ``vocabulary`` is the path of a byte-level BPE file, readable on every executor."""
 
+    docs = docs.drop("n_bytes", "n_tokens", "over_limit")
+    own = fresh(docs, "__text")
+
     def run(batches):
         count = counter(vocabulary).text
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(own)
             n = [count(t) if t else 0 for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(n, pa.int64())], names=[*(x for x in batch.schema.names if x != "__text"), "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(n, pa.int64())], names=[*(x for x in batch.schema.names if x != own), "n_tokens"])
 
-    docs = docs.drop("n_bytes", "n_tokens", "over_limit")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
     return (
-        docs.withColumn("__text", F.col(text))
+        docs.withColumn(own, F.col(text))
         .withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
         .mapInArrow(run, f"{fields}n_bytes long, n_tokens long")
         .withColumn("over_limit", F.col("n_tokens") > limit)

@@ -62,14 +62,14 @@ def templates(counted: DataFrame, branches: int, depth: int, alpha: float, stren
     per = counted.join(built, ["host", "shape"]).withColumn("length", F.size("shape"))
     own = per.groupBy("host", "length", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     pool = own.groupBy("host", "length").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
-    base = own.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("l")), F.lit(0.5)).alias("base"))
-    both = own.join(pool, ["host", "length"]).join(F.broadcast(base))  # base is one row
+    base = own.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("l")), F.lit(0.5)).alias("base")).first()["base"]
+    both = own.join(pool, ["host", "length"])
     rest_l, rest_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
     bound = math.sqrt(0.5 * math.log(2 / alpha))
     gap = F.abs(F.try_divide("b", "l") - F.try_divide(rest_b, rest_l))
     similar = F.coalesce(gap <= bound * (1 / F.sqrt("l") + 1 / F.sqrt(rest_l)), F.lit(False))
     labelled, blocked = F.when(similar, F.col("pl")).otherwise(F.col("l")), F.when(similar, F.col("pb")).otherwise(F.col("b"))
-    pure = (blocked + strength * F.col("base")) / (labelled + strength)
+    pure = (blocked + strength * base) / (labelled + strength)
     judged = both.select("host", "length", "template", pure.alias("purity"), ((F.col("l") > 0) & (labelled >= support) & (pure >= purity)).alias("rejected"))
     return per.join(judged, ["host", "length", "template"]).select("host", "shape", "template", "purity", "rejected")
 
