@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import cut, stash
+from lodestone.llm._common import fresh, stash
 from lodestone.llm._words import U, chunks, mix
 
-WHOLE, MATCH, REFER, HOT = 0, 1, 2, 3
+#: What a wanted piece is for: to be matched, to be matched against, or to be judged window by window (with copies elsewhere or not).
+MATCH, REFER, HOT, HOT_COPIED = 1, 2, 3, 4
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -173,31 +174,27 @@ def _answer(length: int):
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("row", "tag", "key", "other", "kind", "start", "windows", "words")}
-            ids, tags, wanted = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            ids, tags = (batch.column(k).to_pylist() for k in (0, 1))
             for at, to, words in chunks(batch.column(2), False):
+                out = {k: [] for k in ("row", "tag", "key", "other", "kind", "start", "windows", "words")}
+                wanted = batch.column(3).slice(at, to - at).to_pylist()
                 sums = None
                 for d in range(at, to):
                     base = int(words.first[d - at])
-                    for w in wanted[d]:
+                    for w in wanted[d - at]:
                         first, n = base + w["start"], w["windows"]
-                        if w["kind"] == HOT:
+                        if w["kind"] >= HOT:
                             sums = words.sums() if sums is None else sums
                             s = np.arange(first, first + n)
                             one = words.stretch(sums, s, s + length)
                             two = mix(words.hash[s] ^ mix(words.hash[s + length // 2] ^ mix(words.hash[s + length - 1] + one)))
-                            out["row"] += [ids[d]] * n
-                            out["tag"] += [tags[d]] * n
-                            out["key"] += one.view(np.int64).tolist()
-                            out["other"] += two.view(np.int64).tolist()
-                            out["kind"] += [HOT] * n
-                            out["start"] += range(w["start"], w["start"] + n)
-                            out["windows"] += [1] * n
-                            out["words"] += [None] * n
+                            made = ([ids[d]] * n, [tags[d]] * n, one.view(np.int64).tolist(), two.view(np.int64).tolist(), [w["kind"]] * n, range(w["start"], w["start"] + n), [1] * n, [None] * n)
                         else:
-                            for k, v in (("row", ids[d]), ("tag", tags[d]), ("key", w["key"]), ("other", 0), ("kind", w["kind"]), ("start", w["start"]), ("windows", n), ("words", words.hash[first : first + n + length - 1].tobytes())):
-                                out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["tag"], pa.int32()), pa.array(out["key"], pa.int64()), pa.array(out["other"], pa.int64()), pa.array(out["kind"], pa.int32()), pa.array(out["start"], pa.int32()), pa.array(out["windows"], pa.int32()), pa.array(out["words"], pa.binary())], names=list(out))
+                            made = ([ids[d]], [tags[d]], [w["key"]], [0], [w["kind"]], [w["start"]], [n], [words.hash[first : first + n + length - 1].tobytes()])
+                        for k, v in zip(out, made, strict=True):
+                            out[k] += v
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return run
 
@@ -226,24 +223,27 @@ def _shard(length: int):
     return run
 
 
-def _strip(batches):
-    """Texts and spans to kept texts."""
-    for batch in batches:
-        kept, n, removed = [], [], []
-        spans_at = batch.schema.get_field_index("__spans")
-        for text, spans in zip(batch.column(batch.schema.get_field_index("__text")).to_pylist(), batch.column(spans_at).to_pylist(), strict=True):
-            words = (text or "").encode().split()
-            n.append(len(words))
-            if spans:
-                out, at = [], 0
-                for s in sorted(spans, key=lambda s: s["from"]):
-                    out += words[at : max(at, s["from"])]
-                    at = max(at, s["to"])
-                words = out + words[at:]
-            kept.append(b" ".join(words).decode())
-            removed.append(n[-1] - len(words))
-        columns = {k: v for k, v in zip(batch.schema.names, batch.columns, strict=True) if k not in ("__text", "__spans", "row", "tag")}
-        yield pa.RecordBatch.from_pydict(columns | {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+def _strip(own: str, marks: str):
+    """Texts (column ``own``) and spans (column ``marks``) to kept texts."""
+
+    def run(batches):
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            kept, n, removed = [], [], []
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for text, spans in zip(columns.pop(own).to_pylist(), columns.pop(marks).to_pylist(), strict=True):
+                words = (text or "").encode().split()
+                n.append(len(words))
+                if spans:
+                    out, at = [], 0
+                    for s in sorted(spans, key=lambda s: s["from"]):
+                        out += words[at : max(at, s["from"])]
+                        at = max(at, s["to"])
+                    words = out + words[at:]
+                kept.append(b" ".join(words).decode())
+                removed.append(n[-1] - len(words))
+            yield pa.RecordBatch.from_pydict(columns | {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+
+    return run
 
 
 def repeated_spans(source: DataFrame, length: int = 35, grain: int = 12, hot: int = 256) -> DataFrame:
@@ -260,19 +260,17 @@ def repeated_spans(source: DataFrame, length: int = 35, grain: int = 12, hot: in
     judged = found.join(bodies.join(per_key, "key"), ["key", "body"])
     whole, is_one = F.col("copies") > 1, F.struct(*at, "start") == F.col("one")
     several, crowded = F.col("bodies") > 1, F.col("bodies") > hot
-    kind = F.when(crowded & (~whole | is_one), HOT).when(~whole & (several | F.col("loops")), MATCH).when(is_one & whole & several & (F.col("least") == 1), REFER)
+    kind = F.when(crowded & ~whole, HOT).when(crowded & is_one, HOT_COPIED).when(~whole & (several | F.col("loops")), MATCH).when(is_one & whole & several & (F.col("least") == 1), REFER)
     judged = stash(judged.select(*at, "key", "start", "windows", "copies", kind.alias("kind")).filter("copies > 1 or kind is not null"), "judged")
     sure = judged.filter("copies > 1").select(*at, F.col("start").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).alias("to"))
     wanted = judged.filter("kind is not null").groupBy(*at).agg(F.collect_set(F.struct("key", "kind", "start", "windows")).alias("wanted"))
     answer = stash(source.join(wanted, at).select(*at, "text", "wanted").mapInArrow(_answer(length), "row long, tag int, key long, other long, kind int, start int, windows int, words binary"), "answers")
-    paired = answer.filter(F.col("kind") != HOT)
+    paired = answer.filter(F.col("kind") < HOT)
     n = max(paired.count() // 20_000 + 1, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     matched = paired.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n))).groupBy("shard").applyInArrow(_shard(length), "row long, tag int, from int, to int")
     # A crowded key: its windows one by one. The representative of a piece with copies counts as two.
-    windows = answer.filter(F.col("kind") == HOT).drop("words")
-    copied = judged.filter((F.col("kind") == HOT) & (F.col("copies") > 1)).select(*at, F.explode(F.sequence("start", F.col("start") + F.col("windows") - 1)).alias("start"), F.lit(1).alias("more")).distinct()
-    windows = windows.join(copied, [*at, "start"], "left").withColumn("n", F.lit(1) + F.coalesce("more", F.lit(0)))
-    again = windows.groupBy("key", "other").agg(F.sum("n").alias("n")).filter("n > 1").select("key", "other")
+    windows = answer.filter(F.col("kind") >= HOT).drop("words")
+    again = windows.groupBy("key", "other").agg(F.sum(F.when(F.col("kind") == HOT, 1).otherwise(2)).alias("n")).filter("n > 1").select("key", "other")
     hit = windows.join(again, ["key", "other"], "left_semi").select(*at, F.col("start").alias("from"), (F.col("start") + length).alias("to"))
     return sure.unionByName(matched).unionByName(hit)
 
@@ -284,11 +282,12 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     hash of its text, and rows equal in both are treated alike, as copies of each other. A
     null text has no words. Columns of ``docs`` that bear the names of the results are
     replaced. An empty table gives an empty result."""
-    docs = docs.drop("n_words", "n_removed", "kept_text", "row", "tag")
+    docs = docs.drop("n_words", "n_removed", "kept_text")
+    own, marks, row, tag = (fresh(docs, x) for x in ("__text", "__spans", "__row", "__tag"))
     number = F.col(key).cast("long") if dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(F.col(key))
-    rows = docs.withColumns({"row": F.coalesce(number, F.xxhash64(text)), "tag": F.hash(text)})
-    spans = repeated_spans(rows.select("row", "tag", F.col(text).alias("text")), length, grain, hot)
-    spans = spans.groupBy("row", "tag").agg(F.collect_set(F.struct("from", "to")).alias("__spans"))
-    joined = rows.withColumn("__text", F.col(text)).join(spans, ["row", "tag"], "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*docs.columns, "row", "tag", "__text", "__spans").mapInArrow(_strip, f"{fields}, n_words long, n_removed long, kept_text string")
+    rows = docs.withColumns({row: F.coalesce(number, F.xxhash64(text)), tag: F.hash(text), own: F.col(text)})
+    spans = repeated_spans(rows.select(F.col(row).alias("row"), F.col(tag).alias("tag"), F.col(text).alias("text")), length, grain, hot)
+    spans = spans.groupBy(F.col("row").alias(row), F.col("tag").alias(tag)).agg(F.collect_set(F.struct("from", "to")).alias(marks))
+    joined = rows.join(spans, [row, tag], "left")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
+    return joined.select(*docs.columns, own, marks).mapInArrow(_strip(own, marks), f"{fields}n_words long, n_removed long, kept_text string")
