@@ -90,9 +90,9 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(c, max(0.0, float(v))) for c, v in zip(columns, x, strict=True)]
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 96, small: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = 192, small: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Intervals (length, lo, pieces, first sequence, offset) that place every piece, and the number of sequences."""
-    small = capacity // 8 if small is None else small
+    small = capacity // 4 if small is None else small
     left = {length: n for length, n in histogram.items() if n}
     if any(not 0 < length <= capacity for length in left):
         raise ValueError("a piece is empty or longer than a sequence")
@@ -279,7 +279,7 @@ def pieces(docs: DataFrame, vocabulary: str, key: str, text: str, capacity: int,
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * with_ids)
 
 
-def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, groups: int = 96, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, groups: int = 192, with_ids: bool = False) -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens, as few as the method finds.
 
     Returns one row per piece: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``,
