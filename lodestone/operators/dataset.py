@@ -64,8 +64,11 @@ def seeded_sample(df: DataFrame, order: Sequence[str], k: int, seed: int) -> Dat
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], column: str = "row_index") -> DataFrame:
-    """0-based numbers in the given order, which must be total, by range partitions and their running counts."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    """0-based numbers in the given order, which must be total, by range partitions and their running counts.
+
+    The ranged rows are persisted, so that counts and numbers see the same partitions: planned
+    twice, the ranges would be sampled twice. A lost block is made again from the same shuffle."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per partition
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
