@@ -13,8 +13,8 @@ when ``100 * |A & B| >= percent * |A | B|``.
    postings with the least class and the next in size under each shingle. This is linear in
    the postings and joins up groups of copies, however large.
 4. *Rest*: pairs that still lie in different components. A class's expected candidates
-   decide its ``l``; a pair must share as many postings as the smaller ``l`` of the two to be
-   checked. Under a shingle, members of its largest component are never paired with each
+   decide its ``l``, and the longer the prefixes (by the smaller ``l`` of the two), the more
+   postings a pair must share to be checked (``_needed``). Under a shingle, members of its largest component are never paired with each
    other. So every pair that can link is either checked or already connected: components
    are exact, with no cap on partners.
 5. Components by least label with pointer jumping, in checkpointed rounds.
@@ -26,7 +26,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import cut, stash
@@ -113,15 +113,14 @@ def _repeated(k: int, seed: int, at_once: int = 2_000_000):
     return run
 
 
-def _frequent(source: DataFrame, total: int, k: int, seed: int, least: int = 64, most: int = 1 << 17) -> np.ndarray:
-    """Shingles to order last: those counted at least ``max(least, total / most)`` times, so at most ``most`` of them.
+def _frequent(source: DataFrame, k: int, seed: int, least: int = 64, most: int = 1 << 17) -> np.ndarray:
+    """Shingles to order last: the ``most`` most frequent of those counted at least ``least`` times.
 
     Any set gives exact results, as the order only has to be the same for all; this one
     keeps passages that many texts share out of the prefixes. Counts are over all texts,
     but leave out a shingle that stands once in a stretch of two million shingles."""
-    floor = max(least, -(-total // most))
     counted = source.select("text").mapInArrow(_repeated(k, seed), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") >= floor).select("token").collect()  # at most ``most`` rows, as the counts add up to no more than total
+    found = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most).select("token").collect()
     return np.sort(np.array([r["token"] for r in found], np.int64))
 
 
@@ -167,6 +166,22 @@ def _layers(prefix: int, take: int) -> np.ndarray:
     return np.maximum(1, np.arange(1, take + 1) - prefix + 1).astype(np.int32)
 
 
+def _overlap(n: str, percent: int) -> Column:
+    """Least overlap of a set of n with any partner."""
+    return F.floor((F.col(n) * percent + 99) / 100).cast("int")
+
+
+def _needed(n: str, m: str, layer: Column, percent: int) -> Column:
+    """How many prefix shingles two sets must share to be able to link.
+
+    Of the set whose prefix ends first, all shingles it shares beyond its prefix are among
+    the rest, n - (n - a + l). The overlap of a link is at least percent / (100 + percent) of
+    n + m, so what the rest cannot give must be shared within the prefixes."""
+    rest = lambda x: F.greatest(F.lit(0), _overlap(x, percent) - layer)
+    least = F.floor((F.lit(percent) * (F.col(n) + F.col(m)) + (99 + percent)) / (100 + percent))
+    return F.greatest(layer, least - F.greatest(rest(n), rest(m)))
+
+
 def _linked(k: int, percent: int):
     """Pairs with their texts to the pairs that link."""
 
@@ -236,18 +251,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     rows = members.withColumn("class", F.when(F.col("n") > 0, F.col("class")))
     if not facts["total"]:
         return rows.select(F.col("key").alias(key), "tag", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
-    frequent = spark.sparkContext.broadcast(_frequent(source, facts["total"], k, seed))
+    frequent = spark.sparkContext.broadcast(_frequent(source, k, seed))
     posted = source.select("text").mapInArrow(_postings(k, seed, percent, frequent), "token long, class long, n int, layer int")
     by_token = Window.partitionBy("token")
     met = posted.withColumn("least", F.min("class").over(by_token)).withColumn("most", F.max("class").over(by_token)).filter("least <> most").select("token", "class", "n", "layer")
-    postings = stash(met, "postings").dropDuplicates(["token", "class"])
-    postings = stash(postings, "distinct-postings")
-    candidates = postings.select("class").distinct()
-    chosen = classes.join(candidates, "class", "left_semi").select("class", F.col("one.key").alias("key"), F.col("one.tag").alias("tag"))
-    matched = source.join(chosen, source["key"].eqNullSafe(chosen["key"]) & (source["tag"] == chosen["tag"])).select("class", "text").dropDuplicates(["class"])
-    texts = stash(matched, "texts")
+    postings = stash(met.dropDuplicates(["token", "class"]), "postings")  # by token already: no further shuffle
 
     def check(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        chosen = classes.join(asked, "class", "left_semi").select("class", F.col("one.key").alias("key"), F.col("one.tag").alias("tag"))
+        matched = source.join(chosen, source["key"].eqNullSafe(chosen["key"]) & (source["tag"] == chosen["tag"])).select("class", "text").dropDuplicates(["class"])
+        texts = stash(matched, "texts")
         one, two = texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
         return stash(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_linked(k, percent), "a long, b long"), "links")
 
@@ -259,7 +273,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     in_size = Window.partitionBy("token", "band").orderBy("n", "class")
     near = near.select("class", "n", F.min(F.struct("class", "n")).over(in_band).alias("p"), F.lag(F.struct("class", "n")).over(in_size).alias("q"))
     offers = near.select("class", "n", F.explode(F.array("p", "q")).alias("o")).filter("o is not null and o.class <> class").filter(sizes(F.col("n"), F.col("o.n")))
-    voted = offers.groupBy("class", F.col("o.class").alias("other")).agg(F.count("*").alias("votes"))
+    voted = offers.groupBy("class", "n", F.col("o.class").alias("other"), F.col("o.n").alias("m")).agg(F.count("*").alias("votes"))
+    voted = voted.filter(F.col("votes") >= _needed("n", "m", F.lit(1), percent))
     best = voted.withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("votes"), "other"))).filter("nth <= 2")
     tried = stash(best.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct(), "tried")
     links = check(tried)
@@ -272,15 +287,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # Expected candidates of a class decide how many shared postings it asks for.
     mine = per.join(split.select("token"), "token", "left_semi").withColumnRenamed("m", "own")
     cost = open_.filter("layer = 1").join(mine, ["token", "component"]).groupBy("class").agg(F.sum(F.col("all") - F.col("own")).alias("cost"))
-    overlap = F.ceil(F.col("n") * percent / 100).cast("int")
+    overlap = _overlap("n", percent)
     asked = open_.join(cost, "class", "left").withColumn("l", F.least(F.when(F.coalesce("cost", F.lit(0)) <= 16, 1).when(F.col("cost") <= 128, 2).otherwise(LAYERS), overlap))
     one = asked.filter(F.col("component") != F.col("major")).select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("layer").alias("ya"), F.col("l").alias("la"), F.col("component").alias("ca"))
     two = asked.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("layer").alias("yb"), F.col("l").alias("lb"), F.col("component").alias("cb"), (F.col("component") == F.col("major")).alias("big"))
     least = F.least("la", "lb")
     pairs = one.join(two, (one["token"] == two["token"]) & (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & sizes(F.col("na"), F.col("nb")) & (F.col("ya") <= least) & (F.col("yb") <= least))
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least.alias("l")).agg(F.count("*").alias("shared")).filter("shared >= l").select("a", "b")
-    more = check(pairs.join(tried, ["a", "b"], "left_anti"))
-    found = components(links.unionByName(more)) if not more.isEmpty() else found
+    first = F.col("a") < F.col("b")  # under different shingles a pair may stand either way round
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"), least.alias("l"))
+    counted = ordered.groupBy("a", "b", "na", "nb", "l").agg(F.count("*").alias("shared")).filter(F.col("shared") >= _needed("na", "nb", F.col("l"), percent))
+    pairs = stash(counted.select("a", "b").join(tried, ["a", "b"], "left_anti"), "rest")
+    if not pairs.isEmpty():
+        more = check(pairs)
+        found = components(links.unionByName(more)) if not more.isEmpty() else found
     named = classes.select("class", "least").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
     named = named.join(smallest, "component").select("class", "smallest")
