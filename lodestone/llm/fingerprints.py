@@ -60,7 +60,7 @@ def _in_order(docs: DataFrame, key: str, text: str, bucket_bytes: int) -> DataFr
         steps = max(1, len(ends).bit_length())
         found = f"array({', '.join(f'{e}L' for e in ends)})"
         key_ = f"coalesce(cast(`{key}` AS bigint), -9223372036854775807L)"
-        bucket = F.expr(f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(ends)}), (a, s) -> if(a.lo < a.hi, if({found}[(a.lo + a.hi) div 2] < {key_}, named_struct('lo', (a.lo + a.hi) div 2 + 1, 'hi', a.hi), named_struct('lo', a.lo, 'hi', (a.lo + a.hi) div 2)), a), a -> a.lo)")
+        bucket = F.expr(f"aggregate(sequence(1, {steps}), named_struct('lo', 0L, 'hi', {len(ends)}L), (a, s) -> if(a.lo < a.hi, if({found}[cast((a.lo + a.hi) div 2 AS int)] < {key_}, named_struct('lo', (a.lo + a.hi) div 2 + 1, 'hi', a.hi), named_struct('lo', a.lo, 'hi', (a.lo + a.hi) div 2)), a), a -> cast(a.lo AS int))")
     return docs.withColumn("__b", bucket)
 
 
@@ -72,15 +72,17 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_b
     inside = Window.partitionBy("__b").orderBy(*order)
     half = F.coalesce(F.col(text), F.lit(""))
     seen = placed.withColumns({"__n": F.row_number().over(inside), "__next": F.lead(half).over(inside)})
-    heads = cut(placed.groupBy("__b").agg(F.min_by(half, F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))), F.xxhash64(text))).alias("__head")))
-    # One row per bucket, at most 4096 in all.
-    ring = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The first row of each bucket, at most 4096 in all: its key and hash first, its text by a lookup.
+    rank = lambda: F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias("k"), F.xxhash64(text).alias("x"))
+    least = cut(placed.groupBy("__b").agg(F.min(rank()).alias("__least")))
+    heads = placed.withColumn("__rank", rank()).join(F.broadcast(least), "__b").filter(F.col("__rank") == F.col("__least")).select("__b", half.alias("__head")).dropDuplicates(["__b"])
+    heads = cut(heads)
     order_b = Window.orderBy("__b")
-    after = heads.select("__b", F.coalesce(F.lead("__b").over(order_b), F.first("__b").over(ring)).alias("__nb"), F.coalesce(F.lead("__head").over(order_b), F.first("__head").over(ring)).alias("__head"))
+    ring = order_b.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = heads.select("__b", F.coalesce(F.lead("__b").over(order_b), F.first("__b").over(ring)).alias("__hb"), F.coalesce(F.lead("__head").over(order_b), F.first("__head").over(ring)).alias("__head"))
     last = F.col("__next").isNull()
-    crossed = seen.filter(last).join(after, "__b").withColumns({"__next": F.col("__head"), "__nn": F.lit(1)}).drop("__head")
-    within = seen.filter(~last).withColumns({"__nb": F.col("__b"), "__nn": F.col("__n") + 1})
-    return within.unionByName(crossed.select(within.columns))
+    linked = seen.join(after, "__b").withColumns({"__nb": F.when(last, F.col("__hb")).otherwise(F.col("__b")), "__nn": F.when(last, 1).otherwise(F.col("__n") + 1), "__next": F.coalesce("__next", "__head")})
+    return linked.drop("__hb", "__head")
 
 
 def edited_text(text: Column, following: Column) -> Column:
