@@ -8,9 +8,11 @@ rule's, and the longest rule wins. Their verdicts (or given labels) also teach t
 2. At each node of a host's tree (the path so far), a segment that takes many values, none
    of them dominant, becomes the wildcard ``*``.
 3. *Merge*: a template joins its siblings' pool (same host and length) unless its share of
-   blocked urls differs from the pool's by more than Hoeffding's bound.
-4. *Reject*: a template is blocked if its smoothed labelled purity, (blocked + m * base) /
-   (labelled + m) with the corpus-wide base rate, reaches ``purity`` on enough labels.
+   blocked urls differs from the pool's by more than Hoeffding's bound. One without labels
+   cannot differ: it takes its siblings' pool, or its host's where that has too few labels.
+4. *Reject*: a template is blocked if its smoothed labelled purity, (blocked + m * prior) /
+   (labelled + m), reaches ``purity`` on enough labels. The prior is the corpus-wide base
+   rate; without own labels it is that of the other hosts of the domain, smoothed by the base.
 """
 
 from __future__ import annotations
@@ -63,14 +65,19 @@ def templates(counted: DataFrame, branches: int, depth: int, alpha: float, stren
     own = per.groupBy("host", "length", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     pool = own.groupBy("host", "length").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
     base = own.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("l")), F.lit(0.5)).alias("base")).first()["base"]
-    both = own.join(pool, ["host", "length"])
+    hosts = pool.groupBy("host").agg(F.sum("pl").alias("hl"), F.sum("pb").alias("hb")).withColumn("domain", F.substring_index("host", ".", -2))
+    domains = hosts.groupBy("domain").agg(F.sum("hl").alias("dl"), F.sum("hb").alias("db"))
+    prior = (F.col("db") - F.col("hb") + strength * base) / (F.col("dl") - F.col("hl") + strength)
+    both = own.join(pool, ["host", "length"]).join(hosts.join(domains, "domain").select("host", "hl", "hb", prior.alias("prior")), "host")
     rest_l, rest_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
     bound = math.sqrt(0.5 * math.log(2 / alpha))
     gap = F.abs(F.try_divide("b", "l") - F.try_divide(rest_b, rest_l))
     similar = F.coalesce(gap <= bound * (1 / F.sqrt("l") + 1 / F.sqrt(rest_l)), F.lit(False))
-    labelled, blocked = F.when(similar, F.col("pl")).otherwise(F.col("l")), F.when(similar, F.col("pb")).otherwise(F.col("b"))
-    pure = (blocked + strength * base) / (labelled + strength)
-    judged = both.select("host", "length", "template", pure.alias("purity"), ((F.col("l") > 0) & (labelled >= support) & (pure >= purity)).alias("rejected"))
+    bare, near = F.col("l") == 0, F.col("pl") >= support
+    pick = lambda l, p, h: F.when(bare, F.when(near, F.col(p)).otherwise(F.col(h))).when(similar, F.col(p)).otherwise(F.col(l))
+    labelled, blocked = pick("l", "pl", "hl"), pick("b", "pb", "hb")
+    pure = (blocked + strength * F.when(bare, F.col("prior")).otherwise(F.lit(base))) / (labelled + strength)
+    judged = both.select("host", "length", "template", pure.alias("purity"), ((labelled >= support) & (pure >= purity)).alias("rejected"))
     return per.join(judged, ["host", "length", "template"]).select("host", "shape", "template", "purity", "rejected")
 
 

@@ -133,3 +133,12 @@ def test_url_templates_learn_from_labels(spark):
     got = url_filter(spark.createDataFrame(rows, "page_id long, url string, bad int"), label="bad")
     seen = {(r["template"], r["verdict"]) for r in got.collect()}
     assert seen == {("spam/#/offer", "block"), ("news/*/read", "allow")}
+
+
+def test_url_templates_without_labels_take_their_siblings_purity(spark):
+    urls = [f"http://{h}/{s}/{i}{end}" for h, s, n, end in [("a.shop.com", "en", 12, ""), ("a.shop.com", "fr", 3, ""), ("a.shop.com", "fr", 2, "/x/y"), ("b.shop.com", "fr", 3, ""), ("c.shop.com", "en", 3, ""), ("c.shop.com", "fr", 3, ""), ("a.shop.net", "de", 12, ""), ("a.shop.net", "fr", 3, "")] for i in range(n)]
+    got = url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).filter("rule is null").collect()
+    seen = {(r["host"], r["template"], r["verdict"]) for r in got}
+    assert seen == {("a.shop.com", "fr/#", "block"), ("a.shop.com", "fr/#/x/y", "block"), ("b.shop.com", "fr/#", "allow"), ("c.shop.com", "fr/#", "allow"), ("a.shop.net", "fr/#", "allow")}
+    base, domain = 15 / 27, (3 + 4 * 15 / 27) / (3 + 4)  # blocked of labelled; c.shop.com alone labels the rest of a.shop.com's domain
+    assert {round(r["purity"], 9) for r in got if r["host"] == "a.shop.com"} == {round((12 + 4 * domain) / (12 + 4), 9)} and {round(r["purity"], 9) for r in got if r["host"] == "a.shop.net"} == {round(4 * base / (12 + 4), 9)}
