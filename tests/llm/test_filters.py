@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -79,6 +80,17 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
     assert got["near_next"] == pytest.approx(both / every, abs=0.1)
 
 
+def test_fingerprint_likeness_at_the_default_length(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(100):  # texts of 70 words, some twice, 60 of them shared: likeness 0.75 in pairs (0, 1), (2, 3), ...
+        words = [f"p{i}w{rng.randrange(50)}" for _ in range(60)]
+        rows += [(2 * i + j, " ".join([*words, *(f"p{i}e{j}x{x}" for x in range(10))])) for j in (0, 1)]
+    got = [r["near_next"] for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id % 2 = 0").collect()]
+    assert len(got) == 100 and sum(got) / 100 == pytest.approx(0.75, abs=0.02)
+    assert (sum((x - 0.75) ** 2 for x in got) / 100) ** 0.5 < 0.06 and sum(x < 0.65 for x in got) <= 3
+
+
 def brute_license(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
     at = sorted(i for p in BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
