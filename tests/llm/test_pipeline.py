@@ -1,4 +1,8 @@
+import random
+import string
+
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline as pipeline  # noqa: E402
@@ -37,6 +41,18 @@ def test_one_of_each_group_stays(spark, odd):
     assert len(texts) == len(set(texts)) and 0 in {r["doc_id"] for r in kept} and not {3, 6, 9} & {r["doc_id"] for r in kept if r["text"] and r["text"].startswith("w")}
 
 
+def test_language_stage_goes_by_the_prediction(spark):
+    rng = random.Random(7)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("size(split(text, ' ')) >= 50").select("doc_id", "text", "lang", "source", "n_chars")
+    junk = [" ".join("".join(rng.choices(string.ascii_letters + string.digits + "+/", k=rng.randint(8, 60))) for _ in range(60)) for _ in range(10)]
+    junk += [" ".join("".join(rng.choices("0123456789abcdef", k=16)) for _ in range(60)) for _ in range(10)]
+    more = docs.unionByName(spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(junk)], docs.schema))
+    kept = {r["doc_id"] for r in pipeline.language(spark, more, SF).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+    bare = more.withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame([(-1, "12 34", None, "s", 5), (-2, None, None, "s", 0)], docs.schema))
+    assert {r["doc_id"] for r in pipeline.language(spark, bare, SF).collect()} == {r["doc_id"] for r in more.collect()}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_return_all_rows(spark, name):
     table, key = ("pages", "page_id") if name.startswith("op1_") else ("documents", "doc_id")
