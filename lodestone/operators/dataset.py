@@ -116,17 +116,18 @@ def line_coverage(methods: DataFrame, lines: DataFrame, width: int = 256) -> Dat
 
 
 def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
-    """Pairs of a text and a name that stands in it as a substring, for names of word characters.
+    """Pairs of a text and a name that stands in it as a substring, for names of word characters (Unicode's) and ``$``.
 
-    A name of n characters inside a text lies inside one run of word characters, so the
-    product is taken between distinct names and distinct runs: names are posted under
-    their first three characters, and runs under each of their trigrams."""
+    A name of such characters inside a text lies inside one run of them, so the product is
+    taken between distinct names and distinct runs: names are posted under their first
+    three characters, shorter ones under all they have, and runs under their 1-, 2- and
+    3-grams."""
     q = 3
-    runs = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\w+"), F.lit(0)))).alias("run"))
+    runs = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)[\w$]+"), F.lit(0)))).alias("run"))
     vocabulary = runs.select("run").distinct()
-    grams = F.when(F.length("run") >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - q + 1), lambda i: F.substring(F.col("run"), i, F.lit(q)))))
-    posted = vocabulary.select("run", F.explode(grams).alias("gram"))
-    wanted = names.filter(F.length(name) >= q).select(F.col(name).alias("name")).distinct()
+    grams = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring(F.col("run"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    posted = vocabulary.select("run", F.explode(F.array_distinct(F.concat(*(grams(n) for n in range(1, q + 1))))).alias("gram"))
+    wanted = names.filter(F.length(name) > 0).select(F.col(name).alias("name")).distinct()
     pairs = posted.join(wanted.withColumn("gram", F.substring("name", 1, q)), "gram").filter(F.contains("run", "name")).select("run", "name").distinct()
     return runs.join(pairs, "run").select("text_id", "name").distinct()
 

@@ -258,3 +258,10 @@ def test_config(tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "c.yaml").write_text("retrieval:\n  k: 5\n")
     assert readers.load_config(str(tmp_path / "c.yaml")) == {"retrievers": {"default": {"k": 5}}}
+
+
+def test_contains_join_takes_names_of_any_length(spark):
+    texts = ["is a Box of ids", "List.of(x) id_of", "été.naïveÉté() $ref a$b", "", "of", "x", None]
+    names = ["of", "id", "is", "x", "a", "été", "té", "ï", "$", "$b", "a$b", "Box", "id_of", "List", "absent", "zz", "of", None]
+    got = dataset.contains_join(spark.createDataFrame(list(enumerate(texts)), "text_id int, text string"), spark.createDataFrame([(n,) for n in names], "name string"), "text", "name").collect()
+    assert sorted(map(tuple, got)) == sorted({(i, n) for i, t in enumerate(texts) for n in names if t and n and n in t})
