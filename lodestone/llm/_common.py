@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +20,12 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where no folder is configured (local tests) is a temporary one made."""
+    Where no folder is configured, one is made if all runs in this process (tests); a cluster must name one."""
     context = spark.sparkContext
     found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not (context.master or "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
@@ -43,7 +47,33 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stash_path = path
+    return kept
+
+
+def discard(*kept: DataFrame) -> None:
+    """Removes stashed tables that no later step reads."""
+    for df in kept:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trimmed(kernel):
+    """An Arrow kernel that gives freed memory back when its partition ends, as idle workers live on."""
+
+    def run(batches):
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def places(key: str, text: str) -> tuple[F.Column, F.Column]:
+    """Two independent hashes of a row's key and text: rows equal in both are copies of each other."""
+    return F.xxhash64(F.col(key), F.col(text)), F.xxhash64(F.lit(1), F.col(key), F.col(text))
 
 
 def input_bytes(df: DataFrame) -> int:

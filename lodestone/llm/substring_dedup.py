@@ -5,20 +5,20 @@ word sequence also starts anywhere else is removed; windows are judged on the in
 
 Each window names a *key*: the smallest hash of its inner ``grain``-word grams. Equal
 windows name equal keys, so windows can be judged key by key. Consecutive windows with one
-key form a *piece* (about a third of its words lie in no other piece).
+key form a *piece*, of ``MOST`` windows at most (about a third of its words lie in no other piece).
 
 1. Count pieces per key (partial sums in the mappers). Keys met once hold no repeat.
-2. Pieces of repeated keys: equal pieces (128 bits of hash) repeat whole, by a count.
-3. The remaining pieces are dealt by key into reference shards. A shard's task builds the
-   suffix automaton of its pieces and streams the same pieces through it for matching
-   statistics; a match of ``length`` words with two or more end positions is a repeat.
-   The shards are dealt and not broadcast: all shards together are as large as the repeated
-   part of the corpus, so a broadcast of them would have no bound, and a document need only
-   meet the shards that its own keys name.
-4. Keys with more than ``hot`` different pieces go window by window instead, by 128 bits of
-   window hash and a count with partial sums, so one passage in a third of all documents
-   loads no single task.
-5. Documents with nothing to remove never have their text joined a second time.
+2. Pieces of equal words (128 bits of hash) are one *body*. One occurrence stands for them
+   all, weighted by their number, so a passage in a third of all documents is one body.
+3. Bodies are dealt by key into reference shards. A shard's task builds the suffix automata
+   of its bodies and streams the same bodies through them for matching statistics; a match of
+   ``length`` words with two or more (weighted) end positions is a repeat. The shards are
+   dealt and not broadcast: all shards together are as large as the repeated part of the
+   corpus, so a broadcast of them would have no bound, and a body need only meet the shard of
+   its own key. What a body's spans are is carried to all its occurrences.
+4. An automaton holds ``room`` words. A key whose bodies have more (a line in very many
+   different surroundings) is dealt on by whole windows: such a shard is one word sequence,
+   known by 128 bits of hash, and whether it ends twice is a weighted count.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import fresh, stash
+from lodestone.llm._common import discard, fresh, places, stash, trimmed
 from lodestone.llm._words import U, chunks, mix
 
-#: What a wanted piece is for: to be matched, to be matched against, or to be judged window by window (with copies elsewhere or not).
-MATCH, REFER, HOT, HOT_COPIED = 1, 2, 3, 4
+#: Windows of a piece at most, so that a text that repeats one gram is many pieces.
+MOST = 256
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -70,7 +70,12 @@ def pieces(words, length: int, grain: int):
     for step in range(w):
         left = np.where((left == a + step) & (grams[np.minimum(a + step, len(grams) - 1)] != key[a]), left + 1, left)
         right = np.where((right == b + w - 1 - step) & (grams[b + w - 1 - step] != key[a]), right - 1, right)
-    return a, b - a + 1, mix(key[a]), words.stretch(sums, a, b + length), left != right
+    loops, n = left != right, b - a + 1
+    if len(n) and n.max() > MOST:  # longer than a window's grams, so it loops
+        parts = -(-n // MOST)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        a, loops, n = np.repeat(a, parts) + nth * MOST, np.repeat(loops, parts), np.minimum(np.repeat(n, parts) - nth * MOST, MOST)
+    return a, n, mix(key[a]), words.stretch(sums, a, a + n + length - 1), loops
 
 
 class Automaton:
@@ -156,7 +161,7 @@ def _mapper(length: int, grain: int, kind: str):
 
     def run(batches):
         for batch in batches:
-            ids, tags = (batch.column(k).to_numpy() for k in (0, 1))
+            one, two = (batch.column(k).to_numpy() for k in (0, 1))
             for at, _, words in chunks(batch.column(2), False):
                 a, n, key, body, loops = pieces(words, length, grain)
                 if kind == "count":
@@ -164,61 +169,61 @@ def _mapper(length: int, grain: int, kind: str):
                     yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(count.astype(np.int64))})
                 else:
                     doc = words.doc[a]
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "body": pa.array(body.view(np.int64)), "row": pa.array(ids[at + doc]), "tag": pa.array(tags[at + doc]), "start": pa.array((a - words.first[doc]).astype(np.int32)), "windows": pa.array(n.astype(np.int32)), "loops": pa.array(loops)})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "body": pa.array(body.view(np.int64)), "place": pa.array(one[at + doc]), "place2": pa.array(two[at + doc]), "start": pa.array((a - words.first[doc]).astype(np.int32)), "windows": pa.array(n.astype(np.int32)), "loops": pa.array(loops)})
 
-    return run
+    return trimmed(run)
+
+
+ANSWER = "key long, body long, weight int, start int, one long, two long, words binary"
 
 
 def _answer(length: int):
-    """Documents with their wanted pieces: spans that are sure, and words of the pieces to be matched."""
+    """Texts with their wanted bodies to the bodies' words; those of crowded keys to one row for each window."""
 
     def run(batches):
         for batch in batches:
-            ids, tags = (batch.column(k).to_pylist() for k in (0, 1))
-            for at, to, words in chunks(batch.column(2), False):
-                out = {k: [] for k in ("row", "tag", "key", "other", "kind", "start", "windows", "words")}
-                wanted = batch.column(3).slice(at, to - at).to_pylist()
-                sums = None
-                for d in range(at, to):
-                    base = int(words.first[d - at])
-                    for w in wanted[d - at]:
-                        first, n = base + w["start"], w["windows"]
-                        if w["kind"] >= HOT:
-                            sums = words.sums() if sums is None else sums
-                            s = np.arange(first, first + n)
-                            one = words.stretch(sums, s, s + length)
-                            two = mix(words.hash[s] ^ mix(words.hash[s + length // 2] ^ mix(words.hash[s + length - 1] + one)))
-                            made = ([ids[d]] * n, [tags[d]] * n, one.view(np.int64).tolist(), two.view(np.int64).tolist(), [w["kind"]] * n, range(w["start"], w["start"] + n), [1] * n, [None] * n)
-                        else:
-                            made = ([ids[d]], [tags[d]], [w["key"]], [0], [w["kind"]], [w["start"]], [n], [words.hash[first : first + n + length - 1].tobytes()])
-                        for k, v in zip(out, made, strict=True):
-                            out[k] += v
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    return run
+            lists = batch.column(1)
+            ends, wanted = lists.offsets.to_numpy(), lists.values
+            field = {k: wanted.field(k).to_numpy(zero_copy_only=False) for k in ("key", "body", "start", "windows", "weight", "crowded")}
+            for at, to, words in chunks(batch.column(0), False):
+                lo, hi = ends[at], ends[to]
+                of = {k: v[lo:hi] for k, v in field.items()}
+                first = words.first[np.repeat(np.arange(to - at), np.diff(ends[at : to + 1]))] + of["start"]
+                calm = ~of["crowded"]
+                n, none = int(calm.sum()), pa.nulls(int(calm.sum()), pa.int64())
+                held = [words.hash[a:b].tobytes() for a, b in zip(first[calm], (first + of["windows"] + length - 1)[calm], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(of["key"][calm]), pa.array(of["body"][calm]), pa.array(of["weight"][calm]), pa.array(np.zeros(n, np.int32)), none, none, pa.array(held, pa.binary())], names=[x.split(" ")[0] for x in ANSWER.split(", ")])
+                if n < hi - lo:
+                    sums, windows = words.sums(), of["windows"][~calm]
+                    nth = (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+                    s = np.repeat(first[~calm], windows) + nth
+                    one = words.stretch(sums, s, s + length)
+                    two = mix(words.hash[s] ^ mix(words.hash[s + length // 2] ^ mix(words.hash[s + length - 1] + one)))
+                    each = [pa.array(np.repeat(of[k][~calm], windows)) for k in ("key", "body", "weight")]
+                    yield pa.RecordBatch.from_arrays([*each, pa.array(nth), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(len(s), pa.binary())], names=[x.split(" ")[0] for x in ANSWER.split(", ")])
+
+    return trimmed(run)
 
 
 def _shard(length: int):
-    """One reference shard: builds its automata, key by key, and streams its pieces through them."""
+    """One reference shard: builds its automata, key by key, and streams its bodies through them."""
 
     def run(batch: pa.Table) -> pa.Table:
-        batch = batch.select(["key", "kind", "row", "tag", "start", "words"]).sort_by("key")
-        key, kind, row, tag, start = (batch.column(k).to_numpy() for k in ("key", "kind", "row", "tag", "start"))
-        words = batch.column("words").to_pylist()
+        batch = batch.select(["key", "body", "weight", "words"]).sort_by("key")
+        key, body, weight = (batch.column(k).to_numpy() for k in ("key", "body", "weight"))
+        words = batch.column("words")
         out = []
         edges = np.flatnonzero(np.diff(key)) + 1
         for lo, hi in zip([0, *edges], [*edges, len(key)], strict=True):
-            sequences = [np.frombuffer(words[i], np.int64).tolist() for i in range(lo, hi)]
+            sequences = [np.frombuffer(words[i].as_buffer(), np.int64).tolist() for i in range(lo, hi)]
             automaton = Automaton()
             for i, s in zip(range(lo, hi), sequences, strict=True):
-                automaton.add(s, 2 if kind[i] == REFER else 1)
+                automaton.add(s, int(weight[i]))
             automaton.close()
             for i, s in zip(range(lo, hi), sequences, strict=True):
-                if kind[i] == MATCH:
-                    out += ((row[i], tag[i], start[i] + a, start[i] + b) for a, b in spans_of(automaton.matches(s, length), length))
-        row, tag, first, last = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({"row": pa.array(row, pa.int64()), "tag": pa.array(tag, pa.int32()), "from": pa.array(first, pa.int32()), "to": pa.array(last, pa.int32())})
+                out += ((key[i], body[i], a, b) for a, b in spans_of(automaton.matches(s, length), length))
+        key, body, first, last = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table({"key": pa.array(key, pa.int64()), "body": pa.array(body, pa.int64()), "from": pa.array(first, pa.int32()), "to": pa.array(last, pa.int32())})
 
     return run
 
@@ -243,51 +248,50 @@ def _strip(own: str, marks: str):
                 removed.append(n[-1] - len(words))
             yield pa.RecordBatch.from_pydict(columns | {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
-    return run
+    return trimmed(run)
 
 
-def repeated_spans(source: DataFrame, length: int = 35, grain: int = 12, hot: int = 256) -> DataFrame:
-    """Spans ``[from, to)`` of words under repeated windows, of a table (row long, tag int, text).
+def repeated_spans(source: DataFrame, length: int = 35, grain: int = 12, room: int = 1 << 16) -> DataFrame:
+    """Spans ``[from, to)`` of words under repeated windows, of a table (place, place2, text).
 
-    Returns (row, tag, from, to), one row for each span; spans of a row may overlap."""
-    at = ["row", "tag"]
-    source = source.select("row", "tag", "text").filter(F.length("text") >= 2 * length - 1)
+    Returns (place, place2, spans), one row for each row with spans; spans may overlap."""
+    at = ["place", "place2"]
+    source = source.select(*at, "text").filter(F.length("text") >= 2 * length - 1)
     keys = source.mapInArrow(_mapper(length, grain, "count"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-    everything = source.mapInArrow(_mapper(length, grain, "pieces"), "key long, body long, row long, tag int, start int, windows int, loops boolean")
+    everything = source.mapInArrow(_mapper(length, grain, "pieces"), "key long, body long, place long, place2 long, start int, windows int, loops boolean")
     found = stash(everything.join(keys, "key", "left_semi"), "pieces")
-    bodies = found.groupBy("key", "body").agg(F.count("*").alias("copies"), F.min(F.struct(*at, "start")).alias("one"))
-    per_key = bodies.groupBy("key").agg(F.count("*").alias("bodies"), F.min("copies").alias("least"))
-    judged = found.join(bodies.join(per_key, "key"), ["key", "body"])
-    whole, is_one = F.col("copies") > 1, F.struct(*at, "start") == F.col("one")
-    several, crowded = F.col("bodies") > 1, F.col("bodies") > hot
-    kind = F.when(crowded & ~whole, HOT).when(crowded & is_one, HOT_COPIED).when(~whole & (several | F.col("loops")), MATCH).when(is_one & whole & several & (F.col("least") == 1), REFER)
-    judged = stash(judged.select(*at, "key", "start", "windows", "copies", kind.alias("kind")).filter("copies > 1 or kind is not null"), "judged")
-    sure = judged.filter("copies > 1").select(*at, F.col("start").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).alias("to"))
-    wanted = judged.filter("kind is not null").groupBy(*at).agg(F.collect_set(F.struct("key", "kind", "start", "windows")).alias("wanted"))
-    answer = stash(source.join(wanted, at).select(*at, "text", "wanted").mapInArrow(_answer(length), "row long, tag int, key long, other long, kind int, start int, windows int, words binary"), "answers")
-    paired = answer.filter(F.col("kind") < HOT)
-    n = max(paired.count() // 20_000 + 1, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    matched = paired.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n))).groupBy("shard").applyInArrow(_shard(length), "row long, tag int, from int, to int")
-    # A crowded key: its windows one by one. The representative of a piece with copies counts as two.
-    windows = answer.filter(F.col("kind") >= HOT).drop("words")
-    again = windows.groupBy("key", "other").agg(F.sum(F.when(F.col("kind") == HOT, 1).otherwise(2)).alias("n")).filter("n > 1").select("key", "other")
-    hit = windows.join(again, ["key", "other"], "left_semi").select(*at, F.col("start").alias("from"), (F.col("start") + length).alias("to"))
-    return sure.unionByName(matched).unionByName(hit)
-
-
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 35, grain: int = 12, hot: int = 256) -> DataFrame:
+    bodies = found.groupBy("key", "body").agg(F.count("*").alias("copies"), F.min(F.struct(*at, "start")).alias("one"), F.max("windows").alias("windows"), F.max("loops").alias("loops"))
+    per_key = bodies.groupBy("key").agg(F.sum("copies").alias("pieces"), F.sum(F.col("windows") + (length - 1)).alias("held"))
+    judged = bodies.join(per_key, "key").filter("pieces > 1 or loops")
+    facts = F.struct("key", "body", F.col("one.start").alias("start"), "windows", F.least("copies", F.lit(2)).cast("int").alias("weight"), (F.col("held") > room).alias("crowded"))
+    wanted = judged.groupBy("one.place", "one.place2").agg(F.collect_list(facts).alias("wanted"))  # as long as the document at most
+    answer = stash(source.join(wanted, at).select("text", "wanted").mapInArrow(_answer(length), ANSWER), "answers")
+    bodies_ = answer.filter("words is not null")
+    n = max(bodies_.count() // 20_000 + 1, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = bodies_.select("key", "body", "weight", "words", F.pmod(F.xxhash64("key"), F.lit(n)).alias("shard"))
+    matched = shards.groupBy("shard").applyInArrow(_shard(length), "key long, body long, from int, to int")
+    windows = answer.filter("words is null").select("key", "body", "weight", "start", "one", "two")
+    again = windows.groupBy("one", "two").agg(F.sum("weight").alias("n")).filter("n > 1").select("one", "two")
+    counted = windows.join(again, ["one", "two"], "left_semi").select("key", "body", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
+    marks = stash(matched.unionByName(counted).groupBy("key", "body").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "marks")
+    discard(answer)
+    there = F.transform("spans", lambda s: F.struct((s["from"] + F.col("start")).alias("from"), (s["to"] + F.col("start")).alias("to")))
+    return found.join(marks, ["key", "body"]).groupBy(*at).agg(F.flatten(F.collect_list(there)).alias("spans"))
+
+
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 35, grain: int = 12, room: int = 1 << 16) -> DataFrame:
     """All rows of ``docs`` plus ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space).
 
-    Works row by row even where ``key`` is null or repeats: a row is known by its key and a
-    hash of its text, and rows equal in both are treated alike, as copies of each other. A
-    null text has no words. Columns of ``docs`` that bear the names of the results are
-    replaced. An empty table gives an empty result."""
+    Works row by row even where ``key`` is null or repeats: a row is known by 128 bits of
+    hash of its key and text, and rows equal in both are treated alike, as copies of each
+    other. The key may be of any type that can be hashed. A null text has no words. Columns
+    of ``docs`` that bear the names of the results are replaced; all others stay as they are,
+    whatever their names. An empty table gives an empty result."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    own, marks, row, tag = (fresh(docs, x) for x in ("__text", "__spans", "__row", "__tag"))
-    number = F.col(key).cast("long") if dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(F.col(key))
-    rows = docs.withColumns({row: F.coalesce(number, F.xxhash64(text)), tag: F.hash(text), own: F.col(text)})
-    spans = repeated_spans(rows.select(F.col(row).alias("row"), F.col(tag).alias("tag"), F.col(text).alias("text")), length, grain, hot)
-    spans = spans.groupBy(F.col("row").alias(row), F.col("tag").alias(tag)).agg(F.collect_set(F.struct("from", "to")).alias(marks))
-    joined = rows.join(spans, [row, tag], "left")
+    own, marks, one, two = (fresh(docs, x) for x in ("__text", "__spans", "__place", "__place2"))
+    place, place2 = places(key, text)
+    rows = docs.withColumns({one: place, two: place2, own: F.col(text)})
+    spans = repeated_spans(rows.select(F.col(one).alias("place"), F.col(two).alias("place2"), F.col(text).alias("text")), length, grain, room)
+    joined = rows.join(spans.select(F.col("place").alias(one), F.col("place2").alias(two), F.col("spans").alias(marks)), [one, two], "left")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
     return joined.select(*docs.columns, own, marks).mapInArrow(_strip(own, marks), f"{fields}n_words long, n_removed long, kept_text string")
