@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,13 @@ def discard(*kept: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Frees the shuffle files of finished steps. Spark drops them once the driver has collected the plans that made
+    them, which a driver with room to spare may not do before the disks of the executors are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def trimmed(kernel):
     """An Arrow kernel that gives freed memory back when its partition ends, as idle workers live on."""
 

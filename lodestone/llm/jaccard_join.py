@@ -4,35 +4,44 @@ Texts with equal shingle sets are one *class*; all work is on classes. Two class
 when ``100 * |A & B| >= percent * |A | B|``.
 
 1. Order the shingles of all texts: those that are frequent in the corpus last, the others
-   by hash. (Counts cover all texts; the frequent set has a proven bound, see ``_frequent``.)
-   A text and its partner then share a shingle among their first ``n - a + 1``, where ``a``
-   is the least overlap the text allows, and ``l`` shingles among their first ``n - a + l``.
-2. Post each class under these shingles, with the layer ``l`` at which each enters. Most
-   shingles meet nobody and are dropped in the same shuffle.
-3. *Skeleton*: each class is checked against its two likeliest neighbours, by shared
-   postings with the least class and the next in size under each shingle. This is linear in
-   the postings and joins up groups of copies, however large.
-4. *Rest*: pairs that still lie in different components. A class's expected candidates
-   decide its ``l``, and the longer the prefixes (by the smaller ``l`` of the two), the more
-   postings a pair must share to be checked (``_needed``). Under a shingle, members of its largest component are never paired with each
-   other. So every pair that can link is either checked or already connected: components
-   are exact, with no cap on partners.
-5. Components by least label with pointer jumping, in checkpointed rounds.
+   by hash. A set of n whose links need an overlap of ``a`` shares, with any partner, ``l``
+   of its first ``n - a + l`` shingles. A class posts such a prefix, ``l`` growing with the
+   shingles that it would cost as a candidate, and stays a candidate only if as many of
+   them are met in another class's prefix. Frequent shingles count as met and are not posted.
+2. *Core*: of the candidates' whole sets only the shingles that two of them have matter. A
+   class with fewer than ``a`` such shingles goes. The rest is ordered anew, rarest first,
+   by the number of these classes that have a shingle (for a frequent one, the count of 1).
+3. *Skeleton*: under a shingle, each class meets only the one of like size whose shingles are
+   the commonest; its two likeliest are compared. This is linear in the postings and joins
+   up groups of copies, however large.
+4. *Rest*: pairs that still lie in different components. Each class chooses ``l`` by estimated
+   cost: a longer prefix meets more postings, but at most a part in ``l`` of them are candidates,
+   each worth a comparison of sets. A pair of sizes n and m needs an
+   overlap ``o``; its first ``l`` shared shingles stand before place ``|set| - o + l`` in
+   both sets (``l`` the smaller of the two), so it is compared only if that many of its
+   shared shingles do. Under a shingle, members of its largest component are never paired
+   with each other. Every pair that can link is either compared or already connected:
+   components are exact, with no cap on partners.
+5. Components by least label with pointer jumping, in checkpointed rounds; the rest's links
+   join components and not classes.
+
+Only steps 1 and 2 read texts, in Arrow batches; all pairs are compared in the JVM, as arrays
+of shingle hashes, one row at a time.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import cut, stash
+from lodestone.llm._common import cut, discard, places, settle, stash, trimmed
 from lodestone.llm._words import U, Words, chunks, mix
 
-SHINGLE, PERCENT, LAYERS = 5, 75, 3
+SHINGLE, PERCENT, LAYERS = 5, 75, 4
 
 
 def shingles(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -66,151 +75,135 @@ def _sets(batch_column, k: int):
             yield i, s
 
 
-def _members(k: int, seed: int):
+def _gather(k: int, seed: int, at_once: int = 2_000_000):
+    """Each row's class, and the shingles that a stretch of a partition's classes holds more than once, with counts."""
+
     def run(batches):
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            made = [(0, 0, 0) if not len(s) else (*class_of(s, seed), len(s)) for _, s in _sets(batch.column(2), k)]
-            c, check, n = zip(*made, strict=True) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int64())], names=["key", "tag", "class", "check", "n"])
-
-    return run
-
-
-def _new_sets(batches, k: int, seed: int):
-    """Each class of a partition once (of the last million or so)."""
-    seen: set[int] = set()
-    for batch in batches:
-        for _, s in _sets(batch.column(0), k):
-            if len(s):
-                c, _ = class_of(s, seed)
-                if c not in seen:
+            made = []
+            for _, s in _sets(batch.column(3), k):
+                c, check = class_of(s, seed) if len(s) else (0, 0)
+                made.append((c, check, len(s)))
+                if len(s) and c not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(c)
-                    yield c, s
+                    held.append(s)
+                    size += len(s)
+                    if size > at_once:
+                        yield _counted(held, batch.schema)
+                        held, size = [], 0
+            c, check, n = zip(*made, strict=True) if made else ((), (), ())
+            none = pa.nulls(len(made), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(c, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int64()), none, none], names=GATHERED)
+        if held:
+            yield _counted(held, batch.schema)
 
+    return trimmed(run)
 
-def _repeated(k: int, seed: int, at_once: int = 2_000_000):
-    """Counts of the shingles that a stretch of a partition holds more than once."""
 
-    def run(batches):
-        held, n = [], 0
+GATHERED = ["key", "place", "place2", "class", "check", "n", "token", "times"]
 
-        def flush():
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            more = count > 1
-            return pa.RecordBatch.from_arrays([pa.array(value[more].view(np.int64)), pa.array(count[more].astype(np.int64))], names=["token", "n"])
-
-        for _, s in _new_sets(batches, k, seed):
-            held.append(s)
-            n += len(s)
-            if n > at_once:
-                yield flush()
-                held, n = [], 0
-        if held:
-            yield flush()
 
-    return run
+def _counted(held: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    value, count = np.unique(np.concatenate(held), return_counts=True)
+    more = count > 1
+    rows = int(more.sum())
+    none = [pa.nulls(rows, t) for t in (*(schema.field(i).type for i in range(3)), pa.int64(), pa.int64(), pa.int64())]
+    return pa.RecordBatch.from_arrays([*none, pa.array(value[more].view(np.int64)), pa.array(count[more].astype(np.int64))], names=GATHERED)
 
 
-def _frequent(source: DataFrame, k: int, seed: int, least: int = 64, most: int = 1 << 17) -> np.ndarray:
-    """Shingles to order last: the ``most`` most frequent of those counted at least ``least`` times.
+def _frequent(counts: DataFrame, least: int = 64, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles to order last, ascending, and their counts: the ``most`` most frequent of those counted at least ``least`` times.
 
     Any set gives exact results, as the order only has to be the same for all; this one
-    keeps passages that many texts share out of the prefixes. Counts are over all texts,
-    but leave out a shingle that stands once in a stretch of two million shingles."""
-    counted = source.select("text").mapInArrow(_repeated(k, seed), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most).select("token").collect()
-    return np.sort(np.array([r["token"] for r in found], np.int64))
-
+    keeps passages that many texts share out of the prefixes and out of the shuffles. Counts
+    are over all texts, but leave out a shingle that stands once in a stretch of two million."""
+    total = counts.groupBy("token").agg(F.sum("times").alias("n")).filter(F.col("n") >= least)
+    found = total.orderBy(F.desc("n"), "token").limit(most).collect()
+    tokens = np.array([r["token"] for r in found], np.int64).view(U)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r["n"] for r in found], np.int64)[order]
 
-def _postings(k: int, seed: int, percent: int, frequent):
-    def run(batches):
-        late = frequent.value.view(U)
-        late = np.sort(late)
-        held = ([], [], [], [])
-        size = 0
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held[0]).view(np.int64)), pa.array(np.repeat(np.array(held[1], np.int64), held[3])), pa.array(np.repeat(np.array(held[2], np.int32), held[3])), pa.array(np.concatenate([_layers(p, m) for p, m in zip(places, held[3], strict=True)]))], names=["token", "class", "n", "layer"])
-
-        places: list[int] = []
-        for c, s in _new_sets(batches, k, seed):
-            n = len(s)
-            overlap = -(-percent * n // 100)
-            prefix = n - overlap + 1
-            take = min(n, prefix + min(LAYERS, overlap) - 1)
-            if len(late):
-                at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                hot = late[at] == s
-                first = s[~hot][:take]
-                if len(first) < take:
-                    first = np.concatenate([first, s[hot][: take - len(first)]])
-            else:
-                first = s[:take]
-            held[0].append(first), held[1].append(c), held[2].append(n), held[3].append(take)
-            places.append(prefix)
-            size += take
-            if size > 200_000:
-                yield flush()
-                for h in (*held, places):
-                    h.clear()
-                size = 0
-        if size:
-            yield flush()
+def _split(s: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles of a set are frequent, and where these stand among the frequent ones."""
+    at = np.minimum(np.searchsorted(late, s), max(0, len(late) - 1))
+    return (late[at] == s if len(late) else np.zeros(len(s), bool)), at
 
-    return run
 
+def layer(n, percent: int):
+    """Shingles that a set of n asks for beyond the first: the more shingles a candidate costs, the longer its prefix."""
+    return np.minimum(np.maximum(1, n // 16), -(-percent * n // 100))
 
-def _layers(prefix: int, take: int) -> np.ndarray:
-    return np.maximum(1, np.arange(1, take + 1) - prefix + 1).astype(np.int32)
 
+def _postings(k: int, seed: int, percent: int, frequent):
+    """Prefix shingles of each class. ``need``: how many of the asking ones (need > 0) must be met elsewhere; -1 marks a
+    class that frequent shingles alone make a candidate."""
 
-def _overlap(n: str, percent: int) -> Column:
-    """Least overlap of a set of n with any partner."""
-    return F.floor((F.col(n) * percent + 99) / 100).cast("int")
+    def run(batches):
+        late, _ = frequent.value
+        seen: set[int] = set()
+        tokens, classes, needs, size = [], [], [], 0
 
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(needs))], names=["token", "class", "need"])
 
-def _needed(n: str, m: str, layer: Column, percent: int) -> Column:
-    """How many prefix shingles two sets must share to be able to link.
+        for batch in batches:
+            for _, s in _sets(batch.column(0), k):
+                if not len(s):
+                    continue
+                c, _ = class_of(s, seed)
+                if c in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(c)
+                n = len(s)
+                overlap = -(-percent * n // 100)
+                # The smallest partner has ``overlap`` shingles and so posts layer(overlap) ones more than it must.
+                asked = int(layer(overlap, percent))
+                give, ask = n - overlap + int(layer(n, percent)), n - overlap + asked
+                cold = s[~_split(s, late)[0]]
+                need = asked - max(0, ask - len(cold))
+                first = cold[:give]
+                wants = np.zeros(len(first), np.int32)
+                if need > 0:
+                    wants[:ask] = need
+                else:
+                    first, wants = np.append(first, U(c & 0xFFFFFFFFFFFFFFFF)), np.append(wants, np.int32(-1))
+                tokens.append(first), classes.append(np.full(len(first), c, np.int64)), needs.append(wants)
+                size += len(first)
+                if size > 200_000:
+                    yield flush()
+                    tokens, classes, needs, size = [], [], [], 0
+        if size:
+            yield flush()
 
-    Of the set whose prefix ends first, all shingles it shares beyond its prefix are among
-    the rest, n - (n - a + l). The overlap of a link is at least percent / (100 + percent) of
-    n + m, so what the rest cannot give must be shared within the prefixes."""
-    rest = lambda x: F.greatest(F.lit(0), _overlap(x, percent) - layer)
-    least = F.floor((F.lit(percent) * (F.col(n) + F.col(m)) + (99 + percent)) / (100 + percent))
-    return F.greatest(layer, least - F.greatest(rest(n), rest(m)))
+    return trimmed(run)
 
 
-def _linked(k: int, percent: int):
-    """Pairs with their texts to the pairs that link."""
+def _whole(k: int, seed: int, frequent):
+    """(deal, class, token, known): all shingles of each text. A frequent one has a known count and is dealt by class, the others by themselves."""
 
     def run(batches):
-        kept: OrderedDict[int, np.ndarray] = OrderedDict()
-        room = [0]
-
-        def of(c, text):
-            if c not in kept:
-                column = pa.array([text], pa.string())
-                kept[c] = next(s for _, s in _sets(column, k))
-                room[0] += len(kept[c])
-                while room[0] > 4_000_000 and len(kept) > 2:
-                    room[0] -= len(kept.popitem(last=False)[1])
-            else:
-                kept.move_to_end(c)
-            return kept[c]
-
+        late, counts = frequent.value
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out_a, out_b = [], []
-            for i in range(batch.num_rows):
-                x, y = of(a[i], batch.column(2)[i].as_py()), of(b[i], batch.column(3)[i].as_py())
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    out_a.append(a[i]), out_b.append(b[i])
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            for at, _, words in chunks(batch.column(0), True):
+                made = [(class_of(s, seed)[0], s) for s in shingles(words, k) if len(s)]
+                if made:
+                    tokens = np.concatenate([s for _, s in made])
+                    classes = np.repeat(np.array([c for c, _ in made], np.int64), [len(s) for _, s in made])
+                    hot, place = _split(tokens, late)
+                    known = np.zeros(len(tokens), np.int64)
+                    known[hot] = counts[place[hot]]
+                    tokens = tokens.view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(hot, classes, tokens)), pa.array(classes), pa.array(tokens), pa.array(known)], names=["deal", "class", "token", "known"])
 
-    return run
+    return trimmed(run)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -230,77 +223,116 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.drop("moved")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, tag, n_shingles, component_id): one row per row of ``docs``.
+def _candidates(classes: DataFrame, posted: DataFrame) -> DataFrame:
+    """(place, place2) of one row of each class that met enough of its prefix elsewhere."""
+    by_token = Window.partitionBy("token")  # frequent shingles are not posted, so no shingle has very many rows
+    met = posted.withColumn("first", F.min("class").over(by_token)).withColumn("last", F.max("class").over(by_token))
+    met = met.filter("(first <> last and need > 0) or need = -1").dropDuplicates(["token", "class"])  # by token already: no further shuffle
+    wanted = met.groupBy("class").agg(F.count("*").alias("met"), F.max("need").alias("need"), F.min("need").alias("sure")).filter("sure = -1 or met >= need").select("class")
+    return stash(classes.join(wanted, "class", "left_semi").select(F.col("one.place").alias("place"), F.col("one.place2").alias("place2")), "candidates")
+
+
+def _core(source: DataFrame, classes: DataFrame, chosen: DataFrame, frequent, k: int, seed: int, percent: int) -> DataFrame:
+    """(class, n, sh, least, ids, weight) of the classes that may link: ids are the shingles that another such class has too, rarest first."""
+    # A merge join at every size, so that the plan is the same for large tables; the texts' shuffle is over before their shingles' begins.
+    texts = stash(source.join(chosen.hint("merge"), ["place", "place2"], "left_semi").dropDuplicates(["place", "place2"]).select("text"), "texts")
+    settle(source.sparkSession)
+    tokens = texts.mapInArrow(_whole(k, seed, frequent), "deal long, class long, token long, known long")
+    counted = tokens.withColumn("m", F.count("*").over(Window.partitionBy("deal"))).filter("known > 0 or m > 1")
+    counted = counted.select("class", F.struct(F.when(F.col("known") > 0, F.col("known")).otherwise(F.col("m")).alias("df"), "token").alias("t"))
+    grouped = counted.groupBy("class").agg(F.sum("t.df").alias("total"), F.sort_array(F.collect_list("t")).alias("s")).withColumn("sh", F.size("s")).join(classes.select("class", "n"), "class")
+    overlap = F.floor((F.col("n") * percent + 99) / 100).cast("int")
+    grouped = grouped.withColumn("least", overlap).filter(F.col("sh") >= F.col("least"))
+    core = stash(grouped.select("class", "n", "sh", "least", F.col("s.token").alias("ids"), (F.col("total") / F.col("n")).alias("weight")), "core")
+    discard(texts)
+    return core
+
+
+def _links(core: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links that make the skeleton's components, and links (of components, ca and cb) that join these."""
+    prefix = F.slice("ids", 1, F.col("sh") - F.col("least") + F.least("least", F.lit(LAYERS)))
+    postings = stash(core.select("class", "n", "sh", "weight", F.posexplode(prefix).alias("pos", "token")), "postings")
+    sizes = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
+    needed = lambda x, y: F.floor((F.lit(percent) * (x + y) + (99 + percent)) / (100 + percent))
 
-    ``component_id`` is the smallest key reachable by links, itself included; ``tag`` is
-    Spark's hash of the text, which tells rows apart that share a key. A null or blank text
-    has no shingle and no link; its component is its own key. Rows with a null key link like
-    others, but name a component only if nothing else can. An empty table gives no rows."""
+    def check(pairs: DataFrame) -> DataFrame:
+        one, two = (core.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("ids").alias(f"ids_{c}")) for c in "ab")
+        both = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("ids_a", "ids_b")))
+        return stash(both.filter(F.col("same") >= needed(F.col("na"), F.col("nb"))).select(*pairs.columns), "links")
+
+    # The skeleton: under each shingle, the classes of like size meet the one whose shingles are the commonest.
+    band = F.floor(F.log("n") / math.log(100 / min(percent, 99)))
+    hubs = postings.groupBy("token", band.alias("band")).agg(F.max(F.struct("weight", F.col("class").alias("hub"), F.col("n").alias("m"), F.col("sh").alias("mh"))).alias("h"))
+    offers = postings.select("token", "class", "n", "sh", F.explode(F.array(band, band + 1)).alias("band")).join(hubs, ["token", "band"])
+    offers = offers.filter((F.col("h.hub") != F.col("class")) & sizes(F.col("n"), F.col("h.m")) & (F.least("sh", "h.mh") >= needed(F.col("n"), F.col("h.m"))))
+    voted = offers.groupBy("class", F.col("h.hub").alias("hub")).agg(F.count("*").alias("votes"))
+    best = voted.withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("votes"), "hub"))).filter("nth <= 2")
+    links = check(best.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
+    found = components(links)
+    # The rest: pairs in different components, under shingles whose classes are in several.
+    placed = postings.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("weight")
+    split = placed.groupBy("token", "component").agg(F.count("*").alias("m")).groupBy("token").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("major")).filter("parts > 1")
+    open_ = stash(placed.join(split.select("token", "all", "major"), "token"), "open")
+    discard(postings)
+    # The prefix that l asks for meets so many classes of other components, and a part in l of them at most are candidates, each worth a comparison of sets.
+    others = F.when(F.col("component") == F.col("major.component"), F.col("all") - F.col("major.m")).otherwise(F.col("all") - 1)
+    bar = F.greatest(F.lit(0), F.col("sh") - needed(F.col("n"), F.col("n")))
+    costs = [F.sum(F.when(F.col("pos") < bar + at, others).otherwise(0)) * (1 + F.max("sh") / (4.0 * at)) for at in range(1, LAYERS + 1)]
+    chosen = open_.groupBy("class").agg(F.array(*costs).alias("costs")).select("class", F.array_position("costs", F.array_min("costs")).cast("int").alias("ell"))
+    open_ = open_.join(chosen, "class").select("token", "class", "n", "sh", "ell", "pos", "component", F.col("major.component").alias("major"))
+    side = lambda c: (F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sh").alias(f"s{c}"), F.col("ell").alias(f"l{c}"), F.col("pos").alias(f"p{c}"), F.col("component").alias(f"c{c}"))
+    one = open_.filter("component <> major").select("token", *side("a"))
+    two = open_.select("token", *side("b"), (F.col("component") == F.col("major")).alias("big"))
+    o = needed(F.col("na"), F.col("nb"))
+    most = F.least("la", "lb", o)
+    may = (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & sizes(F.col("na"), F.col("nb")) & (F.least("sa", "sb") >= o) & (F.col("pa") < F.col("sa") - o + most) & (F.col("pb") < F.col("sb") - o + most)
+    met = one.join(two, "token").filter(may)
+    first = F.col("a") < F.col("b")  # under different shingles a pair may stand either way round
+    turned = lambda x, y: (F.when(first, F.col(x)).otherwise(F.col(y)).alias(x), F.when(first, F.col(y)).otherwise(F.col(x)).alias(y))
+    pairs = met.select(*turned("a", "b"), *turned("ca", "cb"), most.alias("l")).groupBy("a", "b", "ca", "cb", "l").agg(F.count("*").alias("shared")).filter("shared >= l")
+    more = check(pairs.select("a", "b", "ca", "cb"))
+    return found, None if more.isEmpty() else components(more.select("ca", "cb").distinct(), "ca", "cb")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(key, place, place2, group, n_shingles, component_id): one row per row of ``docs``.
+
+    ``component_id`` is the smallest key reachable by links, itself included; ``group`` names
+    the component even where keys are null or repeat, and is null for a text without words.
+    ``place`` and ``place2`` are hashes of the row's key and text. The key may be of any type
+    that Spark orders. A null or blank text has no shingle and no link; its component is its
+    own key. Rows with a null key link like others, but name a component only if nothing else
+    can. Columns of other names are not read. An empty table gives no rows."""
     spark = docs.sparkSession
-    source = docs.select(F.col(key).cast("long").alias("key"), F.hash(text).alias("tag"), F.col(text).alias("text"))
+    place, place2 = places(key, text)
+    source = docs.select(F.col(key).alias("key"), place.alias("place"), place2.alias("place2"), F.col(text).alias("text"))
+    kind = source.schema["key"].dataType.simpleString()
     seed = 0
     while True:
-        members = stash(source.mapInArrow(_members(k, seed), "key long, tag int, class long, check long, n long"), "members")
-        classes = members.filter("n > 0").groupBy("class").agg(F.min(F.struct("key", "tag")).alias("one"), F.min("key").alias("least"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n"), F.max("n").alias("n1"))
+        gathered = stash(source.mapInArrow(_gather(k, seed), f"key {kind}, place long, place2 long, class long, check long, n long, token long, times long"), "gathered")
+        members = gathered.filter("token is null").select("key", "place", "place2", "class", "check", "n")
+        classes = members.filter("n > 0").groupBy("class").agg(F.min(F.struct("place", "place2")).alias("one"), F.min("key").alias("least"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n"), F.max("n").alias("n1"))
         classes = stash(classes, "classes")
-        facts = classes.agg(F.sum("n").alias("total"), F.max((F.col("c0") != F.col("c1")) | (F.col("n") != F.col("n1"))).alias("clash")).first()
-        if not facts["clash"]:
+        if classes.filter("c0 <> c1 or n <> n1").isEmpty():
             break
         seed += 1  # two sets share a 64-bit hash: other hashes
-    rows = members.withColumn("class", F.when(F.col("n") > 0, F.col("class")))
-    if not facts["total"]:
-        return rows.select(F.col("key").alias(key), "tag", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
-    frequent = spark.sparkContext.broadcast(_frequent(source, k, seed))
-    posted = source.select("text").mapInArrow(_postings(k, seed, percent, frequent), "token long, class long, n int, layer int")
-    by_token = Window.partitionBy("token")
-    met = posted.withColumn("least", F.min("class").over(by_token)).withColumn("most", F.max("class").over(by_token)).filter("least <> most").select("token", "class", "n", "layer")
-    postings = stash(met.dropDuplicates(["token", "class"]), "postings")  # by token already: no further shuffle
-
-    def check(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        chosen = classes.join(asked, "class", "left_semi").select("class", F.col("one.key").alias("key"), F.col("one.tag").alias("tag"))
-        matched = source.join(chosen, source["key"].eqNullSafe(chosen["key"]) & (source["tag"] == chosen["tag"])).select("class", "text").dropDuplicates(["class"])
-        texts = stash(matched, "texts")
-        one, two = texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
-        return stash(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_linked(k, percent), "a long, b long"), "links")
-
-    sizes = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    # The skeleton: least class of like size, and the next smaller one.
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
-    near = postings.filter("layer = 1").withColumn("band", band)
-    in_band = Window.partitionBy("token", "band")
-    in_size = Window.partitionBy("token", "band").orderBy("n", "class")
-    near = near.select("class", "n", F.min(F.struct("class", "n")).over(in_band).alias("p"), F.lag(F.struct("class", "n")).over(in_size).alias("q"))
-    offers = near.select("class", "n", F.explode(F.array("p", "q")).alias("o")).filter("o is not null and o.class <> class").filter(sizes(F.col("n"), F.col("o.n")))
-    voted = offers.groupBy("class", "n", F.col("o.class").alias("other"), F.col("o.n").alias("m")).agg(F.count("*").alias("votes"))
-    voted = voted.filter(F.col("votes") >= _needed("n", "m", F.lit(1), percent))
-    best = voted.withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("votes"), "other"))).filter("nth <= 2")
-    tried = stash(best.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct(), "tried")
-    links = check(tried)
-    found = components(links)
-    placed = postings.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    placed = placed.select("token", "class", "n", "layer", "component")
-    per = placed.groupBy("token", "component").agg(F.count("*").alias("m"))
-    split = per.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("major"), F.sum("m").alias("all")).filter("parts > 1").drop("parts")
-    open_ = stash(placed.join(split, "token"), "open")
-    # Expected candidates of a class decide how many shared postings it asks for.
-    mine = per.join(split.select("token"), "token", "left_semi").withColumnRenamed("m", "own")
-    cost = open_.filter("layer = 1").join(mine, ["token", "component"]).groupBy("class").agg(F.sum(F.col("all") - F.col("own")).alias("cost"))
-    overlap = _overlap("n", percent)
-    asked = open_.join(cost, "class", "left").withColumn("l", F.least(F.when(F.coalesce("cost", F.lit(0)) <= 16, 1).when(F.col("cost") <= 128, 2).otherwise(LAYERS), overlap))
-    one = asked.filter(F.col("component") != F.col("major")).select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("layer").alias("ya"), F.col("l").alias("la"), F.col("component").alias("ca"))
-    two = asked.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("layer").alias("yb"), F.col("l").alias("lb"), F.col("component").alias("cb"), (F.col("component") == F.col("major")).alias("big"))
-    least = F.least("la", "lb")
-    pairs = one.join(two, (one["token"] == two["token"]) & (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & sizes(F.col("na"), F.col("nb")) & (F.col("ya") <= least) & (F.col("yb") <= least))
-    first = F.col("a") < F.col("b")  # under different shingles a pair may stand either way round
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"), least.alias("l"))
-    counted = ordered.groupBy("a", "b", "na", "nb", "l").agg(F.count("*").alias("shared")).filter(F.col("shared") >= _needed("na", "nb", F.col("l"), percent))
-    pairs = stash(counted.select("a", "b").join(tried, ["a", "b"], "left_anti"), "rest")
-    if not pairs.isEmpty():
-        more = check(pairs)
-        found = components(links.unionByName(more)) if not more.isEmpty() else found
+    frequent = spark.sparkContext.broadcast(_frequent(gathered.filter("token is not null").select("token", "times")))
+    posted = source.select("text").mapInArrow(_postings(k, seed, percent, frequent), "token long, class long, need int")
+    chosen = _candidates(classes, posted)
+    settle(spark)
+    core = _core(source, classes, chosen, frequent, k, seed, percent)
+    frequent.destroy()
+    discard(chosen)
+    settle(spark)
+    found, moved = _links(core, percent)
+    discard(core)
     named = classes.select("class", "least").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    if moved is not None:
+        named = named.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").withColumn("component", F.coalesce("to", "component"))
+    named = cut(named.select("class", "least", "component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
-    named = named.join(smallest, "component").select("class", "smallest")
-    return rows.join(named, "class", "left").select(F.col("key").alias(key), "tag", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("smallest")).alias("component_id"))
+    named = named.join(smallest, "component").select("class", "component", "smallest")
+    columns = [F.col("key").alias(key), "place", "place2"]
+    linked = members.filter("n > 0").join(named, "class").select(*columns, F.col("component").alias("group"), F.col("n").alias("n_shingles"), F.col("smallest").alias("component_id"))
+    blank = members.filter("n = 0").select(*columns, F.lit(None).cast("long").alias("group"), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
+    return linked.unionByName(blank)

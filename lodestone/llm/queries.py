@@ -55,7 +55,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.jaccard_join import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("tag")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("place", "place2", "group")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
