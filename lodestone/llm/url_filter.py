@@ -1,18 +1,24 @@
 """URL filtering by rules and by a tree of path templates per host, in native expressions only.
 
 Rules decide first: a rule fits its host and all subdomains where the path starts with the
-rule's, and the longest rule wins. Their verdicts (or given labels) also teach the method:
-
-1. *Generalise*: digits of a segment become ``#``; all urls are counted by host and such a
-   path, in the mappers first, so a host with a third of all rows is a few counts.
-2. At each node of a host's tree (the path so far), a segment that takes many values, none
-   of them dominant, becomes the wildcard ``*``.
-3. *Merge*: a template joins its siblings' pool (same host and length) unless its share of
-   blocked urls differs from the pool's by more than Hoeffding's bound. One without labels
-   cannot differ: it takes its siblings' pool, or its host's where that has too few labels.
-4. *Reject*: a template is blocked if its smoothed labelled purity, (blocked + m * prior) /
-   (labelled + m), reaches ``purity`` on enough labels. The prior is the corpus-wide base
-   rate; without own labels it is that of the other hosts of the domain, smoothed by the base.
+rule's, and the longest rule wins. Their verdicts (or given labels) also teach the method.
+All urls are first counted by host and path with digits as ``#``, in the mappers, so a host
+with a third of all rows is a few counts. The tree is then grown from the root, level by
+level; what is generalised at one level is one branch at the next.
+
+1. *Generalise*: of a node's children, if there are ``branches`` or more, those with less than
+   a part in ``branches`` of its urls become the wildcard ``*`` and are one branch from there
+   on. So a node has ``branches`` named children at most.
+2. *Merge*: a named child joins its statistically similar siblings (shown as ``{de,fr}``) if
+   what follows it is distributed as what follows the others (total variation of the next
+   segments, in ``BINS`` bins, within the bound that holds for all events at once), and if its
+   share of blocked urls, where both sides have labels, differs by Hoeffding's bound at most.
+3. *Reject*: the purity of a node is its share of blocked urls among its labelled ones,
+   smoothed by ``strength`` urls of its parent's purity; the host's is smoothed by the rest of
+   its domain, and that by the whole corpus. A template (the end of a path is a child too) is
+   blocked if its purity reaches ``purity`` and it, or the nearest branch above that has so
+   many, has ``support`` labelled urls. A branch without labels so takes its siblings' where
+   it is merged with them, and else its parent's.
 """
 
 from __future__ import annotations
@@ -22,9 +28,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._common import cut, fresh
+
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
+#: Bins of the next segments' distribution.
+BINS = 16
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,60 +57,94 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def generalised(path: Column, depth: int) -> Column:
-    """Segments of a path with digits as ``#``; what lies deeper than ``depth`` is one ``**``."""
+    """Segments of a path with digits as ``#`` and an empty one as its end; what lies deeper than ``depth`` is one ``**``."""
     parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#"), "/", depth + 1)
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
-
-
-def templates(counted: DataFrame, branches: int, depth: int, alpha: float, strength: float, purity: float, support: int) -> DataFrame:
-    """(host, shape, template, rejected) of counted shapes (host, shape, n, labelled, blocked)."""
-    nodes = counted.select("host", "shape", "n", F.posexplode("shape").alias("d", "segment"))
-    nodes = nodes.withColumn("node", F.expr("xxhash64(array_join(slice(shape, 1, d), '/'))"))
-    children = nodes.groupBy("host", "d", "node", "segment").agg(F.sum("n").alias("n"))
-    # The inverse Simpson index is the number of values that the segment takes in effect.
-    shape_of = children.groupBy("host", "d", "node").agg(F.count("*").alias("kinds"), (F.pow(F.sum("n"), 2) / F.sum(F.col("n") * F.col("n"))).alias("effective"))
-    variable = shape_of.filter((F.col("kinds") >= branches) & (F.col("effective") >= branches / 2)).select("host", "d", "node", F.lit(True).alias("variable"))
-    named = nodes.join(variable, ["host", "d", "node"], "left").withColumn("segment", F.when(F.col("variable"), "*").otherwise(F.col("segment")))
-    built = named.groupBy("host", "shape").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", "segment"))), lambda s: s["segment"]), "/").alias("template"))
-    per = counted.join(built, ["host", "shape"]).withColumn("length", F.size("shape"))
-    own = per.groupBy("host", "length", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    pool = own.groupBy("host", "length").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
-    base = own.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("l")), F.lit(0.5)).alias("base")).first()["base"]
-    hosts = pool.groupBy("host").agg(F.sum("pl").alias("hl"), F.sum("pb").alias("hb")).withColumn("domain", F.substring_index("host", ".", -2))
-    domains = hosts.groupBy("domain").agg(F.sum("hl").alias("dl"), F.sum("hb").alias("db"))
-    prior = (F.col("db") - F.col("hb") + strength * base) / (F.col("dl") - F.col("hl") + strength)
-    both = own.join(pool, ["host", "length"]).join(hosts.join(domains, "domain").select("host", "hl", "hb", prior.alias("prior")), "host")
-    rest_l, rest_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
-    bound = math.sqrt(0.5 * math.log(2 / alpha))
-    gap = F.abs(F.try_divide("b", "l") - F.try_divide(rest_b, rest_l))
-    similar = F.coalesce(gap <= bound * (1 / F.sqrt("l") + 1 / F.sqrt(rest_l)), F.lit(False))
-    bare, near = F.col("l") == 0, F.col("pl") >= support
-    pick = lambda l, p, h: F.when(bare, F.when(near, F.col(p)).otherwise(F.col(h))).when(similar, F.col(p)).otherwise(F.col(l))
-    labelled, blocked = pick("l", "pl", "hl"), pick("b", "pb", "hb")
-    pure = (blocked + strength * F.when(bare, F.col("prior")).otherwise(F.lit(base))) / (labelled + strength)
-    judged = both.select("host", "length", "template", pure.alias("purity"), ((labelled >= support) & (pure >= purity)).alias("rejected"))
-    return per.join(judged, ["host", "length", "template"]).select("host", "shape", "template", "purity", "rejected")
-
-
-def url_filter(pages: DataFrame, url: str = "url", label: str | None = None, rules=RULES, branches: int = 12, depth: int = 16, alpha: float = 0.05, strength: float = 4.0, purity: float = 0.8, support: int = 5, salts: int = 16) -> DataFrame:
+    parts = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
+    return F.concat(F.transform(parts, lambda x: F.when(x == "", "~").otherwise(x)), F.array(F.lit("")))
+
+
+def _hosts(counted: DataFrame, strength: float) -> DataFrame:
+    """(host, pure, held): the purity and the labelled urls of each host."""
+    hosts = counted.groupBy("host").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).withColumn("domain", F.substring_index("host", ".", -2))
+    domains = hosts.groupBy("domain").agg(F.sum("l").alias("dl"), F.sum("b").alias("db"))
+    base = counted.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("l")), F.lit(0.5)).alias("base")).first()["base"]
+    prior = (F.col("db") - F.col("b") + strength * base) / (F.col("dl") - F.col("l") + strength)
+    return hosts.join(domains, "domain").select("host", ((F.col("b") + strength * prior) / (F.col("l") + strength)).alias("pure"), F.col("l").alias("held"))
+
+
+def _similar(alpha: float) -> str:
+    """Whether a named child ``k`` is distributed like its siblings; ``t`` holds the sums over all named children."""
+    pairs = f"sqrt(0.5 * (size(filter(t.h, x -> x > 0)) * ln(2D) + {math.log(2 / alpha)!r}D)) * (1 / sqrt(k.n) + 1 / sqrt(t.n - k.n))"
+    apart = "aggregate(zip_with(k.h, t.h, (x, y) -> greatest(0D, x / k.n - (y - x) / (t.n - k.n))), 0D, (a, x) -> a + x)"
+    labels = f"abs(k.b / k.l - (t.b - k.b) / (t.l - k.l)) <= {math.sqrt(0.5 * math.log(2 / alpha))!r}D * (1 / sqrt(k.l) + 1 / sqrt(t.l - k.l))"
+    return f"(t.n > k.n and {apart} <= {pairs} and (k.l = 0 or t.l = k.l or {labels}))"
+
+
+def _level(live: DataFrame, at: int, branches: int, alpha: float, strength: float, support: int) -> DataFrame:
+    """``live`` (host, node, shape, n, l, b, pure, held) with its nodes one level further down."""
+    segment, following = F.get("shape", at), F.get("shape", at + 1)
+    bin_ = F.pmod(F.xxhash64(F.coalesce(following, F.lit(""))), F.lit(BINS))
+    counts = [F.sum(x).alias(x) for x in ("n", "l", "b")]
+    bins = [F.sum(F.when(bin_ == i, F.col("n")).otherwise(0)).alias(f"h{i}") for i in range(BINS)]
+    kids = live.withColumn("name", segment).groupBy("host", "node", "name").agg(*counts, *bins, F.max("pure").alias("pure"), F.max("held").alias("held"))
+    per = kids.filter("name <> ''").groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
+    rare = (F.col("name") != "") & (F.col("kinds") >= branches) & (F.col("n") * branches < F.col("all"))
+    named = kids.join(per, ["host", "node"], "left").withColumn("name", F.when(rare, F.lit("*")).otherwise(F.col("name")))
+    one = named.groupBy("host", "node", "name").agg(*counts, *(F.sum(f"h{i}").alias(f"h{i}") for i in range(BINS)), F.max("pure").alias("pure"), F.max("held").alias("held"))
+    kid = F.struct("name", "n", "l", "b", F.array(*(f"h{i}" for i in range(BINS))).alias("h"))
+    nodes = one.groupBy("host", "node").agg(F.collect_list(kid).alias("kids"), F.max("pure").alias("prior"), F.max("held").alias("above"))  # branches + 2 kids at most
+    nodes = nodes.withColumn("t", F.expr(f"aggregate(filter(kids, k -> k.name not in ('', '*')), named_struct('n', 0L, 'l', 0L, 'b', 0L, 'h', array_repeat(0L, {BINS})), (a, k) -> named_struct('n', a.n + k.n, 'l', a.l + k.l, 'b', a.b + k.b, 'h', zip_with(a.h, k.h, (x, y) -> x + y)))"))
+    nodes = nodes.withColumn("like", F.expr(f"filter(kids, k -> k.name not in ('', '*') and {_similar(alpha)})"))
+    nodes = nodes.withColumn("like", F.expr("if(size(like) > 1, like, slice(like, 1, 0))"))
+    nodes = nodes.withColumn("pool", F.expr("aggregate(like, named_struct('l', 0L, 'b', 0L), (a, k) -> named_struct('l', a.l + k.l, 'b', a.b + k.b))"))
+    nodes = nodes.withColumn("shown", F.expr("concat('{', array_join(array_sort(like.name), ','), '}')"))
+    child = f"""transform(kids, k -> if(array_contains(like.name, k.name),
+        struct(k.name, shown AS shown, (pool.b + {strength!r}D * prior) / (pool.l + {strength!r}D) AS pure, if(pool.l >= {support}, pool.l, above) AS held),
+        struct(k.name, k.name AS shown, (k.b + {strength!r}D * prior) / (k.l + {strength!r}D) AS pure, if(k.l >= {support}, k.l, above) AS held)))"""
+    nodes = nodes.select("host", "node", F.expr(child).alias("kids"))
+    # A segment that is no named child is in the wildcard.
+    met = live.drop("pure", "held").join(nodes, ["host", "node"]).withColumn("kid", F.expr(f"coalesce(get(filter(kids, k -> k.name = shape[{at}]), 0), get(filter(kids, k -> k.name = '*'), 0))"))
+    return met.select("host", F.concat_ws("/", F.when(F.col("node") != "", F.col("node")), F.col("kid.shown")).alias("node"), "shape", "n", "l", "b", F.col("kid.pure").alias("pure"), F.col("kid.held").alias("held"))
+
+
+def templates(counted: DataFrame, branches: int, alpha: float, strength: float, purity: float, support: int) -> DataFrame:
+    """(host, shape, template, purity, rejected) of counted shapes (host, shape, n, l, b)."""
+    counted = cut(counted)
+    live = counted.join(_hosts(counted, strength), "host").withColumn("node", F.lit(""))
+    deepest = counted.agg(F.max(F.size("shape")).alias("d")).first()["d"] or 0
+    done = None
+    for at in range(deepest):
+        live = cut(_level(live, at, branches, alpha, strength, support))
+        ended = live.filter(F.size("shape") == at + 1)
+        done = ended if done is None else done.unionByName(ended)
+        live = live.filter(F.size("shape") > at + 1)
+    done = live if done is None else done
+    return done.select("host", "shape", F.regexp_replace("node", "/$", "").alias("template"), F.col("pure").alias("purity"), ((F.col("pure") >= purity) & (F.col("held") >= support)).alias("rejected"))
+
+
+def url_filter(pages: DataFrame, url: str = "url", label: str | None = None, rules=RULES, branches: int = 12, depth: int = 16, alpha: float = 0.05, strength: float = 4.0, purity: float = 0.8, support: int = 5) -> DataFrame:
     """All rows of ``pages`` plus ``host``, ``path``, ``rule``, ``verdict``, ``template`` and ``purity``.
 
     ``label``: a column of blocked (1) and allowed (0) urls to learn from, null where
     unknown; by default what the rules decide. Null urls and urls without ``://`` have an
     empty host and path. Repeated rows count as often as they occur. Columns with the names
-    of the results are replaced. ``template`` and ``purity`` are null where a rule decides."""
-    pages = pages.drop("host", "path", "rule", "verdict", "template", "purity")
+    of the results are replaced (``label`` may be one of them), all others stay. An empty
+    table gives an empty result. ``template`` and ``purity`` are null where a rule decides.
+
+    The rows' join with their templates is an ordinary one, so that adaptive execution
+    splits a template with very many rows."""
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "template", "purity")]
+    ruled, known, shape, reject = (fresh(pages, x) for x in ("__ruled", "__known", "__shape", "__rejected"))
     host, path = host_and_path(url)
-    rows = pages.withColumns({"host": host, "path": path})
+    given = F.col(label).cast("int") if label else F.lit(None).cast("int")
+    rows = pages.select(*(F.col(f"`{c}`") for c in kept), host.alias("host"), path.alias("path"), given.alias(known))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    known = F.col(label).cast("int") if label else F.when(verdict == "block", 1).when(verdict == "allow", 0)
-    rows = rows.withColumns({"rule": rule, "__ruled": verdict, "__known": known, "__shape": generalised(F.col("path"), depth)})
-    counted = rows.groupBy("host", F.col("__shape").alias("shape")).agg(F.count("*").alias("n"), F.count("__known").alias("labelled"), F.coalesce(F.sum("__known"), F.lit(0)).alias("blocked"))
-    found = templates(counted, branches, depth, alpha, strength, purity, support)
-    # Rows without a rule look up their template; a shape with very many rows is spread over salts.
-    spread = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("shape", "__shape")
-    ruled = rows.filter("rule is not null").withColumns({"template": F.lit(None).cast("string"), "purity": F.lit(None).cast("double"), "verdict": F.col("__ruled")})
-    free = rows.filter("rule is null").withColumn("__salt", F.pmod(F.xxhash64(url, *(c for c, t in pages.dtypes if t in ("bigint", "int"))), F.lit(salts)).cast("int"))
-    free = free.join(spread, ["host", "__shape", "__salt"], "left").withColumn("verdict", F.when(F.coalesce("rejected", F.lit(False)), "block").otherwise("allow"))
-    columns = [*pages.columns, "host", "path", "rule", "verdict", "template", "purity"]
-    return ruled.select(columns).unionByName(free.select(columns))
+    rows = rows.withColumns({"rule": rule, ruled: verdict, shape: generalised(F.col("path"), depth)})
+    if not label:
+        rows = rows.withColumn(known, F.when(F.col(ruled) == "block", 1).when(F.col(ruled) == "allow", 0))
+    counted = rows.groupBy("host", F.col(shape).alias("shape")).agg(F.count("*").alias("n"), F.count(known).alias("l"), F.coalesce(F.sum(known), F.lit(0)).alias("b"))
+    found = templates(counted, branches, alpha, strength, purity, support).select("host", F.col("shape").alias(shape), "template", "purity", F.col("rejected").alias(reject))
+    decided = rows.filter("rule is not null").withColumns({"template": F.lit(None).cast("string"), "purity": F.lit(None).cast("double"), "verdict": F.col(ruled)})
+    free = rows.filter("rule is null").join(found, ["host", shape], "left").withColumn("verdict", F.when(F.coalesce(reject, F.lit(False)), "block").otherwise("allow"))
+    columns = [*(f"`{c}`" for c in kept), "host", "path", "rule", "verdict", "template", "purity"]
+    return decided.select(*columns).unionByName(free.select(*columns))
