@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import stash
+from lodestone.llm._common import discard, places, settle, stash
 from lodestone.llm.jaccard_join import near_duplicates
 from lodestone.llm.language_id import fit, predict
 from lodestone.llm.packing import pack
@@ -19,7 +19,9 @@ from lodestone.llm.substring_dedup import substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    A null or empty text has fewer than 50 words and goes; repeated rows are judged alike; an empty table stays empty."""
     return judge(stash(features(docs), "features")).filter("kept").select(*docs.columns)
 
 
@@ -46,19 +48,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a shingle have no group and all stay, unless they repeat a row's key and text."""
     groups = near_duplicates(docs)
-    tags = groups.select(F.col("doc_id").alias("__key"), F.col("tag").alias("__tag"), "component_id", (F.col("n_shingles") == 0).alias("alone")).distinct()
-    first = tags.filter("not alone").groupBy(F.col("component_id").alias("group")).agg(F.min(F.struct(F.col("__key").isNull().alias("none"), "__key", "__tag")).alias("one"))
-    named = tags.filter("not alone").join(first, F.col("component_id").eqNullSafe(F.col("group")))
-    chosen = named.filter(F.col("__key").eqNullSafe(F.col("one.__key")) & (F.col("__tag") == F.col("one.__tag")))
-    keep = chosen.select("__key", "__tag").unionByName(tags.filter("alone").select("__key", "__tag"))
-    tagged = docs.withColumn("__tag_of", F.hash("text"))
-    kept = tagged.join(keep, tagged["doc_id"].eqNullSafe(keep["__key"]) & (tagged["__tag_of"] == keep["__tag"]), "left_semi")
-    repeats = Window.partitionBy("doc_id", "__tag_of").orderBy("source", "lang")
-    return kept.withColumn("__nth", F.row_number().over(repeats)).filter("__nth = 1").select(*docs.columns)
+    named = groups.filter("group is not null")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "place2")).alias("one"))
+    alone = groups.filter("group is null").select("place", "place2")
+    keep = first.select("one.place", "one.place2").unionByName(alone).distinct()
+    place, place2 = places("doc_id", "text")
+    kept = docs.withColumns({"place": place, "place2": place2}).join(keep, ["place", "place2"], "left_semi")
+    repeats = Window.partitionBy("place", "place2").orderBy("source", "lang")
+    return kept.withColumn("nth", F.row_number().over(repeats)).filter("nth = 1").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand elsewhere too; those of which nothing is left go."""
+    """Documents without the passages that stand elsewhere too; those of which nothing is left go, and so do null texts.
+
+    ``n_chars`` is that of what is left. Rows equal in key and text are copies of each other; an empty table stays empty."""
     cut = substring_dedup(docs)
     left = cut.filter("kept_text <> ''")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
@@ -66,21 +69,25 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences. A null text counts as empty, so each document has a piece; an empty table gives none."""
     return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [("quality rules", quality), ("language id", language), ("near copies", near_copies), ("repeated passages", passages), ("packing", packed)]
 
-#: Language identification and packing cannot be written in SQL; the pipeline is tested against a plain version.
+#: Language identification and packing cannot be written in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stash(docs, f"stage-{i}")
+            if before is not None:
+                discard(before)
+            before = docs
+            settle(spark)
     return docs
