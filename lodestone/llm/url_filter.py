@@ -9,10 +9,11 @@ level; what is generalised at one level is one branch at the next.
 1. *Generalise*: of a node's children, if there are ``branches`` or more, those with less than
    a part in ``branches`` of its urls become the wildcard ``*`` and are one branch from there
    on. So a node has ``branches`` named children at most.
-2. *Merge*: a named child joins its statistically similar siblings (shown as ``{de,fr}``) if
-   what follows it is distributed as what follows the others (total variation of the next
-   segments, in ``BINS`` bins, within the bound that holds for all events at once), and if its
-   share of blocked urls, where both sides have labels, differs by Hoeffding's bound at most.
+2. *Merge*: the named children, the most frequent first, each join the first statistically
+   similar branch (shown as ``{de,fr}``), or become one. Similar is a child if what follows it
+   is distributed as in the branch (total variation of the next segments, in ``BINS`` bins,
+   within the bound that holds for all events at once), and if its share of blocked urls,
+   where both sides have labels, differs by Hoeffding's bound at most.
 3. *Reject*: the purity of a node is its share of blocked urls among its labelled ones,
    smoothed by ``strength`` urls of its parent's purity; the host's is smoothed by the rest of
    its domain, and that by the whole corpus. A template (the end of a path is a child too) is
@@ -73,11 +74,22 @@ def _hosts(counted: DataFrame, strength: float) -> DataFrame:
 
 
 def _similar(alpha: float) -> str:
-    """Whether a named child ``k`` is distributed like its siblings; ``t`` holds the sums over all named children."""
-    pairs = f"sqrt(0.5 * (size(filter(t.h, x -> x > 0)) * ln(2D) + {math.log(2 / alpha)!r}D)) * (1 / sqrt(k.n) + 1 / sqrt(t.n - k.n))"
-    apart = "aggregate(zip_with(k.h, t.h, (x, y) -> greatest(0D, x / k.n - (y - x) / (t.n - k.n))), 0D, (a, x) -> a + x)"
-    labels = f"abs(k.b / k.l - (t.b - k.b) / (t.l - k.l)) <= {math.sqrt(0.5 * math.log(2 / alpha))!r}D * (1 / sqrt(k.l) + 1 / sqrt(t.l - k.l))"
-    return f"(t.n > k.n and {apart} <= {pairs} and (k.l = 0 or t.l = k.l or {labels}))"
+    """Whether a child ``k`` is distributed like the branch ``t``."""
+    bound = f"sqrt(0.5 * (size(filter(zip_with(k.h, t.h, (x, y) -> x + y), x -> x > 0)) * ln(2D) + {math.log(2 / alpha)!r}D)) * (1 / sqrt(k.n) + 1 / sqrt(t.n))"
+    apart = "aggregate(zip_with(k.h, t.h, (x, y) -> greatest(0D, x / k.n - y / t.n)), 0D, (a, x) -> a + x)"
+    labels = f"abs(k.b / k.l - t.b / t.l) <= {math.sqrt(0.5 * math.log(2 / alpha))!r}D * (1 / sqrt(k.l) + 1 / sqrt(t.l))"
+    return f"({apart} <= {bound} and (k.l = 0 or t.l = 0 or {labels}))"
+
+
+def _branches(alpha: float) -> str:
+    """Named children by falling count, each merged into the first (largest) similar branch so far, or a branch of its own."""
+    fields = "names array<string>, n bigint, l bigint, b bigint, h array<bigint>"
+    first = f"get(filter(sequence(0, size(g)), i -> i < size(g) and exists(slice(g, i + 1, 1), t -> {_similar(alpha)})), 0)"
+    joined = "named_struct('names', concat(t.names, array(k.name)), 'n', t.n + k.n, 'l', t.l + k.l, 'b', t.b + k.b, 'h', zip_with(t.h, k.h, (x, y) -> x + y))"
+    own = "array(named_struct('names', array(k.name), 'n', k.n, 'l', k.l, 'b', k.b, 'h', k.h))"
+    placed = f"transform(array({first}), at -> if(at is null, concat(g, {own}), transform(g, (t, i) -> if(i = at, {joined}, t))))[0]"
+    ranked = "array_sort(filter(kids, k -> k.name not in ('', '*')), (x, y) -> case when x.n <> y.n then cast(sign(y.n - x.n) AS int) when x.name < y.name then -1 when x.name > y.name then 1 else 0 end)"
+    return f"aggregate({ranked}, cast(array() AS array<struct<{fields}>>), (g, k) -> {placed})"
 
 
 def _level(live: DataFrame, at: int, branches: int, alpha: float, strength: float, support: int) -> DataFrame:
@@ -93,14 +105,10 @@ def _level(live: DataFrame, at: int, branches: int, alpha: float, strength: floa
     one = named.groupBy("host", "node", "name").agg(*counts, *(F.sum(f"h{i}").alias(f"h{i}") for i in range(BINS)), F.max("pure").alias("pure"), F.max("held").alias("held"))
     kid = F.struct("name", "n", "l", "b", F.array(*(f"h{i}" for i in range(BINS))).alias("h"))
     nodes = one.groupBy("host", "node").agg(F.collect_list(kid).alias("kids"), F.max("pure").alias("prior"), F.max("held").alias("above"))  # branches + 2 kids at most
-    nodes = nodes.withColumn("t", F.expr(f"aggregate(filter(kids, k -> k.name not in ('', '*')), named_struct('n', 0L, 'l', 0L, 'b', 0L, 'h', array_repeat(0L, {BINS})), (a, k) -> named_struct('n', a.n + k.n, 'l', a.l + k.l, 'b', a.b + k.b, 'h', zip_with(a.h, k.h, (x, y) -> x + y)))"))
-    nodes = nodes.withColumn("like", F.expr(f"filter(kids, k -> k.name not in ('', '*') and {_similar(alpha)})"))
-    nodes = nodes.withColumn("like", F.expr("if(size(like) > 1, like, slice(like, 1, 0))"))
-    nodes = nodes.withColumn("pool", F.expr("aggregate(like, named_struct('l', 0L, 'b', 0L), (a, k) -> named_struct('l', a.l + k.l, 'b', a.b + k.b))"))
-    nodes = nodes.withColumn("shown", F.expr("concat('{', array_join(array_sort(like.name), ','), '}')"))
-    child = f"""transform(kids, k -> if(array_contains(like.name, k.name),
-        struct(k.name, shown AS shown, (pool.b + {strength!r}D * prior) / (pool.l + {strength!r}D) AS pure, if(pool.l >= {support}, pool.l, above) AS held),
-        struct(k.name, k.name AS shown, (k.b + {strength!r}D * prior) / (k.l + {strength!r}D) AS pure, if(k.l >= {support}, k.l, above) AS held)))"""
+    nodes = nodes.withColumn("found", F.expr(_branches(alpha)))
+    shown = "if(size(t.names) > 1, concat('{', array_join(array_sort(t.names), ','), '}'), k.name)"
+    child = f"""transform(kids, k -> transform(array(coalesce(get(filter(found, f -> array_contains(f.names, k.name)), 0), named_struct('names', array(k.name), 'n', k.n, 'l', k.l, 'b', k.b, 'h', k.h))),
+        t -> named_struct('name', k.name, 'shown', {shown}, 'pure', (t.b + {strength!r}D * prior) / (t.l + {strength!r}D), 'held', if(t.l >= {support}, t.l, above)))[0])"""
     nodes = nodes.select("host", "node", F.expr(child).alias("kids"))
     # A segment that is no named child is in the wildcard.
     met = live.drop("pure", "held").join(nodes, ["host", "node"]).withColumn("kid", F.expr(f"coalesce(get(filter(kids, k -> k.name = shape[{at}]), 0), get(filter(kids, k -> k.name = '*'), 0))"))

@@ -218,22 +218,24 @@ def brute_tree(urls, labels, branches=12, alpha=0.05, strength=4.0, purity=0.8,
         total = sum(map(len, kids.values()))
         named = {k: v for k, v in kids.items() if kinds < branches or len(v) * branches >= total}
         wild = [i for k, v in kids.items() if k not in named for i in v]
-        every = [i for v in named.values() for i in v]
         follows = lambda ids: Counter(xxhash.xxh64_intdigest(parsed[i][1][at + 1].encode(), 42) % 16 for i in ids)
 
-        def similar(v):
-            n, rest = len(v), [i for i in every if i not in set(v)]
-            if not rest:
-                return False
+        def similar(v, rest):
+            n = len(v)
             own, others = follows(v), follows(rest)
             apart = sum(max(0, own[x] / n - others[x] / len(rest)) for x in own)
-            wide = math.sqrt(0.5 * (len(follows(every)) * math.log(2) + math.log(2 / alpha))) * (n**-0.5 + len(rest) ** -0.5)
+            wide = math.sqrt(0.5 * (len(own | others) * math.log(2) + math.log(2 / alpha))) * (n**-0.5 + len(rest) ** -0.5)
             (b, l), (rb, rl) = share([parsed[i] for i in v]), share([parsed[i] for i in rest])  # noqa: E741
             return apart <= wide and (not l or not rl or abs(b / l - rb / rl) <= math.sqrt(0.5 * math.log(2 / alpha)) * (l**-0.5 + rl**-0.5))
 
-        like = sorted(k for k, v in named.items() if similar(v))
-        like = like if len(like) > 1 else []
-        groups = [("{" + ",".join(like) + "}", [i for k in like for i in named[k]])] * bool(like) + [(k, v) for k, v in named.items() if k not in like] + [("*", wild)] * bool(wild)
+        found = []
+        for k, v in sorted(named.items(), key=lambda x: (-len(x[1]), x[0])):
+            near = next((f for f in found if similar(v, f[1])), None)
+            if near:
+                near[0].append(k), near[1].extend(v)
+            else:
+                found.append(([k], list(v)))
+        groups = [("{" + ",".join(sorted(k)) + "}" if len(k) > 1 else k[0], v) for k, v in found] + [("*", wild)] * bool(wild)
         for name, members in groups:
             rows = [parsed[i] for i in members]
             grow(members, at + 1, [*shown, name], smooth(rows, pure), share(rows)[1] if share(rows)[1] >= support else held)
