@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -39,6 +40,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch on its way to a Python worker, while a table is stashed.
+BATCH = 2000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH`` rows, so that whole texts don't add up on either side; the session's own setting holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes a table as Parquet in the shared folder and reads it back.
 
@@ -47,7 +64,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     checkpoints do."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.stash_path = path
     return kept
@@ -63,8 +81,10 @@ def discard(*kept: DataFrame) -> None:
 def settle(spark: SparkSession) -> None:
     """Frees the shuffle files of finished steps. Spark drops them once the driver has collected the plans that made
     them, which a driver with room to spare may not do before the disks of the executors are full."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of Python's handles, the second of what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def trimmed(kernel):

@@ -42,6 +42,8 @@ from lodestone.llm._common import cut, discard, places, settle, stash, trimmed
 from lodestone.llm._words import U, Words, chunks, mix
 
 SHINGLE, PERCENT, LAYERS = 5, 75, 4
+#: Rows of two or three numbers that may be broadcast once they are counted: some 10 MB.
+SMALL = 1 << 18
 
 
 def shingles(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -206,20 +208,28 @@ def _whole(k: int, seed: int, frequent):
     return trimmed(run)
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """A table of two or three numbers a row to be joined with: broadcast if it has been counted to have ``SMALL`` rows at most, else left to a merge join."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for every node that has a link.
 
     Least labels spread over the links and along the labels themselves (pointer jumping),
-    so chains shorten by half each round. Every round is checkpointed."""
+    so chains shorten by half each round. Every round is checkpointed. ``rows`` of the result is their number."""
     both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
     labels = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")))
+    rows = labels.count()
     while True:
-        near = both.join(labels.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        spread = labels.join(near, "x").select("x", "l", F.least("l", "m").alias("m"))
-        jumped = spread.join(labels.select(F.col("x").alias("m"), F.col("l").alias("j")), "m", "left")
+        near = both.join(narrow(labels.select(F.col("x").alias("y"), "l"), rows), "y").groupBy("x").agg(F.min("l").alias("m"))
+        spread = near.join(narrow(labels, rows), "x").select("x", "l", F.least("l", "m").alias("m"))
+        jumped = spread.join(narrow(labels.select(F.col("x").alias("m"), F.col("l").alias("j")), rows), "m", "left")
         new = cut(jumped.select("x", F.least("m", "j").alias("l"), (F.least("m", "j") < F.col("l")).alias("moved")))
         if new.filter("moved").isEmpty():
-            return new.select(F.col("x").alias("node"), F.col("l").alias("component"))
+            found = new.select(F.col("x").alias("node"), F.col("l").alias("component"))
+            found.rows = rows
+            return found
         labels = new.drop("moved")
 
 
@@ -270,7 +280,7 @@ def _links(core: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     links = check(best.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
     found = components(links)
     # The rest: pairs in different components, under shingles whose classes are in several.
-    placed = postings.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("weight")
+    placed = postings.join(narrow(found.withColumnRenamed("node", "class"), found.rows), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("weight")
     split = placed.groupBy("token", "component").agg(F.count("*").alias("m")).groupBy("token").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("major")).filter("parts > 1")
     open_ = stash(placed.join(split.select("token", "all", "major"), "token"), "open")
     discard(postings)
@@ -326,9 +336,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     settle(spark)
     found, moved = _links(core, percent)
     discard(core)
-    named = classes.select("class", "least").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = classes.select("class", "least").join(narrow(found.withColumnRenamed("node", "class"), found.rows), "class", "left").withColumn("component", F.coalesce("component", "class"))
     if moved is not None:
-        named = named.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").withColumn("component", F.coalesce("to", "component"))
+        named = named.join(narrow(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), moved.rows), "component", "left").withColumn("component", F.coalesce("to", "component"))
     named = cut(named.select("class", "least", "component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
     named = named.join(smallest, "component").select("class", "component", "smallest")

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import fresh
+from lodestone.llm._common import fresh, trimmed
 from lodestone.llm._words import documents
 
 LETTER = regex.compile(r"\p{L}").search
@@ -102,7 +102,7 @@ def fit(rows: DataFrame, per_language: int = 400, landmarks: int = 40, order: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["key", "lang", "bits"])
 
     kind = dict(rows.dtypes)["key"]
-    sample = sorted(_sampled(rows, per_language).mapInArrow(bits_of, f"key {kind}, lang string, bits binary").collect(), key=lambda r: (str(r["lang"]), str(r["key"]), bytes(r["bits"])))
+    sample = sorted(_sampled(rows, per_language).mapInArrow(trimmed(bits_of), f"key {kind}, lang string, bits binary").collect(), key=lambda r: (str(r["lang"]), str(r["key"]), bytes(r["bits"])))
     languages = sorted({r["lang"] for r in sample})
     if not languages:
         return Model([], np.zeros((Presence(order, bits).size, 0), np.float32), order, bits)
@@ -162,4 +162,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in kept), pred, score])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.withColumn(own, F.col(text)).mapInArrow(run, f"{fields}`{pred}` string, `{score}` double")
+    return docs.withColumn(own, F.col(text)).mapInArrow(trimmed(run), f"{fields}`{pred}` string, `{score}` double")

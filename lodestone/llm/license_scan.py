@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import fresh
+from lodestone.llm._common import fresh, trimmed
 
 #: Phrases whose places are counted, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -147,4 +147,4 @@ def license_scan(docs: DataFrame, text: str = "text", index: Index | None = None
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], names=[*(batch.schema.names[i] for i in kept), *names])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.withColumn(own, F.col(text)).mapInArrow(run, fields + SCHEMA)
+    return docs.withColumn(own, F.col(text)).mapInArrow(trimmed(run), fields + SCHEMA)

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import shards, stash
-from lodestone.llm.token_counts import CACHE, PAIR, PATTERN, Kept, byte_letters
+from lodestone.llm._common import shards, stash, trimmed
+from lodestone.llm.token_counts import PAIR, PATTERN, Kept, byte_letters
 
 
 def best_configuration(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[float, dict[int, int]]:
@@ -225,9 +225,6 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         if PAIR(text):
             return self.one(text)
-        for cache in (self.units, self.heads):
-            if len(cache) > CACHE:
-                cache.clear()
         lines = []
         for line in text.split("\n"):
             units = line.split(" ")
@@ -276,7 +273,7 @@ def pieces(docs: DataFrame, vocabulary: str, key: str, text: str, capacity: int,
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * with_ids)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(run), f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * with_ids)
 
 
 def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, groups: int = 192, with_ids: bool = False) -> DataFrame:

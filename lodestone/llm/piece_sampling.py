@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import fresh
+from lodestone.llm._common import fresh, trimmed
 from lodestone.llm._words import mix
 
 MARK = "▁"
@@ -288,4 +288,4 @@ def sample_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str =
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
     seeded = docs.withColumn(own, F.col(text)).withColumn(draw, F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
-    return seeded.mapInArrow(run, fields + "n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<bigint>" * with_ids)
+    return seeded.mapInArrow(trimmed(run), fields + "n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<bigint>" * with_ids)

@@ -19,11 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import fresh
+from lodestone.llm._common import fresh, trimmed
 
 #: Fixed value: the published pattern of byte-level pre-tokenisation.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 1 << 20
+#: Bytes that a cache of words may hold.
+ROOM = 24 << 20
 PAIR = re.compile(r"\s\s").search
 
 
@@ -35,14 +36,18 @@ def byte_letters() -> list[str]:
 
 
 class Kept(dict):
-    """Results of a function by word; long words are not kept."""
+    """Results of a function by word, within ``ROOM`` bytes; long words are not kept."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, word):
         made = self.make(word)
         if len(word) < 64:
+            self.held += 200 + 2 * len(word) + (len(made) if isinstance(made, bytes) else 0)
+            if self.held > ROOM:
+                self.clear()
+                self.held = 0
             self[word] = made
         return made
 
@@ -113,9 +118,6 @@ class Merges:
         return total
 
     def text(self, text: str) -> int:
-        for cache in (self.cache, self.units):
-            if len(cache) > CACHE:
-                cache.clear()
         if self.special is None or not (cuts := self.special.findall(text)):
             return self.plain(text)
         return len(cuts) + sum(map(self.plain, self.special.split(text)))
@@ -144,13 +146,13 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
         count = counter(vocabulary).text
         for batch in batches:
             at = batch.schema.get_field_index(own)
-            n = [count(t) if t else 0 for t in batch.column(at).to_pylist()]
+            n = [count(t) if t else 0 for lo in range(0, batch.num_rows, 512) for t in batch.column(at).slice(lo, 512).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(n, pa.int64())], names=[*(x for x in batch.schema.names if x != own), "n_tokens"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
     return (
         docs.withColumn(own, F.col(text))
         .withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
-        .mapInArrow(run, f"{fields}n_bytes long, n_tokens long")
+        .mapInArrow(trimmed(run), f"{fields}n_bytes long, n_tokens long")
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )
