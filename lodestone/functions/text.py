@@ -19,10 +19,14 @@ CUT_TOKENS = ("<|fim_prefix|>", "<|fim_suffix|>", "<|fim_middle|>", "<|fim_pad|>
 KEYWORDS = (
     "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue", "default",
     "do", "double", "else", "enum", "extends", "false", "final", "finally", "float", "for", "goto", "if", "implements",
-    "import", "instanceof", "int", "interface", "long", "native", "new", "null", "package", "private", "protected",
+    "import", "instanceof", "int", "interface", "long", "native", "new", "null", "package", "permits", "private", "protected",
     "public", "record", "return", "sealed", "short", "static", "strictfp", "super", "switch", "synchronized", "this",
     "throw", "throws", "transient", "true", "try", "var", "void", "volatile", "while", "yield",
 )
+#: Words that are literals and not names.
+LITERALS = ("true", "false", "null")
+#: Fixed value: finds local declarations.
+DECLARATION = r"\b(?:(?:final\s+)?(?:var|int|long|float|double|boolean|byte|char|short|String|[A-Z]\w*(?:<[^>]*>)?))\s+(\w+)\s*[=;,)]"
 #: Query terms that are never looked up.
 STOP_TERMS = (
     "public", "private", "protected", "static", "final", "abstract", "void", "int", "long", "double", "float", "boolean",
@@ -72,12 +76,38 @@ def count_tokens(text, ascii_only: bool = False) -> Column:
     return F.greatest(F.lit(1), F.floor(F.regexp_count(col(text), F.lit(_mode(ascii_only) + CHUNK)) * F.lit(0.85) + F.lit(0.5)).cast("int"))
 
 
-def strip_identifiers(code) -> Column:
-    """String, character and number literals and lower-case names that are no keyword, as ``_``."""
+def strip_identifiers(code, ascii_only: bool = False) -> Column:
+    """Literals and lower-case names that are no keyword, as ``_``; so are ``true``, ``false`` and ``null``."""
     out = col(code)
-    for pattern in (*STRINGS, "(?U)" + NUMBERS):
+    for pattern in (*STRINGS, _mode(ascii_only) + NUMBERS):
         out = F.regexp_replace(out, pattern, "_")
-    return F.regexp_replace(out, rf"(?U)\b(?!(?:{'|'.join(KEYWORDS)})\b)[a-z_]\w*\b", "_")
+    kept = "|".join(k for k in KEYWORDS if k not in LITERALS)
+    return F.regexp_replace(out, rf"{_mode(ascii_only)}\b(?!(?:{kept})\b)[a-z_]\w*\b", "_")
+
+
+def unify_identifiers(code, ascii_only: bool = False) -> Column:
+    """Names of local declarations as ``var1``, ``var2``, ... by first occurrence, all at once.
+
+    The code is cut into words and what stands between; each word is looked up in the list of declared names."""
+    mode = _mode(ascii_only)
+    declared = F.regexp_extract_all(col(code), F.lit(mode + DECLARATION), F.lit(1))
+    names = F.array_distinct(F.filter(declared, lambda x: ~x.isin(*KEYWORDS) & ~x.rlike(r"^\p{Lu}")))
+    pieces = F.regexp_extract_all(col(code), F.lit(mode + r"\w+|\W+"), F.lit(0))
+    place = lambda x: F.array_position(names, x)
+    return F.array_join(F.transform(pieces, lambda x: F.when(place(x) > 0, F.concat(F.lit("var"), place(x).cast("string"))).otherwise(x)), "")
+
+
+def body_block(body, most: int = 50) -> Column:
+    """A body without its outer braces and blank edges, moved to the margin, ``most`` lines and a mark at most; null if nothing is left."""
+    inner = F.regexp_replace(F.regexp_replace(col(body), r"^(?U)\s*\{?", ""), r"(?U)\}?\s*$", "")
+    lines = F.split(inner, "\n")
+    full = lambda x: x.rlike(r"(?U)\S")
+    places = F.filter(F.transform(lines, lambda x, i: F.when(full(x), i)), lambda i: i.isNotNull())
+    kept = F.slice(lines, F.array_min(places) + 1, F.array_max(places) - F.array_min(places) + 1)
+    margin = F.array_min(F.transform(F.filter(kept, full), lambda x: F.length(x) - F.length(F.regexp_replace(x, r"^(?U)\s+", ""))))
+    moved = F.transform(kept, lambda x: F.when(F.length(x) >= margin, F.substring(x, margin + 1, F.length(x))).otherwise(x))
+    cut = F.when(F.size(moved) > most, F.concat(F.slice(moved, 1, most), F.array(F.lit("    // ...")))).otherwise(moved)
+    return F.when(F.size(places) > 0, F.array_join(cut, "\n"))
 
 
 def cut_completion(text) -> Column:
@@ -172,9 +202,14 @@ def test_class_of_path(path) -> Column:
     return F.when(inner != "", F.translate(inner, "/", "."))
 
 
+def outer_class(fqn) -> Column:
+    """Simple name of a class without package and without what it encloses."""
+    return F.substring_index(F.substring_index(col(fqn), ".", -1), "$", 1)
+
+
 def class_simple_name(fqn) -> Column:
-    """Without package, enclosing class and one test suffix."""
-    name = F.substring_index(F.substring_index(col(fqn), ".", -1), "$", 1)
+    """Without package, enclosed class and one test suffix."""
+    name = outer_class(fqn)
     out = name
     for suffix in ("Spec", "IT", "Test", "Tests"):
         out = F.when(F.endswith(name, F.lit(suffix)) & (F.length(name) > len(suffix)), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(out)
@@ -182,9 +217,15 @@ def class_simple_name(fqn) -> Column:
 
 
 def failed_test(name) -> Column:
-    """(class, method) of a failed test's name; parameters in brackets go."""
-    n = F.regexp_replace(col(name), r"[\[(].*$", "")
-    return F.struct(F.when(F.contains(n, F.lit(".")), F.regexp_extract(n, r"^(.*)\.[^.]*$", 1)).otherwise(F.lit("")).alias("test_class"), F.substring_index(n, ".", -1).alias("test_method"))
+    """(class, method) of a failed test's name, cut at the last dot; brackets after the method go. A name without a dot is a class."""
+    n, dotted = col(name), F.contains(col(name), F.lit("."))
+    last = F.regexp_replace(F.regexp_replace(F.substring_index(n, ".", -1), r"(?s)\[.*$", ""), r"(?s)\(.*$", "")
+    return F.struct(F.when(dotted, F.regexp_extract(n, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(n).alias("test_class"), F.when(dotted, F.nullif(last, F.lit(""))).alias("test_method"))
+
+
+def method_of_signature(signature) -> Column:
+    """The name before the first bracket of a signature; empty without one."""
+    return F.regexp_extract(F.coalesce(col(signature), F.lit("")), r"\b([A-Za-z_$][\w$]*)\s*\(", 1)
 
 
 def module_of_path(path) -> Column:

@@ -98,3 +98,44 @@ def parse_table(lines: DataFrame) -> DataFrame:
     split = rows.select(F.get("c", F.lit(0)).alias("metric"), F.posexplode(F.slice("c", 2, 1000)).alias("position", "cell"))
     number = lambda g: F.expr(f"try_cast(nullif(regexp_extract(cell, '([\\\\d.]+)\\\\s*\\\\(std=([\\\\d.]+)\\\\)', {g}), '') as double)")
     return split.select("metric", "position", number(1).alias("mean"), number(2).alias("std")).filter("metric <> ''")
+
+
+def conditional_means(pairs: DataFrame, recall: str, deltas: Sequence[str]) -> DataFrame:
+    """(condition, n, mean of each delta) where recall is 0, above 0, and 0.5 or more; a row may meet two conditions."""
+    met = F.array(F.when(F.col(recall) == 0, F.lit("zero")), F.when(F.col(recall) > 0, F.lit("some")), F.when(F.col(recall) >= 0.5, F.lit("high")))
+    long = pairs.withColumn("condition", F.explode(F.filter(met, lambda x: x.isNotNull())))
+    return long.groupBy("condition").agg(F.count("*").alias("n"), *(F.avg(d).alias(f"mean_{d}") for d in deltas))
+
+
+def slice_deltas(pairs: DataFrame, members: DataFrame, index: str, delta: str, means: Sequence[str] = (), threshold: float = 0.02) -> DataFrame:
+    """(slice, n, mean of ``delta`` and ``means``, helped, hurt) over slices (slice, index); unknown indices are dropped, and so is the slice ``all``."""
+    joined = members.filter("slice <> 'all'").join(pairs, index)
+    side = helped(F.col(delta), threshold)
+    return joined.groupBy("slice").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in (delta, *means)), F.count_if(side == "helped").alias("helped"), F.count_if(side == "hurt").alias("hurt"))
+
+
+def coverage_totals(methods: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(covered, total): methods with a covered line, and all."""
+    return methods.groupBy(*by).agg(F.count_if(F.coalesce("is_covered", F.lit(False))).alias("covered"), F.count("*").alias("total"))
+
+
+def line_totals(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(covered, executable): lines with a covered instruction, and lines with any instruction."""
+    return lines.groupBy(*by).agg(F.count_if(F.col("covered") > 0).alias("covered"), F.count_if(F.col("covered") + F.col("missed") > 0).alias("executable"))
+
+
+def extraction_totals(methods: DataFrame) -> DataFrame:
+    """One row: files, methods and calls that were not resolved."""
+    unresolved = F.size(F.filter(F.coalesce("invocations", F.array()), lambda i: i["resolutionMode"] != "EXACT"))
+    return methods.agg(F.count_distinct("filePath").alias("n_files"), F.count("*").alias("n_methods"), F.coalesce(F.sum(unresolved), F.lit(0)).alias("n_unresolved"))
+
+
+def by_mode(samples: DataFrame, index: str, mode: str, fields: Sequence[str]) -> DataFrame:
+    """(index, modes): a map from mode to the row's fields, one row for each index."""
+    return samples.groupBy(index).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(mode), F.struct(*fields))))).alias("modes"))
+
+
+def mode_table(samples: DataFrame, mode: str, modes: Sequence[str], facts: Sequence[str]) -> DataFrame:
+    """(fact, a column for each mode): means of numeric facts side by side, for inspection."""
+    long = samples.select(mode, F.explode(F.array(*(F.struct(F.lit(f).alias("fact"), F.col(f).cast("double").alias("v")) for f in facts))).alias("x")).select(mode, "x.*")
+    return long.groupBy("fact").pivot(mode, list(modes)).agg(F.avg("v"))

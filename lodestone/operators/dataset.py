@@ -142,3 +142,51 @@ def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the first in order."""
     columns = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in columns))
+
+
+#: Categories of methods, the first that fits.
+CATEGORIES = ("TEST", "GENERATED", "GETTER", "SETTER", "DELEGATOR", "NORMAL")
+
+
+def category() -> Column:
+    """Category of a method from what the extraction knows of it.
+
+    Columns: inTestSource, annotations (names), methodName, nParameters, hasBody, nStatements, and of a single
+    statement its kind (``return`` or ``expression``), what it consists of (``call``, ``assignment`` or other) and the
+    number of the call's arguments."""
+    c = F.col
+    annotated = lambda x: F.exists("annotations", lambda a: (a == x) | F.endswith(a, F.lit(f".{x}")))
+    short = c("hasBody") & (c("nStatements") <= 1)
+    single = c("nStatements") == 1
+    reasons = [
+        ("TEST", c("inTestSource") | annotated("Test")),
+        ("GENERATED", annotated("Generated")),
+        ("GETTER", short & (c("nParameters") == 0) & c("methodName").rlike("^(get|is)") & (~single | (c("statementKind") == "return"))),
+        ("SETTER", short & single & (c("nParameters") == 1) & c("methodName").startswith("set") & (c("statementKind") == "expression") & (c("statementPart") == "assignment")),
+        ("DELEGATOR", short & single & c("statementKind").isin("return", "expression") & (c("statementPart") == "call") & (c("nArguments") == c("nParameters"))),
+    ]
+    return F.coalesce(first_reason(reasons), F.lit("NORMAL"))
+
+
+def siblings(methods: DataFrame, type_: str, order: str, fields: Sequence[str], most: int = 4096) -> DataFrame:
+    """Methods with ``siblings``: all other methods of their type in declaration order, filtered ones included.
+
+    A type's methods are gathered once as an array (bounded by what a source file declares; types beyond ``most`` raise
+    an error) and each method leaves out itself."""
+    gathered = methods.groupBy(type_).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), *fields))).alias("__all"))
+    gathered = gathered.withColumn("__all", F.when(F.size("__all") <= most, F.col("__all")).otherwise(F.raise_error(F.concat(F.lit("too many methods in "), F.col(type_).cast("string")))))
+    return methods.join(gathered, type_).withColumn("siblings", F.filter("__all", lambda s: s["ord"] != F.col(order))).drop("__all")
+
+
+def substituted(content: str, start: str, end: str, generated: str) -> Column:
+    """A file's content with the text between two offsets replaced; null offsets leave it as it is."""
+    c, g = F.col(content), F.coalesce(F.col(generated), F.lit(""))
+    made = F.concat(F.substring(c, F.lit(1), F.col(start)), g, F.substring(c, F.col(end) + 1, F.length(c)))
+    return F.when(F.col(start).isNull() | F.col(end).isNull(), c).otherwise(made)
+
+
+def index_of(sampled: DataFrame, seed: int, min_coverage: float | None = None, coverage: bool = False) -> DataFrame:
+    """One row: the index of a sample as a nested record (counts, seed, and the methods in sample order)."""
+    method = [F.col("filePath").alias("file_path"), F.col("classFqn").alias("class_fqn"), F.col("methodName").alias("method_name"), F.col("statementCount").alias("statement_count"), F.size("invocations").alias("invocation_count"), *([F.col("coverage_ratio")] if coverage else [])]
+    rows = sampled.select(F.col("sample_pos"), F.struct(*method).alias("m"))
+    return rows.agg(F.count("*").alias("sample_count"), F.lit(seed).alias("seed"), F.lit(min_coverage).cast("double").alias("min_coverage_ratio"), F.transform(F.array_sort(F.collect_list(F.struct("sample_pos", "m"))), lambda x: x["m"]).alias("methods"))

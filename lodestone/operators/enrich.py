@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.kernels import body_lines
 from lodestone.functions.metrics import set_iou
-from lodestone.functions.text import KEYWORDS, STOP_TYPES, generic_types, invocation_owner, path_is_suffix, simple_name, simplify_signature, type_tokens
+from lodestone.functions.text import KEYWORDS, STOP_TYPES, body_block, generic_types, invocation_owner, path_is_suffix, simple_name, simplify_signature, type_tokens
 from lodestone.operators.prompt import FILE, blanked
 
 _CALL = re.compile(r"(?:\bnew\s+([A-Z]\w*)(?:<[^<>()]*>)?|((?:\w+\s*\.\s*)*)\b([a-z_]\w*))\s*\(")
@@ -155,14 +154,10 @@ def result_block(results: DataFrame, max_lines: int = 50, max_tokens: int = 4096
     A result with content shows it under its path; one without shows package, class,
     signature and body."""
 
-    @F.pandas_udf("string")
-    def body(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: body_lines(t, max_lines))
-
     package = F.regexp_extract("class_fqn", r"^(.*)\.[^.]*$", 1)
     structured = F.concat_ws("\n", F.when(package != "", F.concat(F.lit("package "), package, F.lit(";"))), F.concat(F.lit("// class "), simple_name("class_fqn")), simplify_signature("signature"), F.col("__body"))
     text = F.concat(F.lit(FILE), F.col("path"), F.lit("\n"), F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(structured))
-    sized = results.withColumn("__body", body("method_body")).withColumn("text", text)
+    sized = results.withColumn("__body", body_block("method_body", max_lines)).withColumn("text", text)
     so_far = F.sum(F.length("text") + 1).over(Window.partitionBy("query").orderBy("rank"))
     kept = sized.withColumn("__n", so_far).filter(F.col("__n") - 1 <= 4 * max_tokens)
     return kept.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("block"))

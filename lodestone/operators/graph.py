@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import canonical_invocation, vertex_id
+from lodestone.functions.text import canonical_invocation, package_of, vertex_id
 from lodestone.operators.dataset import row_numbers
 
 
@@ -88,3 +88,31 @@ def incident(edge: DataFrame, way: str = "out") -> DataFrame:
     """Edges of each vertex, the heaviest first."""
     a, b = ("src", "dst") if way == "out" else ("dst", "src")
     return edge.select(F.col(a).alias("vertex_id"), F.col(b).alias("other"), "weight", F.row_number().over(Window.partitionBy(a).orderBy(F.desc("weight"), b)).alias("nth"))
+
+
+def payload(vertices: DataFrame, edge: DataFrame, methods: DataFrame, order: str) -> DataFrame:
+    """Vertices as a viewer shows them: number, names, package, degrees and the first body by class and name ('' without one).
+
+    A method's own body comes before the signatures of its siblings; ``order`` numbers the methods."""
+    own = methods.select(F.struct(F.col(order).alias("m"), F.lit(-1).alias("p")).alias("ord"), "classFqn", "methodName", F.col("methodBody").alias("body"))
+    siblings = methods.select(F.col(order), "classFqn", F.posexplode("siblingMethods").alias("p", "s")).select(F.struct(F.col(order).alias("m"), "p").alias("ord"), "classFqn", F.col("s.methodName").alias("methodName"), F.col("s.signature").alias("body"))
+    bodies = own.unionByName(siblings).groupBy("classFqn", "methodName").agg(F.min_by(F.coalesce("body", F.lit("")), "ord").alias("body"))
+    degree = degrees(vertices, edge).select("vertex_id", "out_degree", "in_degree")
+    named = vertices.join(degree, "vertex_id").join(bodies, ["classFqn", "methodName"], "left")
+    return named.select("idx", "vertex_id", "classFqn", "methodName", package_of("classFqn").alias("package"), "out_degree", "in_degree", F.coalesce("body", F.lit("")).alias("body"))
+
+
+def ordered(shown: DataFrame, by: str = "index", column: str = "place") -> DataFrame:
+    """A payload with its places in the order of a matrix: by ``index``, ``class``, ``out`` or ``in`` degree; ties by number."""
+    keys = {"index": [], "class": [F.col("classFqn"), F.col("methodName")], "out": [-F.col("out_degree")], "in": [-F.col("in_degree")]}[by]
+    named = {f"__{i}": k for i, k in enumerate(keys)}
+    return row_numbers(shown.withColumns(named) if named else shown, [*named, "idx"], column).drop(*named)
+
+
+def dense(vertices: DataFrame, edge: DataFrame) -> DataFrame:
+    """(src_idx, weights): a row of the matrix for each vertex, with zeros; for graphs small enough to show."""
+    n = vertices.count()
+    rows = adjacency(vertices, edge).groupBy("src_idx").agg(F.map_from_entries(F.collect_list(F.struct("dst_idx", "weight"))).alias("m"))
+    filled = vertices.select(F.col("idx").alias("src_idx")).join(rows, "src_idx", "left")
+    empty = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>"))
+    return filled.select("src_idx", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(F.coalesce("m", empty), i), F.lit(0).cast("long"))).alias("weights"))

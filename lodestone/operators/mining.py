@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import class_simple_name, failed_test, record_hash, test_class_of_path
-from lodestone.operators.dataset import first_reason
+from lodestone.functions.text import class_simple_name, failed_test, method_of_signature, outer_class, record_hash, test_class_of_path
+from lodestone.operators.dataset import first_reason, row_numbers
 
 #: Reasons for a relation, with their weights, in order.
 RELATIONS = (("direct_test_method", 4), ("referenced_test_file", 2), ("target_class_test_class_match", 1), ("method_name_overlap", 1))
@@ -30,24 +30,36 @@ def rejection():
 
 
 def related(samples: DataFrame) -> DataFrame:
-    """Samples with ``related`` (name, reasons, score of each related failed test) and ``relation_score`` (the best)."""
-    none = F.array().cast("array<string>")
-    has = set(samples.columns)
-    direct = F.transform(F.coalesce("direct_test_methods", F.array()), lambda d: F.concat(d["test_class"], F.lit("."), d["test_method"])) if "direct_test_methods" in has else none
+    """Samples with ``related`` (name, reasons and score of each related failed test) and ``relation_score`` (the best).
+
+    A test's score is the sum of its reasons' weights. A direct test may be named by its file, by its simple or full
+    class; a referenced file by its full or simple class. The method's name comes from ``method_id`` or else from
+    ``method_signature``, and may stand anywhere in the failed test's name."""
+    none, has = F.array().cast("array<string>"), set(samples.columns)
+    direct = F.coalesce("direct_test_methods", F.array()) if "direct_test_methods" in has else F.array()
     files = F.filter(F.transform(F.coalesce("test_file_paths", none), test_class_of_path), lambda x: x.isNotNull()) if "test_file_paths" in has else none
-    target_class, target_method = class_simple_name(F.substring_index("method_id", "#", 1)), F.lower(F.substring_index("method_id", "#", -1))
-    keyed = samples.withColumns({"__direct": direct, "__files": files, "__class": target_class, "__method": target_method})
+    own, named = F.coalesce("method_id", F.lit("")), F.contains(F.coalesce("method_id", F.lit("")), F.lit("#"))
+    signature = method_of_signature("method_signature") if "method_signature" in has else F.lit("")
+    keyed = samples.withColumns(
+        {
+            "__direct": direct, "__files": F.concat(files, F.transform(files, outer_class)),
+            "__class": F.when(named, class_simple_name(F.substring_index(own, "#", 1))).otherwise(F.lit("")),
+            "__method": F.lower(F.when(named, F.substring_index(own, "#", -1)).otherwise(signature)),
+        }
+    )
 
     def judged(name):
-        test = failed_test(name)
+        test, sure = failed_test(name), lambda c: F.coalesce(c, F.lit(False))
+        simple = outer_class(test["test_class"])
+        names = lambda d: sure(test_class_of_path(d["test_file"]) == test["test_class"]) | sure((d["test_class"] != "") & ((simple == d["test_class"]) | F.endswith(test["test_class"], F.concat(F.lit("."), d["test_class"]))))
         flags = {
-            "direct_test_method": F.array_contains("__direct", F.concat(test["test_class"], F.lit("."), test["test_method"])),
-            "referenced_test_file": F.array_contains("__files", test["test_class"]),
-            "target_class_test_class_match": class_simple_name(test["test_class"]) == F.col("__class"),
-            "method_name_overlap": (F.col("__method") != "") & F.contains(F.lower(test["test_method"]), F.col("__method")),
+            "direct_test_method": F.exists("__direct", lambda d: names(d) & sure(test["test_method"] == d["test_method"])) if "direct_test_methods" in has else F.lit(False),
+            "referenced_test_file": F.array_contains("__files", test["test_class"]) | F.array_contains("__files", simple),
+            "target_class_test_class_match": (F.col("__class") != "") & (class_simple_name(test["test_class"]) == F.col("__class")),
+            "method_name_overlap": (F.col("__method") != "") & F.contains(F.lower(name), F.col("__method")),
         }
         reasons = F.filter(F.array(*(F.when(flags[k], F.lit(k)) for k, _ in RELATIONS)), lambda x: x.isNotNull())
-        return F.struct(name.alias("name"), reasons.alias("reasons"), F.greatest(*(F.when(flags[k], w).otherwise(0) for k, w in RELATIONS)).alias("score"))
+        return F.struct(name.alias("name"), reasons.alias("reasons"), sum((F.when(flags[k], w).otherwise(0) for k, w in RELATIONS), F.lit(0)).alias("score"))
 
     found = F.filter(F.transform(F.coalesce("test_eval.failed_test_names", none), judged), lambda r: r["score"] > 0)
     out = keyed.withColumn("related", found).drop("__direct", "__files", "__class", "__method")
@@ -55,18 +67,21 @@ def related(samples: DataFrame) -> DataFrame:
 
 
 def mine_failures(samples: DataFrame, order: str, require_related: bool = False, dedupe: str = "method_generated") -> tuple[DataFrame, DataFrame]:
-    """(records, counts by reason). Repeats by method and text (or by text, or not at all) keep the first in order."""
-    judged = related(samples).withColumn("reason", rejection())
+    """(records, counts by reason). Repeats by method and text (or by text, or not at all) keep the first in order.
+
+    Rejected samples are only counted: relations are sought, and repeats met, among the others alone."""
+    judged = samples.withColumn("reason", rejection())
+    rejected, kept = judged.filter("reason is not null").select("reason"), related(judged.filter("reason is null"))
     if require_related:
-        judged = judged.withColumn("reason", F.coalesce("reason", F.when(F.col("relation_score") == 0, "unrelated_test_failure")))
+        kept = kept.withColumn("reason", F.when(F.col("relation_score") == 0, "unrelated_test_failure"))
+        rejected, kept = rejected.unionByName(kept.filter("reason is not null").select("reason")), kept.filter("reason is null")
     if dedupe != "none":
         key = record_hash(F.coalesce("generated", F.lit("")), F.coalesce("method_id", F.lit(""))) if dedupe == "method_generated" else F.sha2(F.coalesce("generated", F.lit("")), 256)
-        marked = judged.withColumn("__key", F.when(F.col("reason").isNull(), key))
-        first = marked.filter("reason is null").groupBy("__key").agg(F.min(order).alias("__first"))
-        marked = marked.join(first, "__key", "left")
-        judged = marked.withColumn("reason", F.coalesce("reason", F.when(F.col(order) != F.col("__first"), "duplicate"))).drop("__key", "__first")
-    counts = judged.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
-    return judged.filter("reason is null").drop("reason"), counts
+        keyed = kept.withColumn("__key", key)
+        first = keyed.groupBy("__key").agg(F.min(order).alias("__first"))
+        marked = keyed.join(first, "__key").withColumn("reason", F.when(F.col(order) != F.col("__first"), "duplicate")).drop("__key", "__first")
+        rejected, kept = rejected.unionByName(marked.filter("reason is not null").select("reason")), marked.filter("reason is null")
+    return kept.drop("reason"), rejected.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def record(df: DataFrame, with_prompt: bool = False) -> DataFrame:
@@ -97,4 +112,7 @@ def fill_missing(samples: DataFrame, found: DataFrame, key: str, columns: list[s
 
 
 def ranked(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*failure_order(order))))
+    """Failures with their 1-based ``place`` in ``failure_order``, numbered by range partitions and not in one task."""
+    zero = lambda c: -F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    keys = {"__a": zero("relation_score"), "__b": -F.size("related"), "__c": zero("test_eval.tests_failed"), "__d": zero("coverage_ratio"), "__e": zero("metrics.es")}
+    return row_numbers(df.withColumns(keys), [*keys, order], "place").withColumn("place", F.col("place") + 1).drop(*keys)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import generic_types, path_is_suffix, query_terms, short_invocation, simple_name
+from lodestone.functions.text import STOP_TERMS, generic_types, path_is_suffix, query_terms, short_invocation, simple_name
 
 #: Clause boosts, share of the other clauses, results per class, default results.
 BOOSTS, TIE, PER_CLASS, DEFAULT_K = {"type": 5.0, "signature": 3.0, "package": 2.0, "invocation": 1.0}, 0.1, 2, 5
@@ -108,16 +108,18 @@ def build_query_terms(requests: DataFrame) -> DataFrame:
     """Terms of the four clauses of search requests, or the class name alone where all are empty.
 
     ``requests``: query, methodSignature, classFqn, supertypes, imports, classFields, siblingOwnerTypes."""
-    none = F.array().cast("array<string>")
+    none, text = F.array().cast("array<string>"), lambda c: F.coalesce(c, F.lit(""))
+    whole = lambda terms: F.filter(F.transform(terms, F.lower), lambda x: (F.length(x) >= 3) & ~x.isin(*STOP_TERMS))
     names = lambda c: F.transform(F.coalesce(F.col(c), none), simple_name)
-    signature_types = F.filter(F.split(F.coalesce("methodSignature", F.lit("")), "[^a-zA-Z0-9]+"), lambda x: x.rlike("^[A-Z]"))
-    types = F.slice(F.array_distinct(query_terms(F.concat(names("imports"), names("classFields"), names("supertypes"), signature_types))), 1, 80)
-    head = F.substring_index(F.coalesce("methodSignature", F.lit("")), "(", 1)
-    signature = F.slice(query_terms(F.concat(F.array(head, simple_name(F.coalesce("classFqn", F.lit("")))), names("supertypes"))), 1, 10)
-    segments = F.split(F.regexp_extract(F.coalesce("classFqn", F.lit("")), r"^(.*)\.[^.]*$", 1), r"\.")
+    signature_types = F.filter(F.split(text("methodSignature"), "[^a-zA-Z0-9]+"), lambda x: x.rlike("^[A-Z]"))
+    types = F.slice(F.array_distinct(whole(F.concat(names("imports"), names("classFields"), names("supertypes"), signature_types))), 1, 80)
+    head = F.substring_index(text("methodSignature"), "(", 1)
+    # The limit of ten terms is that of the name; class and supertypes come on top.
+    signature = F.concat(F.slice(query_terms(F.array(head)), 1, 10), whole(F.concat(F.array(simple_name(text("classFqn"))), names("supertypes"))))
+    segments = F.split(F.regexp_extract(text("classFqn"), r"^(.*)\.[^.]*$", 1), r"\.")
     tail = F.slice(segments, F.greatest(F.size(segments) - 1, F.lit(1)), F.lit(2))
-    package = F.filter(F.transform(tail, F.lower), lambda x: (x != "") & ~x.isin("com", "org", "lib", "core", "main", "src"))
-    owners = F.transform(F.slice(F.coalesce("siblingOwnerTypes", none), 1, 20), F.lower)
+    package = F.filter(whole(tail), lambda x: ~x.isin("com", "org", "lib", "core", "main", "src"))
+    owners = whole(F.slice(F.coalesce("siblingOwnerTypes", none), 1, 20))
     fields = {"type": "types", "signature": "card", "package": "card", "invocation": "profile"}
     clause = lambda k, terms: F.transform(terms, lambda t: F.struct(F.lit(k).alias("clause"), F.lit(BOOSTS[k]).alias("boost"), F.lit(fields[k]).alias("field"), t.alias("term")))
     listed = F.concat(clause("type", types), clause("signature", signature), clause("package", package), clause("invocation", owners))

@@ -8,6 +8,7 @@ lineitem for test verdicts, and the supply relation between nations for calls.
 from __future__ import annotations
 
 import tempfile
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -198,13 +199,13 @@ def record_keys(spark, sf):
 
 @query()
 def unified_identifiers(spark, sf):
-    return t(spark, sf, "pages").select("page_id", F.md5(kernels.unify_identifiers_udf("html")).alias("unified"), F.md5(text.strip_identifiers("html")).alias("stripped"))
+    return t(spark, sf, "pages").select("page_id", F.md5(text.unify_identifiers("html")).alias("unified"), F.md5(text.strip_identifiers("html")).alias("stripped"))
 
 
-@query(r"""with w as (select distinct w as name from (select unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as w from benchmark) where length(w) >= 6)
+@query(r"""with w as (select distinct w as name from (select unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as w from benchmark))
 select doc_id as text_id, name from documents join w on contains(text, name)""")
 def theta_contains_join(spark, sf):
-    names = t(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).alias("name")).filter(F.length("name") >= 6).distinct()
+    names = t(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).alias("name")).distinct()
     return dataset.contains_join(t(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text"), names, "text", "name")
 
 
@@ -348,7 +349,7 @@ def mode_diffs(spark, sf):
 def stream_stats(spark, sf):
     schema = t(spark, sf, "events").schema
     rows = progress.stream_table(spark, sf, schema, "events.parquet")
-    name, folder = f"stream_stats_{abs(hash(sf))}", spark.sparkContext.getCheckpointDir()
+    name, folder = f"stream_stats_{zlib.crc32(sf.encode())}", spark.sparkContext.getCheckpointDir()
     checkpoint = f"{folder}/stream-{name}-{spark.sparkContext.startTime}" if folder else tempfile.mkdtemp()
     running = progress.start(progress.running_stats(rows, "event_type", "value"), name, checkpoint)
     running.awaitTermination()
@@ -387,8 +388,8 @@ def _verdicts(spark, sf):
     )
 
 
-@query(f"""with {_MINE} select o_orderkey, cast(len(list_filter(failed, lambda x: split_part(x, '.', 2) = 'Order' || (o_custkey % 100) || 'Test' or contains(split_part(x, '.', 3), 'test1'))) as int) as n_related,
- case when len(list_filter(failed, lambda x: split_part(x, '.', 2) = 'Order' || (o_custkey % 100) || 'Test' or contains(split_part(x, '.', 3), 'test1'))) > 0 then 1 else 0 end as relation_score, cast(len(failed) as int) as tests_failed from r where {_REASON} is null""")
+@query(f"""with {_MINE} select o_orderkey, cast(len(list_filter(failed, lambda x: split_part(x, '.', 2) = 'Order' || (o_custkey % 100) || 'Test' or contains(lower(x), 'test1'))) as int) as n_related,
+ cast(coalesce(list_max(list_transform(failed, lambda x: case when split_part(x, '.', 2) = 'Order' || (o_custkey % 100) || 'Test' then 1 else 0 end + case when contains(lower(x), 'test1') then 1 else 0 end)), 0) as int) as relation_score, cast(len(failed) as int) as tests_failed from r where {_REASON} is null""")
 def mine_failures(spark, sf):
     kept, _ = mining.mine_failures(_verdicts(spark, sf), "o_orderkey", dedupe="generated")
     return kept.select("o_orderkey", F.size("related").alias("n_related"), "relation_score", F.col("test_eval.tests_failed").alias("tests_failed"))

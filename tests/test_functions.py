@@ -66,7 +66,7 @@ def test_paths(spark):
 
 
 def test_stripping_and_cut(spark):
-    assert one(spark, text.strip_identifiers("c"), c='int foo = bar(1, "s"); Type t;') == "int _ = _(_, _); Type _;"
+    assert one(spark, text.strip_identifiers("c"), c='int foo = bar(1, "s", null); Type t;') == "int _ = _(_, _, _); Type _;"
     assert one(spark, text.cut_completion("c"), c="x = 1;  \n<|endoftext|>rest") == "x = 1;"
 
 
@@ -101,15 +101,20 @@ def test_sequence_kernels():
         assert len(common) == max(map(len, runs), default=0) <= n and (not common or common in runs)
 
 
-def test_identifier_unification():
-    assert kernels.unify_identifiers("int b = a; String c; Foo d = b; int var1 = 2;") == "int var1 = a; String var2; Foo var3 = var1; int var4 = 2;"
-    assert kernels.unify_identifiers("x + y") == "x + y"
+def test_identifier_unification(spark):
+    assert one(spark, text.unify_identifiers("c"), c="int b = a; String c; Foo d = b; int var1 = 2;") == "int var1 = a; String var2; Foo var3 = var1; int var4 = 2;"
+    assert one(spark, text.unify_identifiers("c"), c="x + y") == "x + y" and one(spark, text.unify_identifiers("c"), c="var permits = 1;") == "var permits = 1;"
 
 
-def test_body_lines():
-    assert kernels.body_lines("{\n\n    a();\n      b();\n\n}") == "a();\n  b();"
-    assert kernels.body_lines("{ }") is None and kernels.body_lines(None) is None
-    assert kernels.body_lines("{\na\nb\nc\n}", most=2) == "a\nb\n    // ..."
+def test_body_block(spark):
+    assert one(spark, text.body_block("c"), c="{\n\n    a();\n      b();\n\n}") == "a();\n  b();"
+    assert one(spark, text.body_block("c"), c="{ }") is None and one(spark, text.body_block("c"), c="  {\n  if (x) {\n\n  }\n }\n") == "if (x) {\n\n}"
+    assert one(spark, text.body_block("c", 2), c="{\na\nb\nc\n}") == "a\nb\n    // ..."
+
+
+def test_failed_test_names(spark):
+    got = many(spark, text.failed_test("n"), [("pkg.FooTests.test[1]",), ("FooTest",), ("a.b.run(int)",), ("a.B.",)], "n string")
+    assert [(r["test_class"], r["test_method"]) for r in got] == [("pkg.FooTests", "test"), ("FooTest", None), ("a.b", "run"), ("a.B", None)]
 
 
 def test_knapsacks():

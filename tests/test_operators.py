@@ -55,7 +55,7 @@ def test_histogram_of_equal_values(spark):
 
 
 def sample(index, **k):
-    base = {"method_id": "com.x.Foo#bar", "mode": "a", "generated": "x", "ground_truth": "y", "metrics": {"em": False, "es": 0.5, "compilable": True}, "test_eval": {"success": False, "tests_failed": 1, "failed_test_names": ["com.x.FooTest.testBar"], "build_success": True}, "test_file_paths": ["src/test/java/com/x/FooTest.java"], "direct_test_methods": [{"test_file": "f", "test_class": "com.x.FooTest", "test_method": "testBar"}], "coverage_ratio": None}
+    base = {"method_id": "com.x.Foo#bar", "mode": "a", "generated": "x", "ground_truth": "y", "metrics": {"em": False, "es": 0.5, "compilable": True}, "test_eval": {"success": False, "tests_failed": 1, "failed_test_names": ["com.x.FooTest.testBar"], "build_success": True}, "test_file_paths": ["src/test/java/com/x/FooTest.java"], "direct_test_methods": [{"test_file": "src/test/java/com/x/FooTest.java", "test_class": "FooTest", "test_method": "testBar"}], "coverage_ratio": None}
     return {**base, **k, "ord": index}
 
 
@@ -66,7 +66,7 @@ def samples(spark, rows):
 def test_mining_keeps_with_reasons_in_order(spark):
     kept, counts = mining.mine_failures(samples(spark, [sample(0)]), "ord")
     r = kept.first()
-    assert r["relation_score"] == 4 and r["related"][0]["reasons"] == ["direct_test_method", "referenced_test_file", "target_class_test_class_match", "method_name_overlap"]
+    assert r["relation_score"] == 8 and r["related"][0]["reasons"] == ["direct_test_method", "referenced_test_file", "target_class_test_class_match", "method_name_overlap"]
     assert counts.count() == 0
 
 

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from lodestone.plans import code_queries  # noqa: F401  registers its queries
 from lodestone.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
