@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import discard, places, settle, stash
+from lodestone.llm._common import discard, places, settle, small_batches, stash
 from lodestone.llm.jaccard_join import near_duplicates
 from lodestone.llm.language_id import fit, predict
 from lodestone.llm.packing import pack
@@ -33,14 +33,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing was learned, or no such document was held out, all documents with a letter stay; so they do where there is
     one language only, as every score is 1 then."""
     learn = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2, F.lit(True))
-    model = fit(docs.filter(learn).select(F.col("doc_id").alias("key"), "text", "lang"))
-    if not model.languages:
-        return docs.filter(F.col("text").rlike(r"\p{L}"))
-    held_out = predict(docs.filter(~learn & F.col("lang").isNotNull()).select("text", "lang"), model)
-    reached = held_out.filter("lang_pred = lang").agg(F.percentile_approx("score", 0.01, 10_000).alias("s")).first()["s"]
+    with small_batches(spark):
+        model = fit(docs.filter(learn).select(F.col("doc_id").alias("key"), "text", "lang"))
+        if not model.languages:
+            return docs.filter(F.col("text").rlike(r"\p{L}"))
+        held_out = predict(docs.filter(~learn & F.col("lang").isNotNull()).select("text", "lang"), model)
+        reached = held_out.filter("lang_pred = lang").agg(F.percentile_approx("score", 0.01, 10_000).alias("s")).first()["s"]
     chance = 1 / len(model.languages)
     bar = 0.0 if reached is None else chance + max(0.0, reached - chance) / 4
-    return predict(docs, model, pred="__lang", score="__score").filter((F.col("__lang") != "und") & (F.col("__score") >= bar)).select(*docs.columns)
+    scored = stash(predict(docs, model, pred="__lang", score="__score").filter((F.col("__lang") != "und") & (F.col("__score") >= bar)).select(*docs.columns), "language")
+    settle(spark)
+    return scored
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
