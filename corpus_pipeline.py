@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import discard, places, settle, small_batches, stash
+from lodestone.llm._common import BATCH, discard, places, settle, small_batches, stash
 from lodestone.llm.jaccard_join import near_duplicates
 from lodestone.llm.language_id import fit, predict
 from lodestone.llm.packing import pack
@@ -41,9 +41,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         reached = held_out.filter("lang_pred = lang").agg(F.percentile_approx("score", 0.01, 10_000).alias("s")).first()["s"]
     chance = 1 / len(model.languages)
     bar = 0.0 if reached is None else chance + max(0.0, reached - chance) / 4
-    scored = stash(predict(docs, model, pred="__lang", score="__score").filter((F.col("__lang") != "und") & (F.col("__score") >= bar)).select(*docs.columns), "language")
-    settle(spark)
-    return scored
+    # The rows are read when the stage's result is written, so the batch size is left at what it takes to hold whole texts.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return predict(docs, model, pred="__lang", score="__score").filter((F.col("__lang") != "und") & (F.col("__score") >= bar)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
