@@ -82,4 +82,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_license_scan, op4_substring_dedup, op5_piece_sampling, op6_packing, op7_jaccard_join, op8_quality_rules, op9_fingerprints, op10_language_id)}
-SQL: dict[str, str] = {}
+
+# Whole tables in SQL: words with their 35-word windows, and 5-word sets with their links and components.
+WORDS = r"[^\x20\x09-\x0D]+"
+PASSAGES_SQL = rf"""with words as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as w from (select doc_id, regexp_extract_all(text, '{WORDS}') as ws from documents where text is not null)),
+ starts as (select doc_id, i, w, count(*) over span = 35 as whole, string_agg(w, ' ') over span as passage from words window span as (partition by doc_id order by i rows between current row and 34 following)),
+ copied as (select passage from starts where whole group by passage having count(*) > 1),
+ marked as (select s.doc_id, s.i, s.w, c.passage is not null as starts_copy from starts s left join copied c on s.whole and s.passage = c.passage),
+ covered as (select doc_id, i, w, bool_or(starts_copy) over (partition by doc_id order by i rows between 34 preceding and current row) as gone from marked),
+ kept as (select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, string_agg(w, ' ' order by i) filter (where not gone) as rest from covered group by doc_id)
+select d.doc_id, coalesce(k.n_words, 0) as n_words, coalesce(k.n_removed, 0) as n_removed, sha256(coalesce(k.rest, '')) as kept_sha256 from documents d left join kept k on k.doc_id = d.doc_id"""
+NEAR_SQL = rf"""with recursive words as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') as ws from documents where text is not null),
+ listed as (select doc_id, len(ws) as n, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as w from words),
+ spans as (select doc_id, n, i, string_agg(w, ' ') over (partition by doc_id order by i rows between current row and 4 following) as shingle from listed),
+ sets as (select distinct doc_id, shingle from spans where i <= greatest(n - 4, 1)),
+ sizes as (select doc_id, count(*) as size, md5(string_agg(md5(shingle), '' order by shingle)) as class from sets group by doc_id),
+ heads as (select class, min(doc_id) as head, any_value(size) as size from sizes group by class),
+ posted as (select s.doc_id as head, h.size, s.shingle from sets s join heads h on s.doc_id = h.head),
+ links as (select a.head as a, b.head as b from posted a join posted b on a.shingle = b.shingle and a.head < b.head and 100 * a.size >= 75 * b.size and 100 * b.size >= 75 * a.size
+  group by a.head, b.head, a.size, b.size having 100 * count(*) >= 75 * (a.size + b.size - count(*))),
+ ways as (select a, b from links union all select b, a from links),
+ reach(node, other) as (select head, head from heads union select r.node, w.b from reach r join ways w on r.other = w.a),
+ least as (select node, min(other) as component_id from reach group by node)
+select d.doc_id, coalesce(s.size, 0) as n_shingles, coalesce(l.component_id, d.doc_id) as component_id from documents d left join sizes s on s.doc_id = d.doc_id left join heads h on h.class = s.class left join least l on l.node = h.head"""
+
+#: The other operators' methods (merges, models, samples, plans) have no SQL; tests hold them against brute force.
+SQL: dict[str, str] = {"op4_substring_dedup": PASSAGES_SQL, "op7_jaccard_join": NEAR_SQL}
