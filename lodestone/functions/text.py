@@ -268,6 +268,11 @@ def scaled_weight(weight, top, scale: str = "log") -> Column:
     return F.try_divide(w, m) if scale == "linear" else F.try_divide(F.log1p(w), F.log1p(m))
 
 
+def or_else(value, other) -> Column:
+    """The first of two texts that is neither null nor empty."""
+    return F.coalesce(F.nullif(col(value), F.lit("")), col(other))
+
+
 def short_id(name, most: int = 90) -> Column:
     return F.when(F.length(col(name)) > most, F.concat(F.substring(col(name), 1, most - 1), F.lit("…"))).otherwise(col(name))
 

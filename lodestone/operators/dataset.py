@@ -52,13 +52,14 @@ def method_reasons(excluded: Sequence[str] = ("GETTER", "SETTER", "DELEGATOR", "
     return out
 
 
-def seeded_sample(df: DataFrame, order: Sequence[str], k: int, seed: int) -> DataFrame:
+def seeded_sample(df: DataFrame, order: Sequence[str], k: int, seed: int, shuffle_all: bool = False) -> DataFrame:
     """k rows without replacement, as ``random.Random(seed).sample`` picks them from the rows in order.
 
-    Adds ``sample_pos``. With k rows or fewer all stay, in order. Row numbers are counted
+    Adds ``sample_pos``. With k rows or fewer all stay, in order
+    unless ``shuffle_all``. Row numbers are counted
     by range partition, not in one task; k positions are broadcast."""
     n = df.count()
-    positions = list(range(n)) if k >= n else random.Random(seed).sample(range(n), k)
+    positions = list(range(n)) if k >= n and not shuffle_all else random.Random(seed).sample(range(n), min(k, n))
     chosen = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(positions)], "row_index long, sample_pos int")
     return row_numbers(df, order).join(F.broadcast(chosen), "row_index").drop("row_index")
 

@@ -59,6 +59,14 @@ def with_calls(df: DataFrame, code: str, out: str = "generated_invocations") ->
     return df.withColumn(out, run(code))
 
 
+def calls_of_bodies(bodies: DataFrame) -> DataFrame:
+    """(index, invocations, error) of a batch of generated bodies; an entry that cannot be read has no calls and says why."""
+    start, end, size = F.col("bodyStartOffset"), F.col("bodyEndOffset"), F.length("fileContent")
+    error = F.when(F.col("fileContent").isNull(), "no file content").when(F.col("generatedBody").isNull(), "no generated body").when(start.isNull() | end.isNull() | (start < 0) | (end < start) | (end > size), "offsets outside the file")
+    called = with_calls(bodies.withColumn("error", error).withColumn("__code", F.when(error.isNull(), F.col("generatedBody"))), "__code", "invocations")
+    return called.select("index", "invocations", "error")
+
+
 def tests_table(sources: DataFrame) -> DataFrame:
     """(test_file, test_class, test_method, called) of source texts (path, text)."""
 

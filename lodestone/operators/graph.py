@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import canonical_invocation, package_of, vertex_id
-from lodestone.operators.dataset import row_numbers
+from lodestone.operators.dataset import row_numbers, seeded_sample
 
 
 def flatten_vertices(methods: DataFrame, order: str) -> DataFrame:
@@ -49,6 +49,11 @@ def top(degree: DataFrame, column: str, vertex: str = "vertex_id", n: int = 10)
     return degree.filter(F.col(column) > 0).orderBy(F.desc(column), vertex).limit(n)
 
 
+def seeded_pick(degree: DataFrame, order: str, seed: int, n: int = 5) -> DataFrame:
+    """n vertices that call others, picked as ``random.Random(seed).sample`` picks from them in order, with ``sample_pos``."""
+    return seeded_sample(degree.filter("out_degree > 0"), [order], n, seed, shuffle_all=True)
+
+
 def weight_counts(edge: DataFrame) -> DataFrame:
     return edge.groupBy("weight").agg(F.count("*").alias("n"))
 

@@ -84,10 +84,54 @@ def mine_failures(samples: DataFrame, order: str, require_related: bool = False,
     return kept.drop("reason"), rejected.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+#: The metrics of a record, and those of its retrieval.
+RECORD_METRICS = ("em", "es", "iou", "lcs_ratio", "lcs_no_ident_ratio", "lcsubstring_no_ident_ratio", "codebleu", "compilable", "compile_exit_code")
+RETRIEVAL_METRICS = ("recall_at_k", "api_coverage_at_k", "mrr", "retrieval_precision_at_k", "retrieval_ndcg_at_k", "retrieval_type_iou", "owner_type_recall")
+
+
 def record(df: DataFrame, with_prompt: bool = False) -> DataFrame:
-    """Nested records of failures."""
-    fields = ["method_id", "mode", F.struct("metrics.*").alias("metrics"), F.struct("test_eval.*").alias("test_eval"), "related", "relation_score", F.col("generated"), F.col("ground_truth")]
-    return df.select(*fields, *(["prompt"] if with_prompt and "prompt" in df.columns else []))
+    """Nested records of mined failures: identity, source, method, verdict, metrics, code, context, retrieval and prompt.
+
+    What the samples have no column or field for is null. ``retrieval`` is null as a whole unless
+    a query or results are there."""
+    fields = {f.name: {x.name for x in f.dataType.fields} if f.dataType.typeName() == "struct" else set() for f in df.schema.fields}
+
+    def at(name: str, inside: str = "", default: str | None = None, kind: str | None = None):
+        there = inside in fields and name in fields[inside] if inside else name in fields
+        c = F.col(f"{inside}.{name}" if inside else name) if there else F.lit(None).cast(kind or "string")
+        return (c if default is None else F.coalesce(c, F.expr(default))).alias(name)
+
+    digest = record_hash(F.coalesce(at("generated"), F.lit("")), F.coalesce(at("method_id"), F.lit("")))
+    mode = F.coalesce(F.nullif(at("mode"), F.lit("")), at("mode_dir"))
+    number = at("sample_index", kind="int")
+    stem = F.when(number.isNull(), "sample_").otherwise(F.format_string("sample_%03d", number))
+    named = F.contains(F.coalesce(at("method_id"), F.lit("")), F.lit("#"))
+    method = F.struct(at("method_id"), at("file_path"), at("method_signature").alias("signature"), F.when(named, F.substring_index(at("method_id"), "#", -1)).otherwise(method_of_signature(at("method_signature"))).alias("method_name"), F.when(named, F.substring_index(at("method_id"), "#", 1)).alias("class_fqn"))
+    tests = [at("build_success", "test_eval", "true", "boolean"), *(at(x, "test_eval", "0", "int") for x in ("tests_run", "tests_passed", "tests_failed")), at("failed_test_names", "test_eval", "cast(array() AS array<string>)", "array<string>")]
+    verdict = F.struct(F.lit(True).alias("compiles"), F.lit(False).alias("exact_match"), F.lit(False).alias("tests_pass"), *tests, F.col("related").alias("related_failed_tests"), "relation_score")
+    code = F.struct(*(at(x) for x in ("ground_truth", "generated", "normalized_ground_truth", "normalized_generated")))
+    context = F.struct(*(at(x) for x in ("invocations_ordered", "invocations_as_used", "generated_invocations", "coverage_ratio", "line_coverage", "test_file_paths", "direct_test_methods")))
+    found = F.struct(at("retrieval_query").alias("query"), at("retrieval_results").alias("results"), at("augmentation_block"), *(at(x, "metrics", kind="double") for x in RETRIEVAL_METRICS))
+    retrieval = F.when(at("retrieval_query").isNotNull() | at("retrieval_results").isNotNull(), found)
+    return df.select(
+        F.concat(mode, F.lit(":"), stem, F.lit(":"), F.left(digest, F.lit(12))).alias("candidate_id"), digest.alias("candidate_hash"),
+        F.struct(mode.alias("mode"), number.alias("sample_index")).alias("source"), method.alias("method"), verdict.alias("verdict"),
+        F.struct(*(at(x, "metrics", kind="double") for x in RECORD_METRICS)).alias("metrics"), code.alias("code"), context.alias("context"), retrieval.alias("retrieval"),
+        *([at("prompt")] if with_prompt and "prompt" in fields else []),
+    )
+
+
+def summary(kept: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row on a mining: samples seen, candidates, related candidates, candidates by mode and rejections by reason.
+
+    Candidates are counted by mode first, so only modes and reasons are gathered."""
+    modes = kept.groupBy("mode").agg(F.count("*").alias("n"), F.count_if(F.col("relation_score") > 0).alias("r"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    pairs = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "n"))))
+    one = modes.agg(zero("n").alias("candidate_count"), zero("r").alias("related_candidate_count"), pairs("mode").alias("by_mode"))
+    two = counts.agg(zero("n").alias("__out"), pairs("reason").alias("rejected"))
+    joined = one.join(F.broadcast(two))  # one row each
+    return joined.select((F.col("candidate_count") + F.col("__out")).alias("total_samples_seen"), "candidate_count", "related_candidate_count", "by_mode", "rejected")
 
 
 def failure_order(order: str):

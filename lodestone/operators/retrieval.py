@@ -90,12 +90,13 @@ def term_score() -> Column:
     return bm25 + jm + dirichlet
 
 
-def score(query_terms_: DataFrame, posted: DataFrame) -> DataFrame:
+def score(query_terms_: DataFrame, posted: DataFrame, stats: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query, doc, score, clauses): best clause plus a tenth of the others, for all queries in one join.
 
     ``query_terms_``: query, clause, boost, field, term, mult. Terms of the queries reach
-    the postings before statistics are joined, so only the lists in use are scored."""
-    lengths, terms, fields = index_stats(posted)
+    the postings before statistics are joined, so only the lists in use are scored. ``stats``: those of
+    a written index, which then are not counted again."""
+    lengths, terms, fields = stats or index_stats(posted)
     wanted = query_terms_.select("field", "term").distinct()
     lists = posted.join(wanted, ["field", "term"]).join(terms, ["field", "term"]).join(lengths, ["field", "doc"]).join(fields, "field")
     scored = lists.select("field", "term", "doc", term_score().alias("s"))

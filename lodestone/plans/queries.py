@@ -400,6 +400,32 @@ def mine_rejections(spark, sf):
     return mining.mine_failures(_verdicts(spark, sf), "o_orderkey", dedupe="generated")[1]
 
 
+_RELATED = """cast(len(list_filter(failed, lambda x: split_part(x, '.', 2) = 'Order' || (o_custkey % 100) || 'Test' or contains(lower(x), 'test1'))) as int) as n_related,
+ coalesce(list_max(list_transform(failed, lambda x: case when split_part(x, '.', 2) = 'Order' || (o_custkey % 100) || 'Test' then 1 else 0 end + case when contains(lower(x), 'test1') then 1 else 0 end)), 0) as relation_score, len(failed) as tests_failed"""
+
+
+@query(f"with {_MINE}, k as (select *, {_RELATED} from r where {_REASON} is null) select o_orderkey, row_number() over (order by relation_score desc, n_related desc, tests_failed desc, o_totalprice desc, o_orderkey) as place from k")
+def failure_ranking(spark, sf):
+    kept, _ = mining.mine_failures(_verdicts(spark, sf), "o_orderkey", dedupe="generated")
+    return mining.ranked(kept, "o_orderkey").select("o_orderkey", "place")
+
+
+@query(f"""with {_MINE}, k as (select *, {_RELATED}, 'pkg.Order' || o_custkey % 100 as class_fqn, sha256('{{"generated": "' || o_custkey || '|' || o_orderpriority || '", "method_id": "pkg.Order' || o_custkey % 100 || '#test1"}}') as candidate_hash from r where {_REASON} is null)
+select 'm:sample_' || lpad(cast(o_orderkey % 5000 as varchar), cast(greatest(3, length(cast(o_orderkey % 5000 as varchar))) as int), '0') || ':' || candidate_hash[:12] as candidate_id, candidate_hash, class_fqn, 'test1' as method_name, cast(relation_score as int) as relation_score, cast(tests_failed as int) as tests_failed, cast(lines as int) as tests_run, o_orderkey % 3 = 0 as has_retrieval from k""")
+def failure_records(spark, sf):
+    rows = _verdicts(spark, sf).withColumns({"sample_index": (F.col("o_orderkey") % 5000).cast("int"), "retrieval_query": F.when(F.col("o_orderkey") % 3 == 0, "q")})
+    made = mining.record(mining.mine_failures(rows, "o_orderkey", dedupe="generated")[0])
+    return made.select("candidate_id", "candidate_hash", "method.class_fqn", "method.method_name", "verdict.relation_score", "verdict.tests_failed", "verdict.tests_run", F.col("retrieval").isNotNull().alias("has_retrieval"))
+
+
+@query(f"""with {_MINE}, k as (select {_REASON} as reason, {_RELATED} from r), c as (select reason, count(*) as n from k where reason is not null group by all)
+select count(*) as total_samples_seen, count(*) filter (where reason is null) as candidate_count, count(*) filter (where reason is null and relation_score > 0) as related_candidate_count, (select string_agg(reason || '=' || n, ';' order by reason) from c) as rejected from k""")
+def failure_summary(spark, sf):
+    made = mining.summary(*mining.mine_failures(_verdicts(spark, sf), "o_orderkey", dedupe="generated"))
+    shown = F.transform(F.array_sort(F.map_entries("rejected")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return made.select("total_samples_seen", "candidate_count", "related_candidate_count", F.array_join(shown, ";").alias("rejected"))
+
+
 # Graphs ------------------------------------------------------------------------------------------
 
 _EDGES = "e as (select c_nationkey as src, s_nationkey as dst, count(*) as weight from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by all)"

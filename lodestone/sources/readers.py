@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import jvm_types
-from lodestone.sources.schemas import METHOD_FIELDS, SAMPLE
+from lodestone.sources.files import exists, read_text
+from lodestone.sources.schemas import METHOD, METHOD_FIELDS, SAMPLE
 
 
-def read_methods(spark: SparkSession, path: str) -> DataFrame:
+def read_methods(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Method rows of extraction documents, with ``ord`` (document, place); missing arrays are empty.
 
-    Only ``methods`` is parsed. A document without a ``methods`` array is an error."""
+    Only ``methods`` is parsed. A document without a ``methods`` array is an error. One document
+    is read by one task; ``lines`` reads a method per line instead (``sinks.write_methods``), so
+    that large extractions are split, and has no ``ord``."""
+    if lines:
+        rows = spark.read.schema(METHOD).json(path)
+        return rows.withColumns({f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) for f in rows.schema.fields if f.dataType.typeName() == "array"})
     raw = spark.read.json(path, multiLine=True, schema=f"methods array<{METHOD_FIELDS}>").withColumn("__file", F.col("_metadata.file_path"))
     checked = raw.withColumn("methods", F.when(F.col("methods").isNull(), F.raise_error(F.concat(F.lit("no array of methods in "), F.col("__file")))).otherwise(F.col("methods")))
     rows = checked.select("__file", F.posexplode("methods").alias("ord", "m")).select(F.struct("__file", "ord").alias("ord"), "m.*")
@@ -61,11 +68,12 @@ def test_totals(suites: DataFrame) -> DataFrame:
     return suites.agg(zero("tests_run").alias("tests_run"), zero("tests_failed").alias("tests_failed"), F.array_sort(F.flatten(F.collect_list("failed_test_names"))).alias("failed_test_names")).withColumn("tests_passed", F.col("tests_run") - F.col("tests_failed"))
 
 
-def read_sources(spark: SparkSession, root: str, with_tests: bool = False, glob: str = "*.java") -> DataFrame:
-    """(path, text) of a source tree without build folders and, by default, tests."""
+def read_sources(spark: SparkSession, root: str, with_tests: bool = False, glob: str = "*.java", only_tests: bool = False) -> DataFrame:
+    """(path, text) of a source tree without build folders and, by default, tests; ``only_tests`` reads just those."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     files = files.filter(~F.col("path").rlike("/(?:build|[.]gradle)/"))
-    return files if with_tests else files.filter(~F.contains("path", F.lit("/src/test/")))
+    is_test = F.contains("path", F.lit("/src/test/"))
+    return files.filter(is_test) if only_tests else files if with_tests else files.filter(~is_test)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -79,15 +87,70 @@ def read_slices(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.json(root, multiLine=True, schema="name string, indices array<int>", pathGlobFilter="*.json").filter("name <> 'all'").select(F.col("name").alias("slice"), F.explode("indices").alias("sample_index"))
 
 
+def largest_report(spark: SparkSession, root: str, cached: str | None = None, glob: str = "jacoco*.xml", least: int = 1000) -> str | None:
+    """The coverage report to read: a cached one if it exists, else the largest file of that name under ``root``.
+
+    Files of ``least`` bytes or fewer are configuration. Of equal sizes the first path; None without any.
+    Only names and lengths are listed, no content is read."""
+    if cached and exists(spark, cached):
+        return cached
+    files = spark.read.format("binaryFile").load(root, recursiveFileLookup=True, pathGlobFilter=glob).select("path", "length")
+    found = files.filter(F.col("length") > least).orderBy(F.desc("length"), "path").first()
+    return found and found["path"]
+
+
+def read_summary(spark: SparkSession, root: str) -> dict | None:
+    """The ``summary.json`` of a results folder; None if there is none."""
+    path = f"{root}/summary.json"
+    return json.loads(read_text(spark, path)) if exists(spark, path) else None
+
+
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a batch of generated bodies: index, filePath, fileContent, bodyStartOffset, bodyEndOffset, generatedBody.
+
+    A document without a ``samples`` array is an error."""
+    entry = "index int, filePath string, fileContent string, bodyStartOffset int, bodyEndOffset int, generatedBody string"
+    raw = spark.read.json(path, multiLine=True, schema=f"samples array<struct<{entry}>>")
+    return raw.select(F.explode(F.when(F.col("samples").isNull(), F.raise_error(F.lit("no array of samples"))).otherwise(F.col("samples"))).alias("s")).select("s.*")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """(postings, (lengths, terms, fields)) as ``sinks.write_index`` left them, for ``retrieval.score``."""
+    postings, lengths, terms, fields = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "terms", "fields"))
+    return postings, (lengths, terms, fields)
+
+
 def read_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{root}/vertices"), spark.read.parquet(f"{root}/edges")
 
 
+#: What a configuration's sections hold where a file does not say.
+DEFAULTS = {
+    "project": {"fallback_tag": "", "build_system": "gradle", "repo": "", "test_command": ""},
+    "extraction": {"require_non_void": False, "require_parameters": False, "require_test_coverage": False, "min_coverage_ratio": 0.0, "require_public": False, "max_file_tokens": 0},
+    "llm": {"context_window": 0, "max_concurrent_requests": 1},
+    "compilability": {"source_version": "21", "java_home": None},
+    "test_evaluation": {"enabled": False, "timeout_seconds": 300, "build_system": "maven"},
+}
+RETRIEVER_DEFAULTS = {
+    "top_k": 5, "max_augmentation_tokens": 2048, "max_results_in_prompt": -1, "max_body_lines": 50, "include_body": True, "near_duplicate_threshold": 0.8,
+    "min_score_ratio": 0.3, "retriever_type": "lucene", "external_retriever_class": "", "external_retriever_jars": [], "project_source_roots": [],
+}
+
+
 def load_config(path: str) -> dict:
-    """A YAML configuration; an old single ``retrieval`` section becomes the default retriever."""
+    """A YAML configuration with its defaults. An old single ``retrieval`` section is the default retriever unless one is named so.
+
+    A negative number of results in the prompt means as many as are fetched."""
     import yaml
 
     config = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-    if "retrieval" in config and "retrievers" not in config:
-        config["retrievers"] = {"default": config.pop("retrieval")}
-    return config
+    filled = {name: DEFAULTS.get(name, {}) | (section or {}) if isinstance(section, dict | None) else section for name, section in config.items()}
+    filled.setdefault("test_evaluation", dict(DEFAULTS["test_evaluation"]))
+    named = config.get("retrievers") or {}
+    if "retrieval" in config:
+        named = {"default": config["retrieval"]} | named
+    made = {name: RETRIEVER_DEFAULTS | (section or {}) for name, section in named.items()}
+    filled["retrievers"] = {name: r | {"max_results_in_prompt": r["top_k"]} if r["max_results_in_prompt"] < 0 else r for name, r in made.items()}
+    filled.pop("retrieval", None)
+    return filled

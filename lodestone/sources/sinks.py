@@ -5,22 +5,56 @@ from __future__ import annotations
 import hashlib
 import json
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import analysis
+from lodestone.operators.retrieval import index_stats
+from lodestone.sources.files import exists, write_text
+
+
+#: The statistics beside an index's postings: lengths of documents, counts of terms, totals of fields.
+INDEX_TABLES = ("lengths", "terms", "fields")
+
 
 def write_samples(df: DataFrame, path: str, drop: tuple[str, ...] = ("prompt",)) -> None:
     """JSON rows by mode; large text columns can be left out."""
     df.drop(*drop).write.mode("overwrite").partitionBy("mode").json(path)
 
 
-def write_records(df: DataFrame, path: str, layout: str | None = None) -> None:
-    """JSON lines, or for ``*.json`` one array per partition (small results are written as one)."""
-    layout = layout or ("json" if path.endswith(".json") else "jsonl")
+def write_records(df: DataFrame, path: str, layout: str | None = None, summary: DataFrame | None = None) -> None:
+    """JSON lines, or for names other than ``*.jsonl`` one JSON array, nulls included.
+
+    The array is one file by nature: its rows pass through one task a row at a time, none is
+    gathered. Lines are the layout for large results. ``summary``, a table of one row, is
+    written to ``<path>.summary.json``."""
+    layout = layout or ("jsonl" if path.endswith(".jsonl") else "json")
     if layout == "jsonl":
-        df.write.mode("overwrite").json(path)
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    elif layout == "json":
+        rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+        listed = rows.unionByName(df.sparkSession.createDataFrame([(None,)], "row string")).coalesce(1)
+        placed = listed.withColumn("first", F.monotonically_increasing_id() == 0)  # in one partition the numbers are places
+        placed.select(F.when(F.col("row").isNull(), F.when(F.col("first"), "[]").otherwise("]")).otherwise(F.concat(F.when(F.col("first"), "[").otherwise(","), "row")).alias("value")).write.mode("overwrite").text(path)
     else:
-        df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.mode("overwrite").text(path)
+        raise ValueError(f"no such layout: {layout}")
+    if summary is not None:
+        write_document(summary, f"{path.rstrip('/')}.summary.json")
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """A table of one row as one JSON document: a data set's index, a response, a summary."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).take(2)
+    if len(rows) != 1:
+        raise ValueError("a document is exactly one row")
+    write_text(df.sparkSession, path, rows[0].value)
+
+
+def write_methods(methods: DataFrame, path: str) -> None:
+    """Method rows as JSON lines, a file per partition, which ``read_methods(..., lines=True)`` splits among tasks."""
+    methods.write.mode("overwrite").json(path)
 
 
 def write_slices(df: DataFrame, path: str) -> None:
@@ -33,8 +67,13 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def write_index(posted: DataFrame, path: str) -> None:
-    """Postings sorted by field and term, so that a lookup reads few row groups."""
-    posted.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(path)
+    """Postings, sorted by field and term so that a lookup reads few row groups, and the statistics that scores need.
+
+    Written anew as a whole; the statistics are counted from the written postings."""
+    posted.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/postings")
+    kept = posted.sparkSession.read.parquet(f"{path}/postings")
+    for name, table in zip(INDEX_TABLES, index_stats(kept), strict=True):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def manifest(config: dict) -> str:
@@ -45,8 +84,7 @@ def manifest(config: dict) -> str:
 def cached(spark: SparkSession, root: str, config: dict, make) -> DataFrame:
     """The table of a configuration: read if it was completed before, else made and written."""
     path = f"{root}/{manifest(config)}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -63,3 +101,22 @@ def markdown_table(rows: list[dict]) -> str:
 def report(stats: DataFrame) -> str:
     """Markdown of a table of statistics: a row per mode and metric."""
     return markdown_table([r.asDict() for r in stats.collect()])
+
+
+def write_report(samples: DataFrame, mode: str, modes: Sequence[str], metrics: Sequence[str], root: str) -> None:
+    """``<mode>/aggregate.json``, ``summary.json``, ``comparison_table.txt`` and ``report.md`` under a folder.
+
+    Statistics are computed once, by mode and metric; only they (modes x metrics rows) reach the
+    driver. A metric without values in a mode is null there and ``N/A`` in tables."""
+    spark = samples.sparkSession
+    stats = analysis.long_stats(samples, mode, metrics).collect()
+    counts = {r[0]: r["n"] for r in samples.groupBy(mode).agg(F.count("*").alias("n")).collect()}
+    found = {(r[mode], r["metric"]): {x: round(r[f"v_{x}"], 4) for x in ("mean", "median", "std")} for r in stats if r["n"]}
+    summary = {m: {"sample_count": counts.get(m, 0)} | {x: found.get((m, x)) for x in metrics} for m in modes}
+    show = lambda s: "N/A" if s is None else f"{s['mean']:.4f} (std={s['std']:.4f})"
+    table = markdown_table([{"Metric": x} | {m: show(summary[m][x]) for m in modes} for x in metrics])
+    for m in modes:
+        write_text(spark, f"{root}/{m}/aggregate.json", json.dumps(summary[m], indent=2))
+    write_text(spark, f"{root}/summary.json", json.dumps(summary, indent=2))
+    write_text(spark, f"{root}/comparison_table.txt", table)
+    write_text(spark, f"{root}/report.md", "\n".join(["# Results", "", *(f"- {m}: {counts.get(m, 0)} samples" for m in modes), "", table, ""]))

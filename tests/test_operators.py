@@ -256,8 +256,11 @@ def test_fill_missing(spark):
 
 def test_config(tmp_path):
     pytest.importorskip("yaml")
-    (tmp_path / "c.yaml").write_text("retrieval:\n  k: 5\n")
-    assert readers.load_config(str(tmp_path / "c.yaml")) == {"retrievers": {"default": {"k": 5}}}
+    (tmp_path / "c.yaml").write_text("retrieval:\n  top_k: 7\nretrievers:\n  own:\n    max_results_in_prompt: 2\nllm:\n  seed: 1\n")
+    got = readers.load_config(str(tmp_path / "c.yaml"))
+    assert got["retrievers"]["default"]["max_results_in_prompt"] == 7 and got["retrievers"]["own"]["max_results_in_prompt"] == 2
+    assert got["retrievers"]["own"]["top_k"] == 5 and got["llm"] == {"seed": 1, "context_window": 0, "max_concurrent_requests": 1}
+    assert got["test_evaluation"]["enabled"] is False and "retrieval" not in got
 
 
 def test_contains_join_takes_names_of_any_length(spark):
