@@ -66,8 +66,12 @@ def index_documents(methods: DataFrame, body_limit: int = 5000) -> DataFrame:
 
 
 def postings(docs: DataFrame, doc: str, field_texts: Column, pattern: str = ANALYZER) -> DataFrame:
-    """(field, term, doc, tf) of a map of field texts."""
-    words = docs.select(F.col(doc).alias("doc"), F.explode(field_texts).alias("field", "text")).select("doc", "field", F.explode(analyze("text", pattern)).alias("term"))
+    """(field, term, doc, tf) of a map of field texts.
+
+    Texts are dealt by document before they are taken apart, so the words themselves are never
+    shuffled, and all that is grouped by document later stays where it is."""
+    dealt = docs.select(F.col(doc).alias("doc"), field_texts.alias("texts")).repartition("doc")
+    words = dealt.select("doc", F.explode("texts").alias("field", "text")).select("doc", "field", F.explode(analyze("text", pattern)).alias("term"))
     return words.groupBy("field", "term", "doc").agg(F.count("*").alias("tf"))
 
 
@@ -79,6 +83,10 @@ def index_stats(posted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return lengths, terms, fields
 
 
+#: At most so many (query, clause, term) rows are broadcast, about 20 MB.
+BROADCAST_TERMS = 200_000
+
+
 def term_score() -> Column:
     """BM25 (1.2, 0.75) plus Jelinek-Mercer (0.7) plus Dirichlet (2000), of tf, dl, avgdl, df, ctf, n_docs and total."""
     c = lambda x: F.col(x).cast("double")
@@ -95,12 +103,21 @@ def score(query_terms_: DataFrame, posted: DataFrame, stats: tuple[DataFrame, Da
 
     ``query_terms_``: query, clause, boost, field, term, mult. Terms of the queries reach
     the postings before statistics are joined, so only the lists in use are scored. ``stats``: those of
-    a written index, which then are not counted again."""
+    a written index, which then are not counted again.
+
+    With ``BROADCAST_TERMS`` query terms or fewer (counted), terms and their statistics go to the
+    postings: these stay dealt by document, and a common term's list meets its queries in all
+    tasks and not in one. More terms are joined by shuffles."""
+    near = F.broadcast if query_terms_.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda df: df
     lengths, terms, fields = stats or index_stats(posted)
     wanted = query_terms_.select("field", "term").distinct()
-    lists = posted.join(wanted, ["field", "term"]).join(terms, ["field", "term"]).join(lengths, ["field", "doc"]).join(fields, "field")
+    known = terms.join(near(wanted), ["field", "term"], "left_semi").join(near(fields), "field")
+    if stats is None:
+        lists = posted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc", "field"))).join(near(known), ["field", "term"])
+    else:
+        lists = posted.join(near(known), ["field", "term"]).join(lengths, ["field", "doc"])
     scored = lists.select("field", "term", "doc", term_score().alias("s"))
-    per = query_terms_.join(scored, ["field", "term"]).groupBy("query", "doc", "clause").agg(F.sum(F.col("boost") * F.col("mult") * F.col("s")).alias("c"))
+    per = scored.join(near(query_terms_), ["field", "term"]).groupBy("query", "doc", "clause").agg(F.sum(F.col("boost") * F.col("mult") * F.col("s")).alias("c"))
     best = per.groupBy("query", "doc").agg(F.max("c").alias("top"), F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("clause", "c"))).alias("clauses"))
     return best.select("query", "doc", (F.col("top") + F.lit(TIE) * (F.col("all") - F.col("top"))).alias("score"), "clauses")
 
