@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "lodestone", cpus: str | None = None, memory: str = "8g") -> SparkSession:
@@ -23,3 +24,22 @@ def local_session(name: str = "lodestone", cpus: str | None = None, memory: str
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where all runs in this process."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not (context.master or "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: computed once, and read again by any executor after a loss."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -9,22 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import jvm_types
+from lodestone.sources.documents import read_elements
 from lodestone.sources.files import exists, read_text
-from lodestone.sources.schemas import METHOD, METHOD_FIELDS, SAMPLE
+from lodestone.sources.schemas import METHOD, SAMPLE
 
 
 def read_methods(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Method rows of extraction documents, with ``ord`` (document, place); missing arrays are empty.
 
-    Only ``methods`` is parsed. A document without a ``methods`` array is an error. One document
-    is read by one task; ``lines`` reads a method per line instead (``sinks.write_methods``), so
-    that large extractions are split, and has no ``ord``."""
+    Only ``methods`` is parsed, by as many tasks as the files have splits (``documents.read_elements``). A document without
+    a ``methods`` array is an error. ``lines`` reads a method per line instead (``sinks.write_methods``), and has no ``ord``."""
     if lines:
         rows = spark.read.schema(METHOD).json(path)
         return rows.withColumns({f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) for f in rows.schema.fields if f.dataType.typeName() == "array"})
-    raw = spark.read.json(path, multiLine=True, schema=f"methods array<{METHOD_FIELDS}>").withColumn("__file", F.col("_metadata.file_path"))
-    checked = raw.withColumn("methods", F.when(F.col("methods").isNull(), F.raise_error(F.concat(F.lit("no array of methods in "), F.col("__file")))).otherwise(F.col("methods")))
-    rows = checked.select("__file", F.posexplode("methods").alias("ord", "m")).select(F.struct("__file", "ord").alias("ord"), "m.*")
+    found = read_elements(spark, path, "methods", METHOD)
+    rows = found.select(F.struct(F.col("file").alias("__file"), F.col("ord")).alias("ord"), "element.*")
     arrays = [f for f in rows.schema.fields if f.dataType.typeName() == "array"]
     return rows.withColumns({f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) for f in arrays})
 
