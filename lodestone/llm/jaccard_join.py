@@ -19,8 +19,10 @@ when ``100 * |A & B| >= percent * |A | B|``.
    each worth a comparison of sets. A pair of sizes n and m needs an
    overlap ``o``; its first ``l`` shared shingles stand before place ``|set| - o + l`` in
    both sets (``l`` the smaller of the two), so it is compared only if that many of its
-   shared shingles do. Under a shingle, members of its largest component are never paired
-   with each other. Every pair that can link is either compared or already connected:
+   shared shingles do. With ``s`` shingles that others have too, a class of n reaches sizes up to
+   ``s * (100 + percent) / percent - n`` at most; postings meet by shingle and band of size, so classes of much
+   boilerplate that is too short for a link meet nobody. Under a shingle, members of its largest component are never
+   paired with each other. Every pair that can link is either compared or already connected:
    components are exact, with no cap on partners.
 5. Components by least label with pointer jumping, in checkpointed rounds; the rest's links
    join components and not classes.
@@ -44,6 +46,8 @@ from lodestone.llm._words import U, Words, chunks, mix
 SHINGLE, PERCENT, LAYERS = 5, 75, 4
 #: Rows of two or three numbers that may be broadcast once they are counted: some 10 MB.
 SMALL = 1 << 18
+#: Bands of sizes from a set's own to the largest that it may link to, and postings of a shingle from which they are told apart.
+BANDS, CROWD = 4, 32
 
 
 def shingles(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -261,7 +265,10 @@ def _core(source: DataFrame, classes: DataFrame, chosen: DataFrame, frequent, k:
 def _links(core: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Links that make the skeleton's components, and links (of components, ca and cb) that join these."""
     prefix = F.slice("ids", 1, F.col("sh") - F.col("least") + F.least("least", F.lit(LAYERS)))
-    postings = stash(core.select("class", "n", "sh", "weight", F.posexplode(prefix).alias("pos", "token")), "postings")
+    # With sh shingles to share, a class links to sizes up to ``hi`` at most: beyond it, more shingles are needed than it has.
+    low, high = F.ceil(F.col("n") * percent / 100), F.least(F.floor(F.col("n") * 100 / percent), F.floor(F.col("sh") * ((100 + percent) / percent) + 1e-6) - F.col("n"))
+    ranged = core.withColumns({"lo": low, "hi": high}).filter("lo <= hi")
+    postings = stash(ranged.select("class", "n", "sh", "lo", "hi", "weight", F.posexplode(prefix).alias("pos", "token")), "postings")
     sizes = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     needed = lambda x, y: F.floor((F.lit(percent) * (x + y) + (99 + percent)) / (100 + percent))
 
@@ -289,14 +296,18 @@ def _links(core: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     bar = F.greatest(F.lit(0), F.col("sh") - needed(F.col("n"), F.col("n")))
     costs = [F.sum(F.when(F.col("pos") < bar + at, others).otherwise(0)) * (1 + F.max("sh") / (4.0 * at)) for at in range(1, LAYERS + 1)]
     chosen = open_.groupBy("class").agg(F.array(*costs).alias("costs")).select("class", F.array_position("costs", F.array_min("costs")).cast("int").alias("ell"))
-    open_ = open_.join(chosen, "class").select("token", "class", "n", "sh", "ell", "pos", "component", F.col("major.component").alias("major"))
+    open_ = open_.join(chosen, "class").select("token", "class", "n", "sh", "lo", "hi", "ell", "pos", "component", F.col("major.component").alias("major"), (F.col("all") > CROWD).alias("crowd"))
     side = lambda c: (F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sh").alias(f"s{c}"), F.col("ell").alias(f"l{c}"), F.col("pos").alias(f"p{c}"), F.col("component").alias(f"c{c}"))
-    one = open_.filter("component <> major").select("token", *side("a"))
-    two = open_.select("token", *side("b"), (F.col("component") == F.col("major")).alias("big"))
+    # Under a shingle that many classes have, a class meets only those of sizes that it can still reach.
+    place = lambda size: F.floor(F.log(size) * (BANDS / math.log(100 / min(percent, 99)))).cast("int")
+    reached = F.when(F.col("crowd"), F.sequence(place(F.col("lo")), place(F.col("hi")))).otherwise(F.array(F.lit(-1)))
+    one = open_.filter("component <> major").select("token", *side("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(reached).alias("reach"))
+    two = open_.select("token", *side("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), (F.col("component") == F.col("major")).alias("big"), F.when(F.col("crowd"), place(F.col("n"))).otherwise(-1).alias("reach"))
     o = needed(F.col("na"), F.col("nb"))
     most = F.least("la", "lb", o)
     may = (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & sizes(F.col("na"), F.col("nb")) & (F.least("sa", "sb") >= o) & (F.col("pa") < F.col("sa") - o + most) & (F.col("pb") < F.col("sb") - o + most)
-    met = one.join(two, "token").filter(may)
+    mutual = F.col("nb").between(F.col("lo_a"), F.col("hi_a")) & F.col("na").between(F.col("lo_b"), F.col("hi_b"))
+    met = one.join(two, ["token", "reach"]).filter(mutual & may)
     first = F.col("a") < F.col("b")  # under different shingles a pair may stand either way round
     turned = lambda x, y: (F.when(first, F.col(x)).otherwise(F.col(y)).alias(x), F.when(first, F.col(y)).otherwise(F.col(x)).alias(y))
     pairs = met.select(*turned("a", "b"), *turned("ca", "cb"), most.alias("l")).groupBy("a", "b", "ca", "cb", "l").agg(F.count("*").alias("shared")).filter("shared >= l")
