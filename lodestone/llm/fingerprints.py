@@ -15,9 +15,9 @@ where x is 1. As q and exp(-c) come from the hash by products, this test needs n
 three of four words; logarithms and sums are made for the rest. (A sample without any word
 below 20 / W would read as empty, in equal texts alike.)
 
-With 64 samples the standard error of a likeness is 0.0625 at most. A signature holds 16
-bits of each sample, by which two unlike samples agree by chance once in 65,536 times. The
-fingerprint shows four bits of each sample, by which unlike samples agree once in 16 times.
+With 64 samples the standard error of a likeness is 0.0625 at most. A fingerprint holds 16
+bits of each sample, four hexadecimal digits, by which two unlike samples agree by chance once in
+65,536 times; a likeness is the share of equal samples of two fingerprints.
 """
 
 from __future__ import annotations
@@ -137,8 +137,8 @@ def likeness(one: str, two: str, samples: int = SAMPLES) -> Column:
 
 
 def print_of(signature: str) -> Column:
-    """The fingerprint as text: a hexadecimal digit per sample."""
-    return F.array_join(F.transform(signature, lambda v: F.lower(F.hex(v.bitwiseAND(F.lit(15))))), "")
+    """The fingerprint as text: four hexadecimal digits per sample."""
+    return F.lower(F.array_join(F.transform(signature, lambda v: F.lpad(F.hex(v.cast("int").bitwiseAND(F.lit(0xFFFF))), 4, "0")), ""))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:

@@ -89,7 +89,12 @@ def test_fingerprints(plain, empty):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == prints.setdefault(frozenset(bag(t).items()), r["fingerprint"])
         assert (r["near_next"] == 1.0) == (r["fingerprint"] == got[rows[(k + 1) % len(rows)][0]]["fingerprint"])
-        assert 0 <= r["near_edited"] <= 1 and len(r["fingerprint"]) == SAMPLES
+        assert len(r["fingerprint"]) == 4 * SAMPLES
+        # Both likenesses are those of the fingerprints that are returned.
+        four = lambda p: [p[i : i + 4] for i in range(0, len(p), 4)]
+        like = lambda one, two: sum(a == b for a, b in zip(four(one), four(two), strict=True)) / SAMPLES
+        assert r["near_edited"] == like(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == like(r["fingerprint"], got[rows[(k + 1) % len(rows)][0]]["fingerprint"])
     assert fingerprints(empty).count() == 0
 
 
