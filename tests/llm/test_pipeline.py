@@ -53,7 +53,7 @@ def test_language_stage_goes_by_the_prediction(spark):
     assert {r["doc_id"] for r in pipeline.language(spark, bare, SF).collect()} == {r["doc_id"] for r in more.collect()}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("op11_")))
 def test_queries_return_all_rows(spark, name):
     table, key = ("pages", "page_id") if name.startswith("op1_") else ("documents", "doc_id")
     df = QUERIES[name](spark, SF)
