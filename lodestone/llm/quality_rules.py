@@ -3,7 +3,7 @@
 Each rule votes good (1) or bad (0) on a text or abstains (null). Votes are counted by
 pattern over all documents; there are at most 3 ** rules patterns, so the table that
 reaches the driver has a fixed bound. Expectation-maximisation over it estimates the shares
-of good and bad texts and, for each rule, how often it is right and wrong. A text
+of good texts and of several kinds of bad ones and, for each of them and each rule, how often it votes either way or abstains. A text
 is kept where its posterior probability of being good is at least one half, rather than
 where it passes all rules.
 
@@ -13,8 +13,7 @@ the row and compared with their neighbours, so no window is ever shuffled.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,45 +85,70 @@ def votes() -> dict[str, Column]:
     }
 
 
-class Accuracies:
-    """What EM estimates. Bad texts are bad each in its own way, so there is one kind of bad text per rule.
+#: Priors of EM, in documents: (vote bad, don't) of a rule on texts that are bad in its way, and on those bad in another way.
+OWN, ANOTHER = (9.0, 1.0), (0.1, 0.9)
+#: On good texts a rule votes bad once in 200 times, and this weighs as much as a tenth of all documents: what a rule that fires alone
+#: says fits a slip on good texts as well as a kind of bad ones, so the votes can't tell. Where a rule doesn't vote bad, it abstains
+#: (weakly) once in five times.
+SLIP, WEIGHT, SILENT = 0.005, 0.1, (0.2, 0.8)
+
 
-    ``share``: of good texts, then of each kind. ``hit``: P(rule j votes bad | kind j).
-    ``slip``: P(rule j votes bad | any other text)."""
+class Accuracies:
+    """What EM estimates: of good texts (first) and of one kind of bad text per rule, the ``share`` of all, and ``votes``: the
+    probabilities that each rule votes bad, votes good or abstains."""
 
     def __init__(self, rules: int):
-        self.share = [0.85] + [0.15 / rules] * rules
-        self.hit, self.slip = [0.9] * rules, [0.01] * rules
+        self.share = np.array([0.85] + [0.15 / rules] * rules)
+        bad = np.full((rules + 1, rules), SLIP)
+        bad[np.arange(rules) + 1, np.arange(rules)] = OWN[0] / sum(OWN)
+        silent = SILENT[0] / sum(SILENT)
+        self.votes = np.stack([bad, (1 - bad) * (1 - silent), (1 - bad) * silent], axis=2)
+
+    def log_odds(self, kind: int, rule: int, vote: int | None) -> float:
+        """Of a kind of bad text (from 0) against a good one, by one rule's vote."""
+        at = 2 if vote is None else vote
+        return float(np.log(self.votes[kind + 1, rule, at]) - np.log(self.votes[0, rule, at]))
+
+    def quality(self, votes: tuple) -> float:
+        """Posterior probability that a text with such votes is good."""
+        kinds = range(len(self.share) - 1)
+        odds = [self.share[k + 1] / self.share[0] * np.exp(sum(self.log_odds(k, j, v) for j, v in enumerate(votes))) for k in kinds]
+        return float(1 / (1 + sum(odds)))
 
-    def odds(self, j: int, vote: int | None) -> float:
-        """Odds of kind j against a good text, given rule j's vote; an abstention speaks half against the kind."""
-        weight = 0.5 if vote is None else self.hit[j] / self.slip[j] if vote == 0 else (1 - self.hit[j]) / (1 - self.slip[j])
-        return self.share[j + 1] / self.share[0] * weight
 
+def expect(patterns: list[tuple[tuple, int]], rules: int, rounds: int = 200, settled: float = 1e-9) -> Accuracies:
+    """EM over counted vote patterns: a mixture of good texts and of kinds of bad ones, each with its own votes of all rules.
 
-def expect(patterns: list[tuple[tuple, int]], rules: int, rounds: int = 40) -> Accuracies:
-    """EM over counted vote patterns. Weak priors stand for votes never seen; a rule slips on
-    one good text in a hundred at most and hits half of its own kind at least, which keeps good
-    and bad from changing places."""
+    Rules whose votes go together do so in some kind, so they aren't counted as independent evidence. Nothing is
+    clamped: priors in documents (``OWN``, ``ANOTHER``, ``SLIP``, ``SILENT``) stand for votes never seen and keep the classes in their places."""
     now = Accuracies(rules)
+    if not patterns:
+        return now
+    seen = np.array([[2 if v is None else v for v in votes_] for votes_, _ in patterns])
+    count = np.array([float(n) for _, n in patterns])
+    hot = np.eye(3)[seen]  # patterns x rules x votes
+    prior = np.tile(np.array(ANOTHER), (rules + 1, rules, 1))
+    prior[np.arange(rules) + 1, np.arange(rules)] = OWN
+    prior[0] = np.array([SLIP, 1 - SLIP]) * WEIGHT * count.sum()
+    few = np.array([8.5] + [1.5 / rules] * rules)
+    before = -np.inf
     for _ in range(rounds):
-        share = [8.5] + [1.5 / rules] * rules
-        hit, slip = [[9.0, 10.0] for _ in range(rules)], [[0.05, 10.0] for _ in range(rules)]
-        for votes_, count in patterns:
-            odds = [now.odds(j, v) for j, v in enumerate(votes_)]
-            good = count / (1 + sum(odds))
-            share[0] += good
-            for j, v in enumerate(votes_):
-                bad = good * odds[j]
-                share[j + 1] += bad
-                if v is not None:
-                    for sums, weight in ((hit[j], bad), (slip[j], count - bad)):
-                        sums[0] += (v == 0) * weight
-                        sums[1] += weight
-        share = [share[0], *(max(x, 0.003 * sum(share)) for x in share[1:])]
-        now.share = [x / sum(share) for x in share]
-        now.hit = [min(0.98, max(0.5, a / b)) for a, b in hit]
-        now.slip = [min(0.01, max(0.001, a / b)) for a, b in slip]
+        fit = np.log(now.share) + np.einsum("pjv,kjv->pk", hot, np.log(now.votes))
+        top = fit.max(axis=1, keepdims=True)
+        each = np.exp(fit - top)
+        total = each.sum(axis=1, keepdims=True)
+        weight = each / total * count[:, None]
+        now.share = (weight.sum(axis=0) + few) / (count.sum() + few.sum())
+        table = np.einsum("pk,pjv->kjv", weight, hot)
+        bad = (table[..., 0] + prior[..., 0]) / (table.sum(axis=2) + prior.sum(axis=2))
+        # How often a rule that doesn't vote bad abstains is a fact of the texts' form (few lines, few words), alike in all classes:
+        # left to each class, classes would gather texts that rules are silent on and not bad ones.
+        silent = (table[..., 2].sum(axis=0) + SILENT[0]) / (table[..., 1:].sum(axis=(0, 2)) + sum(SILENT))
+        now.votes = np.stack([bad, (1 - bad) * (1 - silent), (1 - bad) * silent], axis=2)
+        reached = float((count * (np.log(total) + top)[:, 0]).sum())
+        if abs(reached - before) <= settled * count.sum():
+            break
+        before = reached
     return now
 
 
@@ -133,7 +157,8 @@ def judge(featured: DataFrame, least: float = 0.5) -> DataFrame:
 
     ``base_failed``: fewer than 50 words, or more than half of the words in repeated
     three-word windows; such texts are not kept whatever the rules say. Repeated rows count
-    as often as they occur; with no row at all the result is empty."""
+    as often as they occur; with no row at all the result is empty. Columns of these names and those of the rules are
+    replaced, and the counts that only rules use go."""
     rules = votes()
     names = list(rules)
     voted = featured.drop(*names, "base_failed", "quality", "kept").withColumns(rules)
@@ -143,8 +168,11 @@ def judge(featured: DataFrame, least: float = 0.5) -> DataFrame:
     found = expect(sorted(patterns, key=str), len(names))
 
     odds = F.lit(0.0)
-    for j, x in enumerate(names):
-        odds = odds + F.when(F.col(x) == 0, found.odds(j, 0)).when(F.col(x) == 1, found.odds(j, 1)).otherwise(found.odds(j, None))
+    for k in range(len(names)):
+        logs = F.lit(float(np.log(found.share[k + 1] / found.share[0])))
+        for j, x in enumerate(names):
+            logs = logs + F.when(F.col(x) == 0, found.log_odds(k, j, 0)).when(F.col(x) == 1, found.log_odds(k, j, 1)).otherwise(found.log_odds(k, j, None))
+        odds = odds + F.exp(logs)
     quality = F.lit(1.0) / (F.lit(1.0) + odds)
     judged = voted.withColumns({"base_failed": failed, "quality": quality})
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)).drop(*names, "__lines", "__upper", "__bangs", "__stops", "__kinds")
