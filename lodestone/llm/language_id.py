@@ -79,16 +79,21 @@ class Model:
         return out
 
 
-def fit(rows: DataFrame, per_language: int = 400, landmarks: int = 40, order: int = 4, bits: int = 16, ridge: float = 0.05, most_languages: int = 256) -> Model:
+def fit(rows: DataFrame, per_language: int = 400, landmarks: int = 40, order: int = 4, bits: int = 16, ridge: float = 0.05, room: int = 512 << 20) -> Model:
     """Learns from (key, text, lang) rows with a language.
 
-    ``per_language`` bounds the sample of each language and ``landmarks`` its landmarks, so
-    what reaches the driver is bounded: presence bits of at most that many texts. More than
-    ``most_languages`` languages are refused and never dropped in silence."""
+    About ``per_language`` texts of each language are sampled, and up to ``landmarks`` of them are its landmarks. With many languages
+    both shrink so that the sample's bits, the landmarks and the weights take ``room`` bytes each at most: the more languages there are,
+    the fewer texts stand for each. Languages whose weights alone would take more (1,022 by default) are refused
+    and never dropped in silence. Repeated rows have the same key and are sampled alike; without rows the model knows no language."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("key", "text", "lang")
-    known = rows.select("lang").distinct().limit(most_languages + 1).count()
-    if known > most_languages:
-        raise ValueError(f"more than {most_languages} languages; raise most_languages")
+    places = Presence(order, bits).size
+    most = max(1, room // (4 * places))
+    known = rows.select("lang").distinct().limit(most + 1).count()
+    if known > most:
+        raise ValueError(f"more than {most} languages take more than {room} bytes; raise room")
+    per_language = max(1, min(per_language, room // (max(1, known) * (places // 8 + 1))))
+    landmarks = max(1, min(landmarks, room // (4 * places * max(1, known))))
 
     def bits_of(batches):
         presence = Presence(order, bits)
