@@ -11,13 +11,16 @@ Characters that no piece covers fall back to their UTF-8 bytes, and so does a wh
 mark that stands in the text itself; decoding gives back every text exactly.
 
 Lattices of all new words of a batch are built together with numpy; those of known words
-are kept. Every step of backward sampling is one binary search for all words of a batch.
+are kept. Every step of backward sampling is one binary search for all words of a batch. A word of over
+``LONG`` letters is sampled by itself, alike, in time and memory that grow with its length.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +39,21 @@ _SPREAD = U(0xD6E8FEB86659FD93)
 _RUNS = re.compile(" *[^ ]+| +").findall
 
 
+#: Letters from which a word is sampled by itself, without a lattice that is kept.
+LONG = 512
+
+
 class Words(dict):
-    """Numbers of words; words met first are queued."""
+    """Numbers of words; words met first are queued, long ones (number -1) set aside."""
 
     def __init__(self):
         self.new: list[str] = []
+        self.long: list[str] = []
 
     def __missing__(self, word):
+        if len(word) > LONG:
+            self.long.append(word)
+            return -1
         self[word] = n = len(self)
         self.new.append(word)
         return n
@@ -70,6 +81,7 @@ class Lattice:
                 plain.append((piece, i, -model.get_score(i)))
                 self.spell[i] = piece.replace(MARK, " ").encode()
         self.longest = max(len(p) for p, _, _ in plain)
+        self.texts, self._known = [p for p, _, _ in plain], {}
         weight = np.array([-power * np.log(s + shift) for _, _, s in plain])
         top = weight.max()
         weight -= top + np.log(np.exp(weight - top).sum())
@@ -185,6 +197,56 @@ class Lattice:
         self.nodes += n * width
         return cum, prev, piece.astype(np.int32), end
 
+    def _long(self, word: str, seed: np.uint64) -> list[int]:
+        """Sampled pieces of one word, as its lattice would give them.
+
+        The sizes of the pieces that end at each place are found for all places at once; a running logarithm per place is
+        all that is kept of the forward sums. Backward, only the places that are drawn look their pieces up again."""
+        code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, sizes, h = len(code), np.zeros(len(code), np.uint32), np.zeros(len(code), U)
+        with np.errstate(over="ignore"):
+            for k in range(1, min(self.longest, n) + 1):
+                h = np.concatenate([h[:1], h[:-1]]) * _BASE + code.astype(U) + U(1) if k > 1 else code.astype(U) + U(1)
+                sizes[k - 1 :][np.isin(h[k - 1 :], self.hash)] |= np.uint32(1 << (k - 1))
+        fall = self._byte_weights(code).tolist()
+        known, ends = self.known(), sizes.tolist()
+        steps: dict[int, list[int]] = {}
+        log = array("d", [0.0]) * (n + 1)
+        for j in range(1, n + 1):
+            mask, before = ends[j - 1], log[j - 1]
+            total = 0.0 if mask & 1 else math.exp(fall[j - 1])
+            if mask:
+                if mask not in steps:
+                    steps[mask] = [k for k in range(1, self.longest + 1) if mask >> (k - 1) & 1]
+                for k in steps[mask]:
+                    total += math.exp(known[word[j - k : j]][1] + log[j - k] - before)
+            log[j] = before + math.log(total)
+        out, j, step, draws = [], n, 0, []
+        while j:
+            if step % 4096 == 0:
+                with np.errstate(over="ignore"):
+                    draws = ((mix(seed + (np.arange(4096, dtype=U) + U(step)) * U(0x9E3779B97F4A7C15)) >> U(40)).astype(float) * 2.0**-24).tolist()
+            u, mask = draws[step % 4096], ends[j - 1]
+            options = [(1, -1 - int(code[j - 1]), fall[j - 1])] if not mask & 1 else []
+            options += [(k, *known[word[j - k : j]]) for k in steps.get(mask, ())]
+            summed, chosen = 0.0, options[-1]
+            for option in options:
+                summed += math.exp(option[2] + log[j - option[0]] - log[j])
+                if summed > u:
+                    chosen = option
+                    break
+            out.append(chosen[1])
+            j -= chosen[0]
+            step += 1
+        return out[::-1]
+
+    def known(self) -> dict[str, tuple[int, float]]:
+        """Identifier and weight of each piece, by its text."""
+        if not self._known:
+            by_hash = {int(h): (int(i), float(w)) for h, i, w in zip(self.hash, self.id, self.weight, strict=True)}
+            self._known.update({p: by_hash[self._hash(p)] for p in self.texts})
+        return self._known
+
     def _byte_weights(self, code: np.ndarray) -> np.ndarray:
         n = 1 + (code >= 0x80).astype(int) + (code >= 0x800) + (code >= 0x10000)
         return n * self.byte_weight
@@ -210,13 +272,16 @@ class Lattice:
         count = np.array([len(p) for p in parts], np.int64)
         number = np.fromiter((self.words[w] for p in parts for w in p), np.int64, int(count.sum()))
         self.grow()
+        long, self.words.long = self.words.long, []
         if not len(number):
             return [np.zeros(0, np.int64) for _ in texts]
         doc = np.repeat(np.arange(len(texts)), count)
         nth = np.arange(len(number)) - (np.cumsum(count) - count)[doc]
         with np.errstate(over="ignore"):
             seed = mix(seeds.astype(U)[doc] ^ mix(nth.astype(U) + U(0x632BE59BD9B4E019)))
-        alive = np.argsort(number)  # in the order of the lattices, so that searches stay in the cache
+        alone = np.flatnonzero(number < 0) if long else np.zeros(0, np.int64)
+        sampled = [self._long(w, seed[i]) for w, i in zip(long, alone, strict=True)]
+        alive = np.argsort(number)[len(alone) :]  # in the order of the lattices, so that searches stay in the cache
         node = self.end[number[alive]]
         drawn, step = [], 0
         while len(alive):
@@ -230,10 +295,13 @@ class Lattice:
         length = np.zeros(len(number), np.int64)
         for at, _ in drawn:
             length[at] += 1
+        length[alone] = [len(s) for s in sampled]
         stop = np.cumsum(length)
         out = np.empty(int(stop[-1]), np.int64)
         for k, (at, ids) in enumerate(drawn):
             out[stop[at] - 1 - k] = ids
+        for i, s in zip(alone, sampled, strict=True):
+            out[stop[i] - len(s) : stop[i]] = s
         of = np.repeat(doc, length)
         if (out < 0).any():
             out, of = self._bytes(out, of)
