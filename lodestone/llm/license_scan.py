@@ -2,8 +2,9 @@
 
 Every licence template is indexed by its words with their positions. Of a file only the
 licence words of high inverse document frequency (over the templates) are looked up; each
-hit votes for a template at a relative position, postings are intersected by adding up the
-votes of one (template, position), and a candidate stands if enough of the template's weight
+hit votes for a template at a relative position, and postings are intersected by adding up the
+votes of one (template, position). Where more of a template's rare words are out of place than its
+share of missing weight allows, its text is not looked at; else a candidate stands if enough of the template's weight
 is in place and all its mandatory key phrases are. Fixed base phrases are counted exactly.
 """
 
@@ -71,10 +72,10 @@ class Index:
         self.idf = {w: math.log((1 + len(self.bodies)) / n) for w, n in holds.items()}
         rare = {w for w, n in holds.items() if n <= max(1, self.rare_share * len(self.bodies))}
         self.postings = defaultdict(list)
-        self.rarest = []
+        self.rare_weight = []
         for t, body in enumerate(self.bodies):
             kept = {w for w in body if w in rare} or {max(body, key=self.idf.__getitem__)}
-            self.rarest.append(kept)
+            self.rare_weight.append(sum(self.idf[w] for w in body if w in kept))
             for p, w in enumerate(body):
                 if w in kept:
                     self.postings[w].append((t, p))
@@ -110,7 +111,10 @@ class Index:
             for t, p in self.postings.get(w, ()):
                 for i in places[w]:
                     votes[t, i - p] += self.idf[w]
-        for t, start in votes:
+        for (t, start), vote in votes.items():
+            # What is missing of the rare words is missing of the whole: with more than that allows, no window can do.
+            if self.rare_weight[t] - vote > (1 - self.least) * self.weight[t] + 1e-9:
+                continue
             body = self.bodies[t]
             window = at[max(0, start) : max(0, start) + len(body) - max(0, -start)]
             share = sum(self.idf[b] for a, b in zip(window, body[max(0, -start) :], strict=False) if a == b) / self.weight[t]
@@ -141,7 +145,7 @@ def license_scan(docs: DataFrame, text: str = "text", index: Index | None = None
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(own)
-            found = [index.scan(t or "") for t in batch.column(at).to_pylist()]
+            found = [index.scan(t or "") for lo in range(0, batch.num_rows, 256) for t in batch.column(at).slice(lo, 256).to_pylist()]
             made = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), _TYPES, strict=True)] if found else [pa.array([], k) for k in _TYPES]
             kept = [i for i in range(len(batch.schema.names)) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], names=[*(batch.schema.names[i] for i in kept), *names])
