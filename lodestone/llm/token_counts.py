@@ -36,16 +36,22 @@ def byte_letters() -> list[str]:
 
 
 class Kept(dict):
-    """Results of a function by word, within ``ROOM`` bytes; long words are not kept."""
+    """Results of a function by word, within ``ROOM`` bytes; long words are not kept.
+
+    Two generations of half the room each: when the young one is full, it becomes the old one, and words that are met again come
+    back from there, so words in use stay and only those not met for a generation are made anew."""
 
     def __init__(self, make):
-        self.make, self.held = make, 0
+        self.make, self.held, self.old = make, 0, {}
 
     def __missing__(self, word):
-        made = self.make(word)
+        made = self.old.get(word)
+        if made is None:
+            made = self.make(word)
         if len(word) < 64:
             self.held += 200 + 2 * len(word) + (len(made) if isinstance(made, bytes) else 0)
-            if self.held > ROOM:
+            if self.held > ROOM // 2:
+                self.old = dict(self)
                 self.clear()
                 self.held = 0
             self[word] = made
