@@ -46,8 +46,42 @@ def test_quality_plan_is_native(odd):
 def test_em_finds_rules_that_fire_alone():
     clean, one, two = (1, 1, 1), (0, 1, 1), (1, 0, 0)
     found = expect([(clean, 900), (one, 60), (two, 40)], 3)
-    odds = lambda v: sum(found.odds(j, x) for j, x in enumerate(v))
-    assert odds(clean) < 0.1 < 1 < min(odds(one), odds(two)) and isinstance(found, Accuracies)
+    assert found.quality(clean) > 0.9 > 0.5 > max(found.quality(one), found.quality(two)) and isinstance(found, Accuracies)
+
+
+def test_em_recovers_planted_accuracies():
+    """How often each rule votes bad on good and on bad texts, the share of good ones and abstentions, with rules that go together."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rules, share = 6, np.array([0.8, 0.08, 0.07, 0.05])
+    table = np.zeros((4, rules, 3))
+    slip, silent = rng.uniform(0.001, 0.02, rules), rng.uniform(0.02, 0.3, rules)
+    table[..., 0] = slip
+    for kind, together in ((1, (0, 1)), (2, (2, 3, 4)), (3, (5, 0))):
+        table[kind, list(together), 0] = rng.uniform(0.6, 0.95, len(together))
+    table[..., 2] = (1 - table[..., 0]) * silent
+    table[..., 1] = 1 - table[..., 0] - table[..., 2]
+    of = rng.choice(4, 20_000, p=share)
+    votes_ = (rng.random((20_000, rules))[:, :, None] > table[of].cumsum(axis=2)).sum(axis=2)
+    found = expect(sorted(Counter(tuple(None if v == 2 else int(v) for v in row) for row in votes_).items(), key=str), rules)
+    bad = lambda s, t: (s[1:, None] * t[1:, :, 0]).sum(axis=0) / s[1:].sum()
+    assert abs(found.share[0] - 0.8) < 0.05 and np.abs(found.votes[0, :, 0] - slip).max() < 0.02
+    assert np.abs(bad(found.share, found.votes) - bad(share, table)).max() < 0.05
+    assert np.abs(found.votes[0, :, 2] - table[0, :, 2]).max() < 0.03
+    right = np.array([(found.quality(tuple(None if v == 2 else int(v) for v in row)) >= 0.5) == (k == 0) for row, k in zip(votes_[:3000], of[:3000], strict=True)])
+    assert right.mean() > 0.95
+
+
+def test_posterior_of_each_row_equals_a_plain_one(odd):
+    from lodestone.llm.quality_rules import votes
+
+    rules = votes()
+    featured = features(odd)
+    voted = [(tuple(r[f"__v{i}"] for i in range(len(rules))), r["n_words"], r["n_repeat_words"]) for r in featured.select("n_words", "n_repeat_words", *(c.alias(f"__v{i}") for i, c in enumerate(rules.values()))).collect()]
+    found = expect(sorted(Counter(v for v, _, _ in voted).items(), key=str), len(rules))
+    want = sorted((round(found.quality(v), 9), found.quality(v) >= 0.5 and n >= 50 and 100 * again <= 50 * n) for v, n, again in voted)
+    assert sorted((round(r["quality"], 9), r["kept"]) for r in judge(featured).collect()) == want
 
 
 def bag(t):
@@ -296,3 +330,74 @@ def test_url_branches_without_labels_inherit(spark):
     urls = [f"http://{h}/{s}/{i}{end}" for h, s, n, end in [("a.shop.com", "en", 40, ""), ("a.shop.com", "fr", 30, ""), ("a.shop.com", "de/x", 40, ""), ("b.shop.com", "fr", 3, ""), ("a.shop.net", "de", 12, ""), ("a.shop.net", "fr", 3, "")] for i in range(n)]
     got = url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).filter("rule is null").collect()
     assert {(r["host"], r["template"], r["verdict"]) for r in got} == {("a.shop.com", "{en,fr}/#", "block"), ("a.shop.com", "de/x/#", "block"), ("b.shop.com", "fr/#", "allow"), ("a.shop.net", "{de,fr}/#", "allow")}
+
+
+def test_license_votes_leave_no_template_out():
+    """Every template at every place, weighed word by word, against the index."""
+    index = Index()
+    rng = random.Random(6)
+    vocabulary = [w.decode() for b in index.bodies for w in b]
+
+    def every(text):
+        at = [w.encode() for w in re.findall(r"[a-z0-9]+", text.lower())]
+        labels, score = set(), 0.0
+        for (label, body, keys), weight in zip(index.templates, index.weight, strict=True):
+            body = body.encode().split()
+            for start in range(-len(body) + 1, len(at)):
+                window = at[max(0, start) : max(0, start + len(body))]
+                share = sum(index.idf[b] for a, b in zip(window, body[max(0, -start) :], strict=False) if a == b) / weight
+                if share >= index.least and all(any(window[i : i + len(k.split())] == k.encode().split() for i in range(len(window))) for k in keys):
+                    labels.add(label)
+                    score = max(score, min(1.0, share))
+        return labels, score
+
+    found = set()
+    for _ in range(300):
+        words_ = []
+        for _ in range(rng.randint(0, 3)):
+            body = rng.choice(index.bodies)
+            cut = [w.decode() for w in body]
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                cut[rng.randrange(len(cut))] = rng.choice([*vocabulary, "other"])
+            words_ += [*(rng.choice(vocabulary) for _ in range(rng.randint(0, 4))), *cut[rng.choice([0, 0, 2]) :]]
+        text = " ".join(words_)
+        got = index.scan(text)
+        labels, score = every(text)
+        base = set(got[4].split(",")) - {""}
+        assert set(got[5].split(",")) - {""} == labels | base
+        assert math.isclose(got[6], 1.0 if base else score, abs_tol=1e-9)
+        found |= labels
+    assert len(found) > 8
+
+
+def test_language_scores_equal_dense_kernel_ridge(spark):
+    """With every sampled text a landmark, the features are the whole kernel, so the fit is its dual solution."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.llm.language_id import Presence
+
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(8)), lang) for i in range(30) for lang, letters in [(("x", "abcdéf"), ("y", "efghiß"), ("z", "klmnao"))[i % 3]]]
+    model = fit(spark.createDataFrame(rows, "key long, text string, lang string").repartition(3), per_language=10_000, landmarks=10_000)
+    presence = Presence()
+    places_ = lambda t: set(presence.of(np.frombuffer(t.encode(), np.uint8)).tolist())
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    rows.sort(key=lambda r: (r[2], str(r[0])))
+    sets = [places_(t) for _, t, _ in rows]
+    full = np.array([[kernel(a, b) for b in sets] for a in sets])
+    target = np.array([[1.0 if lang == x else -1.0 for x in model.languages] for _, _, lang in rows])
+    share = np.array([1 / sum(r[2] == lang for r in rows) for _, _, lang in rows])
+    dual = np.linalg.solve(full + 0.05 / len(rows) * 3 * np.diag(1 / share), target)
+    new = ["abc def éa", "ghi ß", "kl mn ao"]
+    want = np.array([[kernel(places_(t), s) for s in sets] for t in new]) @ dual
+    assert np.allclose(model.score(pa.array(new)), want, atol=1e-3)
+
+
+def test_language_samples_shrink_to_the_room(spark):
+    rows = [(i, f"text number {i} " + "abc " * (i % 7), f"l{i % 6}") for i in range(240)]
+    table = spark.createDataFrame(rows, "key long, text string, lang string").repartition(3)
+    size = 4 * (256 + (1 << 16) + (1 << 16))
+    assert sorted(fit(table, room=6 * size).languages) == [f"l{i}" for i in range(6)]
+    with pytest.raises(ValueError, match="room"):
+        fit(table, room=5 * size)

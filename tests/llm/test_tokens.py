@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -131,3 +132,34 @@ def test_sampling_of_odd_rows(odd, empty):
     for r in got:
         by.setdefault((r["doc_id"], r["text"]), set()).add(r["ids_crc32"])
     assert all(len(v) == 1 for v in by.values()) and sample_pieces(empty, PIECES).count() == 0
+
+
+def test_long_words_are_sampled_alike(monkeypatch):
+    """By themselves as by their kept lattices, and in time that grows with their length."""
+    import lodestone.llm.piece_sampling as sampling
+
+    rng = random.Random(3)
+    said = ["".join(rng.choice("abcdeéthing漢🙂▁q") for _ in range(rng.randint(1, 90))) + " " + rng.choice(["short", "a  b", ""]) for _ in range(60)]
+    seeds = np.arange(60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole = [x.tolist() for x in Lattice(PIECES).encode(said, seeds)]
+    monkeypatch.setattr(sampling, "LONG", 2)
+    alone = [x.tolist() for x in Lattice(PIECES).encode(said, seeds)]
+    assert alone == whole
+    monkeypatch.setattr(sampling, "LONG", 512)
+    one = Lattice(PIECES)
+    text = "".join(rng.choice("abcdefghilmnorstu") for _ in range(300_000))
+    began = time.time()
+    ids = one.encode([text, "b " + text[:1000]], seeds[:2])
+    assert time.time() - began < 30
+    assert [one.decode(i) for i in ids] == [text, "b " + text[:1000]]
+
+
+def test_words_in_use_stay_in_the_cache(monkeypatch):
+    import lodestone.llm.token_counts as counts
+
+    monkeypatch.setattr(counts, "ROOM", 40_000)
+    made = Counter()
+    kept = counts.Kept(lambda w: made.update([w]) or len(w))
+    for i in range(3000):
+        assert kept["often"] == 5 and kept[f"w{i}"] == len(f"w{i}")
+    assert made["often"] == 1 and kept.held <= 20_000 and len(kept) + len(kept.old) < 200
