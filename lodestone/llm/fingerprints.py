@@ -159,9 +159,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     least = samples_of(terms(both, [*at, "kind"], "t"), [*at, "kind"], samples)
     slots = least.select(*at, F.struct((F.col("kind") * samples + F.col("k")).alias("slot"), F.shiftright(F.xxhash64("a"), 48).cast("short").alias("bits")).alias("s"))
     signed = slots.groupBy(*at).agg(F.sort_array(F.collect_list("s")).alias("s"))
-    empty = F.transform(F.sequence(F.lit(0), F.lit(2 * samples - 1)), lambda i: F.coalesce(F.get(F.filter("s", lambda x: x["slot"] == i), 0)["bits"], F.lit(-1).cast("short")))
-    signed = facts.join(signed, at, "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<slot:int,bits:smallint>>")))
-    signed = signed.withColumn("bits", F.when(F.size("s") == 2 * samples, F.col("s.bits")).otherwise(empty)).drop("s")
+    filled = F.transform(F.sequence(F.lit(0), F.lit(2 * samples - 1)), lambda i: F.coalesce(F.get(F.filter("s", lambda x: x["slot"] == i), 0)["bits"], F.lit(-1).cast("short")))
+    # Bits alone, two bytes a sample, go through the join's shuffle.
+    signed = signed.select(*at, F.when(F.size("s") == 2 * samples, F.col("s.bits")).otherwise(filled).alias("bits"))
+    signed = facts.join(signed, at, "left").withColumn("bits", F.coalesce("bits", F.array_repeat(F.lit(-1).cast("short"), 2 * samples)))
     signed = stash(signed.select("*", F.slice("bits", 1, samples).alias("__os"), F.slice("bits", samples + 1, samples).alias("__es")).drop("bits"), "signatures")
     following = signed.select(F.col("__b").alias("__nb"), F.col("__n").alias("__nn"), F.col("__os").alias("__ns"))
     joined = signed.join(following, ["__nb", "__nn"])
