@@ -25,12 +25,10 @@ def bag(tokens) -> Column:
     return F.transform(ends, lambda e, j: F.struct(F.get(s, e - 1).alias("t"), (e - F.coalesce(F.get(ends, j - 1), F.lit(0))).alias("n")))
 
 
-def token_iou_sorted(a, b) -> Column:
-    """Multiset intersection over union of two sorted token arrays; both empty 1, one empty 0.
-
-    |A ∪ B| as multisets is |A| + |B| - |A ∩ B|, and |A ∩ B| follows from one merge."""
+def common_sorted(a, b) -> Column:
+    """Size of the multiset intersection of two sorted arrays, by one merge."""
     x, y = col(a), col(b)
-    merged = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(1), F.size(x) + F.size(y) + 1),
         F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n")),
         lambda s, _: F.when((s["i"] >= F.size(x)) | (s["j"] >= F.size(y)), s)
@@ -39,6 +37,14 @@ def token_iou_sorted(a, b) -> Column:
         .otherwise(F.struct(s["i"].alias("i"), (s["j"] + 1).alias("j"), s["n"].alias("n"))),
         lambda s: s["n"],
     )
+
+
+def token_iou_sorted(a, b) -> Column:
+    """Multiset intersection over union of two sorted token arrays; both empty 1, one empty 0.
+
+    |A ∪ B| as multisets is |A| + |B| - |A ∩ B|."""
+    x, y = col(a), col(b)
+    merged = common_sorted(x, y)
     both = F.size(x) + F.size(y)
     return F.when(both == 0, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(merged / (both - merged))
 
@@ -96,6 +102,33 @@ def recall_of(found, oracle) -> Column:
     return F.when(F.size(col(oracle)) == 0, 1.0).otherwise(F.size(F.array_intersect(col(found), col(oracle))) / F.size(col(oracle)))
 
 
+def api_coverage(texts, oracle) -> Column:
+    """Share of the distinct exact calls (owner, method structs, owners in full) that stand in one of the results' texts.
+
+    A call stands in a text that holds the owner's simple name and the method, lower-cased, as substrings. ``texts``: a result's
+    card and profile, one each. No call: all found; no result: none."""
+    wanted = F.array_distinct(col(oracle))
+    lower = F.transform(col(texts), lambda t: F.lower(F.coalesce(t, F.lit(""))))
+    simple = lambda x: F.lower(F.substring_index(x["owner"], ".", -1))
+    found = F.filter(wanted, lambda x: F.exists(lower, lambda t: F.contains(t, simple(x)) & F.contains(t, F.lower(x["method"]))))
+    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(found) / F.size(wanted))
+
+
+def profile_apis(profile) -> Column:
+    """Distinct (owner, method) structs, lower-cased, of an invocation profile's lines of calls; generics of owners stay."""
+    lines = F.filter(F.transform(F.split(F.coalesce(col(profile), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit("::")) & ~x.rlike("^(?:bigram|trigram):"))
+    rest = lambda x: F.substring(x, F.instr(x, F.lit("::")) + 2, F.length(x))
+    method = lambda x: F.when(F.instr(rest(x), F.lit("(")) > 1, F.substring_index(rest(x), "(", 1)).otherwise(F.regexp_extract(rest(x), r"(\S*)", 1))
+    return F.array_distinct(F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, "::", 1)).alias("owner"), F.lower(method(x)).alias("method"))))
+
+
+def owner_type_recall(profiles, oracle) -> Column:
+    """Share of the distinct owners (in full, lower-cased) of the exact calls that own a call of a result's profile; without one 1."""
+    wanted = F.array_distinct(F.transform(col(oracle), lambda x: F.lower(x["owner"])))
+    owners = F.transform(F.flatten(F.transform(col(profiles), profile_apis)), lambda x: x["owner"])
+    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(F.array_intersect(wanted, owners)) / F.size(wanted))
+
+
 def pearson(x, y) -> Column:
     """Aggregate: Pearson correlation; 0 with fewer than three rows or a constant side."""
     spread = F.stddev_pop(col(x)) * F.stddev_pop(col(y))

@@ -25,6 +25,16 @@ KEYWORDS = (
 )
 #: Words that are literals and not names.
 LITERALS = ("true", "false", "null")
+#: Words as Unicode parts text: letters, digits and ``_`` together, and single signs between two letters or between two digits;
+#: ideographs and Hiragana one by one, Katakana in runs.
+_APART = r"\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}"
+_LETTER = rf"[\p{{IsAlphabetic}}&&[^{_APART}]]"
+WORDS = (
+    rf"(?:(?:{_LETTER}|[\p{{Nd}}\p{{Pc}}])[\p{{M}}\p{{Cf}}]*+|(?<={_LETTER}[\p{{M}}\p{{Cf}}]{{0,8}})[.'\u2018\u2019\u2024\uFE52\uFF07\uFF0E:\u00B7\u0387\u055F\u05F4\u2027\uFE13\uFE55\uFF1A][\p{{M}}\p{{Cf}}]*+(?={_LETTER})"
+    rf"|(?<=\p{{Nd}}[\p{{M}}\p{{Cf}}]{{0,8}})[.'\u2018\u2019\u2024\uFE52\uFF07\uFF0E,;\u037E\u0589\u060C\u060D\u066C\u07F8\u2044\uFE10\uFE14\uFF0C\uFF1B][\p{{M}}\p{{Cf}}]*+(?=\p{{Nd}}))++|[\p{{IsIdeographic}}\p{{IsHiragana}}][\p{{M}}\p{{Cf}}]*+|\p{{IsKatakana}}[\p{{IsKatakana}}\p{{M}}\p{{Cf}}]*+"
+)
+#: Longer words are cut into pieces of so many characters.
+LONGEST_WORD = 255
 #: Fixed value: finds local declarations.
 DECLARATION = r"\b(?:(?:final\s+)?(?:var|int|long|float|double|boolean|byte|char|short|String|[A-Z]\w*(?:<[^>]*>)?))\s+(\w+)\s*[=;,)]"
 #: Query terms that are never looked up.
@@ -178,6 +188,60 @@ def query_terms(texts) -> Column:
     return F.filter(parts, lambda x: (F.length(x) >= 3) & ~x.isin(*STOP_TERMS))
 
 
+def parameter_types(params) -> Column:
+    """Types of a parameter list with or without names: commas inside type arguments part nothing, package names go.
+
+    The last word of a parameter is its name if there is another before it, it begins with no capital and holds no ``<``."""
+    pieces = F.regexp_extract_all(F.coalesce(col(params), F.lit("")), F.lit(r"[<>,]|[^<>,]+"), F.lit(0))
+
+    def add(have: Column, x: Column) -> Column:
+        depth = have["depth"] + F.when(x == "<", 1).when(x == ">", -1).otherwise(0)
+        parts = (x == ",") & (have["depth"] <= 0)
+        return F.struct(depth.alias("depth"), F.when(parts, F.concat(have["done"], F.array(have["now"]))).otherwise(have["done"]).alias("done"), F.when(parts, "").otherwise(F.concat(have["now"], x)).alias("now"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    listed = F.aggregate(pieces, start, add, lambda have: F.concat(have["done"], F.array(have["now"])))
+    given = F.filter(F.transform(listed, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    last = lambda p: F.regexp_extract(p, r"(?U)(\S+)$", 1)
+    named = lambda p: p.rlike(r"(?U)\s") & ~last(p).rlike(r"^\p{Lu}") & ~F.contains(last(p), F.lit("<"))
+    typed = F.transform(given, lambda p: F.when(named(p), F.regexp_replace(F.regexp_replace(p, r"(?U)\s+\S+$", ""), r"(?U)\s+", " ")).otherwise(p))
+    return F.transform(typed, lambda p: F.regexp_replace(p, r"(?<![\w$])(?:[a-z][a-z0-9]*\.)+(?=[\w$])", ""))
+
+
+def declaration_start(content, offset, reach: int = 500) -> Column:
+    """Offset of the line in which the declaration of the body at ``offset`` begins, its annotations and comments included.
+
+    Lines are looked at from the body upwards, over ``reach`` characters: a line of the brace alone belongs to the one above it, and
+    so do lines above that begin with ``@``, ``//``, ``*`` or ``/*``. Where the window ends first, its start."""
+    text, at = col(content), col(offset)
+    low = F.greatest(at - reach, F.lit(0))
+    lines = F.reverse(F.split(F.substring(text, low + 1, at - low), "\n"))
+
+    def up(have: Column, line: Column) -> Column:
+        bare = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+        held = F.when(have["n"] == 0, True).when(have["bare"], True).otherwise(bare.rlike(r"^(?:@|//|\*|/\*)"))
+        goes = have["goes"] & held
+        taken = F.length(line) + F.when(have["n"] > 0, 1).otherwise(0)
+        return F.struct((have["n"] + 1).alias("n"), goes.alias("goes"), (goes & (bare.isin("", "{")) & ((have["n"] == 0) | have["bare"])).alias("bare"), (have["back"] + F.when(goes, taken).otherwise(0)).alias("back"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("goes"), F.lit(False).alias("bare"), F.lit(0).alias("back"))
+    return (at - F.aggregate(lines, start, up, lambda have: have["back"])).cast("int")
+
+
+def source_root(path) -> Column:
+    """The folder of a path up to and with ``src/main/java``, the first if there are several; null without one."""
+    p = F.translate(col(path), "\\", "/")
+    return F.nullif(F.regexp_extract(p, r"(?i)^((?:.*?/)??src/main/java)(?:/|$)", 1), F.lit(""))
+
+
+def source_key(fqn) -> Column:
+    """Where a class stands in a coverage report: package folders, and the file of the first name with a capital (else of the last)."""
+    parts = F.split(col(fqn), r"\.")
+    first = F.coalesce(F.array_position(F.transform(parts, lambda p: p.rlike(r"^\p{Lu}")), True), F.lit(0)).cast("int")
+    n = F.when(first > 0, first).otherwise(F.size(parts))
+    return F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit(".java"))
+
+
 def jvm_types(descriptor) -> Column:
     """Parameter types of a method descriptor: arrays as ``[]``, ``L...;`` with dots."""
     names = {"Z": "boolean", "B": "byte", "C": "char", "S": "short", "I": "int", "J": "long", "F": "float", "D": "double", "V": "void"}

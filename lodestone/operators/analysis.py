@@ -76,6 +76,26 @@ def cross_mode_issues(samples: DataFrame, index: str, mode: str, fields: Sequenc
     return seen.filter("__modes > 1").select(index, mode, F.explode(F.filter(F.array(*wrong), lambda x: x.isNotNull())).alias("field"))
 
 
+def ordered_issues(samples: DataFrame, index: str, mode: str, block: str, ordered: str, used: str) -> DataFrame:
+    """(index, mode, field) of samples in a mode with ordered calls whose calls as used are not the ordered ones.
+
+    Looked at are modes named ``*ordered*`` with a text in ``block`` and at least one call in ``ordered`` (structs with signature
+    and order_index), of indices that more than one mode has. Signatures are compared one by one, in the order of
+    order_index (of equal ones as they stand); a null list is empty."""
+    none = F.array().cast(samples.schema[ordered].dataType)
+    listed = F.coalesce(F.col(ordered), none)
+    by_place = F.transform(F.array_sort(F.transform(listed, lambda c, i: F.struct(c["order_index"].alias("o"), i.alias("i"), c["signature"].alias("s")))), lambda c: c["s"])
+    as_used = F.coalesce(F.transform(used, lambda c: c["signature"]), F.array().cast("array<string>"))
+    many = samples.withColumn("__modes", F.size(F.collect_set(mode).over(Window.partitionBy(index))))
+    wrong = many.filter((F.col("__modes") > 1) & F.contains(mode, F.lit("ordered")) & (F.coalesce(block, F.lit("")) != "") & (F.size(listed) > 0) & (by_place != as_used))
+    return wrong.select(index, mode, F.lit(used).alias("field"))
+
+
+def consistency_issues(samples: DataFrame, index: str, mode: str, fields: Sequence[str], block: str, ordered: str, used: str) -> DataFrame:
+    """(index, mode, field): what differs from the first mode, and ordered calls that were used in another order."""
+    return cross_mode_issues(samples, index, mode, fields).unionByName(ordered_issues(samples, index, mode, block, ordered, used))
+
+
 def issue_counts(issues: DataFrame, index: str, mode: str) -> DataFrame:
     return issues.groupBy(mode).agg(F.count("*").alias("n"), F.count_distinct(index).alias("n_indices"))
 
@@ -85,6 +105,25 @@ def any_every(samples: DataFrame, index: str, any_of: Sequence[str], every_of: S
     return samples.groupBy(index).agg(*(F.bool_or(c).alias(f"any_{c}") for c in any_of), *(F.bool_and(F.coalesce(F.col(c), F.lit(True))).alias(f"every_{c}") for c in every_of))
 
 
+def chosen_indices(samples: DataFrame, index: str, mode: str, name: str, text: str | None = None, matched: bool = False, compilable: bool = False, failing: bool = False, tested: bool = False, public: bool = False) -> DataFrame:
+    """(index): those that meet all the conditions asked for.
+
+    ``text``: stands in ``name``, whatever the case, in any mode. ``matched``: an exact match in any mode (``em``). ``compilable``: no mode is known not
+    to compile. ``failing``: any mode has errors (``compile_errors``). ``tested``: any mode has direct tests (``direct_test_methods``). ``public``: the
+    signature of the first mode begins with ``public``. Nulls are unknown: no match, no error, no test."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    asked = {
+        "text": (text, lambda: F.bool_or(F.contains(F.lower(F.coalesce(name, F.lit(""))), F.lit((text or "").lower())))), "em": (matched, lambda: F.bool_or(F.coalesce("em", F.lit(False)))),
+        "compilable": (compilable, lambda: F.bool_and(F.coalesce("compilable", F.lit(True)))), "failing": (failing, lambda: F.bool_or(some("compile_errors"))),
+        "tested": (tested, lambda: F.bool_or(some("direct_test_methods"))), "public": (public, lambda: F.coalesce(F.min_by("method_signature", mode).startswith("public"), F.lit(False))),
+    }
+    wanted = {n: condition() for n, (on, condition) in asked.items() if on}
+    if not wanted:
+        return samples.select(index).distinct()
+    met = samples.groupBy(index).agg(*(c.alias(f"__{n}") for n, c in wanted.items()))
+    return met.filter(" and ".join(f"__{n}" for n in wanted)).select(index)
+
+
 def mode_diffs(samples: DataFrame, index: str, mode: str, text: str) -> DataFrame:
     """All pairs of modes of an index whose texts differ."""
     one, two = samples.select(index, F.col(mode).alias("m1"), F.col(text).alias("t1")), samples.select(index, F.col(mode).alias("m2"), F.col(text).alias("t2"))

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import api_class, complexity_class, count_tokens, strip_generics
+from lodestone.functions.text import api_class, complexity_class, count_tokens, line_of_offset, source_key, source_root, strip_generics
+from lodestone.session import stored
 
 
 def first_reason(reasons: Sequence[tuple[str, Column]]) -> Column:
@@ -67,9 +68,9 @@ def seeded_sample(df: DataFrame, order: Sequence[str], k: int, seed: int, shuffl
 def row_numbers(df: DataFrame, order: Sequence[str], column: str = "row_index") -> DataFrame:
     """0-based numbers in the given order, which must be total, by range partitions and their running counts.
 
-    The ranged rows are persisted, so that counts and numbers see the same partitions: planned
-    twice, the ranges would be sampled twice. A lost block is made again from the same shuffle."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
+    The ranged rows are stored, so that counts and numbers see the same partitions, also after the loss of an
+    executor: planned twice, the ranges would be sampled twice."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per partition
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
@@ -116,6 +117,34 @@ def line_coverage(methods: DataFrame, lines: DataFrame, width: int = 256) -> Dat
     return hit.groupBy("method_id").agg(F.array_sort(F.collect_list(F.struct("line", "covered", "missed"))).alias("lines"))
 
 
+def source_roots(files: DataFrame, path: str, project: str) -> DataFrame:
+    """(root): the source folders of a project's files, in order; the project itself if there is none."""
+    found = files.select(source_root(path).alias("root")).filter("root is not null").distinct()
+    return files.sparkSession.createDataFrame([(project,)], "root string") if found.isEmpty() else found.orderBy("root")
+
+
+def with_source_keys(methods: DataFrame, lines: DataFrame, path: str = "filePath", fqn: str = "classFqn") -> DataFrame:
+    """Methods with ``source_key``, the file of a coverage report that they stand in.
+
+    It is the longest of the report's keys that is a tail of the method's path, folder by folder; where there is none, or no path, the one
+    that the class name spells. Each path is posted under all its tails, and these meet the report's keys by equality, so no path is
+    compared with all keys."""
+    paths = methods.select(F.col(path).alias("__path")).filter("__path is not null").distinct()
+    folders = F.filter(F.split(F.translate("__path", "\\", "/"), "/"), lambda x: x != "")
+    tails = F.transform(F.sequence(F.lit(1), F.greatest(F.size(folders), F.lit(1))), lambda n: F.struct(F.array_join(F.slice(folders, F.greatest(F.size(folders) - n + 1, F.lit(1)), n), "/").alias("source_key"), n.alias("n")))
+    met = paths.select("__path", F.explode(tails).alias("t")).select("__path", "t.*").join(lines.select("source_key").distinct(), "source_key")
+    longest = met.groupBy("__path").agg(F.max_by("source_key", "n").alias("__key"))
+    joined = methods.drop("source_key").join(longest, F.col(path) == F.col("__path"), "left")
+    return joined.withColumn("source_key", F.coalesce("__key", source_key(fqn))).drop("__path", "__key")
+
+
+def method_line_coverage(methods: DataFrame, lines: DataFrame, key: str, width: int = 256) -> DataFrame:
+    """(method_id, lines) of method rows: the file from path or class, first and last line from the body's offsets in the file's text."""
+    at = lambda c: line_of_offset("fileContent", F.col(c))
+    spans = with_source_keys(methods, lines).select(F.col(key).alias("method_id"), "source_key", at("bodyStartOffset").alias("first_line"), at("bodyEndOffset").alias("last_line"))
+    return line_coverage(spans.filter("first_line is not null and last_line is not null"), lines, width)
+
+
 def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
     """Pairs of a text and a name that stands in it as a substring, for names of word characters (Unicode's) and ``$``.
 
@@ -169,6 +198,11 @@ def category() -> Column:
     return F.coalesce(first_reason(reasons), F.lit("NORMAL"))
 
 
+def kept_methods(methods: DataFrame, least: int, all_categories: bool = False) -> DataFrame:
+    """Methods of ``least`` statements or more; those of a category other than NORMAL only on demand, and by the same bound."""
+    return methods.filter((F.col("statementCount") >= least) & (F.lit(all_categories) | (F.col("category") == "NORMAL")))
+
+
 def siblings(methods: DataFrame, type_: str, order: str, fields: Sequence[str], most: int = 4096) -> DataFrame:
     """Methods with ``siblings``: all other methods of their type in declaration order, filtered ones included.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.metrics import set_iou
-from lodestone.functions.text import KEYWORDS, STOP_TYPES, body_block, generic_types, invocation_owner, path_is_suffix, simple_name, simplify_signature, type_tokens
+from lodestone.functions.text import KEYWORDS, STOP_TYPES, body_block, generic_types, invocation_owner, parameter_types, path_is_suffix, simple_name, simplify_signature, type_tokens
 from lodestone.operators.prompt import FILE, blanked
 
 _CALL = re.compile(r"(?:\bnew\s+([A-Z]\w*)(?:<[^<>()]*>)?|((?:\w+\s*\.\s*)*)\b([a-z_]\w*))\s*\(")
@@ -93,7 +93,7 @@ def match_methods(results: DataFrame, methods: DataFrame) -> DataFrame:
     pool = chosen.join(methods.withColumnRenamed("path", "m_path"), "m_path").join(results.select("result", "id"), "result")
     alone = F.count("*").over(Window.partitionBy("result")) == 1
     id_name = F.regexp_extract(F.substring_index(F.substring_index("id", "#", -1), "::", -1), r"^([^(]*)", 1)
-    id_params = F.filter(F.transform(F.split(F.regexp_extract("id", r"\(([^)]*)\)", 1), ","), lambda x: simple_name(F.substring_index(F.trim(x), " ", 1))), lambda x: x != "")
+    id_params = F.transform(parameter_types(F.regexp_extract("id", r"\(([^)]*)\)", 1)), simple_name)
     tier = (
         F.when(alone, 0)
         .when((F.col("id") == F.concat_ws("#", "class_fqn", "name")) | (F.col("id") == F.col("signature")), 1)

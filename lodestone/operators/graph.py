@@ -114,9 +114,13 @@ def ordered(shown: DataFrame, by: str = "index", column: str = "place") -> DataF
     return row_numbers(shown.withColumns(named) if named else shown, [*named, "idx"], column).drop(*named)
 
 
-def dense(vertices: DataFrame, edge: DataFrame) -> DataFrame:
-    """(src_idx, weights): a row of the matrix for each vertex, with zeros; for graphs small enough to show."""
-    n = vertices.count()
+def dense(vertices: DataFrame, edge: DataFrame, most: int = 4096) -> DataFrame:
+    """(src_idx, weights): a row of the matrix for each vertex, with zeros; for graphs small enough to show.
+
+    The matrix has the square of the vertices' number, so more than ``most`` are refused; ``adjacency`` has no such bound."""
+    n = vertices.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} vertices; use adjacency")
     rows = adjacency(vertices, edge).groupBy("src_idx").agg(F.map_from_entries(F.collect_list(F.struct("dst_idx", "weight"))).alias("m"))
     filled = vertices.select(F.col("idx").alias("src_idx")).join(rows, "src_idx", "left")
     empty = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import class_simple_name, failed_test, method_of_signature, outer_class, record_hash, test_class_of_path
 from lodestone.operators.dataset import first_reason, row_numbers
+from lodestone.session import stored
 
 #: Reasons for a relation, with their weights, in order.
 RELATIONS = (("direct_test_method", 4), ("referenced_test_file", 2), ("target_class_test_class_match", 1), ("method_name_overlap", 1))
@@ -69,9 +70,10 @@ def related(samples: DataFrame) -> DataFrame:
 def mine_failures(samples: DataFrame, order: str, require_related: bool = False, dedupe: str = "method_generated") -> tuple[DataFrame, DataFrame]:
     """(records, counts by reason). Repeats by method and text (or by text, or not at all) keep the first in order.
 
-    Rejected samples are only counted: relations are sought, and repeats met, among the others alone."""
+    Rejected samples are only counted: relations are sought, and repeats met, among the others alone. Those are stored once, as
+    records and counts both read them."""
     judged = samples.withColumn("reason", rejection())
-    rejected, kept = judged.filter("reason is not null").select("reason"), related(judged.filter("reason is null"))
+    rejected, kept = judged.filter("reason is not null").select("reason"), stored(related(judged.filter("reason is null")))
     if require_related:
         kept = kept.withColumn("reason", F.when(F.col("relation_score") == 0, "unrelated_test_failure"))
         rejected, kept = rejected.unionByName(kept.filter("reason is not null").select("reason")), kept.filter("reason is null")

@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import STOP_TERMS, generic_types, path_is_suffix, query_terms, short_invocation, simple_name
+from lodestone.functions.text import LONGEST_WORD, STOP_TERMS, WORDS, generic_types, path_is_suffix, query_terms, short_invocation, simple_name
 
 #: Clause boosts, share of the other clauses, results per class, default results.
 BOOSTS, TIE, PER_CLASS, DEFAULT_K = {"type": 5.0, "signature": 3.0, "package": 2.0, "invocation": 1.0}, 0.1, 2, 5
-ANALYZER = r"(?U)\w+(?:\.\w+)*"
+ANALYZER = WORDS
 
 
 def over_fetch(k: int) -> int:
@@ -21,8 +21,13 @@ def over_fetch(k: int) -> int:
 
 
 def analyze(text: Column | str, pattern: str = ANALYZER) -> Column:
-    """Lower-cased words; a dot between letters does not part them."""
-    return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(pattern), F.lit(0))
+    """Lower-cased words: by default as Unicode parts text, so a sign like ``.`` or ``:`` between two letters does not part them, two signs do."""
+    words = F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(pattern), F.lit(0))
+    if pattern != ANALYZER:
+        return words
+    pieces = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / LONGEST_WORD).cast("int")), lambda i: F.substring(w, i * LONGEST_WORD + 1, F.lit(LONGEST_WORD)))
+    long = F.exists(words, lambda w: F.length(w) > LONGEST_WORD)
+    return F.when(long, F.flatten(F.transform(words, pieces))).otherwise(words)
 
 
 def method_card() -> Column:
@@ -87,15 +92,21 @@ def index_stats(posted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 BROADCAST_TERMS = 200_000
 
 
-def term_score() -> Column:
-    """BM25 (1.2, 0.75) plus Jelinek-Mercer (0.7) plus Dirichlet (2000), of tf, dl, avgdl, df, ctf, n_docs and total."""
+def score_parts() -> dict[str, Column]:
+    """BM25 (1.2, 0.75), Jelinek-Mercer (0.7) and Dirichlet (2000), of tf, dl, avgdl, df, ctf, n_docs and total."""
     c = lambda x: F.col(x).cast("double")
     one = F.lit(1.0)
     bm25 = F.log(one + (c("n_docs") - c("df") + 0.5) / (c("df") + 0.5)) * c("tf") / (c("tf") + F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * c("dl") / c("avgdl")))
     p = (c("ctf") + one) / (c("total") + one)
     jm = F.log(one + (F.lit(0.3) * c("tf") / c("dl")) / (F.lit(0.7) * p))
     dirichlet = F.greatest(F.lit(0.0), F.log(one + c("tf") / (F.lit(2000.0) * p)) + F.log(F.lit(2000.0) / (c("dl") + F.lit(2000.0))))
-    return bm25 + jm + dirichlet
+    return {"bm25": bm25, "jelinek_mercer": jm, "dirichlet": dirichlet}
+
+
+def term_score() -> Column:
+    """The sum of ``score_parts``."""
+    parts = score_parts()
+    return parts["bm25"] + parts["jelinek_mercer"] + parts["dirichlet"]
 
 
 def score(query_terms_: DataFrame, posted: DataFrame, stats: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -122,6 +133,38 @@ def score(query_terms_: DataFrame, posted: DataFrame, stats: tuple[DataFrame, Da
     return best.select("query", "doc", (F.col("top") + F.lit(TIE) * (F.col("all") - F.col("top"))).alias("score"), "clauses")
 
 
+def explain(winners: DataFrame, query_terms_: DataFrame, posted: DataFrame, stats: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query, doc, score, clauses): how the score of each winner (query, doc) comes about, as a tree of two levels below the score.
+
+    A clause has its ``value``, its ``share`` of the score (all of the best clause, a tenth of the others; shares add up to the score) and its
+    terms; a term has its field, weight (boost times repeats), the three parts of its score and its ``value``, weight times their sum.
+    Postings are read a second time, for the winners only: after ranking, a few documents for each query. Terms that a
+    document lacks have no entry; a winner without any is left out. Clauses and terms are ordered by value, the largest first."""
+    lengths, terms, fields = stats or index_stats(posted)
+    few = winners.select("query", "doc").distinct()
+    mine = posted.join(F.broadcast(few.select("doc").distinct()) if few.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else few.select("doc").distinct(), "doc", "left_semi")
+    asked = few.join(query_terms_, "query")
+    known = terms.join(query_terms_.select("field", "term").distinct(), ["field", "term"], "left_semi").join(F.broadcast(fields), "field")  # a row for each field
+    sized = mine.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc", "field"))) if stats is None else mine.join(lengths, ["field", "doc"])
+    met = asked.join(sized, ["field", "term", "doc"]).join(known, ["field", "term"])
+    parts = score_parts()
+    weight = F.col("boost") * F.col("mult")
+    valued = met.select("query", "doc", "clause", "field", "term", weight.alias("weight"), *(p.alias(n) for n, p in parts.items())).withColumn("value", F.col("weight") * (F.col("bm25") + F.col("jelinek_mercer") + F.col("dirichlet")))
+    term = F.struct((-F.col("value")).alias("o"), F.struct("term", "field", "weight", *parts, "value").alias("x"))
+    clauses = valued.groupBy("query", "doc", "clause").agg(F.sum("value").alias("value"), F.transform(F.array_sort(F.collect_list(term)), lambda t: t["x"]).alias("terms"))
+    tree = clauses.groupBy("query", "doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("o"), "clause", "value", "terms"))).alias("cs"))
+    shared = F.transform("cs", lambda c, i: F.struct(c["clause"].alias("clause"), c["value"].alias("value"), (c["value"] * F.when(i == 0, 1.0).otherwise(TIE)).alias("share"), c["terms"].alias("terms")))
+    return tree.select("query", "doc", shared.alias("clauses")).select("query", "doc", F.aggregate("clauses", F.lit(0.0), lambda a, c: a + c["share"]).alias("score"), "clauses")
+
+
+def external_results(results: DataFrame, leaks: Column, k: int, query: str = "query", rank: str = "rank") -> DataFrame:
+    """An outside retriever's results (it is asked for ``k + 3``): of the first so many, those without leaks, ranked anew, ``k`` at most."""
+    w = Window.partitionBy(query).orderBy(rank)
+    asked = results.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k + 3).drop("__n")
+    clean = asked.filter(~F.coalesce(leaks, F.lit(False)))
+    return clean.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
 def build_query_terms(requests: DataFrame) -> DataFrame:
     """Terms of the four clauses of search requests, or the class name alone where all are empty.
 

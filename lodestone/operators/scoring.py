@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import kernels, metrics, text
+from lodestone.session import stored
 
 #: What a retrieval mode is measured by.
 RETRIEVAL = ("recall_at_k", "api_coverage_at_k", "mrr", "retrieval_precision_at_k", "retrieval_ndcg_at_k", "retrieval_type_iou", "owner_type_recall")
@@ -18,13 +19,17 @@ def usable(generated: str = "generated", truth: str = "ground_truth") -> Column:
     return (F.coalesce(F.col(generated), F.lit("")) != "") & (F.coalesce(F.col(truth), F.lit("")) != "")
 
 
+def tidied(code: str, unify: bool = True, ascii_only: bool = False) -> Column:
+    """A text as it is compared: without comments and idle white space and, with ``unify``, with local names unified."""
+    return text.unify_identifiers(text.normalize_code(code), ascii_only) if unify else text.normalize_code(code)
+
+
 def bundle(df: DataFrame, generated: str = "generated", truth: str = "ground_truth", column: str = "metrics", unify: bool = True, ascii_only: bool = False) -> DataFrame:
     """Rows with a struct of all text metrics.
 
     Texts are compared without comments and idle white space and, with ``unify``, with local names unified; the
     ``no_ident`` ones without names and literals. ``codebleu`` is a plug-in's and null here. Null texts give null metrics."""
-    tidy = lambda c: text.unify_identifiers(text.normalize_code(c), ascii_only) if unify else text.normalize_code(c)
-    first = df.withColumns({"__g": tidy(generated), "__r": tidy(truth)})
+    first = df.withColumns({"__g": tidied(generated, unify, ascii_only), "__r": tidied(truth, unify, ascii_only)})
     second = first.withColumns({"__gt": text.tokens("__g", ascii_only), "__rt": text.tokens("__r", ascii_only), "__gs": text.tokens(text.strip_identifiers(generated, ascii_only), ascii_only), "__rs": text.tokens(text.strip_identifiers(truth, ascii_only), ascii_only)})
     third = second.withColumns({"__lcs": kernels.lcs_tokens_udf("__gt", "__rt"), "__bare": kernels.lcs_length_udf("__gs", "__rs"), "__run": kernels.common_substring_udf("__gs", "__rs")})
     made = F.struct(
@@ -39,12 +44,30 @@ def bundle(df: DataFrame, generated: str = "generated", truth: str = "ground_tru
 
 
 def recompute(samples: DataFrame, keep: Sequence[str] = ("compilable", *RETRIEVAL), generated: str = "generated", truth: str = "ground_truth", column: str = "metrics", unify: bool = True) -> DataFrame:
-    """Samples with their metrics made anew; fields in ``keep`` stay as they were, and so do samples that are not ``usable``."""
+    """Samples with their metrics and ``normalized_`` texts made anew; fields in ``keep`` stay as they were, and so do samples that are not ``usable``."""
     made = bundle(samples, generated, truth, "__new", unify)
     old = [f.name for f in samples.schema[column].dataType.fields]
     new = [f.name for f in made.schema["__new"].dataType.fields]
     field = lambda f: F.when(usable(generated, truth), F.col(f"__new.{f}")).otherwise(F.col(f"{column}.{f}") if f in old else F.lit(None)) if f in new and f not in keep else F.col(f"{column}.{f}")
-    return made.withColumn(column, F.struct(*(field(f).alias(f) for f in [*old, *(f for f in new if f not in old)]))).drop("__new")
+    fresh = made.withColumn(column, F.struct(*(field(f).alias(f) for f in [*old, *(f for f in new if f not in old)]))).drop("__new")
+    was = lambda c: F.col(c) if c in samples.columns else F.lit(None).cast("string")
+    texts = {f"normalized_{c}": F.when(usable(generated, truth), tidied(c, unify)).otherwise(was(f"normalized_{c}")) for c in (generated, truth)}
+    return fresh.withColumns(texts)
+
+
+def recompute_results(samples: DataFrame, root: str, modes: Sequence[str], metrics_: Sequence[str], mode: str = "mode", write: bool = True, **how) -> DataFrame:
+    """``recompute`` of a whole result tree: the samples that can be measured, made anew, and their aggregates.
+
+    With ``write``, samples go to ``<root>/samples`` by mode and the aggregates (``sinks.write_report``) beside them; without, nothing is
+    written (a dry run). Samples that are not ``usable`` are kept as they were and are in no aggregate."""
+    from lodestone.sources import sinks
+
+    made = stored(recompute(samples, **how))
+    if write:
+        sinks.write_samples(made, f"{root}/samples", drop=())
+        flat = made.filter(usable(how.get("generated", "generated"), how.get("truth", "ground_truth"))).select(mode, f"{how.get('column', 'metrics')}.*")
+        sinks.write_report(flat, mode, modes, [m for m in metrics_ if m in flat.columns], root)
+    return made
 
 
 def zero_hits(is_retrieval: Column, n_results: Column, values: Sequence[str] = RETRIEVAL) -> dict[str, Column]:

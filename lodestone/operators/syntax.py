@@ -31,11 +31,12 @@ CONTEXTUAL = ("record", "permits", "sealed", "yield", "var")
 TYPES = ("class", "interface", "enum", "record", "annotation")
 
 
-def _is(c: str, *values: str) -> Column:
+def is_one_of(c: str, *values: str) -> Column:
+    """Whether a column has one of the values; null has none."""
     return F.coalesce(F.col(c).isin(*values), F.lit(False))
 
 
-def _name(c: str) -> Column:
+def is_name(c: str) -> Column:
     """A name, and no keyword; contextual words count as names unless they start a declaration."""
     return F.coalesce(F.col(c).rlike(r"^[\p{L}_$]") & ~F.col(c).isin(*(k for k in KEYWORDS if k not in CONTEXTUAL)), F.lit(False))
 
@@ -60,8 +61,8 @@ def _with_parents(rows: DataFrame, *held: str) -> DataFrame:
     """``up``: a struct of the bracket around each token (``pos`` and the columns held), null outside all.
 
     A bracket stands twice: as a member of the one around it, and as the opener of its own level."""
-    opens = _is("token", "(", "[", "{")
-    closes = _is("token", ")", "]", "}")
+    opens = is_one_of("token", "(", "[", "{")
+    closes = is_one_of("token", ")", "]", "}")
     depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(_file())
     level = F.col("depth") - F.when(opens, 1).otherwise(0)
     both = F.when(opens, F.array(F.struct(level.alias("level"), F.lit(False).alias("opener")), F.struct(F.col("depth").alias("level"), F.lit(True).alias("opener")))).otherwise(F.array(F.struct(level.alias("level"), F.lit(False).alias("opener"))))
@@ -89,66 +90,66 @@ def syntax_tree(sources: DataFrame, key: str = "path", text: str = "text") -> Da
     rows = seen.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("i")) - 1)
     near = {f"prev{k or ''}": F.lag("token", k or 1).over(_file()) for k in (0, 2)} | {f"next{k or ''}": F.lead("token", k or 1).over(_file()) for k in (0, 2)}
     rows = _with_parents(rows.withColumns(near), "token", "prev")
-    opens, closes = _is("token", "(", "[", "{"), _is("token", ")", "]", "}")
+    opens, closes = is_one_of("token", "(", "[", "{"), is_one_of("token", ")", "]", "}")
     rows = rows.withColumns({"bracket": opens | closes, "pair": F.col("level")}).withColumns({"close": F.when(opens, F.lead("pos").over(_pairs()))})
 
     # Annotations, and what follows ``new``: chains of names that nothing else breaks.
     within = Window.partitionBy("file", "up.pos").orderBy("pos")
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    at_chain = (_is("token", "@") & ~_is("next", "interface")) | _is("token", ".") | (_name("token") & _is("prev", "@", "."))
-    new_chain = _name("token") & ~_is("prev", ")") | _is("token", "new", ".", "<", ">", ",", "?", "&", "extends", "super", "@", *PRIMITIVES)
+    at_chain = (is_one_of("token", "@") & ~is_one_of("next", "interface")) | is_one_of("token", ".") | (is_name("token") & is_one_of("prev", "@", "."))
+    new_chain = is_name("token") & ~is_one_of("prev", ")") | is_one_of("token", "new", ".", "<", ">", ",", "?", "&", "extends", "super", "@", *PRIMITIVES)
     last = lambda condition, window: F.coalesce(F.last(_when(condition, "pos"), ignorenulls=True).over(window), F.lit(-1))
-    rows = rows.withColumns({"l_at": last(_is("token", "@") & ~_is("next", "interface"), upto), "l_break": last(~at_chain, before), "l_new": last(_is("token", "new"), upto), "n_break": last(~new_chain, before)})
+    rows = rows.withColumns({"l_at": last(is_one_of("token", "@") & ~is_one_of("next", "interface"), upto), "l_break": last(~at_chain, before), "l_new": last(is_one_of("token", "new"), upto), "n_break": last(~new_chain, before)})
     rows = rows.withColumns(
         {
-            "anno": (F.col("l_at") > F.col("l_break")) & (at_chain | (_is("token", "(") & _name("prev"))),
-            "made": (F.col("l_new") > F.col("n_break")) & _is("token", "(") & (_name("prev") | _is("prev", ">")),
+            "anno": (F.col("l_at") > F.col("l_break")) & (at_chain | (is_one_of("token", "(") & is_name("prev"))),
+            "made": (F.col("l_new") > F.col("n_break")) & is_one_of("token", "(") & (is_name("prev") | is_one_of("prev", ">")),
             "fresh": (F.col("l_new") > F.col("n_break")) & new_chain,
-            "chooses": _is("token", "(") & _is("prev", "switch") & ~F.coalesce(F.col("prev2").isin("{", "}", ";", ":", ")", "else", "do"), F.lit(True)),
-            "calls": _is("token", "(") & (_name("prev") | _is("prev", ">")),
+            "chooses": is_one_of("token", "(") & is_one_of("prev", "switch") & ~F.coalesce(F.col("prev2").isin("{", "}", ";", ":", ")", "else", "do"), F.lit(True)),
+            "calls": is_one_of("token", "(") & (is_name("prev") | is_one_of("prev", ">")),
         }
     )
     flags = ("anno", "made", "chooses", "calls")
-    rows = rows.withColumns({f: F.when(_is("token", ")"), F.lag(f).over(_pairs())).otherwise(F.col(f)) for f in flags})
+    rows = rows.withColumns({f: F.when(is_one_of("token", ")"), F.lag(f).over(_pairs())).otherwise(F.col(f)) for f in flags})
     # A brace that an expression holds ends no segment, and neither does the body of a constant.
     holds = F.lag("made").over(_file()) | F.lag("chooses").over(_file())
-    rows = rows.withColumns({"anonymous": _is("token", "{") & _is("prev", ")") & F.coalesce(F.lag("made").over(_file()), F.lit(False)), "expr": _is("token", "{") & (_is("prev", "=", "]", ",", "(", "->", "return") | (_is("prev", ")") & F.coalesce(holds, F.lit(False))) | (_is("prev", "{") & (F.col("up.prev").isin("=", "]", ","))))})
-    rows = rows.withColumn("constant", _is("token", "{") & (_name("prev") | (_is("prev", ")") & F.coalesce(F.lag("calls").over(_file()), F.lit(False)))))
-    rows = rows.withColumns({f: F.when(_is("token", "}"), F.lag(f).over(_pairs())).otherwise(F.col(f)) for f in ("expr", "constant", "anonymous")})
+    rows = rows.withColumns({"anonymous": is_one_of("token", "{") & is_one_of("prev", ")") & F.coalesce(F.lag("made").over(_file()), F.lit(False)), "expr": is_one_of("token", "{") & (is_one_of("prev", "=", "]", ",", "(", "->", "return") | (is_one_of("prev", ")") & F.coalesce(holds, F.lit(False))) | (is_one_of("prev", "{") & (F.col("up.prev").isin("=", "]", ","))))})
+    rows = rows.withColumn("constant", is_one_of("token", "{") & (is_name("prev") | (is_one_of("prev", ")") & F.coalesce(F.lag("calls").over(_file()), F.lit(False)))))
+    rows = rows.withColumns({f: F.when(is_one_of("token", "}"), F.lag(f).over(_pairs())).otherwise(F.col(f)) for f in ("expr", "constant", "anonymous")})
     grouped = F.col("up").isNull() | (F.col("up.token") == "{")
-    carries = F.col("expr") | (F.col("constant") & _is("next", ",", ";")) | F.col("anonymous")
-    ends = grouped & (_is("token", ";") | (_is("token", "}") & ~F.coalesce(carries, F.lit(False))))
+    carries = F.col("expr") | (F.col("constant") & is_one_of("next", ",", ";")) | F.col("anonymous")
+    ends = grouped & (is_one_of("token", ";") | (is_one_of("token", "}") & ~F.coalesce(carries, F.lit(False))))
     rows = rows.withColumn("ends", ends).withColumn("seg", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
 
     # Type arguments: angle brackets that pair within a run of what may stand between them.
-    may = _name("token") | _is("token", ".", ",", "&", "[", "]", "<", ">", "extends", "super", "@", *PRIMITIVES) | (_is("token", "?") & _is("prev", "<", ","))
+    may = is_name("token") | is_one_of("token", ".", ",", "&", "[", "]", "<", ">", "extends", "super", "@", *PRIMITIVES) | (is_one_of("token", "?") & is_one_of("prev", "<", ","))
     rows = rows.withColumn("run", F.sum(F.when(may, 0).otherwise(1)).over(within))
     running = Window.partitionBy("file", "up.pos", "run").orderBy("pos")
-    step = F.when(_is("token", "<"), 1).when(_is("token", ">"), -1).otherwise(0)
-    rows = rows.withColumn("slope", F.sum(step).over(running) + F.when(_is("token", ">"), 1).otherwise(0))
-    paired = Window.partitionBy("file", "up.pos", "run", "slope", _is("token", "<", ">")).orderBy("pos")
-    rows = rows.withColumn("typed", (_is("token", "<") & F.coalesce(F.lead("token").over(paired) == ">", F.lit(False))) | (_is("token", ">") & F.coalesce(F.lag("token").over(paired) == "<", F.lit(False))))
+    step = F.when(is_one_of("token", "<"), 1).when(is_one_of("token", ">"), -1).otherwise(0)
+    rows = rows.withColumn("slope", F.sum(step).over(running) + F.when(is_one_of("token", ">"), 1).otherwise(0))
+    paired = Window.partitionBy("file", "up.pos", "run", "slope", is_one_of("token", "<", ">")).orderBy("pos")
+    rows = rows.withColumn("typed", (is_one_of("token", "<") & F.coalesce(F.lead("token").over(paired) == ">", F.lit(False))) | (is_one_of("token", ">") & F.coalesce(F.lag("token").over(paired) == "<", F.lit(False))))
     rows = rows.withColumn("angle", F.sum(F.when(F.col("typed"), step).otherwise(0)).over(running))
     rows = rows.withColumn("next_typed", F.coalesce(F.lead("typed").over(_file()), F.lit(False))).withColumn("prev_typed", F.coalesce(F.lag("typed").over(_file()), F.lit(False)))
 
     # What a segment has held so far decides the kind of a brace and which bracket declares parameters.
     segment = Window.partitionBy("file", "up.pos", "seg").orderBy("pos")
     so_far = segment.rowsBetween(Window.unboundedPreceding, -1)
-    declares = (_is("token", "class", "interface", "enum") & ~_is("prev", ".")) | (_is("token", "record") & _name("next") & _is("next2", "(", "<"))
-    word = F.when(_is("token", "interface") & _is("prev", "@"), "annotation").otherwise(F.col("token"))
+    declares = (is_one_of("token", "class", "interface", "enum") & ~is_one_of("prev", ".")) | (is_one_of("token", "record") & is_name("next") & is_one_of("next2", "(", "<"))
+    word = F.when(is_one_of("token", "interface") & is_one_of("prev", "@"), "annotation").otherwise(F.col("token"))
     rows = rows.withColumns(
         {
             "declared": F.last(_when(declares, F.struct(word.alias("kind"), F.col("next").alias("named"))), ignorenulls=True).over(so_far),
-            "barred": F.coalesce(F.max(F.when(_is("token", "=", "->", "new", "return", "throw", "yield") | declares, 1)).over(so_far), F.lit(0)) == 1,
-            "brackets": F.coalesce(F.sum(F.when(_is("token", "(") & ~F.col("anno"), 1)).over(so_far), F.lit(0)),
-            "clause": F.last(_when(_is("token", "extends", "implements", "throws", "permits") & (F.col("angle") == 0), "token"), ignorenulls=True).over(so_far),
+            "barred": F.coalesce(F.max(F.when(is_one_of("token", "=", "->", "new", "return", "throw", "yield") | declares, 1)).over(so_far), F.lit(0)) == 1,
+            "brackets": F.coalesce(F.sum(F.when(is_one_of("token", "(") & ~F.col("anno"), 1)).over(so_far), F.lit(0)),
+            "clause": F.last(_when(is_one_of("token", "extends", "implements", "throws", "permits") & (F.col("angle") == 0), "token"), ignorenulls=True).over(so_far),
             "first": F.first("token").over(segment),
         }
     )
-    rows = rows.withColumn("params", _is("token", "(") & ~F.col("anno") & ~F.col("barred") & (F.col("brackets") == 0) & _name("prev") & grouped)
+    rows = rows.withColumn("params", is_one_of("token", "(") & ~F.col("anno") & ~F.col("barred") & (F.col("brackets") == 0) & is_name("prev") & grouped)
     rows = rows.withColumn("headed", F.coalesce(F.max(F.when(F.col("params"), 1)).over(so_far), F.lit(0)) == 1)
-    rows = rows.withColumns({"kind": F.when(_is("token", "{"), F.when(F.col("anonymous"), "anonymous").when(F.col("declared").isNotNull() & ~F.col("expr"), F.col("declared.kind")).otherwise("block")), "named": F.when(_is("token", "{"), F.col("declared.named"))})
+    rows = rows.withColumns({"kind": F.when(is_one_of("token", "{"), F.when(F.col("anonymous"), "anonymous").when(F.col("declared").isNotNull() & ~F.col("expr"), F.col("declared.kind")).otherwise("block")), "named": F.when(is_one_of("token", "{"), F.col("declared.named"))})
     rows = _with_parents(rows, "token", "prev", "kind", "named")
     # Bodies of constants are known by the enum around them, so parents are told once more.
     constants = (F.col("up.kind") == "enum") & (F.col("seg") == 0)
@@ -161,12 +162,19 @@ def syntax_tree(sources: DataFrame, key: str = "path", text: str = "text") -> Da
 
 def _type_role() -> Column:
     """Whether a name stands for a type, by what stands beside it."""
-    follows = _name("next2") | F.coalesce(F.col("next2").rlike(r"^[\"'0-9]|^\.[0-9]"), F.lit(False)) | _is("next2", "(", "!", "~", "this", "super", "new", "switch", *LITERALS)
-    cast = _is("prev", "(") & _is("next", ")") & follows & (F.col("up.token") == "(") & ~(_is("prev2", ">", "]", ")", "if", "while", "for", "switch", "catch", "synchronized") | _name("prev2"))
-    plain = _name("next") | _is("next", "...") | (_is("next", "[") & _is("next2", "]")) | (_is("next", "<") & F.col("next_typed"))
-    listed = F.col("clause").isNotNull() & (F.col("angle") == 0) & _is("prev", ",", "extends", "implements", "throws", "permits")
-    caught = _is("next", "|") & (F.col("up.prev") == "catch")
-    return plain | (F.col("angle") > 0) | _is("prev", "new", "instanceof", "extends", "implements", "throws", "permits") | listed | F.coalesce(caught, F.lit(False)) | F.coalesce(cast, F.lit(False))
+    follows = is_name("next2") | F.coalesce(F.col("next2").rlike(r"^[\"'0-9]|^\.[0-9]"), F.lit(False)) | is_one_of("next2", "(", "!", "~", "this", "super", "new", "switch", *LITERALS)
+    cast = is_one_of("prev", "(") & is_one_of("next", ")") & follows & (F.col("up.token") == "(") & ~(is_one_of("prev2", ">", "]", ")", "if", "while", "for", "switch", "catch", "synchronized") | is_name("prev2"))
+    plain = is_name("next") | is_one_of("next", "...") | (is_one_of("next", "[") & is_one_of("next2", "]")) | (is_one_of("next", "<") & F.col("next_typed"))
+    listed = F.col("clause").isNotNull() & (F.col("angle") == 0) & is_one_of("prev", ",", "extends", "implements", "throws", "permits")
+    caught = is_one_of("next", "|") & (F.col("up.prev") == "catch")
+    return plain | (F.col("angle") > 0) | is_one_of("prev", "new", "instanceof", "extends", "implements", "throws", "permits") | listed | F.coalesce(caught, F.lit(False)) | F.coalesce(cast, F.lit(False))
+
+
+def variable() -> Column:
+    """Whether a row of ``syntax_tree`` is a variable's name: no type, no called name, receiver or field, no declared name but a variable's."""
+    constant = (F.col("up.kind") == "enum") & (F.col("up.seg").isNotNull()) & (F.col("seg") == 0) & (F.col("angle") == 0) & ~F.col("anno") & (is_one_of("prev", "{", ",") | (is_one_of("prev", ")") & ~is_one_of("next", ".")))
+    beside = is_one_of("next", "(", ".") | is_one_of("prev", ".", "@", "class", "interface", "enum", "record", "package", "import") | (is_one_of("prev", "static") & (F.col("first") == "import"))
+    return is_name("token") & ~(beside | F.col("anno") | _type_role() | F.coalesce(constant, F.lit(False))) & ~is_one_of("token", *CONTEXTUAL)
 
 
 def strip_by_syntax(sources: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -175,10 +183,8 @@ def strip_by_syntax(sources: DataFrame, key: str = "path", text: str = "text") -
     Kept are names before ``(`` or beside ``.``, names of declared types, methods and constants, annotations, packages and imports,
     and names in the place of a type. Each source is put together again in one row. A source without tokens has no row."""
     tree = syntax_tree(sources, key, text)
-    constant = (F.col("up.kind") == "enum") & (F.col("up.seg").isNotNull()) & (F.col("seg") == 0) & (F.col("angle") == 0) & ~F.col("anno") & (_is("prev", "{", ",") | (_is("prev", ")") & ~_is("next", ".")))
-    kept = _is("next", "(", ".") | _is("prev", ".", "@", "class", "interface", "enum", "record", "package", "import", "static") & ~((_is("prev", "static")) & (F.col("first") != "import")) | F.col("anno") | _type_role() | F.coalesce(constant, F.lit(False))
     literal = F.col("token").rlike(r"^[\"'0-9]|^\.[0-9]") | F.col("token").isin(*LITERALS)
-    roles = tree.select("file", "i", (literal | (_name("token") & ~kept & ~_is("token", "yield", "sealed", "permits", "record", "var"))).alias("blank"))
+    roles = tree.select("file", "i", (literal | variable()).alias("blank"))
     whole = source_tokens(sources, key, text).select("file", "i", "token").join(roles.filter("blank"), ["file", "i"], "left")
     out = F.when(F.col("blank"), "_").otherwise(F.col("token"))
     parts = whole.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("i", out.alias("t")))).alias("parts"))  # one source's tokens
@@ -221,10 +227,10 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     # Types, with the names around them, package and imports.
     type_open = F.coalesce(F.col("kind").isin("class", "interface", "enum"), F.lit(False))
     any_type = F.coalesce(F.col("kind").isin(*TYPES), F.lit(False))
-    marked = tree.withColumn("span", F.when(_is("token", "{") & any_type, F.struct("pos", "close")))
+    marked = tree.withColumn("span", F.when(is_one_of("token", "{") & any_type, F.struct("pos", "close")))
     steps = marked.filter("span is not null").select("file", F.explode(F.array(F.struct(F.col("pos").alias("p"), F.lit(1).alias("d")), F.struct(F.coalesce("close", F.lit(1 << 30)).alias("p"), F.lit(-1).alias("d")))).alias("s")).select("file", "s.*")
     depth = steps.withColumn("level", F.sum("d").over(Window.partitionBy("file").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))).filter("d = 1").select("file", F.col("p").alias("pos"), "level")
-    opened = tree.filter(_is("token", "{") & any_type).select("file", "pos", "kind", "named", up, "seg").join(depth, ["file", "pos"])
+    opened = tree.filter(is_one_of("token", "{") & any_type).select("file", "pos", "kind", "named", up, "seg").join(depth, ["file", "pos"])
     types = _nested(opened, "level").withColumn("path", F.array_join("around.named", "."))
     root = tree.filter("up is null and first in ('package', 'import') and token not in ('package', 'import', 'static', ';')").groupBy("file", "seg", "first").agg(_ordered("token").alias("t"))
     named = root.select("file", "seg", "first", F.regexp_replace(F.array_join("t.token", ""), r"\.\*$", "").alias("name"), F.array_join("t.token", "").endswith("*").alias("wild"))
@@ -257,7 +263,7 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
 
     # Parameters: what stands between commas of the declaring bracket.
     inside = tree.filter("up.token = '('").select("file", up, "pos", "token", "angle", "anno")
-    comma = _is("token", ",") & (F.col("angle") == 0)
+    comma = is_one_of("token", ",") & (F.col("angle") == 0)
     inside = inside.withColumn("nth", F.coalesce(F.sum(comma.cast("int")).over(Window.partitionBy("file", "up").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(~comma)
     arity = inside.groupBy("file", "up").agg(F.count_distinct("nth").cast("int").alias("arity"))
     declared = inside.join(methods.select("file", F.col("opening").alias("up")), ["file", "up"], "left_semi").filter("not anno and token <> 'final'").groupBy("file", "up", "nth").agg(_ordered("token").alias("t"))
@@ -282,7 +288,7 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     names = F.concat(F.array(F.get(first, at_name)), F.transform(F.slice("d", 2, F.greatest(F.size("d") - 1, F.lit(0))), lambda d: F.get(d, F.lit(0))))
     fields = parts.filter(F.size("d") > 0).select("file", "up", "seg", type_text(F.slice(first, 1, at_name)).alias("typeFqn"), F.posexplode(names).alias("n", "name")).filter("typeFqn <> '' and name is not null")
     by_type = fields.groupBy("file", F.col("up").alias("owner")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "n", "name", "typeFqn"))), lambda x: F.struct(x["name"].alias("name"), x["typeFqn"].alias("typeFqn"))).alias("classFields"))
-    goes_on = _is("next", "else", "catch", "finally") | (_is("token", "}") & (F.col("first") == "do")) | (_is("next", "while") & (F.col("first") == "do"))
+    goes_on = is_one_of("next", "else", "catch", "finally") | (is_one_of("token", "}") & (F.col("first") == "do")) | (is_one_of("next", "while") & (F.col("first") == "do"))
     stops = tree.filter(F.col("ends") & ~goes_on & F.coalesce(F.col("up.kind") == "block", F.lit(False))).groupBy("file", F.col("up.pos").alias("pos")).agg(F.count("*").cast("int").alias("statementCount"))
 
     # Calls and types in bodies: each belongs to all methods around it.
@@ -292,12 +298,12 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     levels = owned.filter("d = 1").select("file", "pos", F.col("inside").cast("int").alias("level"))
     ancestors = _nested(levels, "level").select("file", F.col("pos").alias("owner"), F.explode("around.pos").alias("method"))
 
-    head_of_call = (_name("token") & _is("next", "(")) | (_is("token", "this", "super") & _is("next", "("))
-    starts = (_name("token") | _is("token", "this", "super", "new", *LITERALS) | F.col("token").rlike(r"^[\"'0-9]")) & ~_is("prev", ".", "new", "::") & (F.col("angle") == 0) & ~F.col("prev_typed") | (_is("token", "(") & ~(_name("prev") | _is("prev", ">", "]", ")", "this", "super")))
+    head_of_call = (is_name("token") & is_one_of("next", "(")) | (is_one_of("token", "this", "super") & is_one_of("next", "("))
+    starts = (is_name("token") | is_one_of("token", "this", "super", "new", *LITERALS) | F.col("token").rlike(r"^[\"'0-9]")) & ~is_one_of("prev", ".", "new", "::") & (F.col("angle") == 0) & ~F.col("prev_typed") | (is_one_of("token", "(") & ~(is_name("prev") | is_one_of("prev", ">", "]", ")", "this", "super")))
     chained = owned.withColumn("chain", F.last(_when(starts, "pos"), ignorenulls=True).over(Window.partitionBy("file", "up.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     following = lambda c: F.lead(c).over(_file())
     chained = chained.withColumns({"of_anno": following("anno"), "of_params": following("params"), "of_made": following("made"), "opens_at": following("pos"), "prev3": F.lag("token", 3).over(_file())})
-    named_calls = chained.filter(head_of_call & ~F.col("of_anno") & ~F.col("of_params") & ~F.col("of_made") & ~_is("prev", "record")).select("file", "owner", "pos", F.coalesce("chain", "pos").alias("chain"), F.col("opens_at").alias("up"), F.col("token").alias("name"), F.lit(False).alias("new"), F.when(_is("prev", "."), F.when(_is("prev2", "this") | (_name("prev2") & ~_is("prev3", ".")), F.col("prev2")).otherwise(".")).alias("on"))
+    named_calls = chained.filter(head_of_call & ~F.col("of_anno") & ~F.col("of_params") & ~F.col("of_made") & ~is_one_of("prev", "record")).select("file", "owner", "pos", F.coalesce("chain", "pos").alias("chain"), F.col("opens_at").alias("up"), F.col("token").alias("name"), F.lit(False).alias("new"), F.when(is_one_of("prev", "."), F.when(is_one_of("prev2", "this") | (is_name("prev2") & ~is_one_of("prev3", ".")), F.col("prev2")).otherwise(".")).alias("on"))
     made_at = chained.filter("made and token = '('").select("file", "owner", F.col("l_new").alias("pos"), F.col("pos").alias("up"))
     made_of = tree.filter("fresh and token <> 'new'").groupBy("file", F.col("l_new").alias("pos")).agg(_ordered("token").alias("t"))
     made = made_at.join(made_of, ["file", "pos"]).select("file", "owner", "pos", F.col("pos").alias("chain"), "up", type_text(F.transform(F.filter("t", lambda x: x["pos"] < F.col("up")), lambda x: x["token"])).alias("name"), F.lit(True).alias("new"), F.lit(None).cast("string").alias("on"))
@@ -305,14 +311,14 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     calls = calls.join(ancestors, ["file", "owner"])
 
     # A qualified type is written as a whole, from the first of its dotted names.
-    dotted = owned.filter((_name("token") | _is("token", ".")) & ~F.col("anno") & ~_is("token", "var")).withColumn("from", F.last(_when(_name("token") & ~_is("prev", "."), "pos"), ignorenulls=True).over(Window.partitionBy("file", "up.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    typed = dotted.withColumn("to", F.when(_name("token") & _type_role() & ~(_is("next", ".") & ~F.col("next_typed")), F.col("pos"))).groupBy("file", "owner", F.col("from").alias("pos")).agg(F.max("to").alias("to"), _ordered("token").alias("t")).filter("to is not null")
+    dotted = owned.filter((is_name("token") | is_one_of("token", ".")) & ~F.col("anno") & ~is_one_of("token", "var")).withColumn("from", F.last(_when(is_name("token") & ~is_one_of("prev", "."), "pos"), ignorenulls=True).over(Window.partitionBy("file", "up.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    typed = dotted.withColumn("to", F.when(is_name("token") & _type_role() & ~(is_one_of("next", ".") & ~F.col("next_typed")), F.col("pos"))).groupBy("file", "owner", F.col("from").alias("pos")).agg(F.max("to").alias("to"), _ordered("token").alias("t")).filter("to is not null")
     used = typed.select("file", "owner", "pos", F.array_join(F.transform(F.filter("t", lambda x: x["pos"] <= F.col("to")), lambda x: x["token"]), "").alias("token")).join(ancestors, ["file", "owner"])
     used = used.groupBy("file", F.col("method").alias("pos")).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(used["pos"], "token"))), lambda x: x["token"])).alias("usedTypes"))
 
     # Resolution: the type that a call is on, its name in full, and the one method that fits.
     base = methods.join(types.select("file", F.col("pos").alias("up"), "kind", "classFqn", "path", "package", "imported", "supertypes"), ["file", "up"])
-    local = owned.filter(_name("token") & (F.col("up.kind").isin("block") | (F.col("up.token") == "(")) & _name("prev") & _is("next", "=", ";", ":", ",", ")")).select("file", "owner", F.col("token").alias("on"), F.col("prev").alias("type")).join(ancestors, ["file", "owner"]).select("file", "method", "on", "type", F.lit(0).alias("rank"))
+    local = owned.filter(is_name("token") & (F.col("up.kind").isin("block") | (F.col("up.token") == "(")) & is_name("prev") & is_one_of("next", "=", ";", ":", ",", ")")).select("file", "owner", F.col("token").alias("on"), F.col("prev").alias("type")).join(ancestors, ["file", "owner"]).select("file", "method", "on", "type", F.lit(0).alias("rank"))
     given = methods.select("file", F.col("pos").alias("method"), F.explode("ps").alias("p")).select("file", "method", F.col("p.name").alias("on"), F.regexp_replace("p.type", "<.*$", "").alias("type"), F.lit(1).alias("rank"))
     of_class = methods.select("file", F.col("pos").alias("method"), F.col("up").alias("owner")).join(by_type, ["file", "owner"]).select("file", "method", F.explode("classFields").alias("f")).select("file", "method", F.col("f.name").alias("on"), F.regexp_replace("f.typeFqn", "<.*$", "").alias("type"), F.lit(2).alias("rank"))
     scope = local.unionByName(given).unionByName(of_class).groupBy("file", "method", "on").agg(F.min(F.struct("rank", "type"))["type"].alias("type"))

@@ -7,8 +7,7 @@ lineitem for test verdicts, and the supply relation between nations for calls.
 
 from __future__ import annotations
 
-import tempfile
-import zlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import kernels, metrics, text
 from lodestone.operators import analysis, dataset, graph, mining, prompt, retrieval
+from lodestone.session import shared_folder
 from lodestone.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,11 +349,9 @@ def mode_diffs(spark, sf):
 def stream_stats(spark, sf):
     schema = t(spark, sf, "events").schema
     rows = progress.stream_table(spark, sf, schema, "events.parquet")
-    name, folder = f"stream_stats_{zlib.crc32(sf.encode())}", spark.sparkContext.getCheckpointDir()
-    checkpoint = f"{folder}/stream-{name}-{spark.sparkContext.startTime}" if folder else tempfile.mkdtemp()
-    running = progress.start(progress.running_stats(rows, "event_type", "value"), name, checkpoint)
-    running.awaitTermination()
-    return spark.table(name).select("event_type", "n", r6("mean", "mean"), r6("std", "std"))
+    target = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    progress.write_stats(progress.running_stats(rows, "event_type", "value"), f"{target}/table", f"{target}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{target}/table").select("event_type", "n", r6("mean", "mean"), r6("std", "std"))
 
 
 # N-grams -----------------------------------------------------------------------------------------

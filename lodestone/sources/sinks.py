@@ -7,11 +7,12 @@ import json
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import analysis
 from lodestone.operators.retrieval import index_stats
+from lodestone.session import stored
 from lodestone.sources.files import exists, write_text
 
 
@@ -76,6 +77,37 @@ def write_index(posted: DataFrame, path: str) -> None:
         table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def replace_rows(rows: DataFrame, path: str, keys: Sequence[str], order: str | None = None, buckets: int = 64) -> None:
+    """Rows into a table that holds one row for each key: those of keys that it has are replaced, others are added.
+
+    Of several new rows of a key the last by ``order`` is taken (of equal ones, that of the greatest hash). The table is
+    dealt into ``buckets`` folders by its keys, and only those that a batch touches are read, merged and overwritten, so a batch that is
+    replayed, in whole or after half of it was written, leaves the same table. Null keys are keys. Another number of buckets than
+    the table's is an error. An empty batch changes nothing."""
+    spark, bucket = rows.sparkSession, f"bucket_of_{buckets}"
+    ordered = [*([F.col(order).desc_nulls_last()] if order else []), F.xxhash64(*rows.columns).desc()]
+    latest = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered))).filter("__n = 1").drop("__n")
+    new = stored(latest.withColumn(bucket, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    touched = [r[0] for r in new.select(bucket).distinct().collect()]  # ``buckets`` numbers at most
+    if not touched:
+        return
+    if exists(spark, path):
+        old = spark.read.parquet(path)
+        if bucket not in old.columns:
+            raise ValueError(f"{path} is not dealt into {buckets} buckets")
+        marked = new.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(bucket).alias("__b"))
+        same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+        kept = old.filter(F.col(bucket).isin(touched)).join(marked, [F.col(bucket) == F.col("__b"), *same], "left_anti")
+        new = stored(kept.unionByName(new, allowMissingColumns=True))  # read in full before its folders are overwritten
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
+
+
+def read_replaced(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table of ``replace_rows``."""
+    table = spark.read.parquet(path)
+    return table.drop(*(c for c in table.columns if c.startswith("bucket_of_")))
+
+
 def manifest(config: dict) -> str:
     """Content address of a configuration."""
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
