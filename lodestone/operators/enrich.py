@@ -157,15 +157,21 @@ def compare_calls(samples: DataFrame, oracle: str, generated: str) -> DataFrame:
 
 
 def result_block(results: DataFrame, max_lines: int = 50, max_tokens: int = 4096) -> DataFrame:
-    """(query, block): the results of a query as text in rank order, cut to whole results under ``4 * max_tokens`` characters.
+    """(query, block): the results of a query as text in rank order, within ``4 * max_tokens`` characters.
 
-    A result with content shows it under its path; one without shows package, class,
+    A longer block ends where the last result begins whose mark lies within them; a first result that is longer alone is cut. A result with content shows it under its path; one without shows package, class,
     signature and body."""
 
     package = F.regexp_extract("class_fqn", r"^(.*)\.[^.]*$", 1)
     structured = F.concat_ws("\n", F.when(package != "", F.concat(F.lit("package "), package, F.lit(";"))), F.concat(F.lit("// class "), simple_name("class_fqn")), simplify_signature("signature"), F.col("__body"))
     text = F.concat(F.lit(FILE), F.col("path"), F.lit("\n"), F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(structured))
     sized = results.withColumn("__body", body_block("method_body", max_lines)).withColumn("text", text)
-    so_far = F.sum(F.length("text") + 1).over(Window.partitionBy("query").orderBy("rank"))
-    kept = sized.withColumn("__n", so_far).filter(F.col("__n") - 1 <= 4 * max_tokens)
-    return kept.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("block"))
+    room, mark = 4 * max_tokens, f"\n{FILE}"
+    # What begins beyond the room is never shown, so a query with many results gathers no more than the room and one result.
+    begins = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = sized.withColumn("__n", begins).filter(F.col("__n") <= room)
+    whole = near.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("block"))
+    shown = F.left("block", F.lit(room))
+    tail = F.length(F.substring_index(shown, mark, -1)) + len(mark)
+    cut = F.when(F.contains(shown, F.lit(mark)), F.substring(shown, F.lit(1), F.length(shown) - tail)).otherwise(shown)
+    return whole.select("query", F.when(F.length("block") > room, cut).otherwise(F.col("block")).alias("block"))

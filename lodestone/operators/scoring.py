@@ -55,9 +55,36 @@ def recompute(samples: DataFrame, keep: Sequence[str] = ("compilable", *RETRIEVA
     return fresh.withColumns(texts)
 
 
+def recompute_retrieval(samples: DataFrame, results: str = "retrieval_results", invocations: str = "invocations_ordered", block: str = "augmentation_block", truth: str = "ground_truth", column: str = "metrics") -> DataFrame:
+    """Samples with the retrieval metrics made anew from what they hold: results, oracle calls, the block that was shown, the true text.
+
+    Fields of ``column``: recall_at_k, api_coverage_at_k, mrr, retrieval_precision_at_k, retrieval_ndcg_at_k and owner_type_recall; others (the type
+    IoU needs the method itself) stay, and so do all of a sample without results (null) or without calls. An empty list of results scores 0 except where no call is exact."""
+    exact = F.filter(invocations, lambda i: i["resolution_mode"] == "EXACT")
+    oracle = F.transform(exact, lambda i: F.struct(text.invocation_owner(i["signature"]).alias("owner"), text.invocation_method(i["signature"]).alias("method")))
+    short = F.transform(oracle, lambda x: F.struct(text.simple_name(x["owner"]).alias("owner"), x["method"].alias("method")))
+    needed = F.array_distinct(F.transform(oracle, lambda x: F.struct(F.lower(x["owner"]).alias("owner"), F.lower(x["method"]).alias("method"))))
+    given = samples.withColumns({"__oracle": oracle, "__short": short, "__needed": needed, "__apis": F.transform(results, lambda r: metrics.profile_apis(r["invocationProfile"])), "__truth": F.array_distinct(text.tokens(F.coalesce(truth, F.lit(""))))})
+    texts = F.transform(results, lambda r: F.concat_ws(" ", F.coalesce(r["methodCard"], F.lit("")), F.coalesce(r["invocationProfile"], F.lit(""))))
+    alike = F.transform(results, lambda r: F.struct(r["rank"].alias("rank"), metrics.set_iou("__truth", F.array_distinct(text.tokens(F.coalesce(r["methodBody"], F.lit(""))))).alias("similarity")))
+    none = F.size(results) == 0
+    gains = F.transform("__apis", lambda a: F.size(F.array_intersect("__needed", a)).cast("double"))
+    made = {
+        "recall_at_k": F.when(F.coalesce(block, F.lit("")) == "", 0.0).otherwise(metrics.invocation_recall("__short", block)), "api_coverage_at_k": metrics.api_coverage(texts, "__oracle"),
+        "mrr": F.when(F.size("__truth") == 0, 0.0).otherwise(metrics.mean_reciprocal_rank(alike)), "retrieval_precision_at_k": F.when(none, 0.0).otherwise(metrics.retrieval_precision("__apis", "__needed")),
+        "retrieval_ndcg_at_k": F.when(none, 0.0).when(F.size("__needed") == 0, 1.0).otherwise(metrics.ndcg(gains)), "owner_type_recall": metrics.owner_type_recall(F.transform(results, lambda r: r["invocationProfile"]), "__oracle"),
+    }
+    able = F.col(results).isNotNull() & (F.size(F.coalesce(invocations, F.array())) > 0)
+    old = [f.name for f in samples.schema[column].dataType.fields]
+    was = lambda f: F.col(f"{column}.{f}") if f in old else F.lit(None).cast("double")
+    fields = [(F.when(able, made[f]).otherwise(was(f)) if f in made else was(f)).alias(f) for f in [*old, *(f for f in made if f not in old)]]
+    return given.withColumn(column, F.struct(*fields)).select(*samples.columns)
+
+
 def recompute_results(samples: DataFrame, root: str, modes: Sequence[str], metrics_: Sequence[str], mode: str = "mode", write: bool = True, **how) -> DataFrame:
     """``recompute`` of a whole result tree: the samples that can be measured, made anew, and their aggregates.
 
+    Retrieval metrics are those the samples have; give samples of ``recompute_retrieval`` to have them anew too.
     With ``write``, samples go to ``<root>/samples`` by mode and the aggregates (``sinks.write_report``) beside them; without, nothing is
     written (a dry run). Samples that are not ``usable`` are kept as they were and are in no aggregate."""
     from lodestone.sources import sinks

@@ -38,6 +38,13 @@ def read_samples(spark: SparkSession, root: str, modes: list[str] | None = None)
     return raw.withColumns({"mode_dir": F.regexp_extract(path, "([^/]+)/samples/[^/]*$", 1), "sample_index": F.expr("try_cast(regexp_extract(_metadata.file_path, 'sample_([0-9]+)[.]json$', 1) AS int)"), "invalid": F.col("_corrupt").isNotNull()}).drop("_corrupt")
 
 
+def with_verdict(samples: DataFrame) -> DataFrame:
+    """Samples with ``compilability`` (success, error_messages, exit_code) from their metrics; null where compilation is unknown."""
+    m = lambda c: F.col(f"metrics.{c}")
+    verdict = F.struct(m("compilable").alias("success"), F.coalesce(m("compile_errors"), F.array().cast("array<string>")).alias("error_messages"), F.coalesce(m("compile_exit_code"), F.lit(0)).alias("exit_code"))
+    return samples.withColumn("compilability", F.when(m("compilable").isNotNull(), verdict))
+
+
 def read_coverage(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(methods, lines) of a coverage report: LINE counters by method, and instructions by source line."""
     counter = "array<struct<_type: string, _missed: int, _covered: int>>"

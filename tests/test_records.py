@@ -373,3 +373,78 @@ def test_codebleu_equals_a_plain_version(spark):
     assert [got[i]["codebleu"] for i in (70, 71, 72)] == [None] * 3
     assert got[73]["ngram"] == got[73]["syntax"] == 0.0 and got[74]["dataflow"] == 1.0
     assert codebleu(df.filter("id < 0"), "id").count() == 0
+
+
+# Retrieval metrics and blocks --------------------------------------------------------------------
+
+
+def plain_retrieval(results, calls, block, truth):
+    exact = [c for c in calls if c[1] == "EXACT"]
+    parse = lambda x: (x.split("::")[0], x.split("::")[1].split("(")[0]) if "::" in x else (x, "")
+    oracle = [parse(c[0]) for c in exact]
+    simple = lambda o: o.split("<")[0].rsplit(".", 1)[-1].lower()
+    shown = (block or "").lower()
+    recall = 0.0 if not shown else sum(simple(o) in shown and m.lower() in shown for o, m in oracle) / len(oracle) if oracle else 1.0
+    needed = set(oracle)
+    texts = [f"{c} {p}".lower() for c, p, _ in results]
+    covered = sum(any(o.rsplit(".", 1)[-1].lower() in t and m.lower() in t for t in texts) for o, m in needed) / len(needed) if needed else 1.0
+    low = {(o.lower(), m.lower()) for o, m in needed}
+    apis = [{(x.split("::")[0].lower(), x.split("::")[1].split("(")[0].lower()) for x in p.split("\n") if "::" in x and not x.startswith(("bigram:", "trigram:"))} for _, p, _ in results]
+    gains = [len(low & a) for a in apis]
+    dcg = lambda g: sum(x / math.log2(i + 2) for i, x in enumerate(g))
+    ideal = dcg(sorted(gains, reverse=True))
+    ndcg = 0.0 if not results else 1.0 if not low else dcg(gains) / ideal if ideal else 0.0
+    precision = 0.0 if not results else 1.0 if not low else sum(g > 0 for g in gains) / len(gains)
+    words = lambda t: set(re.findall(r"[a-zA-Z_]\w*|[0-9]+(?:\.[0-9]+)?|[^\s]", t or ""))
+    mrr = next((1 / (i + 1) for i, (_, _, b) in enumerate(results) if words(b) and words(truth) and len(words(b) & words(truth)) / len(words(b) | words(truth)) >= 0.3), 0.0)
+    owners = {o for o, _ in low}
+    return [recall, covered, mrr, precision, ndcg, len(owners & {o for a in apis for o, _ in a}) / len(owners) if owners else 1.0]
+
+
+def test_retrieval_metrics_made_anew(spark):
+    rng = random.Random(5)
+    names = [f"a.b.{o}::{m}(int) -> void" for o in ("Foo", "Bar", "Zed") for m in ("get", "put")]
+    profile = lambda: "\n".join([*(n + rng.choice(["", " x2"]) for n in rng.sample(names, rng.randint(0, 3))), "bigram: Foo::get -> Bar::put"])
+    rows = []
+    for i in range(80):
+        results = [(rng.choice(["class: Foo", "get zed", ""]), profile(), rng.choice(["return a + b;", "go(x);", "", None])) for _ in range(rng.randint(0, 3))]
+        calls = [(rng.choice([*names, "helper"]), rng.choice(["EXACT", "EXACT", "UNRESOLVED"])) for _ in range(rng.randint(1, 4))]
+        rows.append((i, results, calls, rng.choice(["Foo get put", "bar", "", None]), rng.choice(["return a - b;", "x", ""])))
+    table = [(i, [(f"r{k}", c, p, b, k + 1) for k, (c, p, b) in enumerate(rs)], [(s, m, k) for k, (s, m) in enumerate(cs)], b, t) for i, rs, cs, b, t in rows]
+    table += [(90, None, [("x", "EXACT", 0)], "b", "t"), (91, [], [], "b", "t"), (92, [], None, "b", "t")]
+    schema = "i int, retrieval_results array<struct<id:string,methodCard:string,invocationProfile:string,methodBody:string,rank:int>>, invocations_ordered array<struct<signature:string,resolution_mode:string,order_index:int>>, augmentation_block string, ground_truth string"
+    df = spark.createDataFrame(table, schema).withColumn("metrics", F.struct(F.lit(0.5).alias("es"), F.lit(-1.0).alias("mrr"), F.lit(0.7).alias("retrieval_type_iou"))).repartition(3)
+    made = scoring.recompute_retrieval(df)
+    assert made.columns == df.columns
+    got = {r["i"]: r["metrics"] for r in made.collect()}
+    names = ("recall_at_k", "api_coverage_at_k", "mrr", "retrieval_precision_at_k", "retrieval_ndcg_at_k", "owner_type_recall")
+    for i, results, calls, block, truth in rows:
+        assert [round(got[i][n], 9) for n in names] == [round(x, 9) for x in plain_retrieval(results, calls, block, truth)], rows[i]
+        assert (got[i]["es"], got[i]["retrieval_type_iou"]) == (0.5, 0.7)
+    assert all(got[i]["mrr"] == -1.0 and got[i]["recall_at_k"] is None for i in (90, 91, 92))
+
+
+def test_blocks_end_where_a_result_begins(spark):
+    from lodestone.operators import enrich
+
+    mark = "<|file_sep|>"
+    for sizes, room in [((10, 10, 10), 100), ((300, 10), 20), ((60, 60, 60), 40), ((60, 60, 60), 41), ((60, 60, 60), 45), ((5,) * 40, 90), ((0,), 1)]:
+        rows = [(1, k, f"p{k}", "a.A", "s", None, "y" * n or "z") for k, n in enumerate(sizes)]
+        df = spark.createDataFrame(rows, "query int, rank int, path string, class_fqn string, signature string, method_body string, content string")
+        block = "\n".join(f"{mark}p{k}\n{'y' * n or 'z'}" for k, n in enumerate(sizes))
+        if len(block) > 4 * room:
+            cut = block[: 4 * room].rfind(f"\n{mark}")
+            block = block[:cut] if cut > 0 else block[: 4 * room]
+        assert enrich.result_block(df, max_tokens=room).first()["block"] == block
+
+
+def test_verdicts_of_samples(spark, tmp_path):
+    from lodestone.sources import readers
+
+    folder = tmp_path / "a" / "samples"
+    folder.mkdir(parents=True)
+    for i, m in enumerate([{"compilable": False, "compile_errors": ["e"], "compile_exit_code": 1}, {"compilable": True}, {"em": True, "codebleu": 0.5, "lcs_tokens": ["x"]}]):
+        (folder / f"sample_{i:03d}.json").write_text(json.dumps({"mode": "a", "metrics": m, "retrieval_results": [{"id": "r", "rank": 1}], "retrieval_query": {"topK": 5}}))
+    got = {r["sample_index"]: r for r in readers.with_verdict(readers.read_samples(spark, str(tmp_path))).collect()}
+    assert [got[i]["compilability"] and tuple(got[i]["compilability"]) for i in range(3)] == [(False, ["e"], 1), (True, [], 0), None]
+    assert got[2]["metrics"]["codebleu"] == 0.5 and got[2]["metrics"]["lcs_tokens"] == ["x"] and got[0]["retrieval_results"][0]["rank"] == 1 and json.loads(got[0]["retrieval_query"]) == {"topK": 5}
