@@ -45,8 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document goes if it has no letter, or if its score is below the bar: a quarter of the way from chance (one over
     the number of languages) to the score that 99 of 100 rightly predicted documents of the last quarter reach. Where
     nothing was learned, or no such document was held out, all documents with a letter stay; so they do where there is
-    one language only, as every score is 1 then. Columns of any other name stay as they are. The result is written here, in
-    small Arrow batches."""
+    one language only, as every score is 1 then. Columns of any other name stay as they are."""
     learn = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2, F.lit(True))
     with small_batches(spark):
         model = fit(docs.filter(learn).select(F.col("doc_id").alias("key"), "text", "lang"))
@@ -58,7 +57,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bar = 0.0 if reached is None else chance + max(0.0, reached - chance) / 4
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     kept = predict(docs, model, pred=pred, score=score).filter((F.col(pred) != "und") & (F.col(score) >= bar))
-    return stash(kept.select(*(F.col(f"`{c}`") for c in docs.columns)), "language")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -107,7 +106,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = docs if hasattr(docs, "stash_path") else stash(docs, f"stage-{i}")
+            docs = stash(docs, f"stage-{i}")
             if before is not None:
                 discard(before)
             before = docs
