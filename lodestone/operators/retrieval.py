@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import LONGEST_WORD, STOP_TERMS, WORDS, generic_types, path_is_suffix, query_terms, short_invocation, simple_name
+from lodestone.session import stored
 
 #: Clause boosts, share of the other clauses, results per class, default results.
 BOOSTS, TIE, PER_CLASS, DEFAULT_K = {"type": 5.0, "signature": 3.0, "package": 2.0, "invocation": 1.0}, 0.1, 2, 5
@@ -114,19 +115,19 @@ def score(query_terms_: DataFrame, posted: DataFrame, stats: tuple[DataFrame, Da
 
     ``query_terms_``: query, clause, boost, field, term, mult. Terms of the queries reach
     the postings before statistics are joined, so only the lists in use are scored. ``stats``: those of
-    a written index, which then are not counted again.
+    a written index, which then are not counted again; without them the postings, which statistics and
+    lists both read, are stored once.
 
     With ``BROADCAST_TERMS`` query terms or fewer (counted), terms and their statistics go to the
     postings: these stay dealt by document, and a common term's list meets its queries in all
     tasks and not in one. More terms are joined by shuffles."""
     near = F.broadcast if query_terms_.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda df: df
+    if stats is None:
+        posted = stored(posted)
     lengths, terms, fields = stats or index_stats(posted)
     wanted = query_terms_.select("field", "term").distinct()
     known = terms.join(near(wanted), ["field", "term"], "left_semi").join(near(fields), "field")
-    if stats is None:
-        lists = posted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc", "field"))).join(near(known), ["field", "term"])
-    else:
-        lists = posted.join(near(known), ["field", "term"]).join(lengths, ["field", "doc"])
+    lists = posted.join(near(known), ["field", "term"]).join(lengths, ["field", "doc"])
     scored = lists.select("field", "term", "doc", term_score().alias("s"))
     per = scored.join(near(query_terms_), ["field", "term"]).groupBy("query", "doc", "clause").agg(F.sum(F.col("boost") * F.col("mult") * F.col("s")).alias("c"))
     best = per.groupBy("query", "doc").agg(F.max("c").alias("top"), F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("clause", "c"))).alias("clauses"))
@@ -189,6 +190,12 @@ def build_query_terms(requests: DataFrame) -> DataFrame:
     return exploded.groupBy("query", "clause", "boost", "field", "term").agg(F.count("*").alias("mult"))
 
 
+def fetched(scored: DataFrame, k: int = DEFAULT_K, doc: str = "doc", digits: int = 6) -> DataFrame:
+    """The rows that ``top_k`` looks at, the first ``over_fetch(k)`` of each query: cut to them before columns are joined to the results."""
+    order = [F.round("score", digits).desc(), F.col(doc)]
+    return scored.withColumn("__f", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("__f") <= over_fetch(k)).drop("__f")
+
+
 def top_k(scored: DataFrame, leaks: Column, group: str, k: int = DEFAULT_K, doc: str = "doc", digits: int = 6) -> DataFrame:
     """Ranked results: over-fetch by score, drop leaks, at most two per group, then k. Ties go by document.
 
@@ -196,8 +203,7 @@ def top_k(scored: DataFrame, leaks: Column, group: str, k: int = DEFAULT_K, doc:
     what lies beyond it is never considered."""
     k = k if k > 0 else DEFAULT_K
     order = [F.round("score", digits).desc(), F.col(doc)]
-    fetched = scored.withColumn("__f", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("__f") <= over_fetch(k)).drop("__f")
-    clean = fetched.filter(~F.coalesce(leaks, F.lit(False)))
+    clean = fetched(scored, k, doc, digits).filter(~F.coalesce(leaks, F.lit(False)))
     capped = clean.withColumn("__c", F.row_number().over(Window.partitionBy("query", group).orderBy(*order))).filter(F.col("__c") <= PER_CLASS).drop("__c")
     return capped.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k)
 

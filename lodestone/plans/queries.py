@@ -67,7 +67,7 @@ def _terms(spark, sf):
 
 
 def _results(spark, sf):
-    scored = retrieval.score(_terms(spark, sf), _postings(spark, sf)).drop("clauses")
+    scored = retrieval.fetched(retrieval.score(_terms(spark, sf), _postings(spark, sf)).drop("clauses"))
     sourced = scored.join(t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc")
     return retrieval.top_k(sourced, F.col("source") == F.concat(F.lit("src"), F.col("query").cast("string")), "source")
 
@@ -93,7 +93,7 @@ scored as (select query, doc, max(c) + 0.1e0 * (sum(c) - max(c)) as score from c
 def retrieval_dismax(spark, sf):
     docs = t(spark, sf, "documents").select("doc_id", F.create_map(F.lit("body"), F.col("text"), F.lit("meta"), F.concat_ws(" ", "source", "lang")).alias("fields"))
     meta = t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.lit("meta").alias("clause"), F.lit(retrieval.BOOSTS["type"]).alias("boost"), F.lit("meta").alias("field"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("term"), F.lit(1).cast("long").alias("mult"))
-    scored = retrieval.score(_terms(spark, sf).unionByName(meta), retrieval.postings(docs, "doc_id", F.col("fields"), WORD)).drop("clauses")
+    scored = retrieval.fetched(retrieval.score(_terms(spark, sf).unionByName(meta), retrieval.postings(docs, "doc_id", F.col("fields"), WORD)).drop("clauses"))
     sourced = scored.join(t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc")
     return retrieval.top_k(sourced, F.col("source") == F.concat(F.lit("src"), F.col("query").cast("string")), "source").select("query", "doc", "source", r6("score", "score"), "rank")
 

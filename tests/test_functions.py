@@ -164,3 +164,27 @@ def test_pearson_needs_three_rows_and_spread(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 3.0, 6.0), ("b", 1.0, 1.0), ("c", 1.0, 5.0), ("c", 1.0, 6.0), ("c", 1.0, 7.0)], "k string, x double, y double")
     got = {r["k"]: r["r"] for r in df.groupBy("k").agg(metrics.pearson("x", "y").alias("r")).collect()}
     assert got == pytest.approx({"a": 1.0, "b": 0.0, "c": 0.0})
+
+
+def test_common_subsequence_takes_the_walk_of_the_full_table():
+    def full(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
+        i, j, out = len(a), len(b), []
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j, out = i - 1, j - 1, [a[i - 1], *out]
+            elif table[i - 1][j] >= table[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
+    rng = random.Random(1)
+    for _ in range(400):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 25)) for _ in range(2))
+        assert kernels.lcs_tokens(a, b) == full(a, b)
+    long = [rng.randrange(50) for _ in range(20_000)]
+    assert len(kernels.lcs_tokens(long, long[::-1])) == kernels.lcs_length(long, long[::-1])
