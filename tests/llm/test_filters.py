@@ -69,8 +69,12 @@ def test_em_recovers_planted_accuracies():
     assert abs(found.share[0] - 0.8) < 0.05 and np.abs(found.votes[0, :, 0] - slip).max() < 0.02
     assert np.abs(bad(found.share, found.votes) - bad(share, table)).max() < 0.05
     assert np.abs(found.votes[0, :, 2] - table[0, :, 2]).max() < 0.03
-    right = np.array([(found.quality(tuple(None if v == 2 else int(v) for v in row)) >= 0.5) == (k == 0) for row, k in zip(votes_[:3000], of[:3000], strict=True)])
-    assert right.mean() > 0.95
+    # Decisions come near those of the planted probabilities, the best there are. They can't reach them: these rules slip up to four times
+    # as often as the prior says, and a rule that fires alone looks like a kind of bad texts then.
+    good = np.array([found.quality(tuple(None if v == 2 else int(v) for v in row)) >= 0.5 for row in votes_[:3000]])
+    planted = np.log(share) + np.log(np.take_along_axis(table[None].repeat(3000, 0), votes_[:3000, None, :, None], 3))[..., 0].sum(axis=2)
+    best = np.exp(planted[:, 0]) >= np.exp(planted[:, 1:]).sum(axis=1)
+    assert (good == (of[:3000] == 0)).mean() > (best == (of[:3000] == 0)).mean() - 0.03
 
 
 def test_posterior_of_each_row_equals_a_plain_one(odd):
