@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import KEYWORDS, LITERALS
+from lodestone.operators.dataset import category, siblings
 from lodestone.session import stored
 
 #: One token; loops are possessive, so that long literals take no stack.
@@ -220,7 +221,7 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     ``invocations`` are in order of visit: a call before its receiver, that before its arguments. An unqualified call (of the
     innermost type around it that has such a method), one on a type, or one on a parameter, local variable or field of a plain type is EXACT where one method of that name and number of
     parameters is declared by that type in the sources; others are UNRESOLVED<name>. Types are written as in the source.
-    ``fileContent``, ``category`` and ``siblingMethods`` are left to joins with the sources (``dataset.siblings``)."""
+    ``category`` is that of ``dataset.category``; ``with_siblings`` adds the other methods of the type."""
     tree = stored(syntax_tree(sources, key, text))
     up = F.col("up.pos").alias("up")
 
@@ -244,7 +245,7 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     joined = types.alias("y").join(segments.alias("s"), (F.col("y.file") == F.col("s.file")) & F.col("y.up").eqNullSafe(F.col("s.up")) & (F.col("y.seg") == F.col("s.seg")), "left").select("y.*", "s.t")
     supers = F.filter(until(F.col("t"), F.col("pos")), lambda x: x["clause"].isin("extends", "implements") & (x["token"] != "permits"))
     listed = F.filter(F.transform(_split(supers), type_text), lambda x: x != "")
-    types = joined.select("file", "pos", "kind", "classFqn", "path", "package", "imported", listed.alias("supertypes"))
+    types = stored(joined.select("file", "pos", "kind", "classFqn", "path", "package", "imported", listed.alias("supertypes")))
 
     # Methods: braces of bodies whose bracket of parameters stands in the same segment.
     kept = tree.filter("body and up.kind in ('class', 'interface', 'enum')")
@@ -276,7 +277,8 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     methods = methods.join(parameters, ["file", "opening"], "left").withColumn("ps", F.coalesce("ps", none))
     shown = F.transform("ps", lambda p: F.concat(p["type"], F.when(p["more"], "...").otherwise(""), F.lit(" "), p["name"]))
     signature = F.concat(F.array_join(F.transform("modifiers", lambda m: F.concat(m, F.lit(" "))), ""), F.when(F.col("returnType").isNotNull(), F.concat("returnType", F.lit(" "))).otherwise(""), "methodName", F.lit("("), F.array_join(shown, ", "), F.lit(")"))
-    methods = methods.withColumns({"methodSignature": signature, "parameterTypes": F.transform("ps", lambda p: F.concat(p["type"], F.when(p["more"], "[]").otherwise("")))})
+    # Types and methods are read by all that follows, so they are stored: a row each.
+    methods = stored(methods.withColumns({"methodSignature": signature, "parameterTypes": F.transform("ps", lambda p: F.concat(p["type"], F.when(p["more"], "[]").otherwise("")))}))
 
     # Fields, and statements of bodies.
     plain = segments.filter(~F.exists("t", lambda x: x["params"] | F.coalesce(x["kind"].isin(*TYPES) | ((x["kind"] == "block") & ~x["expr"]), F.lit(False)))).join(types.filter(type_open).select("file", F.col("pos").alias("up"), F.col("kind").alias("of")), ["file", "up"]).filter("of <> 'enum' or seg > 0")
@@ -291,12 +293,31 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     goes_on = is_one_of("next", "else", "catch", "finally") | (is_one_of("token", "}") & (F.col("first") == "do")) | (is_one_of("next", "while") & (F.col("first") == "do"))
     stops = tree.filter(F.col("ends") & ~goes_on & F.coalesce(F.col("up.kind") == "block", F.lit(False))).groupBy("file", F.col("up.pos").alias("pos")).agg(F.count("*").cast("int").alias("statementCount"))
 
+    # What the category of a method goes by: annotations, and of a single statement what it is and what it consists of.
+    notes = tree.filter(F.col("anno") & ~is_one_of("token", "(", ")") & F.coalesce(F.col("up.kind").isin(*TYPES), F.lit(False))).groupBy("file", up, "seg").agg(F.array_join(_ordered("token")["token"], "").alias("a"))
+    notes = notes.select("file", "up", "seg", F.filter(F.split("a", "@"), lambda x: x != "").alias("annotations"))
+    direct = tree.select("file", F.col("up.pos").alias("pos"), F.col("pos").alias("at_"), "token", "angle").join(stops.filter("statementCount = 1").select("file", "pos"), ["file", "pos"], "left_semi").join(kept.select("file", "pos"), ["file", "pos"], "left_semi")
+    told = direct.groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("at_", "token", "angle"))).alias("s"))  # the tokens of one statement
+    word = F.transform("s", lambda x: x["token"])
+    plain_word = lambda x: x["token"].rlike(r"^[\p{L}_$]")
+    rest_ = F.filter("s", lambda x: ~x["token"].isin("return", ";") & (x["angle"] == 0) & (x["token"] != ">"))
+    chain = F.forall(rest_, lambda x: x["token"].isin(".", "(", ")", "this", "super") | (plain_word(x) & ~x["token"].isin(*(k for k in KEYWORDS if k not in CONTEXTUAL))))
+    # Two words in a row are a declaration and no call.
+    spread = F.exists(F.sequence(F.lit(1), F.greatest(F.size(rest_), F.lit(1))), lambda i: F.coalesce(plain_word(F.get(rest_, i)) & plain_word(F.get(rest_, i - 1)), F.lit(False)))
+    ends_in = F.element_at(F.filter(word, lambda x: x != ";"), -1)
+    assigns = F.exists(word, lambda x: x.isin("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^="))
+    part = F.when(assigns & ~spread, "assignment").when(chain & ~spread & (ends_in == ")"), "call").otherwise("other")
+    control = ("if", "for", "while", "do", "switch", "try", "throw", "synchronized", "assert", "break", "continue", "class", "{", ";", "yield")
+    shape = F.when(F.get(word, F.lit(0)) == "return", "return").when(~spread & ~F.get(word, F.lit(0)).isin(*control) & ~(F.get(word, F.lit(0)).isin("this", "super") & (F.get(word, F.lit(1)) == "(")), "expression").otherwise("other")
+    told = told.select("file", "pos", shape.alias("statementKind"), part.alias("statementPart"), F.try_element_at(F.filter("s", lambda x: x["token"] == "("), F.lit(-1))["at_"].alias("call_at"))
+    told = told.join(arity.withColumnRenamed("up", "call_at"), ["file", "call_at"], "left").select("file", "pos", "statementKind", "statementPart", F.coalesce("arity", F.lit(0)).alias("nArguments"))
+
     # Calls and types in bodies: each belongs to all methods around it.
     spans = methods.select("file", "pos", "close").select("file", F.explode(F.array(F.struct(F.col("pos").alias("p"), F.lit(1).alias("d")), F.struct(F.col("close").alias("p"), F.lit(-1).alias("d")))).alias("s")).select("file", "s.*")
     turned = tree.join(spans.withColumnRenamed("p", "pos"), ["file", "pos"], "left").withColumn("inside", F.sum(F.coalesce("d", F.lit(0))).over(_file().rowsBetween(Window.unboundedPreceding, 0)))
     owned = turned.withColumn("owner", F.last(_when(F.col("d") == 1, "pos"), ignorenulls=True).over(Window.partitionBy("file", "inside").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).filter("inside > 0")
     levels = owned.filter("d = 1").select("file", "pos", F.col("inside").cast("int").alias("level"))
-    ancestors = _nested(levels, "level").select("file", F.col("pos").alias("owner"), F.explode("around.pos").alias("method"))
+    ancestors = stored(_nested(levels, "level").select("file", F.col("pos").alias("owner"), F.explode("around.pos").alias("method")))
 
     head_of_call = (is_name("token") & is_one_of("next", "(")) | (is_one_of("token", "this", "super") & is_one_of("next", "("))
     starts = (is_name("token") | is_one_of("token", "this", "super", "new", *LITERALS) | F.col("token").rlike(r"^[\"'0-9]")) & ~is_one_of("prev", ".", "new", "::") & (F.col("angle") == 0) & ~F.col("prev_typed") | (is_one_of("token", "(") & ~(is_name("prev") | is_one_of("prev", ">", "]", ")", "this", "super")))
@@ -308,7 +329,7 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     made_of = tree.filter("fresh and token <> 'new'").groupBy("file", F.col("l_new").alias("pos")).agg(_ordered("token").alias("t"))
     made = made_at.join(made_of, ["file", "pos"]).select("file", "owner", "pos", F.col("pos").alias("chain"), "up", type_text(F.transform(F.filter("t", lambda x: x["pos"] < F.col("up")), lambda x: x["token"])).alias("name"), F.lit(True).alias("new"), F.lit(None).cast("string").alias("on"))
     calls = named_calls.unionByName(made).join(arity, ["file", "up"], "left").withColumn("arity", F.coalesce("arity", F.lit(0)))
-    calls = calls.join(ancestors, ["file", "owner"])
+    calls = stored(calls.join(ancestors, ["file", "owner"]))
 
     # A qualified type is written as a whole, from the first of its dotted names.
     dotted = owned.filter((is_name("token") | is_one_of("token", ".")) & ~F.col("anno") & ~is_one_of("token", "var")).withColumn("from", F.last(_when(is_name("token") & ~is_one_of("prev", "."), "pos"), ignorenulls=True).over(Window.partitionBy("file", "up.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
@@ -346,16 +367,26 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     invoked = ordered.groupBy("file", "pos").agg(F.array_sort(F.collect_list("c")).alias("cs")).select("file", "pos", F.transform("cs", lambda c, i: F.struct(c["signature"].alias("signature"), c["mode"].alias("resolutionMode"), i.alias("orderIndex"))).alias("invocations"))
 
     strings, invocations = F.array().cast("array<string>"), F.array().cast("array<struct<signature:string,resolutionMode:string,orderIndex:int>>")
-    whole = base.join(stops, ["file", "pos"], "left").join(invoked, ["file", "pos"], "left").join(used, ["file", "pos"], "left").join(by_type.withColumnRenamed("owner", "up"), ["file", "up"], "left")
+    whole = base.join(bodies.select("file", "pos", "seg"), ["file", "pos"]).join(notes, ["file", "up", "seg"], "left").join(told, ["file", "pos"], "left").join(stops, ["file", "pos"], "left").join(invoked, ["file", "pos"], "left").join(used, ["file", "pos"], "left").join(by_type.withColumnRenamed("owner", "up"), ["file", "up"], "left")
     body = F.substring(F.col("t.text"), F.col("bodyStartOffset") + 1, F.col("bodyEndOffset") - F.col("bodyStartOffset"))
     whole = whole.join(sources.select(F.col(key).alias("file"), F.col(text).alias("text")).alias("t"), "file")
+    whole = whole.withColumns({"inTestSource": F.contains(F.translate(F.col("file").cast("string"), "\\", "/"), F.lit("/test/")), "annotations": F.coalesce("annotations", strings), "nParameters": F.size("ps"), "hasBody": F.lit(True), "nStatements": F.coalesce("statementCount", F.lit(0))})
     return whole.select(
-        F.col("file").alias("filePath"), "classFqn", "methodSignature", "methodName", body.alias("methodBody"), F.col("bodyStartOffset").cast("int").alias("bodyStartOffset"), F.col("bodyEndOffset").cast("int").alias("bodyEndOffset"),
-        F.coalesce("statementCount", F.lit(0)).alias("statementCount"), F.coalesce("invocations", invocations).alias("invocations"), F.transform("imported", lambda x: x["name"]).alias("imports"),
+        F.col("file").alias("filePath"), F.col("t.text").alias("fileContent"), "classFqn", "methodSignature", "methodName", body.alias("methodBody"), F.col("bodyStartOffset").cast("int").alias("bodyStartOffset"), F.col("bodyEndOffset").cast("int").alias("bodyEndOffset"),
+        F.coalesce("statementCount", F.lit(0)).alias("statementCount"), category().alias("category"), F.coalesce("invocations", invocations).alias("invocations"), F.transform("imported", lambda x: x["name"]).alias("imports"),
         F.coalesce("classFields", F.array().cast("array<struct<name:string,typeFqn:string>>")).alias("classFields"), "supertypes", "returnType", "parameterTypes", "thrownExceptions", F.coalesce("usedTypes", strings).alias("usedTypes"),
     )
 
 
+def with_siblings(methods: DataFrame) -> DataFrame:
+    """Methods of ``extract`` with ``siblingMethods``: the others of their type in the source's order, those a filter drops later included."""
+    typed = methods.withColumn("__type", F.struct("filePath", "classFqn"))
+    fields = ("methodSignature", "methodName", "parameterTypes", "returnType", "invocations", "usedTypes")
+    joined = siblings(typed, "__type", "bodyStartOffset", fields)
+    named = F.transform("siblings", lambda s: F.struct(s["methodSignature"].alias("signature"), *(s[f].alias(f) for f in fields[1:])))
+    return joined.withColumn("siblingMethods", named).drop("siblings", "__type")
+
+
 def _split(tokens: Column) -> Column:
     """Rows (token, angle) cut at commas outside type arguments, and at ``implements``: arrays of tokens."""
     empty = F.array().cast("array<string>")

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import syntax
+from lodestone.operators import graph, syntax
 from lodestone.plans.queries import query, t
-from lodestone.session import shared_folder
+from lodestone.session import shared_folder, stored
 from lodestone.sources.documents import read_elements, write_elements
 
 # A source per customer; {k} is its key and {m} what is left of it by 5. SQL and Spark spell it from the same text.
@@ -77,14 +77,14 @@ _RUN = _SOURCE[_SOURCE.index("{\n    if") : _SOURCE.index("\n  static long add")
   struct_pack(sig := 'public static long run(int a, ' || r || ' r, String... rest)', returns := 'long', params := 'int;' || r || ';String[]', thrown := 'Oops', n := 4,
    calls := fqn || '::add(int, int) -> long;UNRESOLVED<size>;UNRESOLVED<stop>;UNRESOLVED<go>;UNRESOLVED<then>;UNRESOLVED<put>;UNRESOLVED<<init>(Box<T>)>', used := 'String;Item;Box;T', body := {_spelled(_RUN)}),
   struct_pack(sig := 'static long add(int x, int y)', returns := 'long', params := 'int;int', thrown := '', n := 1, calls := '', used := '', body := '{{ return x + y; }}')]) as x from c join customer using (c_custkey))
-select file, fqn, x.sig as signature, x.returns, x.params, x.thrown, x.n as statements, x.calls, x.used, md5(x.body) as body, 'q.' || r || ';java.util' as imports, 'seen Map<String,List<T>>;more Map<String,List<T>>;sizes int[]' as fields, 'B<T>;' || i || ';java.io.Closeable' as supers from m""")
+select file, fqn, x.sig as signature, x.returns, x.params, x.thrown, x.n as statements, x.calls, x.used, md5(x.body) as body, 'q.' || r || ';java.util' as imports, 'seen Map<String,List<T>>;more Map<String,List<T>>;sizes int[]' as fields, 'B<T>;' || i || ';java.io.Closeable' as supers, 'NORMAL' as category, 2 as n_siblings from m""")
 def extracted_methods(spark, sf):
-    rows = syntax.extract(_sources(spark, sf))
+    rows = syntax.with_siblings(syntax.extract(_sources(spark, sf)))
     joined = lambda c: F.array_join(c, ";")
     calls, fields = F.transform("invocations", lambda i: i["signature"]), F.transform("classFields", lambda f: F.concat_ws(" ", f["name"], f["typeFqn"]))
     return rows.select(
         F.col("filePath").alias("file"), F.col("classFqn").alias("fqn"), F.col("methodSignature").alias("signature"), F.col("returnType").alias("returns"), joined("parameterTypes").alias("params"), joined("thrownExceptions").alias("thrown"),
-        F.col("statementCount").alias("statements"), joined(calls).alias("calls"), joined("usedTypes").alias("used"), F.md5("methodBody").alias("body"), joined("imports").alias("imports"), joined(fields).alias("fields"), joined("supertypes").alias("supers"),
+        F.col("statementCount").alias("statements"), joined(calls).alias("calls"), joined("usedTypes").alias("used"), F.md5("methodBody").alias("body"), joined("imports").alias("imports"), joined(fields).alias("fields"), joined("supertypes").alias("supers"), "category", F.size("siblingMethods").alias("n_siblings"),
     )
 
 
@@ -102,3 +102,10 @@ def split_document(spark, sf):
     found = read_elements(spark, path, "methods", "p_partkey long, p_name string, p_size int, odd string")
     kind = dict(rows.dtypes)
     return found.select(F.col("element.p_partkey").cast(kind["p_partkey"]).alias("p_partkey"), "element.p_name", F.col("element.p_size").cast(kind["p_size"]).alias("p_size"), "element.odd", (F.col("ord") >= 0).alias("placed"))
+
+
+@query(f"select {_spelled('p.n{n}.C{k}::run(int,R{m},String[]) -> long')} as src, {_spelled('p.n{n}.C{k}::add(int,int) -> long')} as dst, cast(1 as bigint) as weight from customer")
+def source_call_graph(spark, sf):
+    """From sources to the edges of their call graph: extraction, siblings, vertices, exact calls between them."""
+    rows = stored(syntax.with_siblings(syntax.extract(_sources(spark, sf))).drop("fileContent"))
+    return graph.edges(graph.flatten_vertices(rows.withColumn("ord", F.struct("filePath", "bodyStartOffset")), "ord"))

@@ -151,3 +151,41 @@ def test_sources_with_odd_rows(spark):
     assert sum(r["filePath"] == "w" for r in got) == 400
     assert [calls(r) for r in got if r["filePath"] == "d"] == [["<g>"]]
     assert all(re.fullmatch(r"<n\d+>", calls(r)[0]) for r in got if r["filePath"] == "w")
+
+
+def test_categories_and_siblings(spark):
+    from lodestone.operators.syntax import with_siblings
+
+    text = """package a;
+class A {
+  int x; Other o;
+  A(int x) { super(x); }
+  int getX() { return x; }
+  boolean isX() { return x > 0; }
+  void setX(int x) { this.x = x; }
+  void setTwo(int x, int y) { this.x = x; }
+  int go(int a, int b) { return o.go(a, b); }
+  void run(int a) { Helper.<T>run(a); }
+  void all(int a) { o.go(a, 1); }
+  int made(int a) { return new Other(a); }
+  void local(int a) { int b = go(a); }
+  int sum(int a) { return a + go(a); }
+  int getBoth() { x++; return x; }
+  void getNone() { }
+  @Test void tried() { }
+  @org.junit.Test(timeout = 1) void again(int a) { a(); }
+  @javax.annotation.Generated("x") @Override public void built() { f(); }
+  void loop(int a) { for (;;) { go(a); } }
+}
+"""
+    rows = spark.createDataFrame([("src/main/A.java", text), ("src/test/B.java", "class B { int getX() { return 1; } }")], "path string, text string")
+    got = extract(rows)
+    kinds = {r["methodName"]: r["category"] for r in got.filter("classFqn = 'a.A'").collect()}
+    assert kinds == {
+        "getX": "GETTER", "isX": "GETTER", "setX": "SETTER", "setTwo": "NORMAL", "go": "DELEGATOR", "run": "DELEGATOR", "all": "NORMAL", "made": "NORMAL", "local": "NORMAL", "sum": "NORMAL", "getBoth": "NORMAL",
+        "A": "NORMAL", "getNone": "GETTER", "tried": "TEST", "again": "TEST", "built": "GENERATED", "loop": "NORMAL",
+    }
+    whole = {(r["classFqn"], r["methodName"]): r for r in with_siblings(got).collect()}
+    assert whole["B", "getX"]["category"] == "TEST" and whole["B", "getX"]["siblingMethods"] == []
+    assert [s["methodName"] for s in whole["a.A", "setX"]["siblingMethods"]] == [n for n in re.findall(r"(\w+)\([^)]*\) {", text) if n != "setX"]
+    assert whole["a.A", "setX"]["siblingMethods"][5]["signature"] == "void run(int a)" and whole["a.A", "setX"]["fileContent"] == text
