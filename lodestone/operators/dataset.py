@@ -145,20 +145,24 @@ def method_line_coverage(methods: DataFrame, lines: DataFrame, key: str, width:
     return line_coverage(spans.filter("first_line is not null and last_line is not null"), lines, width)
 
 
-def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
+def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, few: int = 1 << 17) -> DataFrame:
     """Pairs of a text and a name that stands in it as a substring, for names of word characters (Unicode's) and ``$``.
 
     A name of such characters inside a text lies inside one run of them, so the product is
     taken between distinct names and distinct runs: names are posted under their first
     three characters, shorter ones under all they have, and runs under their 1-, 2- and
-    3-grams."""
+    3-grams, of those lengths that names begin with. Names are broadcast where counted to be ``few`` or fewer, so that
+    grams of the vocabulary are met where they are made."""
     q = 3
     runs = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)[\w$]+"), F.lit(0)))).alias("run"))
     vocabulary = runs.select("run").distinct()
     grams = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring(F.col("run"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    posted = vocabulary.select("run", F.explode(F.array_distinct(F.concat(*(grams(n) for n in range(1, q + 1))))).alias("gram"))
-    wanted = names.filter(F.length(name) > 0).select(F.col(name).alias("name")).distinct()
-    pairs = posted.join(wanted.withColumn("gram", F.substring("name", 1, q)), "gram").filter(F.contains("run", "name")).select("run", "name").distinct()
+    wanted = names.filter(F.length(name) > 0).select(F.col(name).alias("name")).distinct().withColumn("gram", F.substring("name", 1, q))
+    begun = wanted.agg(F.collect_set(F.length("gram")).alias("n"), F.count("*").alias("names")).first()  # three lengths at most
+    if not begun["names"]:
+        return texts.select("text_id", F.lit("").alias("name")).limit(0)
+    posted = vocabulary.select("run", F.explode(F.array_distinct(F.concat(*(grams(n) for n in sorted(begun["n"]))))).alias("gram"))
+    pairs = posted.join(F.broadcast(wanted) if begun["names"] <= few else wanted, "gram").filter(F.contains("run", "name")).select("run", "name").distinct()
     return runs.join(pairs, "run").select("text_id", "name").distinct()
 
 

@@ -12,7 +12,7 @@ from lodestone.operators.codebleu import codebleu
 from lodestone.plans.queries import _RETRIEVAL, _TERM, _postings, _results, _terms, query, r6, t
 from lodestone.plans.source_queries import _sources
 from lodestone.session import shared_folder
-from lodestone.sources import sinks
+from lodestone.sources import readers, sinks
 from lodestone.streaming import progress
 
 s = lambda c: F.col(c).cast("string")
@@ -220,3 +220,34 @@ def graph_checks_of_a_broken_store(spark, sf):
     vertices = n.select((key % 20).alias("vertex_id"), (key * 2).alias("idx"))
     edges = n.select(key.alias("src"), ((F.col("n_regionkey") * 7) % 27).alias("dst"), (key % 4 - F.lit(0.5) * (key % 2)).alias("weight"))
     return graph.sanity(vertices, edges.unionByName(edges.filter(F.col("src") % 5 == 0).withColumn("weight", F.lit(1.0))))
+
+
+# Requests and a written index --------------------------------------------------------------------
+
+_STOPPED = ", ".join(f"'{x}'" for x in text.STOP_TERMS)
+
+
+@query(f"""with r as (select n_nationkey as query, 'n' || n_nationkey as n, n_nationkey as k from nation),
+ c as (select query, unnest([struct_pack(c := 'type', b := 5e0, f := 'types', t := ['optional', 'widget' || k % 4, 'queue', 'item' || k % 5, 'base' || k % 3, 'answer' || n, 'string', 'thing']), struct_pack(c := 'signature', b := 3e0, f := 'card', t := ['answer' || n, 'findby' || n, 'kind' || n, 'base' || k % 3]),
+  struct_pack(c := 'package', b := 2e0, f := 'card', t := ['pkg', 'c' || k]), struct_pack(c := 'invocation', b := 1e0, f := 'profile', t := ['q.owner', 'list', 'ab', 'r.other' || k % 2, 'q.owner'])]) as x from r),
+ u as (select query, x.c as clause, x.b as boost, x.f as field, unnest(x.t) as term from c)
+select query, clause, boost, field, term, count(*) as mult from u where length(term) >= 3 and term not in ({_STOPPED}) group by all""")
+def request_terms(spark, sf):
+    k, key = F.col("n_nationkey"), s("n_nationkey")
+    made = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    rows = t(spark, sf, "nation").select(
+        k.alias("query"), made("public static Answern", key, " findByn", key, "(int n, java.lang.String s, Queue<a.Thing> q)").alias("methodSignature"), made("org.pkg.c", key, ".Kindn", key).alias("classFqn"), F.array(made("a.b.Base", k % 3)).alias("supertypes"),
+        F.array(F.lit("java.util.Optional"), made("w.Widget", k % 4)).alias("imports"), F.array(F.lit("java.util.Queue<a.Thing>"), made("x.Item", k % 5)).alias("classFields"), F.array(F.lit("q.Owner"), F.lit("List"), F.lit("Ab"), made("r.Other", k % 2), F.lit("q.Owner")).alias("siblingOwnerTypes"),
+    )
+    return retrieval.build_query_terms(rows)
+
+
+@query(f"{_RETRIEVAL} select query, doc, source, round(score, 6) as score, cast(rank as int) as rank from top where rank <= 5")
+def retrieval_from_index(spark, sf):
+    """The ranked results of ``retrieval_topk`` from an index that was written before."""
+    path = _place(spark, "index")
+    sinks.write_index(_postings(spark, sf), path)
+    posted, stats = readers.read_index(spark, path)
+    scored = retrieval.fetched(retrieval.score(_terms(spark, sf), posted, stats).drop("clauses"))
+    sourced = scored.join(t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc")
+    return retrieval.top_k(sourced, F.col("source") == F.concat(F.lit("src"), s("query")), "source").select("query", "doc", "source", r6("score", "score"), "rank")
