@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import metrics, text
+from lodestone.functions import kernels, metrics, text
 from lodestone.operators import analysis, dataset, graph, plugins, retrieval, scoring
 from lodestone.operators.codebleu import codebleu
 from lodestone.plans.queries import _RETRIEVAL, _TERM, _postings, _results, _terms, query, r6, t
@@ -251,3 +251,19 @@ def retrieval_from_index(spark, sf):
     scored = retrieval.fetched(retrieval.score(_terms(spark, sf), posted, stats).drop("clauses"))
     sourced = scored.join(t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc")
     return retrieval.top_k(sourced, F.col("source") == F.concat(F.lit("src"), s("query")), "source").select("query", "doc", "source", r6("score", "score"), "rank")
+
+
+# Common sequences --------------------------------------------------------------------------------
+
+
+@query("""with recursive p as (select c_custkey as key, lower(c_name || c_mktsegment) as x, lower(c_mktsegment || ' building customer') as y from customer), q as (select *, string_split(x, '') as a, string_split(y, '') as b from p),
+ d(key, a, b, i, cells) as (select key, a, b, 0, list_transform(range(0, len(b) + 1), lambda j: 0) from q union all select key, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: list_max(list_prepend(0, list_transform(range(1, j + 1), lambda k: case when a[i + 1] = b[k] then cells[k] + 1 else cells[k + 1] end)))) from d where i < len(a)),
+ l as (select key, cells[len(cells)] as lcs_length, greatest(len(a), len(b)) as longest from d where i = len(a)),
+ r as (select key, x, y, unnest(range(1, length(y) + 1)) as i0 from p), m as (select key, max(list_max(list_transform(range(0, length(y) - i0 + 2), lambda n: case when contains(x, substr(y, i0, n)) then n else 0 end))) as run from r group by key)
+select key as c_custkey, cast(lcs_length as int) as lcs_length, round(lcs_length / longest, 6) as lcs_ratio, cast(run as int) as run from l join m using (key)""")
+def common_sequences(spark, sf):
+    x, y = F.lower(F.concat("c_name", "c_mktsegment")), F.lower(F.concat("c_mktsegment", F.lit(" building customer")))
+    letters = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    rows = t(spark, sf, "customer").select("c_custkey", letters(x).alias("x"), letters(y).alias("y"))
+    made = rows.withColumns({"lcs_length": F.size(kernels.lcs_tokens_udf("x", "y")), "same": kernels.lcs_length_udf("x", "y"), "run": F.size(kernels.common_substring_udf("x", "y"))})
+    return made.select("c_custkey", F.when(F.col("same") == F.col("lcs_length"), F.col("lcs_length")).alias("lcs_length"), r6(metrics.ratio_to_longest("lcs_length", "x", "y"), "lcs_ratio"), "run")
