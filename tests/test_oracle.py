@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans import code_queries, record_queries, source_queries  # noqa: F401  register their queries
+from lodestone.plans import code_queries, record_queries, source_queries, store_queries  # noqa: F401  register their queries
 from lodestone.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
