@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestone.functions import kernels, metrics, text
-from lodestone.operators import analysis, dataset, graph, plugins, retrieval, scoring
+from lodestone.operators import analysis, dataset, graph, plugins, prompt, retrieval, scoring
 from lodestone.operators.codebleu import codebleu
 from lodestone.plans.queries import _RETRIEVAL, _TERM, _postings, _results, _terms, query, r6, t
 from lodestone.plans.source_queries import _sources
@@ -267,3 +267,25 @@ def common_sequences(spark, sf):
     rows = t(spark, sf, "customer").select("c_custkey", letters(x).alias("x"), letters(y).alias("y"))
     made = rows.withColumns({"lcs_length": F.size(kernels.lcs_tokens_udf("x", "y")), "same": kernels.lcs_length_udf("x", "y"), "run": F.size(kernels.common_substring_udf("x", "y"))})
     return made.select("c_custkey", F.when(F.col("same") == F.col("lcs_length"), F.col("lcs_length")).alias("lcs_length"), r6(metrics.ratio_to_longest("lcs_length", "x", "y"), "lcs_ratio"), "run")
+
+
+# Prompts without a budget ------------------------------------------------------------------------
+
+
+@query("""with p as (select p_partkey as k, 'package p;' || chr(10) || 'import a.B;' || chr(10) || 'class C {' || chr(10) || '  private B b;' || chr(10) as head, '  void m' || p_partkey || '() {' as own, ' ' || p_name || '; ' as body, '}' || chr(10) || '  void n() { }' || chr(10) || '}' || chr(10) as tail,
+  '/*' || chr(10) || ' * Method invocations used in this method:' || chr(10) || ' * 1. q.R::z' || p_size || '(int) [EXACT]' || chr(10) || ' * 2. a.B::n() [UNRESOLVED]' || chr(10) || ' */' as comment, '<|file_sep|>f' || p_size || chr(10) || p_brand as found from part),
+ m as (select k, 'ordered_augmentation' as mode, head || comment || chr(10) || own as prefix, '' as context, comment as block, body, tail from p union all select k, 'no_augmentation', head || own, '', null, body, tail from p union all select k, 'rag_x', head || own, found || chr(10), found, body, tail from p)
+select k as p_partkey, mode, md5(context || '<|fim_prefix|>' || prefix || '<|fim_suffix|>' || tail || '<|fim_middle|>') as prompt, md5(prefix) as prefix, md5(tail) as suffix, body as truth, md5(block) as block, cast(null as varchar) as error from m""")
+def whole_prompts(spark, sf):
+    key = s("p_partkey")
+    head = F.concat(F.lit("package p;\nimport a.B;\nclass C {\n  private B b;\n  void m"), key, F.lit("() {"))
+    body = F.concat(F.lit(" "), "p_name", F.lit("; "))
+    call = lambda signature, mode, at: F.struct(signature.alias("signature"), F.lit(mode).alias("resolutionMode"), F.lit(at).alias("orderIndex"))
+    calls = F.array(call(F.lit("a.B::n()"), "UNRESOLVED", 1), call(F.concat(F.lit("q.R::z"), s("p_size"), F.lit("(int)")), "EXACT", 0))
+    rows = t(spark, sf, "part").select("p_partkey", F.concat(head, body, F.lit("}\n  void n() { }\n}\n")).alias("fileContent"), (F.length(head) - 1).alias("bodyStartOffset"), (F.length(head) + F.length(body)).alias("bodyEndOffset"), F.lit("p.C").alias("classFqn"), calls.alias("invocations"), F.array(F.lit("a.B")).alias("usedTypes"), F.concat(F.lit("<|file_sep|>f"), s("p_size"), F.lit("\n"), "p_brand").alias("found"))
+    out = None
+    for mode in ("ordered_augmentation", "no_augmentation", "rag_x"):
+        made = prompt.prompts(rows, "p_partkey", mode, retrieved="found" if prompt.is_retrieval(mode) else None)
+        part = made.select("p_partkey", F.lit(mode).alias("mode"), F.md5("full_prompt").alias("prompt"), F.md5("prefix").alias("prefix"), F.md5("suffix").alias("suffix"), F.col("ground_truth").alias("truth"), F.md5("augmentation_block").alias("block"), "error")
+        out = part if out is None else out.unionByName(part)
+    return out
