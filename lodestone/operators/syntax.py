@@ -357,10 +357,16 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     asked = looked.withColumn("places", F.array("target")).drop("target").unionByName(asked.filter("simple is null").withColumn("places", places))
     tried = asked.filter("places is not null").select("file", "method", "pos", "new", "name", "arity", F.posexplode("places").alias("rank", "target")).filter("target is not null")
     tried = tried.withColumn("called", F.when(F.col("new") | (F.col("name") == "this"), F.substring_index("target", ".", -1)).otherwise(F.col("name")))
-    offered = base.select(F.col("classFqn").alias("target"), F.col("methodName").alias("called"), F.size("ps").alias("arity"), F.col("returnType"), "parameterTypes").groupBy("target", "called", "arity").agg(F.count("*").alias("fits"), F.first("returnType").alias("returnType"), F.first("parameterTypes").alias("parameterTypes"))
+    facts = base.select("file", F.col("classFqn").alias("target"), F.col("methodName").alias("called"), F.size("ps").alias("arity"), "returnType", "parameterTypes")
     constructs = F.col("new") | (F.col("name") == "this")
     exact = F.concat("target", F.lit("::"), F.when(constructs, "<init>").otherwise(F.col("name")), F.lit("("), F.array_join("parameterTypes", ", "), F.lit(") -> "), F.when(constructs, F.col("target")).otherwise(F.coalesce("returnType", F.lit("void"))))
-    hit = tried.join(offered, ["target", "called", "arity"]).groupBy("file", "method", "pos").agg(F.min(F.struct("rank", F.when(F.col("fits") == 1, exact).alias("exact")))["exact"].alias("exact"))
+    def fitting(by: list[str]) -> DataFrame:
+        offered = facts.groupBy(*by).agg(F.count("*").alias("fits"), F.first("returnType").alias("returnType"), F.first("parameterTypes").alias("parameterTypes"))
+        return tried.join(offered, by).groupBy("file", "method", "pos").agg(F.min(F.struct("rank", F.when(F.col("fits") == 1, exact).alias("exact")))["exact"].alias("exact"))
+
+    # A type that several sources declare is that of the call's own source.
+    anywhere, beside = fitting(["target", "called", "arity"]), fitting(["file", "target", "called", "arity"]).withColumnRenamed("exact", "own")
+    hit = anywhere.join(beside, ["file", "method", "pos"], "left").select("file", "method", "pos", F.coalesce("exact", "own").alias("exact"))
     met = asked.drop("places").join(hit, ["file", "method", "pos"], "left")
     open_ = F.concat(F.lit("UNRESOLVED<"), F.when(F.col("new"), F.concat(F.lit("<init>("), "name", F.lit(")"))).otherwise(F.col("name")), F.lit(">"))
     ordered = met.select("file", F.col("method").alias("pos"), F.struct("chain", (-F.col("pos")).alias("later"), F.coalesce("exact", open_).alias("signature"), F.when(F.col("exact").isNotNull(), "EXACT").otherwise("UNRESOLVED").alias("mode")).alias("c"))
@@ -378,6 +384,23 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     )
 
 
+def calls_in_place(bodies: DataFrame) -> DataFrame:
+    """(index, invocations, error) of generated bodies, read where they belong: calls are resolved as in ``extract``.
+
+    ``bodies``: index, fileContent, bodyStartOffset (of the opening brace), bodyEndOffset (of the closing brace, or behind it),
+    generatedBody (what stands between). Each file is put together with its body and extracted; the calls are those of the method whose brace stands at
+    the offset, in order of visit. An entry that cannot be put together has no calls and says why; so does one without a method there."""
+    c, start, end = F.col("fileContent"), F.col("bodyStartOffset"), F.col("bodyEndOffset")
+    error = F.when(c.isNull(), "no file content").when(F.col("generatedBody").isNull(), "no generated body").when(start.isNull() | end.isNull() | (start < 0) | (end <= start) | (end > F.length(c)), "offsets outside the file")
+    closing = F.when((F.substring(c, end + 1, F.lit(1)) != "}") & (F.substring(c, end, F.lit(1)) == "}"), end - 1).otherwise(end)
+    made = F.concat(F.substring(c, F.lit(1), start + 1), F.col("generatedBody"), F.substring(c, closing + 1, F.length(c)))
+    judged = bodies.withColumns({"error": error, "text": F.when(error.isNull(), made)})
+    found = extract(judged.filter("error is null").select("index", "text"), "index", "text").select(F.col("filePath").alias("index"), F.col("bodyStartOffset"), "invocations")
+    joined = judged.select("index", "bodyStartOffset", "error").join(found, ["index", "bodyStartOffset"], "left")
+    none = F.array().cast("array<struct<signature:string,resolutionMode:string,orderIndex:int>>")
+    return joined.select("index", F.coalesce("invocations", none).alias("invocations"), F.coalesce("error", F.when(F.col("invocations").isNull(), "no method at the offset")).alias("error"))
+
+
 def with_siblings(methods: DataFrame) -> DataFrame:
     """Methods of ``extract`` with ``siblingMethods``: the others of their type in the source's order, those a filter drops later included."""
     typed = methods.withColumn("__type", F.struct("filePath", "classFqn"))

@@ -109,3 +109,16 @@ def source_call_graph(spark, sf):
     """From sources to the edges of their call graph: extraction, siblings, vertices, exact calls between them."""
     rows = stored(syntax.with_siblings(syntax.extract(_sources(spark, sf))).drop("fileContent"))
     return graph.edges(graph.flatten_vertices(rows.withColumn("ord", F.struct("filePath", "bodyStartOffset")), "ord"))
+
+
+@query(f"""select c_custkey as index, {_spelled('p.n{n}.C{k}')} || '::add(int, int) -> long;UNRESOLVED<go>;UNRESOLVED<<init>(R' || c_custkey % 5 || ')>' as calls, cast(null as varchar) as error from customer where c_custkey % 7 > 0
+ union all select c_custkey, '', 'no generated body' from customer where c_custkey % 7 = 0""")
+def body_calls_in_place(spark, sf):
+    """Calls of generated bodies in the files that they are put into."""
+    k, rows = F.col("path"), _sources(spark, sf)
+    at = F.instr("text", "throws Oops {") + F.lit(len("throws Oops {") - 2)
+    end = F.instr("text", "  static long add") - F.lit(2)
+    body = F.concat(F.lit(" return add(1, a) + go(\"}\", new R"), (k % 5).cast("string"), F.lit("()); "))
+    bodies = rows.select(k.alias("index"), F.col("text").alias("fileContent"), at.cast("int").alias("bodyStartOffset"), end.cast("int").alias("bodyEndOffset"), F.when(k % 7 > 0, body).alias("generatedBody"))
+    found = syntax.calls_in_place(bodies)
+    return found.select("index", F.array_join(F.transform("invocations", lambda i: i["signature"]), ";").alias("calls"), "error")

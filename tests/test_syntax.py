@@ -189,3 +189,15 @@ class A {
     assert whole["B", "getX"]["category"] == "TEST" and whole["B", "getX"]["siblingMethods"] == []
     assert [s["methodName"] for s in whole["a.A", "setX"]["siblingMethods"]] == [n for n in re.findall(r"(\w+)\([^)]*\) {", text) if n != "setX"]
     assert whole["a.A", "setX"]["siblingMethods"][5]["signature"] == "void run(int a)" and whole["a.A", "setX"]["fileContent"] == text
+
+
+def test_calls_of_bodies_in_place(spark):
+    from lodestone.operators.syntax import calls_in_place
+
+    at = DISK.index("{ read(); }")
+    end = at + len("{ read(); }")
+    rows = [(1, DISK, at, end, " read(); other(n); "), (2, DISK, at, end - 1, " write(n); "), (3, None, 0, 1, "x"), (4, DISK, at, end, None), (5, DISK, -1, 4, "x"), (6, DISK, at, 10_000, "x"), (7, DISK, 3, 9, "x();"), (8, DISK, None, 3, "x"), (9, DISK, at, end, "")]
+    df = spark.createDataFrame(rows, "index int, fileContent string, bodyStartOffset int, bodyEndOffset int, generatedBody string").repartition(3)
+    got = {r["index"]: (calls(r), r["error"]) for r in calls_in_place(df).collect()}
+    assert got[1] == (["shop.io.Disk::read() -> byte[]", "<other>"], None) and got[2] == (["shop.io.Disk::write(int) -> void"], None) and got[9] == ([], None)
+    assert {i: e for i, (c, e) in got.items() if not c} == {3: "no file content", 4: "no generated body", 5: "offsets outside the file", 6: "offsets outside the file", 7: "no method at the offset", 8: "offsets outside the file", 9: None}
