@@ -25,6 +25,8 @@ from lodestone.llm._common import fresh, trimmed
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes that a cache of words may hold.
 ROOM = 24 << 20
+#: That of the counter's two caches: it holds numbers alone, and most of its time goes to words that are met again.
+COUNTS_ROOM = 112 << 20
 PAIR = re.compile(r"\s\s").search
 
 
@@ -36,13 +38,13 @@ def byte_letters() -> list[str]:
 
 
 class Kept(dict):
-    """Results of a function by word, within ``ROOM`` bytes; long words are not kept.
+    """Results of a function by word, within ``room`` bytes; long words are not kept.
 
     Two generations of half the room each: when the young one is full, it becomes the old one, and words that are met again come
     back from there, so words in use stay and only those not met for a generation are made anew."""
 
-    def __init__(self, make):
-        self.make, self.held, self.old = make, 0, {}
+    def __init__(self, make, room: int | None = None):
+        self.make, self.room, self.held, self.old = make, room or ROOM, 0, {}
 
     def __missing__(self, word):
         made = self.old.get(word)
@@ -50,7 +52,7 @@ class Kept(dict):
             made = self.make(word)
         if len(word) < 64:
             self.held += 200 + 2 * len(word) + (len(made) if isinstance(made, bytes) else 0)
-            if self.held > ROOM // 2:
+            if self.held > self.room // 2:
                 self.old = dict(self)
                 self.clear()
                 self.held = 0
@@ -73,8 +75,8 @@ class Merges:
         special = sorted((t["content"] for t in file["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.words = regex.compile(PATTERN).findall
-        self.cache = Kept(self.word)
-        self.units = Kept(lambda unit: self.pieces(f" {unit}"))
+        self.cache = Kept(self.word, COUNTS_ROOM)
+        self.units = Kept(lambda unit: self.pieces(f" {unit}"), COUNTS_ROOM)
 
     def word(self, word: str) -> int:
         symbols = [self.first[b] for b in word.encode()]
