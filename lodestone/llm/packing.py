@@ -186,6 +186,10 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 192, small: int
     return out, bins
 
 
+#: Bytes that the encoder's cache of words with their identifiers may hold; that of first words of lines, a quarter.
+IDS_ROOM = 64 << 20
+
+
 class Encoder:
     """Identifiers of a text by a byte-level ``tokenizers`` file, as little-endian unsigned 32-bit bytes.
 
@@ -200,8 +204,8 @@ class Encoder:
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.ids = self.ranked(path) or (lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids)
-        self.units = Kept(lambda unit: self.one(f" {unit}"))
-        self.heads = Kept(self.one)
+        self.units = Kept(lambda unit: self.one(f" {unit}"), IDS_ROOM)
+        self.heads = Kept(self.one, IDS_ROOM // 4)
 
     @staticmethod
     def ranked(path: str):
