@@ -12,19 +12,27 @@ from lodestone.operators.dataset import row_numbers, seeded_sample
 def flatten_vertices(methods: DataFrame, order: str) -> DataFrame:
     """(idx, vertex_id, ...): methods and their siblings, one row per id, first in input order, numbered by id.
 
-    A method comes before its siblings; ``order`` numbers the methods."""
+    A method comes before its siblings; ``order`` numbers the methods. ``ord`` says where a vertex comes from: its method's number
+    and, of a sibling, its place (a method's own is -1)."""
     own = methods.select(F.struct(F.col(order).alias("m"), F.lit(-1).alias("p")).alias("ord"), vertex_id("classFqn", "methodName", "parameterTypes", "returnType").alias("vertex_id"), "classFqn", "methodName", "invocations")
     siblings = methods.select(F.col(order), "classFqn", F.posexplode("siblingMethods").alias("pos", "s"))
     siblings = siblings.select(F.struct(F.col(order).alias("m"), F.col("pos").alias("p")).alias("ord"), vertex_id("classFqn", "s.methodName", "s.parameterTypes", "s.returnType").alias("vertex_id"), "classFqn", F.col("s.methodName").alias("methodName"), F.col("s.invocations").alias("invocations"))
     both = own.unionByName(siblings)
-    first = both.groupBy("vertex_id").agg(F.min_by(F.struct("classFqn", "methodName", "invocations"), "ord").alias("r")).select("vertex_id", "r.*")
+    first = both.groupBy("vertex_id").agg(F.min_by(F.struct("classFqn", "methodName", "invocations", "ord"), "ord").alias("r")).select("vertex_id", "r.*")
     return row_numbers(first, ["vertex_id"], "idx")
 
 
-def edges(vertices: DataFrame) -> DataFrame:
-    """(src, dst, weight): exact calls between vertices, self-loops kept."""
-    calls = vertices.select(F.col("vertex_id").alias("src"), F.explode("invocations").alias("i")).filter("i.resolutionMode = 'EXACT'").select("src", canonical_invocation("i.signature").alias("dst"))
-    counted = calls.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+def edges(vertices: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """(src, dst, weight): exact calls between vertices, self-loops kept.
+
+    ``calls`` (method, signature, resolutionMode; one row per call) are those of methods by their numbers, beside what the vertices
+    hold in arrays: they are counted before they meet a vertex, so a method may have any number of them."""
+    made = vertices.select(F.col("vertex_id").alias("src"), F.explode("invocations").alias("i")).filter("i.resolutionMode = 'EXACT'").select("src", canonical_invocation("i.signature").alias("dst"), F.lit(1).cast("long").alias("n"))
+    if calls is not None:
+        told = calls.filter("resolutionMode = 'EXACT'").groupBy("method", "signature").agg(F.count("*").alias("n"))
+        own = vertices.filter("ord.p < 0").select(F.col("ord.m").alias("method"), F.col("vertex_id").alias("src"))
+        made = made.unionByName(told.join(own, "method").select("src", canonical_invocation("signature").alias("dst"), "n"))
+    counted = made.groupBy("src", "dst").agg(F.sum("n").alias("weight"))
     return counted.join(vertices.select(F.col("vertex_id").alias("dst")), "dst", "left_semi").select("src", "dst", "weight")
 
 

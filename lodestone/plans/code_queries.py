@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import metrics, text
 from lodestone.operators import analysis, dataset, graph, requests, retrieval, scoring
 from lodestone.plans.queries import _EDGES, _PAIRS, _pairs, query, r6, t
+from lodestone.session import stored
 
 s = lambda c: F.col(c).cast("string")
 NONE = lambda: F.array().cast("array<string>")
@@ -280,15 +281,24 @@ def relation_scores(spark, sf):
 
 
 def _call_methods(spark, sf):
-    """A method for each nation, whose calls are its customers' order lines; every third has a sibling that calls itself."""
-    lines = t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    ends = lines.join(t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("src")), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey"))
-    made = ends.groupBy("src").agg(F.collect_list(F.struct(F.concat(F.lit("pkg.N"), F.col("dst").cast("string"), F.lit("::run() ->  void")).alias("signature"), F.lit("EXACT").alias("resolutionMode"), F.lit(0).alias("orderIndex"))).alias("invocations"))
+    """A method for each nation, whose calls are the rows of ``_call_rows``; every third has a sibling that calls itself."""
     k = F.col("n_nationkey")
     own = F.concat(F.lit("pkg.N"), k.cast("string"))
     sibling = F.struct(F.lit("void help(int a)").alias("signature"), F.lit("help").alias("methodName"), F.array(F.lit("int")).alias("parameterTypes"), F.lit("void").alias("returnType"), calls(F.concat(own, F.lit("::help(int) -> void"))).alias("invocations"))
-    rows = t(spark, sf, "nation").join(made, k == F.col("src"), "left")
-    return rows.select(k.alias("ord"), own.alias("classFqn"), F.lit("run").alias("methodName"), NONE().alias("parameterTypes"), F.lit(None).cast("string").alias("returnType"), F.coalesce("invocations", F.array().cast(NO_CALLS)).alias("invocations"), F.when(k % 3 == 0, F.array(sibling)).otherwise(F.slice(F.array(sibling), 1, 0)).alias("siblingMethods"), F.concat(F.lit("{ "), "n_name", F.lit(" }")).alias("methodBody"))
+    return t(spark, sf, "nation").select(k.alias("ord"), own.alias("classFqn"), F.lit("run").alias("methodName"), NONE().alias("parameterTypes"), F.lit(None).cast("string").alias("returnType"), F.array().cast(NO_CALLS).alias("invocations"), F.when(k % 3 == 0, F.array(sibling)).otherwise(F.slice(F.array(sibling), 1, 0)).alias("siblingMethods"), F.concat(F.lit("{ "), "n_name", F.lit(" }")).alias("methodBody"))
+
+
+def _call_rows(spark, sf):
+    """The calls of these methods: their customers' order lines, a row each."""
+    lines = t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ends = lines.join(t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("src")), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey"))
+    return ends.select(F.col("src").alias("method"), F.concat(F.lit("pkg.N"), F.col("dst").cast("string"), F.lit("::run() ->  void")).alias("signature"), F.lit("EXACT").alias("resolutionMode"))
+
+
+def _call_graph(spark, sf):
+    """(vertices, edges) of these methods; both are stored, since most queries read them more than once."""
+    v = graph.flatten_vertices(_call_methods(spark, sf), "ord")
+    return v, stored(graph.edges(v, _call_rows(spark, sf)))
 
 
 _V = "v as (select 'pkg.N' || n_nationkey || '::run() -> void' as vertex_id, 'pkg.N' || n_nationkey as c, 'run' as m, '{ ' || n_name || ' }' as body from nation union all select 'pkg.N' || n_nationkey || '::help(int) -> void', 'pkg.N' || n_nationkey, 'help', 'void help(int a)' from nation where n_nationkey % 3 = 0), i as (select *, row_number() over (order by vertex_id) - 1 as idx from v)"
@@ -297,13 +307,12 @@ _CE = f"{_EDGES}, ce as (select 'pkg.N' || src || '::run() -> void' as src, 'pkg
 
 @query(f"with {_V}, {_CE} select * from ce")
 def call_graph_edges(spark, sf):
-    return graph.edges(graph.flatten_vertices(_call_methods(spark, sf), "ord"))
+    return _call_graph(spark, sf)[1]
 
 
 @query(f"with {_V}, {_CE} select a.idx as src_idx, b.idx as dst_idx, weight from ce join i a on a.vertex_id = src join i b on b.vertex_id = dst")
 def call_graph_adjacency(spark, sf):
-    v = graph.flatten_vertices(_call_methods(spark, sf), "ord")
-    return graph.adjacency(v, graph.edges(v))
+    return graph.adjacency(*_call_graph(spark, sf))
 
 
 _DEGREES = "d as (select i.*, coalesce((select sum(weight) from ce where src = vertex_id), 0) as o, coalesce((select sum(weight) from ce where dst = vertex_id), 0) as n from i)"
@@ -311,9 +320,7 @@ _DEGREES = "d as (select i.*, coalesce((select sum(weight) from ce where src = v
 
 @query(f"with {_V}, {_CE}, {_DEGREES} select idx, vertex_id, 'pkg' as package, cast(o as bigint) as out_degree, cast(n as bigint) as in_degree, body, row_number() over (order by o desc, idx) - 1 as by_out, row_number() over (order by c, m, idx) - 1 as by_class from d")
 def call_graph_payload(spark, sf):
-    m = _call_methods(spark, sf)
-    v = graph.flatten_vertices(m, "ord")
-    shown = graph.payload(v, graph.edges(v), m, "ord")
+    shown = graph.payload(*_call_graph(spark, sf), _call_methods(spark, sf), "ord")
     both = graph.ordered(shown, "out", "by_out").join(graph.ordered(shown, "class", "by_class").select("idx", "by_class"), "idx")
     return both.select("idx", "vertex_id", "package", "out_degree", "in_degree", "body", "by_out", "by_class")
 
@@ -321,14 +328,12 @@ def call_graph_payload(spark, sf):
 @query(f"""with {_V}, {_CE} select 'ends_known' as check_name, (select count(*) from ce where src not in (select vertex_id from v) or dst not in (select vertex_id from v)) = 0 as ok union all select 'weights_positive', (select bool_and(weight > 0) from ce)
  union all select 'pairs_unique', (select count(*) = count(distinct (src, dst)) from ce) union all select 'ids_unique', (select count(*) = count(distinct vertex_id) from v) union all select 'weights_integer', (select bool_and(weight = floor(weight)) from ce) union all select 'numbers_dense', (select min(idx) = 0 and max(idx) = count(*) - 1 from i)""")
 def call_graph_checks(spark, sf):
-    v = graph.flatten_vertices(_call_methods(spark, sf), "ord")
-    return graph.sanity(v, graph.edges(v))
+    return graph.sanity(*_call_graph(spark, sf))
 
 
 @query(f"with {_V}, {_CE}, {_DEGREES} select idx as src_idx, cast(o as bigint) as total, (select count(*) from i) as n from d")
 def call_graph_dense(spark, sf):
-    v = graph.flatten_vertices(_call_methods(spark, sf), "ord")
-    return graph.dense(v, graph.edges(v)).select("src_idx", F.aggregate("weights", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("weights").cast("long").alias("n"))
+    return graph.dense(*_call_graph(spark, sf)).select("src_idx", F.aggregate("weights", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("weights").cast("long").alias("n"))
 
 
 @query("""with e as (select user_id, list(event_type || '::x()' order by ts, event_id) as l from events group by all), f as (select *, list_filter(l, lambda x, i: list_position(l, x) = i) as firsts, list_transform(l, lambda x: split_part(x, '(', 1)) as sh from e)

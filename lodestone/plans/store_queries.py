@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import analysis, dataset, enrich, graph, mining
-from lodestone.plans.code_queries import _CE, _V, _call_methods, _methods
+from lodestone.plans.code_queries import _CE, _V, _call_graph, _methods
 from lodestone.plans.queries import query, r6, t
 from lodestone.session import shared_folder
 from lodestone.sources import readers, sinks
@@ -57,8 +57,8 @@ test_report_totals.__test__ = False
 
 @query(f"with {_V}, {_CE} select a.idx as src_idx, b.idx as dst_idx, weight from ce join i a on a.vertex_id = src join i b on b.vertex_id = dst")
 def stored_graph(spark, sf):
-    path, v = _place(spark, "graph"), graph.flatten_vertices(_call_methods(spark, sf), "ord")
-    sinks.write_graph(v, graph.edges(v), path)
+    path = _place(spark, "graph")
+    sinks.write_graph(*_call_graph(spark, sf), path)
     return graph.adjacency(*readers.read_graph(spark, path))
 
 
