@@ -22,7 +22,7 @@ def test_edges_count_rows_as_arrays(spark):
     assert got == want and len(got) == 3  # what the second of two equal methods calls counts in neither
 
 
-@pytest.mark.parametrize("name", ["call_graph_adjacency", "call_graph_checks", "call_graph_dense", "call_graph_edges", "call_graph_payload"])
+@pytest.mark.parametrize("name", ["call_graph_adjacency", "call_graph_checks", "call_graph_dense", "call_graph_edges", "call_graph_payload", "stored_graph"])
 def test_no_method_holds_its_calls(spark, monkeypatch, name):
     seen, whole = [], graph.flatten_vertices
     monkeypatch.setattr(graph, "flatten_vertices", lambda methods, order: seen.append(methods) or whole(methods, order))
