@@ -60,6 +60,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is made once a row: what a lambda takes from around it by its expression is made anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_comments(code) -> Column:
     """Line comments, then block comments; not aware of string literals."""
     return F.regexp_replace(F.regexp_replace(col(code), r"//[^\n]*", ""), r"(?s)/\*.*?\*/", "")
@@ -103,8 +108,8 @@ def unify_identifiers(code, ascii_only: bool = False) -> Column:
     declared = F.regexp_extract_all(col(code), F.lit(mode + DECLARATION), F.lit(1))
     names = F.array_distinct(F.filter(declared, lambda x: ~x.isin(*KEYWORDS) & ~x.rlike(r"^\p{Lu}")))
     pieces = F.regexp_extract_all(col(code), F.lit(mode + r"\w+|\W+"), F.lit(0))
-    place = lambda x: F.array_position(names, x)
-    return F.array_join(F.transform(pieces, lambda x: F.when(place(x) > 0, F.concat(F.lit("var"), place(x).cast("string"))).otherwise(x)), "")
+    shown = lambda x, known: F.coalesce(F.concat(F.lit("var"), F.nullif(F.array_position(known, x), F.lit(0)).cast("string")), x)
+    return let(F.struct(pieces.alias("pieces"), names.alias("names")), lambda v: F.array_join(F.transform(v["pieces"], lambda x: shown(x, v["names"])), ""))
 
 
 def body_block(body, most: int = 50) -> Column:

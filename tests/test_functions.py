@@ -106,6 +106,13 @@ def test_identifier_unification(spark):
     assert one(spark, text.unify_identifiers("c"), c="x + y") == "x + y" and one(spark, text.unify_identifiers("c"), c="var permits = 1;") == "var permits = 1;"
 
 
+def test_declared_names_are_found_once_a_row(spark):
+    rows = spark.createDataFrame([("int b = a; " * 3,)], "c string").select(text.unify_identifiers("c").alias("u"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("|boolean|") == 1  # else anew for each word
+    assert rows.first()["u"] == "int var1 = a; " * 3
+    assert rows.select(text.unify_identifiers(F.lit(None).cast("string"))).first()[0] is None and one(spark, text.unify_identifiers("c"), c="") == ""
+
+
 def test_body_block(spark):
     assert one(spark, text.body_block("c"), c="{\n\n    a();\n      b();\n\n}") == "a();\n  b();"
     assert one(spark, text.body_block("c"), c="{ }") is None and one(spark, text.body_block("c"), c="  {\n  if (x) {\n\n  }\n }\n") == "if (x) {\n\n}"
