@@ -195,3 +195,10 @@ def test_common_subsequence_takes_the_walk_of_the_full_table():
         assert kernels.lcs_tokens(a, b) == full(a, b)
     long = [rng.randrange(50) for _ in range(20_000)]
     assert len(kernels.lcs_tokens(long, long[::-1])) == kernels.lcs_length(long, long[::-1])
+
+
+def test_unified_pages_look_for_names_once(spark):
+    from lodestone.plans.queries import QUERIES
+
+    plan = QUERIES["unified_identifiers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|boolean|byte|char|short|String") == 1
