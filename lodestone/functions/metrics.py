@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import col
+from lodestone.functions.text import col, let
 
 
 def exact_match(a, b) -> Column:
@@ -27,16 +27,19 @@ def bag(tokens) -> Column:
 
 def common_sorted(a, b) -> Column:
     """Size of the multiset intersection of two sorted arrays, by one merge."""
-    x, y = col(a), col(b)
-    return F.aggregate(
-        F.sequence(F.lit(1), F.size(x) + F.size(y) + 1),
-        F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n")),
-        lambda s, _: F.when((s["i"] >= F.size(x)) | (s["j"] >= F.size(y)), s)
-        .when(F.get(x, s["i"]) == F.get(y, s["j"]), F.struct((s["i"] + 1).alias("i"), (s["j"] + 1).alias("j"), (s["n"] + 1).alias("n")))
-        .when(F.get(x, s["i"]) < F.get(y, s["j"]), F.struct((s["i"] + 1).alias("i"), s["j"].alias("j"), s["n"].alias("n")))
-        .otherwise(F.struct(s["i"].alias("i"), (s["j"] + 1).alias("j"), s["n"].alias("n"))),
-        lambda s: s["n"],
-    )
+    def merge(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(x) + F.size(y) + 1),
+            F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n")),
+            lambda s, _: F.when((s["i"] >= F.size(x)) | (s["j"] >= F.size(y)), s)
+            .when(F.get(x, s["i"]) == F.get(y, s["j"]), F.struct((s["i"] + 1).alias("i"), (s["j"] + 1).alias("j"), (s["n"] + 1).alias("n")))
+            .when(F.get(x, s["i"]) < F.get(y, s["j"]), F.struct((s["i"] + 1).alias("i"), s["j"].alias("j"), s["n"].alias("n")))
+            .otherwise(F.struct(s["i"].alias("i"), (s["j"] + 1).alias("j"), s["n"].alias("n"))),
+            lambda s: s["n"],
+        )
+
+    return let(F.struct(col(a).alias("x"), col(b).alias("y")), merge)
 
 
 def token_iou_sorted(a, b) -> Column:

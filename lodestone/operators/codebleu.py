@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.metrics import common_sorted
-from lodestone.functions.text import KEYWORDS, LITERALS
+from lodestone.functions.text import KEYWORDS, LITERALS, let
 from lodestone.operators.syntax import PRIMITIVES, is_name, is_one_of, syntax_tree, variable
 
 #: Weight of a word that is no keyword, and what stands for a count of zero.
@@ -48,20 +48,20 @@ def _facts(sources: DataFrame) -> DataFrame:
     named = Window.partitionBy("file", "token").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = tree.withColumns({"kind_": kinds, "variable": variable(), "sets": sets}).withColumn("before", F.coalesce(F.sum(F.when(F.col("variable") & F.col("sets"), 1)).over(named), F.lit(0)))
     grouped = F.col("up").isNull() | (F.col("up.token") == "{")
-    rows = rows.withColumn("from", F.when(grouped, F.min("pos").over(Window.partitionBy("file", "up.pos", "seg"))))
-    slot = F.struct("pos", "token", "kind_", "close", F.when(F.col("variable"), F.struct("before", "sets")).alias("use"), "from")
+    # A segment reaches to the farthest end of its tokens; its first one says where.
+    segment = Window.partitionBy("file", "up.pos", "seg")
+    rows = rows.withColumn("reach", F.when(grouped & (F.col("pos") == F.min("pos").over(segment)), F.max(F.coalesce("close", "pos")).over(segment)))
+    slot = F.struct("pos", "token", "kind_", "close", F.when(F.col("variable"), F.struct("before", "sets")).alias("use"), "reach")
     whole = rows.groupBy("file").agg(F.array_sort(F.collect_list(slot)).alias("t"))  # the tokens of one text
-    kind = F.transform("t", lambda x: x["kind_"])
-    part = lambda a, b: F.xxhash64(F.array_join(F.slice(kind, a + 1, b - a + 1), " "))
-    brackets = F.transform(F.filter("t", lambda x: x["close"].isNotNull()), lambda x: part(x["pos"], x["close"]))
-    ends = F.filter(F.transform("t", lambda x, i: F.struct(x["from"].alias("a"), F.coalesce(x["close"], x["pos"]).alias("b"))), lambda x: x["a"].isNotNull())
-    # A segment reaches to the farthest end of its tokens.
-    reach = F.map_from_entries(F.transform(F.array_distinct(F.transform(ends, lambda x: x["a"])), lambda a: F.struct(a, F.array_max(F.transform(F.filter(ends, lambda x: x["a"] == a), lambda x: x["b"])))))
-    segments = F.transform(F.map_entries(reach), lambda e: part(e["key"], e["value"]))
+    kinds = F.transform("t", lambda x: x["kind_"])
+    spans = F.flatten(F.transform("t", lambda x: F.filter(F.array(F.struct(x["pos"].alias("a"), x["close"].alias("b")), F.struct(x["pos"].alias("a"), x["reach"].alias("b"))), lambda y: y["b"].isNotNull())))
+    part = lambda kind, a, b: F.xxhash64(F.array_join(F.slice(kind, a + 1, b - a + 1), " "))
+    shapes = let(F.struct(kinds.alias("kind"), spans.alias("spans")), lambda v: F.transform(v["spans"], lambda x: part(v["kind"], x["a"], x["b"])))
     uses = F.filter("t", lambda x: x["use"].isNotNull())
-    names = F.array_distinct(F.transform(uses, lambda x: x["token"]))
-    flows = F.transform(uses, lambda x: F.concat_ws(":", F.array_position(names, x["token"]).cast("string"), x["use"]["before"].cast("string"), x["use"]["sets"].cast("string")))
-    return whole.select("file", F.transform("t", lambda x: x["token"]).alias("tokens"), F.concat(brackets, segments).alias("shapes"), flows.alias("flows"))
+    flow = lambda x, names: F.concat_ws(":", F.array_position(names, x["token"]).cast("string"), x["use"]["before"].cast("string"), x["use"]["sets"].cast("string"))
+    named = lambda uses: F.struct(uses.alias("uses"), F.array_distinct(F.transform(uses, lambda x: x["token"])).alias("names"))
+    flows = let(let(uses, named), lambda v: F.transform(v["uses"], lambda x: flow(x, v["names"])))
+    return whole.select("file", F.transform("t", lambda x: x["token"]).alias("tokens"), shapes.alias("shapes"), flows.alias("flows"))
 
 
 def codebleu(pairs: DataFrame, key: str, generated: str = "generated", truth: str = "ground_truth") -> DataFrame:

@@ -202,3 +202,9 @@ def test_unified_pages_look_for_names_once(spark):
 
     plan = QUERIES["unified_identifiers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("|boolean|byte|char|short|String") == 1
+
+
+def test_arrays_are_sorted_once_a_merge(spark):
+    rows = spark.createDataFrame([(["b", "a", "b"], ["b", "c", "b", "a"])], "a array<string>, b array<string>")
+    made = rows.select(metrics.common_sorted(F.sort_array("a"), F.sort_array("b")).alias("n"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 2 and made.first()["n"] == 3  # else anew for each step
