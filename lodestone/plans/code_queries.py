@@ -165,7 +165,8 @@ def leak_filter(spark, sf):
 def external_leaks(spark, sf):
     q = t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), F.concat(F.lit("lib\\d"), (F.col("c_custkey") % 9).cast("string"), F.lit("\\A.java")).alias("q_path"), F.when(F.col("c_custkey") % 2 == 1, F.concat(F.lit("C"), (F.col("c_custkey") % 5).cast("string"))).otherwise("").alias("q_class"))
     d = t(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.concat(F.lit("root/lib/d"), (F.col("s_suppkey") % 9).cast("string"), F.lit("/A.java")).alias("path"), F.concat(F.lit("C"), (F.col("s_suppkey") % 5).cast("string")).alias("class_fqn"))
-    return q.join(d, "n").filter(retrieval.external_leak("path", "q_path", "class_fqn", "q_class")).select("c_custkey", "s_suppkey")
+    leak = retrieval.external_leak("path", "q_path", "class_fqn", "q_class")
+    return retrieval.paired_by_verdict(q, d, "n", ["q_path", "q_class"], ["path", "class_fqn"], leak).select("c_custkey", "s_suppkey")
 
 
 _CASES = "case when p_size % 11 = 0 or p_brand like '%5' then 'TEST' when p_size % 13 = 0 then 'GENERATED' when p_size % 3 = 0 and p_partkey % 3 = 0 and (p_size % 2 = 0 or p_partkey % 2 = 0) then 'GETTER' when p_size % 2 = 1 and p_partkey % 3 = 1 and p_size % 3 = 1 and p_partkey % 2 = 1 and p_size % 5 < 2 then 'SETTER' when p_size % 2 = 1 and p_size % 5 >= 2 and p_partkey % 3 = p_size % 3 then 'DELEGATOR' else 'NORMAL' end"
