@@ -145,25 +145,45 @@ def method_line_coverage(methods: DataFrame, lines: DataFrame, key: str, width:
     return line_coverage(spans.filter("first_line is not null and last_line is not null"), lines, width)
 
 
-def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, few: int = 1 << 17) -> DataFrame:
+def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, few: int = 1 << 17, most: int = 1 << 16) -> DataFrame:
     """Pairs of a text and a name that stands in it as a substring, for names of word characters (Unicode's) and ``$``.
 
     A name of such characters inside a text lies inside one run of them, so the product is
-    taken between distinct names and distinct runs: names are posted under their first
+    taken between distinct names and runs: names are posted under their first
     three characters, shorter ones under all they have, and runs under their 1-, 2- and
-    3-grams, of those lengths that names begin with. Names are broadcast where counted to be ``few`` or fewer, so that
-    grams of the vocabulary are met where they are made."""
+    3-grams, of those lengths that names begin with.
+
+    Names are broadcast where counted to be ``few`` or fewer. Then the names of the most frequent runs (``most`` at most, those of equal
+    powers of two together) are found once and broadcast, those of other runs are found where they stand, and nothing but the
+    texts and the counts of runs is shuffled. With more names, runs meet names by shuffles."""
     q = 3
-    runs = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)[\w$]+"), F.lit(0)))).alias("run"))
-    vocabulary = runs.select("run").distinct()
+    cut = lambda rows: rows.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)[\w$]+"), F.lit(0)))).alias("run"))
     grams = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring(F.col("run"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     wanted = names.filter(F.length(name) > 0).select(F.col(name).alias("name")).distinct().withColumn("gram", F.substring("name", 1, q))
     begun = wanted.agg(F.collect_set(F.length("gram")).alias("n"), F.count("*").alias("names")).first()  # three lengths at most
     if not begun["names"]:
         return texts.select("text_id", F.lit("").alias("name")).limit(0)
-    posted = vocabulary.select("run", F.explode(F.array_distinct(F.concat(*(grams(n) for n in sorted(begun["n"]))))).alias("gram"))
-    pairs = posted.join(F.broadcast(wanted) if begun["names"] <= few else wanted, "gram").filter(F.contains("run", "name")).select("run", "name").distinct()
-    return runs.join(pairs, "run").select("text_id", "name").distinct()
+    told = F.concat(*(grams(n) for n in sorted(begun["n"])))
+    shared = begun["names"] <= few
+    met = lambda found: found.select("run", F.explode(F.array_distinct(told)).alias("gram")).join(F.broadcast(wanted) if shared else wanted, "gram").filter(F.contains("run", "name")).select("run", "name").distinct()
+    if not shared:
+        runs = cut(texts)
+        return runs.join(met(runs.select("run").distinct()), "run").select("text_id", "name").distinct()
+    counted = stored(cut(texts).groupBy("run").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.length("run") <= 64)))
+    least, left = 1 << 62, most
+    for r in counted.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("runs")).orderBy(F.desc("power")).collect():  # 63 rows at most
+        if (left := left - r["runs"]) < 0:
+            break
+        least = 1 << r["power"]
+    often = counted.filter(F.col("n") >= least).select("run")
+    # Of a frequent run what it holds, of another what to look under.
+    either = lambda gram, found: F.struct(gram.cast("string").alias("gram"), found.cast("string").alias("found"))
+    held = F.collect_list(F.when(F.col("name").isNotNull(), either(F.lit(None), F.col("name"))))
+    known = often.join(met(often), "run", "left").groupBy("run").agg(held.alias("held"))
+    asked = F.coalesce("held", F.transform(told, lambda g: either(g, F.lit(None))))
+    tried = cut(texts.repartition("text_id")).join(F.broadcast(known), "run", "left").select("text_id", "run", F.explode(asked).alias("a")).select("text_id", "run", "a.*")
+    hit = tried.join(F.broadcast(wanted), "gram", "left").filter(F.col("found").isNotNull() | F.contains("run", "name"))
+    return hit.select("text_id", F.coalesce("found", "name").alias("name")).distinct()
 
 
 def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
