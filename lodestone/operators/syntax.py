@@ -25,10 +25,13 @@ LEXER = "|".join(
         r"0[xX][0-9a-fA-F_.]++(?:[pP][+-]?[0-9_]++)?[lLfFdD]?", r"\.?[0-9](?:[eE][+-]?[0-9]|[0-9a-zA-Z_.])*+", r"->|::|\.\.\.|[=!<>]=|&&|\|\||\+\+|--|[-+*/%&|^]=", r"\s++", r"(?s:.)",
     )
 )
+#: What is no part of the tree, and what is a literal beside the words of ``LITERALS``.
+SPACE, LITERAL = r"^(?:\s|/\*|//)", r"^[\"'0-9]|^\.[0-9]"
 MODIFIERS = ("public", "protected", "private", "static", "abstract", "final", "native", "synchronized", "transient", "volatile", "strictfp", "default", "sealed")
 PRIMITIVES = ("boolean", "byte", "char", "double", "float", "int", "long", "short", "void")
 #: Words that are names wherever the grammar doesn't make them words of its own.
 CONTEXTUAL = ("record", "permits", "sealed", "yield", "var")
+SIGNS = tuple("@()[]{}.,;:?&|^=!<>+-*/%~") + ("->", "::", "...", "==", "<=", ">=", "!=", "&&", "||", "++", "--", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=")
 TYPES = ("class", "interface", "enum", "record", "annotation")
 
 
@@ -50,11 +53,15 @@ def _file():
     return Window.partitionBy("file").orderBy("pos")
 
 
+def _cut(text: str) -> Column:
+    return F.regexp_extract_all(F.col(text), F.lit(LEXER), F.lit(0))
+
+
 def source_tokens(sources: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(file, i, at, token): all tokens of each source, white space and comments too; ``at`` is their offset in code points.
 
     ``key`` names the source. A null text has no tokens; sources of one key are read as one after the other in no set order."""
-    cut = sources.select(F.col(key).alias("file"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(LEXER), F.lit(0))).alias("i", "token"))
+    cut = sources.select(F.col(key).alias("file"), F.posexplode(_cut(text)).alias("i", "token"))
     return cut.withColumn("at", F.coalesce(F.sum(F.length("token")).over(Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
@@ -87,7 +94,12 @@ def syntax_tree(sources: DataFrame, key: str = "path", text: str = "text") -> Da
     ``anno``: part of an annotation. ``kind`` of a brace: class, interface, enum, record, annotation, anonymous or block;
     ``named`` is the name of such a type. ``params``: an opening bracket of declared parameters; ``body``: a brace of a method's body.
     Unbalanced sources have rows like others: brackets then pair by depth."""
-    seen = source_tokens(sources, key, text).filter(~F.col("token").rlike(r"^(?:\s|/\*|//)"))
+    return _tree(source_tokens(sources, key, text))
+
+
+def _tree(tokens: DataFrame) -> DataFrame:
+    """``syntax_tree`` of tokens (file, i, at, token)."""
+    seen = tokens.filter(~F.col("token").rlike(SPACE))
     rows = seen.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("i")) - 1)
     near = {f"prev{k or ''}": F.lag("token", k or 1).over(_file()) for k in (0, 2)} | {f"next{k or ''}": F.lead("token", k or 1).over(_file()) for k in (0, 2)}
     rows = _with_parents(rows.withColumns(near), "token", "prev")
@@ -178,18 +190,39 @@ def variable() -> Column:
     return is_name("token") & ~(beside | F.col("anno") | _type_role() | F.coalesce(constant, F.lit(False))) & ~is_one_of("token", *CONTEXTUAL)
 
 
-def strip_by_syntax(sources: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+def token_kind(token: Column) -> Column:
+    """All that the tree goes by: signs and words of the language as they are, a name as ``x``, a literal as ``0``, space and comments as a blank, others as ``#``."""
+    words = sorted({*KEYWORDS, *LITERALS, *CONTEXTUAL, *MODIFIERS, *PRIMITIVES, *TYPES})
+    return F.when(token.isin(*SIGNS, *words), token).when(token.rlike(r"^[\p{L}_$]"), "x").when(token.rlike(SPACE), " ").when(token.rlike(LITERAL), "0").otherwise("#")
+
+
+def strip_by_syntax(sources: DataFrame, key: str = "path", text: str = "text", crowd: int = 1 << 10) -> DataFrame:
     """(file, stripped): sources with literals and variables as ``_``; types, called names, receivers, fields and keywords stay.
 
     Kept are names before ``(`` or beside ``.``, names of declared types, methods and constants, annotations, packages and imports,
-    and names in the place of a type. Each source is put together again in one row. A source without tokens has no row."""
-    tree = syntax_tree(sources, key, text)
-    literal = F.col("token").rlike(r"^[\"'0-9]|^\.[0-9]") | F.col("token").isin(*LITERALS)
-    roles = tree.select("file", "i", (literal | variable()).alias("blank"))
-    whole = source_tokens(sources, key, text).select("file", "i", "token").join(roles.filter("blank"), ["file", "i"], "left")
-    out = F.when(F.col("blank"), "_").otherwise(F.col("token"))
-    parts = whole.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("i", out.alias("t")))).alias("parts"))  # one source's tokens
-    return parts.select("file", F.array_join("parts.t", "").alias("stripped"))
+    and names in the place of a type. Each source is put together again in one row. A source without tokens has no row.
+
+    Sources of one shape (the kinds of their tokens in order, told by SHA-256) have one tree, which is made once. Shapes of more than ``crowd``
+    sources are broadcast (they have a ``crowd``-th of all tokens at most), others meet their sources by a shuffle."""
+    cut = sources.select(F.col(key).alias("file"), F.col(text).alias("text")).withColumn("tokens", _cut("text"))
+    told = cut.withColumn("kinds", F.array_join(F.transform("tokens", token_kind), "\x01"))
+    # Never null, and no filter on kinds: one would be moved to where the sources are read, before they are dealt.
+    shape = F.coalesce(F.unhex(F.sha2("kinds", 256)), F.lit(b"")).alias("shape")
+    shapes = stored(told.groupBy("kinds").agg(F.count("*").alias("n")).select(shape, "n", F.when(F.col("kinds") != "", F.split("kinds", "\x01")).alias("k")))
+    tokens = shapes.select(F.col("shape").alias("file"), "n", F.posexplode("k").alias("i", "token"))
+    tree = _tree(tokens.select("file", "i", F.col("i").alias("at"), "token"))
+    roles = tree.filter(F.col("token").isin("0", *LITERALS) | variable()).select("file", "i", F.lit(True).alias("blank"))
+    marked = tokens.join(roles, ["file", "i"], "left").groupBy("file").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", F.coalesce("blank", F.lit(False)).alias("b")))).alias("bs"))  # one shape's tokens
+    masks = stored(marked.select(F.col("file").alias("shape"), "n", F.col("bs.b").alias("blank")))
+    crowds = masks.agg(F.count_if(F.col("n") > crowd).alias("often"), F.count("*").alias("all")).first()
+    often, seldom = F.broadcast(masks.filter(F.col("n") > crowd).drop("n")), masks.filter(F.col("n") <= crowd).drop("n")
+    out = lambda tokens: F.array_join(F.transform(tokens, lambda t, i: F.when(F.get("blank", i), "_").otherwise(t)), "").alias("stripped")
+    crowded = told.select("file", "tokens", shape).join(often, "shape").select("file", out("tokens"))
+    if crowds["often"] and crowds["often"] == crowds["all"]:
+        return crowded
+    texts = told.select("file", "text", shape)
+    rest = (texts.join(often, "shape", "left_anti") if crowds["often"] else texts).join(seldom, "shape").select("file", out(_cut("text")))
+    return crowded.unionByName(rest) if crowds["often"] else rest
 
 
 def type_text(tokens: Column) -> Column:

@@ -62,7 +62,8 @@ def _spelled(template: str) -> str:
 
 
 def _sources(spark, sf):
-    rows = t(spark, sf, "customer")
+    """Sources spelled from a small table; its rows are dealt first, else one task would spell and cut them all."""
+    rows = t(spark, sf, "customer").select("c_custkey", "c_nationkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
     text = F.lit(_SOURCE)
     for mark, value in (("{k}", F.col("c_custkey")), ("{m}", F.col("c_custkey") % 5), ("{n}", F.col("c_nationkey"))):
         text = F.replace(text, F.lit(mark), value.cast("string"))
