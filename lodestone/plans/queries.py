@@ -66,8 +66,8 @@ def _terms(spark, sf):
     return words.groupBy("query", "term").agg(F.count("*").alias("mult")).select("query", F.lit("body").alias("clause"), F.lit(1.0).alias("boost"), F.lit("body").alias("field"), "term", "mult")
 
 
-def _results(spark, sf):
-    scored = retrieval.fetched(retrieval.score(_terms(spark, sf), _postings(spark, sf)).drop("clauses"))
+def _results(spark, sf, posted=None, stats=None):
+    scored = retrieval.fetched(retrieval.score(_terms(spark, sf), _postings(spark, sf) if posted is None else posted, stats).drop("clauses"))
     sourced = scored.join(t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc")
     return retrieval.top_k(sourced, F.col("source") == F.concat(F.lit("src"), F.col("query").cast("string")), "source")
 

@@ -11,7 +11,7 @@ from lodestone.operators import analysis, dataset, graph, plugins, prompt, retri
 from lodestone.operators.codebleu import codebleu
 from lodestone.plans.queries import _RETRIEVAL, _TERM, _postings, _results, _terms, query, r6, t
 from lodestone.plans.source_queries import _sources
-from lodestone.session import shared_folder
+from lodestone.session import shared_folder, stored
 from lodestone.sources import readers, sinks
 from lodestone.streaming import progress
 
@@ -128,8 +128,12 @@ _PARTS = _TERM.split("\n + ")
 @query(f"""{_RETRIEVAL} select t.query, doc, count(*) as n_terms, round(sum(mult * ({_PARTS[0]})), 6) as bm25, round(sum(mult * ({_PARTS[1]})), 6) as jelinek_mercer, round(sum(mult * ({_PARTS[2]})), 6) as dirichlet, round(any_value(t.score), 6) as score
  from (select query, doc, score from top where rank <= 2) t join q using (query) join post using (doc, term) join ts using (term) join dl using (doc), fs group by all""")
 def score_explanations(spark, sf):
-    winners = _results(spark, sf).filter("rank <= 2").select("query", "doc")
-    told = retrieval.explain(winners, _terms(spark, sf), _postings(spark, sf))
+    path = _place(spark, "postings")
+    _postings(spark, sf).write.parquet(path)  # read by scores, statistics and explanations; smaller than a checkpoint
+    posted = spark.read.parquet(path)
+    stats = retrieval.index_stats(posted)
+    winners = stored(_results(spark, sf, posted, stats).filter("rank <= 2").select("query", "doc"))
+    told = retrieval.explain(winners, _terms(spark, sf), posted, stats)
     x = F.get("clauses", F.lit(0))["terms"]
     add = lambda c: F.aggregate(x, F.lit(0.0), lambda a, y: a + y["weight"] * y[c])
     return told.select("query", "doc", F.size(x).cast("long").alias("n_terms"), r6(add("bm25"), "bm25"), r6(add("jelinek_mercer"), "jelinek_mercer"), r6(add("dirichlet"), "dirichlet"), r6("score", "score"))
