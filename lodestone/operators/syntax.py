@@ -11,12 +11,14 @@ Names are resolved by what sources declare and import; there is no class path.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import KEYWORDS, LITERALS
 from lodestone.operators.dataset import category, siblings
-from lodestone.session import stored
+from lodestone.session import shared_folder, stored
 
 #: One token; loops are possessive, so that long literals take no stack.
 LEXER = "|".join(
@@ -33,6 +35,7 @@ PRIMITIVES = ("boolean", "byte", "char", "double", "float", "int", "long", "shor
 CONTEXTUAL = ("record", "permits", "sealed", "yield", "var")
 SIGNS = tuple("@()[]{}.,;:?&|^=!<>+-*/%~") + ("->", "::", "...", "==", "<=", ">=", "!=", "&&", "||", "++", "--", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=")
 TYPES = ("class", "interface", "enum", "record", "annotation")
+_WORDS = tuple(sorted({*KEYWORDS, *LITERALS, *CONTEXTUAL, *MODIFIERS, *PRIMITIVES, *TYPES}))
 
 
 def is_one_of(c: str, *values: str) -> Column:
@@ -192,8 +195,7 @@ def variable() -> Column:
 
 def token_kind(token: Column) -> Column:
     """All that the tree goes by: signs and words of the language as they are, a name as ``x``, a literal as ``0``, space and comments as a blank, others as ``#``."""
-    words = sorted({*KEYWORDS, *LITERALS, *CONTEXTUAL, *MODIFIERS, *PRIMITIVES, *TYPES})
-    return F.when(token.isin(*SIGNS, *words), token).when(token.rlike(r"^[\p{L}_$]"), "x").when(token.rlike(SPACE), " ").when(token.rlike(LITERAL), "0").otherwise("#")
+    return F.when(token.isin(*SIGNS, *_WORDS), token).when(token.rlike(r"^[\p{L}_$]"), "x").when(token.rlike(SPACE), " ").when(token.rlike(LITERAL), "0").otherwise("#")
 
 
 def strip_by_syntax(sources: DataFrame, key: str = "path", text: str = "text", crowd: int = 1 << 10) -> DataFrame:
@@ -248,14 +250,56 @@ def _nested(rows: DataFrame, level: str) -> DataFrame:
     return one.select("file", *(F.col(f"r.{c}").alias(c) for c in own), around.alias("around"))
 
 
-def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+def _own_name(token: Column) -> Column:
+    """A name that no rule knows: neither a word of the language nor one that it may use."""
+    return token.rlike(r"^[\p{L}_$]") & ~token.isin(*_WORDS)
+
+
+def _shaped(sources: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, file, text, kinds, shape, names, braces), a row each source, kept as Parquet.
+
+    ``names``: its own names in order of first use. ``kinds``: its tokens but spaces and comments, an own name as its place in ``names``
+    behind a letter of its case, a literal as ``0``. Sources that differ in names, literals and comments alone have one ``shape``, the
+    SHA-256 of ``kinds``. ``braces``: offsets of all braces in code points. A null text has no shape."""
+    cut = sources.select(F.col(key).alias("file"), F.col(text).alias("text")).withColumn("tokens", _cut("text")).withColumn("seen", F.filter("tokens", lambda t: ~t.rlike(SPACE)))
+    named = cut.withColumn("names", F.array_distinct(F.filter("seen", _own_name)))
+    place = lambda t: F.concat(F.when(t.rlike(r"^\p{Lu}"), "X").otherwise("x"), F.array_position("names", t).cast("string"), F.lit("_"))
+    kind = lambda t: F.when(t.isin(*SIGNS, *_WORDS), t).when(t.rlike(r"^[\p{L}_$]"), place(t)).when(t.rlike(r"^\."), ".0").when(t.rlike(LITERAL), "0").when(t == "\x01", "#").otherwise(t)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("braces"))
+    step = lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), F.when(t.isin("{", "}"), F.concat(s["braces"], F.array(s["at"]))).otherwise(s["braces"]).alias("braces"))
+    told = named.withColumn("kinds", F.array_join(F.transform("seen", kind), "\x01"))
+    rows = told.select(F.monotonically_increasing_id().alias("id"), "file", "text", "kinds", F.unhex(F.sha2("kinds", 256)).alias("shape"), "names", F.aggregate("tokens", start, step, lambda s: s["braces"]).alias("braces"))
+    path = f"{shared_folder(sources.sparkSession)}/sources-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return sources.sparkSession.read.parquet(path)
+
+
+def _spelled(text: Column, names: str = "names") -> Column:
+    """A text of a shape with the names of a source in their places."""
+    parts = F.regexp_extract_all(text, F.lit(r"[xX][0-9]+_|(?:[^xX]|[xX](?![0-9]))+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike("^[xX][0-9]"), F.get(names, F.substring(t, F.lit(2), F.length(t) - 2).cast("int") - 1)).otherwise(t)), "")
+
+
+def _each(texts: Column) -> Column:
+    return F.transform(texts, lambda t: _spelled(t))
+
+
+def extract(sources: DataFrame, key: str = "path", text: str = "text", crowd: int = 1 << 10) -> DataFrame:
     """One row per method with a body of the classes, interfaces and enums of Java sources, in the schema of method documents.
 
     ``invocations`` are in order of visit: a call before its receiver, that before its arguments. An unqualified call (of the
     innermost type around it that has such a method), one on a type, or one on a parameter, local variable or field of a plain type is EXACT where one method of that name and number of
     parameters is declared by that type in the sources; others are UNRESOLVED<name>. Types are written as in the source.
-    ``category`` is that of ``dataset.category``; ``with_siblings`` adds the other methods of the type."""
-    tree = stored(syntax_tree(sources, key, text))
+    ``category`` is that of ``dataset.category``; ``with_siblings`` adds the other methods of the type.
+
+    What a source's shape tells (``_shaped``) is found once a shape: up to "Resolution", ``file`` is a shape and names are places in the
+    names of a source. Shapes of more than ``crowd`` sources are broadcast (they have a ``crowd``-th of all tokens at most), others meet
+    their sources by a shuffle. Calls are resolved across all sources by their names in full."""
+    shaped = _shaped(sources, key, text)
+    shapes = stored(shaped.filter("kinds <> ''").groupBy("shape", "kinds").agg(F.count("*").alias("n")))
+    tokens = shapes.select(F.col("shape").alias("file"), F.posexplode(F.split("kinds", "\x01")).alias("i", "token"))
+    brace = is_one_of("token", "{", "}").cast("int")
+    tree = stored(_tree(tokens.withColumn("at", F.coalesce(F.sum(brace).over(Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))))
     up = F.col("up.pos").alias("up")
 
     # Types, with the names around them, package and imports.
@@ -282,8 +326,8 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
 
     # Methods: braces of bodies whose bracket of parameters stands in the same segment.
     kept = tree.filter("body and up.kind in ('class', 'interface', 'enum')")
-    ends = tree.filter("token = '}'").select("file", F.col("pos").alias("close"), (F.col("at") + 1).alias("bodyEndOffset"))
-    bodies = kept.select("file", "pos", up, "seg", "close", F.col("at").alias("bodyStartOffset")).join(ends, ["file", "close"])
+    ends = tree.filter("token = '}'").select("file", F.col("pos").alias("close"), F.col("at").alias("closing"))
+    bodies = kept.select("file", "pos", up, "seg", "close", F.col("at").alias("opened")).join(ends, ["file", "close"])
     signed = bodies.join(segments, ["file", "up", "seg"])
     head = until(F.col("t"), F.col("pos"))
     place = F.array_position(F.transform(head, lambda x: x["params"]), True).cast("int")
@@ -293,7 +337,7 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     after = F.coalesce(F.array_position(F.transform(rest, lambda x: (x["token"] == ">") & (x["angle"] == 0)), True).cast("int"), F.lit(0))
     returns = F.when(F.get(rest, F.lit(0))["token"] == "<", F.slice(rest, after + 1, F.greatest(F.size(rest) - after, F.lit(0)))).otherwise(rest)
     thrown = F.filter("head", lambda x: (x["clause"] == "throws") & (x["token"] != "throws"))
-    methods = signed.select("file", "pos", "up", "close", "opening", "methodName", "bodyStartOffset", "bodyEndOffset", modifiers.alias("modifiers"), F.when(F.size(returns) > 0, type_text(F.transform(returns, lambda x: x["token"]))).alias("returnType"), F.transform(_split(thrown), type_text).alias("thrownExceptions"))
+    methods = signed.select("file", "pos", "up", "close", "opening", "methodName", "opened", "closing", modifiers.alias("modifiers"), F.when(F.size(returns) > 0, type_text(F.transform(returns, lambda x: x["token"]))).alias("returnType"), F.transform(_split(thrown), type_text).alias("thrownExceptions"))
 
     # Parameters: what stands between commas of the declaring bracket.
     inside = tree.filter("up.token = '('").select("file", up, "pos", "token", "angle", "anno")
@@ -376,44 +420,79 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text") -> DataFr
     given = methods.select("file", F.col("pos").alias("method"), F.explode("ps").alias("p")).select("file", "method", F.col("p.name").alias("on"), F.regexp_replace("p.type", "<.*$", "").alias("type"), F.lit(1).alias("rank"))
     of_class = methods.select("file", F.col("pos").alias("method"), F.col("up").alias("owner")).join(by_type, ["file", "owner"]).select("file", "method", F.explode("classFields").alias("f")).select("file", "method", F.col("f.name").alias("on"), F.regexp_replace("f.typeFqn", "<.*$", "").alias("type"), F.lit(2).alias("rank"))
     scope = local.unionByName(given).unionByName(of_class).groupBy("file", "method", "on").agg(F.min(F.struct("rank", "type"))["type"].alias("type"))
-    known = types.select("classFqn", F.element_at(F.split("path", r"\."), -1).alias("simple"), "file", "package").distinct()
     asked = calls.join(scope, ["file", "method", "on"], "left").join(base.select("file", F.col("pos").alias("method"), "classFqn", "path", "package", "imported"), ["file", "method"])
     wanted = F.when(F.col("new"), F.regexp_replace("name", "<.*$", "")).when(F.col("on").isNull() | (F.col("on") == "this"), F.lit(None)).otherwise(F.coalesce("type", F.when(F.col("on").rlike(r"^\p{Lu}"), F.col("on"))))
     own = ~F.col("new") & (F.col("on").isNull() | (F.col("on") == "this"))
     asked = asked.withColumn("simple", wanted).withColumn("listed", F.get(F.filter("imported", lambda x: ~x["wild"] & (F.substring_index(x["name"], ".", -1) == F.col("simple"))), F.lit(0))["name"])
-    in_file = known.select("file", "simple", F.col("classFqn").alias("here")).groupBy("file", "simple").agg(F.min("here").alias("here"))
-    in_package = known.filter("classFqn = concat_ws('.', package, simple)").select(F.coalesce("package", F.lit("")).alias("p"), "simple", F.col("classFqn").alias("near")).distinct()
-    looked = asked.filter("simple is not null").join(in_file, ["file", "simple"], "left").withColumn("p", F.coalesce("package", F.lit(""))).join(in_package, ["p", "simple"], "left").withColumn("target", F.coalesce("listed", "here", "near")).drop("here", "near", "p")
+    in_file = types.select("file", F.element_at(F.split("path", r"\."), -1).alias("simple"), "classFqn").groupBy("file", "simple").agg(F.collect_set("classFqn").alias("here"))
+    looked = asked.filter("simple is not null").join(in_file, ["file", "simple"], "left").withColumn("places", F.transform(F.coalesce(F.when(F.col("listed").isNotNull(), F.array("listed")), "here"), lambda t: F.struct(F.lit(0).alias("rank"), t.alias("target")))).drop("here")
     # An unqualified call is of the innermost type around it that has such a method; others go beside the joins, so that they don't meet under one null key.
     outer = F.transform(F.sequence(F.size(F.split("path", r"\.")), F.lit(1), F.lit(-1)), lambda k: F.concat_ws(".", "package", F.array_join(F.slice(F.split("path", r"\."), 1, k), ".")))
     places = F.when(own & (F.col("on") == "this"), F.array("classFqn")).when(own & (F.col("name") == "this"), F.array("classFqn")).when(own & (F.col("name") != "super"), outer)
-    asked = looked.withColumn("places", F.array("target")).drop("target").unionByName(asked.filter("simple is null").withColumn("places", places))
-    tried = asked.filter("places is not null").select("file", "method", "pos", "new", "name", "arity", F.posexplode("places").alias("rank", "target")).filter("target is not null")
-    tried = tried.withColumn("called", F.when(F.col("new") | (F.col("name") == "this"), F.substring_index("target", ".", -1)).otherwise(F.col("name")))
-    facts = base.select("file", F.col("classFqn").alias("target"), F.col("methodName").alias("called"), F.size("ps").alias("arity"), "returnType", "parameterTypes")
+    asked = stored(looked.unionByName(asked.filter("simple is null").withColumn("places", F.transform(places, lambda t, i: F.struct(i.alias("rank"), t.alias("target"))))))
     constructs = F.col("new") | (F.col("name") == "this")
+    called = F.when(constructs, F.substring_index("target", ".", -1)).otherwise(F.col("name")).alias("called")
     exact = F.concat("target", F.lit("::"), F.when(constructs, "<init>").otherwise(F.col("name")), F.lit("("), F.array_join("parameterTypes", ", "), F.lit(") -> "), F.when(constructs, F.col("target")).otherwise(F.coalesce("returnType", F.lit("void"))))
-    def fitting(by: list[str]) -> DataFrame:
-        offered = facts.groupBy(*by).agg(F.count("*").alias("fits"), F.first("returnType").alias("returnType"), F.first("parameterTypes").alias("parameterTypes"))
-        return tried.join(offered, by).groupBy("file", "method", "pos").agg(F.min(F.struct("rank", F.when(F.col("fits") == 1, exact).alias("exact")))["exact"].alias("exact"))
-
-    # A type that several sources declare is that of the call's own source.
-    anywhere, beside = fitting(["target", "called", "arity"]), fitting(["file", "target", "called", "arity"]).withColumnRenamed("exact", "own")
-    hit = anywhere.join(beside, ["file", "method", "pos"], "left").select("file", "method", "pos", F.coalesce("exact", "own").alias("exact"))
-    met = asked.drop("places").join(hit, ["file", "method", "pos"], "left")
-    open_ = F.concat(F.lit("UNRESOLVED<"), F.when(F.col("new"), F.concat(F.lit("<init>("), "name", F.lit(")"))).otherwise(F.col("name")), F.lit(">"))
-    ordered = met.select("file", F.col("method").alias("pos"), F.struct("chain", (-F.col("pos")).alias("later"), F.coalesce("exact", open_).alias("signature"), F.when(F.col("exact").isNotNull(), "EXACT").otherwise("UNRESOLVED").alias("mode")).alias("c"))
-    invoked = ordered.groupBy("file", "pos").agg(F.array_sort(F.collect_list("c")).alias("cs")).select("file", "pos", F.transform("cs", lambda c, i: F.struct(c["signature"].alias("signature"), c["mode"].alias("resolutionMode"), i.alias("orderIndex"))).alias("invocations"))
+    facts = stored(base.select("file", F.col("classFqn").alias("target"), F.col("methodName").alias("called"), F.size("ps").alias("arity"), "returnType", "parameterTypes"))
+    kinds_ = ("fits", F.count("*")), ("returnType", F.first("returnType")), ("parameterTypes", F.first("parameterTypes"))
+    fitting = lambda rows, by: rows.groupBy(*by).agg(*(f.alias(n) for n, f in kinds_))
+    tried = asked.select("file", "method", "pos", "new", "name", "arity", F.explode("places").alias("p")).select("file", "method", "pos", "new", "name", "arity", "p.*").withColumn("called", called)
+    tried = tried.join(fitting(facts, ["file", "target", "called", "arity"]), ["file", "target", "called", "arity"], "left")
+    own_fit = F.when(F.col("fits").isNotNull(), F.struct("rank", F.when(F.col("fits") == 1, exact).alias("exact")))
+    tried = stored(tried.select(F.col("file").alias("shape"), "method", "pos", "new", "name", "arity", "rank", "target", own_fit.alias("own")))
+    near = stored(asked.filter("simple is not null and places is null").select(F.col("file").alias("shape"), "method", "pos", "new", "name", "arity", F.coalesce("package", F.lit("")).alias("p"), "simple"))
 
     strings, invocations = F.array().cast("array<string>"), F.array().cast("array<struct<signature:string,resolutionMode:string,orderIndex:int>>")
-    whole = base.join(bodies.select("file", "pos", "seg"), ["file", "pos"]).join(notes, ["file", "up", "seg"], "left").join(told, ["file", "pos"], "left").join(stops, ["file", "pos"], "left").join(invoked, ["file", "pos"], "left").join(used, ["file", "pos"], "left").join(by_type.withColumnRenamed("owner", "up"), ["file", "up"], "left")
-    body = F.substring(F.col("t.text"), F.col("bodyStartOffset") + 1, F.col("bodyEndOffset") - F.col("bodyStartOffset"))
-    whole = whole.join(sources.select(F.col(key).alias("file"), F.col(text).alias("text")).alias("t"), "file")
-    whole = whole.withColumns({"inTestSource": F.contains(F.translate(F.col("file").cast("string"), "\\", "/"), F.lit("/test/")), "annotations": F.coalesce("annotations", strings), "nParameters": F.size("ps"), "hasBody": F.lit(True), "nStatements": F.coalesce("statementCount", F.lit(0))})
-    return whole.select(
-        F.col("file").alias("filePath"), F.col("t.text").alias("fileContent"), "classFqn", "methodSignature", "methodName", body.alias("methodBody"), F.col("bodyStartOffset").cast("int").alias("bodyStartOffset"), F.col("bodyEndOffset").cast("int").alias("bodyEndOffset"),
-        F.coalesce("statementCount", F.lit(0)).alias("statementCount"), category().alias("category"), F.coalesce("invocations", invocations).alias("invocations"), F.transform("imported", lambda x: x["name"]).alias("imports"),
-        F.coalesce("classFields", F.array().cast("array<struct<name:string,typeFqn:string>>")).alias("classFields"), "supertypes", "returnType", "parameterTypes", "thrownExceptions", F.coalesce("usedTypes", strings).alias("usedTypes"),
+    made_calls = asked.groupBy("file", F.col("method").alias("pos")).agg(F.collect_list(F.struct("chain", asked["pos"].alias("pos"), "new", "name")).alias("calls"))
+    whole = base.join(bodies.select("file", "pos", "seg"), ["file", "pos"]).join(notes, ["file", "up", "seg"], "left").join(told, ["file", "pos"], "left").join(stops, ["file", "pos"], "left").join(made_calls, ["file", "pos"], "left").join(used, ["file", "pos"], "left").join(by_type.withColumnRenamed("owner", "up"), ["file", "up"], "left")
+    whole = stored(whole.select(F.col("file").alias("shape"), *(c for c in whole.columns if c not in ("file", "modifiers", "kind", "path", "package"))))
+
+    # From here on rows are those of sources.
+    found = shapes.agg(F.count_if(F.col("n") > crowd).alias("often"), F.count("*").alias("all")).first()
+    crowds = F.broadcast(shapes.filter(F.col("n") > crowd).select("shape"))
+
+    def of_sources(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        """Rows of sources with what their shapes have."""
+        if not found["often"]:
+            return rows.join(facts, "shape")
+        crowded = rows.join(F.broadcast(facts.join(crowds, "shape", "left_semi")), "shape")
+        return crowded if found["often"] == found["all"] else crowded.unionByName(rows.join(crowds, "shape", "left_anti").join(facts, "shape"))
+
+    lean = shaped.select("id", "shape", "names")
+    declares = facts.withColumnRenamed("file", "shape")
+    offered = of_sources(lean, declares).select(_spelled(F.col("target")).alias("target"), _spelled(F.col("called")).alias("called"), "arity", _spelled(F.col("returnType")).alias("returnType"), _each(F.col("parameterTypes")).alias("parameterTypes"))
+    offered = fitting(offered, ["target", "called", "arity"])
+    asking = of_sources(lean, tried).select("id", "method", "pos", "new", _spelled(F.col("name")).alias("name"), "arity", "rank", _spelled(F.col("target")).alias("target"), F.struct("own.rank", _spelled(F.col("own.exact")).alias("exact")).alias("fit"), F.col("own").isNotNull().alias("fitted"))
+    # Of several types of that name in a source the first by its full name is meant.
+    asking = asking.withColumn("fit", F.when(F.col("fitted"), F.col("fit"))).drop("fitted")
+    least = Window.partitionBy("id", "method", "pos", "rank")
+    several = tried.groupBy("shape", "method", "pos", "rank").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count()
+    if several:
+        asking = asking.withColumn("least", F.min("target").over(least)).filter("target = least").drop("least")
+    if near.limit(1).count():
+        tops = types.filter(F.instr("path", F.lit(".")) == 0).select(F.col("file").alias("shape"), F.coalesce("package", F.lit("")).alias("p"), F.col("path").alias("simple"), F.col("classFqn").alias("near")).distinct()
+        in_package = of_sources(lean, tops).select(_spelled(F.col("p")).alias("p"), _spelled(F.col("simple")).alias("simple"), _spelled(F.col("near")).alias("target")).distinct()
+        unlisted = of_sources(lean, near).select("id", "method", "pos", "new", _spelled(F.col("name")).alias("name"), "arity", F.lit(0).alias("rank"), _spelled(F.col("p")).alias("p"), _spelled(F.col("simple")).alias("simple")).join(in_package, ["p", "simple"])
+        asking = asking.unionByName(unlisted.drop("p", "simple").withColumn("fit", F.lit(None).cast(asking.schema["fit"].dataType)))
+    hit = asking.withColumn("called", called).join(offered, ["target", "called", "arity"]).select("id", "method", "pos", "rank", F.when(F.col("fits") == 1, exact).alias("exact"), "fit").repartition("id")
+    # A type that several sources declare is that of the call's own source.
+    hit = hit.groupBy("id", "method", "pos").agg(F.coalesce(F.min(F.struct("rank", "exact"))["exact"], F.min("fit")["exact"]).alias("exact")).filter("exact is not null")
+    hits = hit.groupBy("id", "method").agg(F.collect_list(F.struct("pos", "exact")).alias("h")).groupBy("id").agg(F.collect_list(F.struct("method", "h")).alias("hits"))  # those of one source
+    rows = of_sources(shaped.drop("kinds").join(hits, "id", "left"), whole)
+
+    known = F.get(F.filter("hits", lambda m: m["method"] == F.col("pos")), F.lit(0))["h"]
+    open_ = lambda c: F.concat(F.lit("UNRESOLVED<"), F.when(c["new"], F.concat(F.lit("<init>("), _spelled(c["name"]), F.lit(")"))).otherwise(_spelled(c["name"])), F.lit(">"))
+    rows = rows.withColumn("known", known).drop("hits")
+    told_calls = F.transform("calls", lambda c: F.struct(c["chain"].alias("chain"), (-c["pos"]).alias("later"), F.get(F.filter("known", lambda h: h["pos"] == c["pos"]), F.lit(0))["exact"].alias("exact"), open_(c).alias("open")))
+    signed_calls = F.transform(told_calls, lambda c: F.struct(c["chain"].alias("chain"), c["later"].alias("later"), F.coalesce(c["exact"], c["open"]).alias("signature"), F.when(c["exact"].isNotNull(), "EXACT").otherwise("UNRESOLVED").alias("mode")))
+    invoked = F.transform(F.array_sort(signed_calls), lambda c, i: F.struct(c["signature"].alias("signature"), c["mode"].alias("resolutionMode"), i.alias("orderIndex")))
+    start, end = F.get("braces", F.col("opened")), F.get("braces", F.col("closing")) + 1
+    rows = rows.withColumns({"methodName": _spelled(F.col("methodName")), "annotations": _each(F.coalesce("annotations", strings)), "start": start, "end": end})
+    rows = rows.withColumns({"inTestSource": F.contains(F.translate(F.col("file").cast("string"), "\\", "/"), F.lit("/test/")), "nParameters": F.size("ps"), "hasBody": F.lit(True), "nStatements": F.coalesce("statementCount", F.lit(0))})
+    return rows.select(
+        F.col("file").alias("filePath"), F.col("text").alias("fileContent"), _spelled(F.col("classFqn")).alias("classFqn"), _spelled(F.col("methodSignature")).alias("methodSignature"), "methodName", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("methodBody"), F.col("start").alias("bodyStartOffset"), F.col("end").alias("bodyEndOffset"),
+        F.coalesce("statementCount", F.lit(0)).alias("statementCount"), category().alias("category"), F.coalesce(invoked, invocations).alias("invocations"), F.transform("imported", lambda x: _spelled(x["name"])).alias("imports"),
+        F.coalesce(F.transform("classFields", lambda f: F.struct(_spelled(f["name"]).alias("name"), _spelled(f["typeFqn"]).alias("typeFqn"))), F.array().cast("array<struct<name:string,typeFqn:string>>")).alias("classFields"), _each(F.col("supertypes")).alias("supertypes"), _spelled(F.col("returnType")).alias("returnType"), _each(F.col("parameterTypes")).alias("parameterTypes"), _each(F.col("thrownExceptions")).alias("thrownExceptions"), _each(F.coalesce("usedTypes", strings)).alias("usedTypes"),
     )
 
 
