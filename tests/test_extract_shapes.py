@@ -3,6 +3,7 @@
 import pytest
 
 from lodestone.operators import syntax
+from lodestone.plans import source_queries
 
 IN = "class {0} {{ class {1} {{ class In {{ In() {{ }} }} }} class {2} {{ class In {{ In() {{ }} }} }} void m() {{ new In(); }} }}"
 TEXTS = {
@@ -39,3 +40,10 @@ def test_one_tree_a_shape(spark, monkeypatch):
     monkeypatch.setattr(syntax, "_tree", lambda tokens: seen.append(tokens) or whole(tokens))
     syntax.extract(sources(spark))
     assert [x.select("file").distinct().count() for x in seen] == [3]
+
+
+def test_extracted_methods_have_one_tree(spark, monkeypatch):
+    seen, whole = [], syntax._tree
+    monkeypatch.setattr(syntax, "_tree", lambda tokens: seen.append(tokens) or whole(tokens))
+    source_queries.extracted_methods(spark, "/root/testdata/sf0.001")
+    assert [x.select("file").distinct().count() for x in seen] == [1]
