@@ -47,3 +47,10 @@ def test_extracted_methods_have_one_tree(spark, monkeypatch):
     monkeypatch.setattr(syntax, "_tree", lambda tokens: seen.append(tokens) or whole(tokens))
     source_queries.extracted_methods(spark, "/root/testdata/sf0.001")
     assert [x.select("file").distinct().count() for x in seen] == [1]
+
+
+def test_bodies_in_place_have_one_tree(spark, monkeypatch):
+    seen, whole = [], syntax._tree
+    monkeypatch.setattr(syntax, "_tree", lambda tokens: seen.append(tokens) or whole(tokens))
+    source_queries.body_calls_in_place(spark, "/root/testdata/sf0.001")
+    assert [x.select("file").distinct().count() for x in seen] == [1]
