@@ -230,11 +230,12 @@ def kept_methods(methods: DataFrame, least: int, all_categories: bool = False) -
 def siblings(methods: DataFrame, type_: str, order: str, fields: Sequence[str], most: int = 4096) -> DataFrame:
     """Methods with ``siblings``: all other methods of their type in declaration order, filtered ones included.
 
-    A type's methods are gathered once as an array (bounded by what a source file declares; types beyond ``most`` raise
-    an error) and each method leaves out itself."""
-    gathered = methods.groupBy(type_).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), *fields))).alias("__all"))
+    A type's methods are gathered as an array over one window, so what makes them is computed once (bounded by what a source file declares;
+    types beyond ``most`` raise an error), and each method leaves out itself."""
+    whole = Window.partitionBy(type_).orderBy(order, *fields).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gathered = methods.filter(F.col(type_).isNotNull()).withColumn("__all", F.collect_list(F.struct(F.col(order).alias("ord"), *fields)).over(whole))
     gathered = gathered.withColumn("__all", F.when(F.size("__all") <= most, F.col("__all")).otherwise(F.raise_error(F.concat(F.lit("too many methods in "), F.col(type_).cast("string")))))
-    return methods.join(gathered, type_).withColumn("siblings", F.filter("__all", lambda s: s["ord"] != F.col(order))).drop("__all")
+    return gathered.withColumn("siblings", F.filter("__all", lambda s: s["ord"] != F.col(order))).drop("__all")
 
 
 def substituted(content: str, start: str, end: str, generated: str) -> Column:

@@ -11,10 +11,16 @@ Names are resolved by what sources declare and import; there is no class path.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import uuid
+from collections.abc import Iterator
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import KEYWORDS, LITERALS
 from lodestone.operators.dataset import category, siblings
@@ -36,6 +42,7 @@ CONTEXTUAL = ("record", "permits", "sealed", "yield", "var")
 SIGNS = tuple("@()[]{}.,;:?&|^=!<>+-*/%~") + ("->", "::", "...", "==", "<=", ">=", "!=", "&&", "||", "++", "--", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=")
 TYPES = ("class", "interface", "enum", "record", "annotation")
 _WORDS = tuple(sorted({*KEYWORDS, *LITERALS, *CONTEXTUAL, *MODIFIERS, *PRIMITIVES, *TYPES}))
+_FIXED = frozenset((*SIGNS, *_WORDS))
 
 
 def is_one_of(c: str, *values: str) -> Column:
@@ -250,9 +257,42 @@ def _nested(rows: DataFrame, level: str) -> DataFrame:
     return one.select("file", *(F.col(f"r.{c}").alias(c) for c in own), around.alias("around"))
 
 
-def _own_name(token: Column) -> Column:
-    """A name that no rule knows: neither a word of the language nor one that it may use."""
-    return token.rlike(r"^[\p{L}_$]") & ~token.isin(*_WORDS)
+@cache
+def _lexer() -> re.Pattern:
+    """``LEXER`` for tasks: Python has no classes of Unicode, ``\\s`` for ASCII alone and ``.`` without all ends of lines, so these are spelled out."""
+    numbers = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) in ("No", "Nl"))  # no names start with them
+    name = rf"[A-Za-z_$][\w$]*+|(?![\x00-\x7F{numbers}])[^\W\d][\w$]*+"
+    dot = r"(?:\\[^\n\r\x85\u2028\u2029][^"
+    return re.compile(LEXER.replace(r"[\p{L}_$][\p{L}\p{N}_$]*+", name).replace(r"(?:\\.[^", dot).replace(r"\s++", r"[ \t\n\x0B\f\r]++"))
+
+
+def told_source(text: str) -> tuple[str, list[str], list[int]]:
+    """(kinds, names, braces) of a source, as in ``_shaped``."""
+    at, kinds, names, braces = 0, [], {}, []
+    for t in _lexer().findall(text):
+        c = t[0]
+        if t in _FIXED:
+            kinds.append(t)
+            if c in "{}":
+                braces.append(at)
+        elif c in " \t\n\x0b\f\r" or (c == "/" and len(t) > 1):  # comments: other tokens of two signs are fixed
+            pass
+        elif c in "_$" or c.isalpha():
+            kinds.append(f"{'X' if unicodedata.category(c) == 'Lu' else 'x'}{names.setdefault(t, len(names) + 1)}_")
+        else:
+            kinds.append(".0" if c == "." else "0" if c in "\"'0123456789" else "#" if c == "\x01" else t)
+        at += len(t)
+    return "\x01".join(kinds), list(names), braces
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (file, text) with ``told_source`` of their texts, a few rows at a time."""
+    kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()))
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            told = [(None, None, None) if x is None else told_source(x) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, k) for x, k in zip(zip(*told, strict=True), kinds, strict=True))], ["file", "text", "kinds", "names", "braces"])
 
 
 def _shaped(sources: DataFrame, key: str, text: str) -> DataFrame:
@@ -261,23 +301,28 @@ def _shaped(sources: DataFrame, key: str, text: str) -> DataFrame:
     ``names``: its own names in order of first use. ``kinds``: its tokens but spaces and comments, an own name as its place in ``names``
     behind a letter of its case, a literal as ``0``. Sources that differ in names, literals and comments alone have one ``shape``, the
     SHA-256 of ``kinds``. ``braces``: offsets of all braces in code points. A null text has no shape."""
-    cut = sources.select(F.col(key).alias("file"), F.col(text).alias("text")).withColumn("tokens", _cut("text")).withColumn("seen", F.filter("tokens", lambda t: ~t.rlike(SPACE)))
-    named = cut.withColumn("names", F.array_distinct(F.filter("seen", _own_name)))
-    place = lambda t: F.concat(F.when(t.rlike(r"^\p{Lu}"), "X").otherwise("x"), F.array_position("names", t).cast("string"), F.lit("_"))
-    kind = lambda t: F.when(t.isin(*SIGNS, *_WORDS), t).when(t.rlike(r"^[\p{L}_$]"), place(t)).when(t.rlike(r"^\."), ".0").when(t.rlike(LITERAL), "0").when(t == "\x01", "#").otherwise(t)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("braces"))
-    step = lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), F.when(t.isin("{", "}"), F.concat(s["braces"], F.array(s["at"]))).otherwise(s["braces"]).alias("braces"))
-    told = named.withColumn("kinds", F.array_join(F.transform("seen", kind), "\x01"))
-    rows = told.select(F.monotonically_increasing_id().alias("id"), "file", "text", "kinds", F.unhex(F.sha2("kinds", 256)).alias("shape"), "names", F.aggregate("tokens", start, step, lambda s: s["braces"]).alias("braces"))
+    cut = sources.select(F.col(key).alias("file"), F.make_valid_utf8(text).alias("text"))
+    told = cut.mapInArrow(_told, T.StructType([*cut.schema.fields, T.StructField("kinds", T.StringType()), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("braces", T.ArrayType(T.IntegerType()))]))
+    rows = told.select(F.monotonically_increasing_id().alias("id"), "file", "text", "kinds", F.unhex(F.sha2("kinds", 256)).alias("shape"), "names", "braces")
     path = f"{shared_folder(sources.sparkSession)}/sources-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return sources.sparkSession.read.parquet(path)
 
 
-def _spelled(text: Column, names: str = "names") -> Column:
-    """A text of a shape with the names of a source in their places."""
-    parts = F.regexp_extract_all(text, F.lit(r"[xX][0-9]+_|(?:[^xX]|[xX](?![0-9]))+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike("^[xX][0-9]"), F.get(names, F.substring(t, F.lit(2), F.length(t) - 2).cast("int") - 1)).otherwise(t)), "")
+def _pieces(text: Column) -> Column:
+    """A text of a shape cut at its names, once a shape: strings as they stand (``s``), and places in the names of a source (``i``)."""
+    found = F.regexp_extract_all(text, F.lit(r"[xX][0-9]+_|(?:[^xX]|[xX](?![0-9]))+"), F.lit(0))
+    named = lambda t: t.rlike("^[xX][0-9]")
+    return F.transform(found, lambda t: F.struct(F.when(~named(t), t).alias("s"), F.when(named(t), F.substring(t, F.lit(2), F.length(t) - 2)).cast("int").alias("i")))
+
+
+def _spelled(pieces: Column, names: str = "names") -> Column:
+    """``_pieces`` with the names of a source in their places."""
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(p["s"], F.get(names, p["i"] - 1))), "")
+
+
+def _all_pieces(texts: Column) -> Column:
+    return F.transform(texts, lambda t: _pieces(t))
 
 
 def _each(texts: Column) -> Column:
@@ -438,14 +483,18 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text", crowd: in
     fitting = lambda rows, by: rows.groupBy(*by).agg(*(f.alias(n) for n, f in kinds_))
     tried = asked.select("file", "method", "pos", "new", "name", "arity", F.explode("places").alias("p")).select("file", "method", "pos", "new", "name", "arity", "p.*").withColumn("called", called)
     tried = tried.join(fitting(facts, ["file", "target", "called", "arity"]), ["file", "target", "called", "arity"], "left")
-    own_fit = F.when(F.col("fits").isNotNull(), F.struct("rank", F.when(F.col("fits") == 1, exact).alias("exact")))
-    tried = stored(tried.select(F.col("file").alias("shape"), "method", "pos", "new", "name", "arity", "rank", "target", own_fit.alias("own")))
-    near = stored(asked.filter("simple is not null and places is null").select(F.col("file").alias("shape"), "method", "pos", "new", "name", "arity", F.coalesce("package", F.lit("")).alias("p"), "simple"))
+    own_fit = F.when(F.col("fits").isNotNull(), F.struct("rank", _pieces(F.when(F.col("fits") == 1, exact)).alias("exact")))
+    tried = stored(tried.select(F.col("file").alias("shape"), "method", "pos", "new", _pieces(F.col("name")).alias("name"), "arity", "rank", _pieces(F.col("target")).alias("target"), own_fit.alias("own")))
+    near = stored(asked.filter("simple is not null and places is null").select(F.col("file").alias("shape"), "method", "pos", "new", _pieces(F.col("name")).alias("name"), "arity", _pieces(F.coalesce("package", F.lit(""))).alias("p"), _pieces(F.col("simple")).alias("simple")))
 
     strings, invocations = F.array().cast("array<string>"), F.array().cast("array<struct<signature:string,resolutionMode:string,orderIndex:int>>")
     made_calls = asked.groupBy("file", F.col("method").alias("pos")).agg(F.collect_list(F.struct("chain", asked["pos"].alias("pos"), "new", "name")).alias("calls"))
     whole = base.join(bodies.select("file", "pos", "seg"), ["file", "pos"]).join(notes, ["file", "up", "seg"], "left").join(told, ["file", "pos"], "left").join(stops, ["file", "pos"], "left").join(made_calls, ["file", "pos"], "left").join(used, ["file", "pos"], "left").join(by_type.withColumnRenamed("owner", "up"), ["file", "up"], "left")
-    whole = stored(whole.select(F.col("file").alias("shape"), *(c for c in whole.columns if c not in ("file", "modifiers", "kind", "path", "package"))))
+    cut_up = {c: _pieces(F.col(c)) for c in ("methodName", "classFqn", "methodSignature", "returnType")} | {c: _all_pieces(F.col(c)) for c in ("annotations", "supertypes", "parameterTypes", "thrownExceptions", "usedTypes")}
+    cut_up["calls"] = F.transform("calls", lambda c: F.struct(c["chain"].alias("chain"), c["pos"].alias("pos"), c["new"].alias("new"), _pieces(c["name"]).alias("name")))
+    cut_up |= {"imported": F.transform("imported", lambda x: _pieces(x["name"])), "classFields": F.transform("classFields", lambda f: F.struct(_pieces(f["name"]).alias("name"), _pieces(f["typeFqn"]).alias("typeFqn")))}
+    whole = whole.select(F.col("file").alias("shape"), *(c for c in whole.columns if c not in ("file", "modifiers", "kind", "path", "package")))
+    whole = stored(whole.withColumns(cut_up))
 
     # From here on rows are those of sources.
     found = shapes.agg(F.count_if(F.col("n") > crowd).alias("often"), F.count("*").alias("all")).first()
@@ -459,7 +508,7 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text", crowd: in
         return crowded if found["often"] == found["all"] else crowded.unionByName(rows.join(crowds, "shape", "left_anti").join(facts, "shape"))
 
     lean = shaped.select("id", "shape", "names")
-    declares = facts.withColumnRenamed("file", "shape")
+    declares = facts.select(F.col("file").alias("shape"), _pieces(F.col("target")).alias("target"), _pieces(F.col("called")).alias("called"), "arity", _pieces(F.col("returnType")).alias("returnType"), _all_pieces(F.col("parameterTypes")).alias("parameterTypes"))
     offered = of_sources(lean, declares).select(_spelled(F.col("target")).alias("target"), _spelled(F.col("called")).alias("called"), "arity", _spelled(F.col("returnType")).alias("returnType"), _each(F.col("parameterTypes")).alias("parameterTypes"))
     offered = fitting(offered, ["target", "called", "arity"])
     asking = of_sources(lean, tried).select("id", "method", "pos", "new", _spelled(F.col("name")).alias("name"), "arity", "rank", _spelled(F.col("target")).alias("target"), F.struct("own.rank", _spelled(F.col("own.exact")).alias("exact")).alias("fit"), F.col("own").isNotNull().alias("fitted"))
@@ -471,6 +520,7 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text", crowd: in
         asking = asking.withColumn("least", F.min("target").over(least)).filter("target = least").drop("least")
     if near.limit(1).count():
         tops = types.filter(F.instr("path", F.lit(".")) == 0).select(F.col("file").alias("shape"), F.coalesce("package", F.lit("")).alias("p"), F.col("path").alias("simple"), F.col("classFqn").alias("near")).distinct()
+        tops = tops.select("shape", *(_pieces(F.col(c)).alias(c) for c in ("p", "simple", "near")))
         in_package = of_sources(lean, tops).select(_spelled(F.col("p")).alias("p"), _spelled(F.col("simple")).alias("simple"), _spelled(F.col("near")).alias("target")).distinct()
         unlisted = of_sources(lean, near).select("id", "method", "pos", "new", _spelled(F.col("name")).alias("name"), "arity", F.lit(0).alias("rank"), _spelled(F.col("p")).alias("p"), _spelled(F.col("simple")).alias("simple")).join(in_package, ["p", "simple"])
         asking = asking.unionByName(unlisted.drop("p", "simple").withColumn("fit", F.lit(None).cast(asking.schema["fit"].dataType)))
@@ -487,12 +537,12 @@ def extract(sources: DataFrame, key: str = "path", text: str = "text", crowd: in
     signed_calls = F.transform(told_calls, lambda c: F.struct(c["chain"].alias("chain"), c["later"].alias("later"), F.coalesce(c["exact"], c["open"]).alias("signature"), F.when(c["exact"].isNotNull(), "EXACT").otherwise("UNRESOLVED").alias("mode")))
     invoked = F.transform(F.array_sort(signed_calls), lambda c, i: F.struct(c["signature"].alias("signature"), c["mode"].alias("resolutionMode"), i.alias("orderIndex")))
     start, end = F.get("braces", F.col("opened")), F.get("braces", F.col("closing")) + 1
-    rows = rows.withColumns({"methodName": _spelled(F.col("methodName")), "annotations": _each(F.coalesce("annotations", strings)), "start": start, "end": end})
+    rows = rows.withColumns({"methodName": _spelled(F.col("methodName")), "annotations": F.coalesce(_each(F.col("annotations")), strings), "start": start, "end": end})
     rows = rows.withColumns({"inTestSource": F.contains(F.translate(F.col("file").cast("string"), "\\", "/"), F.lit("/test/")), "nParameters": F.size("ps"), "hasBody": F.lit(True), "nStatements": F.coalesce("statementCount", F.lit(0))})
     return rows.select(
         F.col("file").alias("filePath"), F.col("text").alias("fileContent"), _spelled(F.col("classFqn")).alias("classFqn"), _spelled(F.col("methodSignature")).alias("methodSignature"), "methodName", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("methodBody"), F.col("start").alias("bodyStartOffset"), F.col("end").alias("bodyEndOffset"),
-        F.coalesce("statementCount", F.lit(0)).alias("statementCount"), category().alias("category"), F.coalesce(invoked, invocations).alias("invocations"), F.transform("imported", lambda x: _spelled(x["name"])).alias("imports"),
-        F.coalesce(F.transform("classFields", lambda f: F.struct(_spelled(f["name"]).alias("name"), _spelled(f["typeFqn"]).alias("typeFqn"))), F.array().cast("array<struct<name:string,typeFqn:string>>")).alias("classFields"), _each(F.col("supertypes")).alias("supertypes"), _spelled(F.col("returnType")).alias("returnType"), _each(F.col("parameterTypes")).alias("parameterTypes"), _each(F.col("thrownExceptions")).alias("thrownExceptions"), _each(F.coalesce("usedTypes", strings)).alias("usedTypes"),
+        F.coalesce("statementCount", F.lit(0)).alias("statementCount"), category().alias("category"), F.coalesce(invoked, invocations).alias("invocations"), _each(F.col("imported")).alias("imports"),
+        F.coalesce(F.transform("classFields", lambda f: F.struct(_spelled(f["name"]).alias("name"), _spelled(f["typeFqn"]).alias("typeFqn"))), F.array().cast("array<struct<name:string,typeFqn:string>>")).alias("classFields"), _each(F.col("supertypes")).alias("supertypes"), _spelled(F.col("returnType")).alias("returnType"), _each(F.col("parameterTypes")).alias("parameterTypes"), _each(F.col("thrownExceptions")).alias("thrownExceptions"), F.coalesce(_each(F.col("usedTypes")), strings).alias("usedTypes"),
     )
 
 
