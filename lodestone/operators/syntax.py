@@ -557,7 +557,8 @@ def calls_in_place(bodies: DataFrame) -> DataFrame:
     closing = F.when((F.substring(c, end + 1, F.lit(1)) != "}") & (F.substring(c, end, F.lit(1)) == "}"), end - 1).otherwise(end)
     made = F.concat(F.substring(c, F.lit(1), start + 1), F.col("generatedBody"), F.substring(c, closing + 1, F.length(c)))
     judged = bodies.withColumns({"error": error, "text": F.when(error.isNull(), made)})
-    found = extract(judged.filter("error is null").select("index", "text"), "index", "text").select(F.col("filePath").alias("index"), F.col("bodyStartOffset"), "invocations")
+    # Entries with an error have no text, so no methods; a filter would be moved to where files are read, before they are dealt.
+    found = extract(judged.select("index", "text"), "index", "text").select(F.col("filePath").alias("index"), F.col("bodyStartOffset"), "invocations")
     joined = judged.select("index", "bodyStartOffset", "error").join(found, ["index", "bodyStartOffset"], "left")
     none = F.array().cast("array<struct<signature:string,resolutionMode:string,orderIndex:int>>")
     return joined.select("index", F.coalesce("invocations", none).alias("invocations"), F.coalesce("error", F.when(F.col("invocations").isNull(), "no method at the offset")).alias("error"))

@@ -22,3 +22,12 @@ def test_siblings_take_one_pass(spark):
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["t"], r["name"]): [s["name"] for s in r["siblings"]] for r in made.collect()}
     assert got == {("A", "x"): ["y", "w"], ("A", "y"): ["x", "w"], ("A", "w"): ["x", "y"], ("B", "z"): []}
+
+
+def test_bodies_are_dealt_before_they_are_put_in(spark, monkeypatch):
+    seen, whole = [], syntax.extract
+    monkeypatch.setattr(syntax, "extract", lambda sources, *a, **k: seen.append(sources) or whole(sources, *a, **k))
+    bodies = spark.createDataFrame([(1, "class A { void m() { } }", 19, 21, " go(); "), (2, "class A { }", 8, 90, ""), (3, None, 0, 1, "")], "index int, fileContent string, bodyStartOffset int, bodyEndOffset int, generatedBody string")
+    got = {r["index"]: ([i["signature"] for i in r["invocations"]], r["error"]) for r in syntax.calls_in_place(bodies.repartition(3)).collect()}
+    assert got == {1: (["UNRESOLVED<go>"], None), 2: ([], "offsets outside the file"), 3: ([], "no file content")}
+    assert "Filter" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
