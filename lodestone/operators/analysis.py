@@ -42,6 +42,13 @@ def pair_modes(samples: DataFrame, mode: str, key: Sequence[str], base: str, oth
     return one.join(two, list(key)).withColumns({f"delta_{v}": F.col(f"other_{v}") - F.col(f"base_{v}") for v in values})
 
 
+def steady_mean(value: Column) -> Column:
+    """The mean of doubles whose sum hangs on no order: tenth decimals and above are added exactly, what is left (or too large, or no number) as doubles."""
+    exact = F.coalesce(value.try_cast("decimal(28,10)"), F.lit(0).cast("decimal(28,10)"))
+    whole = F.sum(F.when(value.isNotNull(), exact)).cast("double") + F.sum(value - exact.cast("double"))
+    return F.when(F.count(value) > 0, whole / F.count(value))
+
+
 def helped(delta: Column, threshold: float = 0.02) -> Column:
     """``helped``, ``hurt``, ``neutral`` by strict thresholds; ``unknown`` for null."""
     return F.when(delta.isNull(), "unknown").when(delta > threshold, "helped").when(delta < -threshold, "hurt").otherwise("neutral")

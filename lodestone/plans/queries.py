@@ -299,7 +299,7 @@ _PAIRS = "s as (select user_id, event_type, avg(value) / 100e0 as es, avg(cast(j
 
 
 def _pairs(spark, sf):
-    s = _samples(spark, sf).groupBy("user_id", "event_type").agg((F.avg("value") / 100).alias("es"), (F.avg("k") / 100).alias("recall"))
+    s = _samples(spark, sf).groupBy("user_id", "event_type").agg((analysis.steady_mean(F.col("value")) / 100).alias("es"), (F.avg("k") / 100).alias("recall"))
     return analysis.pair_modes(s, "event_type", ["user_id"], "view", "purchase", ["es", "recall"])
 
 
