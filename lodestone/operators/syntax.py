@@ -285,6 +285,25 @@ def told_source(text: str) -> tuple[str, list[str], list[int]]:
     return "\x01".join(kinds), list(names), braces
 
 
+def told_tokens(text: str, names: dict[str, int], literals: dict[str, int]) -> str:
+    """The tokens of a source but spaces and comments, behind ``\\x01`` each but the first: a name as ``x1_``, a literal as ``01_``, by its place in the dicts
+    given, which take in new ones; the sign ``\\x01`` as ``#1``. Texts told with the same dicts have equal tokens where these are equal."""
+    kinds = []
+    for t in _lexer().findall(text):
+        c = t[0]
+        if t in _FIXED:
+            kinds.append(t)
+        elif c in " \t\n\x0b\f\r" or (c == "/" and len(t) > 1):
+            pass
+        elif c in "_$" or c.isalpha():
+            kinds.append(f"x{names.setdefault(t, len(names) + 1)}_")
+        elif c in "\"'0123456789" or (c == "." and len(t) > 1):
+            kinds.append(f"0{literals.setdefault(t, len(literals) + 1)}_")
+        else:
+            kinds.append("#1" if c == "\x01" else t)
+    return "\x01".join(kinds)
+
+
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches (file, text) with ``told_source`` of their texts, a few rows at a time."""
     kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()))
