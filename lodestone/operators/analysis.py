@@ -49,6 +49,15 @@ def steady_mean(value: Column) -> Column:
     return F.when(F.count(value) > 0, whole / F.count(value))
 
 
+def ordered_means(rows: DataFrame, by: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+    """(by, the mean of each value): doubles are added one after the other by ``order`` (equal ones by value), so a mean hangs on no split of the rows
+    and is that of whoever reads them in this order. Null values are left out."""
+    w = Window.partitionBy(*by).orderBy(order, *values)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.withColumns({f"__sum_{v}": F.sum(v).over(upto) for v in values} | {f"__n_{v}": F.count(v).over(upto) for v in values} | {"__more": F.lead(F.lit(True)).over(w)})
+    return run.filter("__more is null").select(*by, *(F.when(F.col(f"__n_{v}") > 0, F.col(f"__sum_{v}") / F.col(f"__n_{v}")).alias(v) for v in values))
+
+
 def helped(delta: Column, threshold: float = 0.02) -> Column:
     """``helped``, ``hurt``, ``neutral`` by strict thresholds; ``unknown`` for null."""
     return F.when(delta.isNull(), "unknown").when(delta > threshold, "helped").when(delta < -threshold, "hurt").otherwise("neutral")
